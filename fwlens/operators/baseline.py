@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -24,10 +23,12 @@ METRICS = {
 def compute_baseline(history: DataFrame, config: Config) -> DataFrame:
     """One row per asset: event count, median and MAD of three per-window metrics, p95 of bytes per event.
 
-    Each metric is bucketed by the window of the detector that uses it; buckets without events do not exist.
+    Each metric is bucketed by the window of the detector that uses it; buckets without events do not exist. An
+    asset's buckets number at most its time span over the window; its byte sizes have no such bound and go through
+    the bucketed quantile.
     """
     settings = config.baselining
-    data = history.filter(F.col("timestamp").isNotNull() & F.col("src_ip").isNotNull()).select(
+    data = history.filter("timestamp IS NOT NULL AND src_ip IS NOT NULL").select(
         asset_key(F.col("src_ip"), settings.group_by, settings.subnet_prefix_length).alias("asset_key"),
         "timestamp",
         flag(F.upper(col_or(history, "action", "ALLOW", "string")) == "BLOCK").alias("is_blocked"),
@@ -36,43 +37,29 @@ def compute_baseline(history: DataFrame, config: Config) -> DataFrame:
         non_negative(col_or(history, "bytes_sent", 0, "bigint")).alias("bytes_sent"),
     )
     measures = {
-        "blocked_rate": (config.brute_force.window_minutes, F.sum("is_blocked")),
-        "unique_ports": (config.port_scan.window_minutes, F.countDistinct("dst_port")),
-        "unique_dsts": (config.host_scan.window_minutes, F.countDistinct("dst_ip")),
+        "blocked_rate": (config.brute_force.window_minutes, "sum(is_blocked)"),
+        "unique_ports": (config.port_scan.window_minutes, "count(DISTINCT dst_port)"),
+        "unique_dsts": (config.host_scan.window_minutes, "count(DISTINCT dst_ip)"),
     }
-    parts = []
+    sizes = quantiles(histogram(data, ["asset_key"], "bytes_sent"), ["asset_key"], [0.95])
+    result = sizes.selectExpr("asset_key", "total AS event_count", "quantile AS bytes_sent_p95")
     # metrics that share a window length share one pass
     for minutes in sorted({length for length, _ in measures.values()}):
-        shared = {name: expression for name, (length, expression) in measures.items() if length == minutes}
+        shared = {name: text for name, (length, text) in measures.items() if length == minutes}
         per_bucket = data.groupBy("asset_key", bucket_start(F.col("timestamp"), minutes).alias("bucket")).agg(
-            *[expression.alias(name) for name, expression in shared.items()]
+            *[F.expr(f"cast({text} AS double) AS {name}") for name, text in shared.items()]
         )
-        values = F.array(*[F.struct(F.lit(name).alias("metric"), F.col(name).cast("double").alias("v")) for name in shared])
-        parts.append(histogram(per_bucket.select("asset_key", F.inline(values)), ["asset_key", "metric"], "v"))
-    sizes = histogram(data.withColumn("metric", F.lit("bytes_sent")), ["asset_key", "metric"], "bytes_sent")
-    keys = ["asset_key", "metric"]
-    counted = reduce(DataFrame.unionByName, parts)
-    levels = quantiles(counted.unionByName(sizes), keys, [0.5, 0.95])
-    medians = levels.filter((F.col("p") == 0.5) & (F.col("metric") != "bytes_sent")).select(*keys, F.col("quantile").alias("median"))
-    deviations = (
-        counted.join(medians, keys)
-        .groupBy(*keys, F.abs(F.col("value") - F.col("median")).alias("value"))
-        .agg(F.sum("n").alias("n"))
-    )
-    spreads = quantiles(deviations, keys, [0.5]).select(*keys, F.lit("mad").alias("stat"), F.col("quantile").alias("v"), "total")
-    stats = levels.select(
-        *keys, F.when(F.col("p") == 0.5, "median").otherwise("p95").alias("stat"), F.col("quantile").alias("v"), "total"
-    ).unionByName(spreads)
-
-    def pick(metric: str, stat: str):
-        wanted = (F.col("metric") == metric) & (F.col("stat") == stat)
-        return F.coalesce(F.max(F.when(wanted, F.col("v"))), F.lit(0.0)).alias(f"{metric}_{stat}")
-
-    return stats.groupBy("asset_key").agg(
-        F.max(F.when(F.col("metric") == "bytes_sent", F.col("total"))).alias("event_count"),
-        *[pick(metric, stat) for metric in measures for stat in ("median", "mad")],
-        pick("bytes_sent", "p95"),
-    )
+        # the median joins its rows as a window value, so the spread needs no second shuffle
+        centred = per_bucket.selectExpr(
+            "asset_key", *shared, *[f"median({name}) OVER (PARTITION BY asset_key) AS {name}_centre" for name in shared]
+        )
+        levels = [
+            text
+            for name in shared
+            for text in (f"median({name}) AS {name}_median", f"median(abs({name} - {name}_centre)) AS {name}_mad")
+        ]
+        result = result.join(centred.groupBy("asset_key").agg(*map(F.expr, levels)), "asset_key")
+    return result
 
 
 @dataclass(frozen=True)

@@ -38,7 +38,7 @@ class CleanedLogs:
         spark = self.flagged.sparkSession
         dated = self.flagged.withColumn("event_date", F.to_date("timestamp"))
         dated.hint("rebalance", "event_date").write.mode("overwrite").partitionBy("row_valid", "event_date").parquet(path)
-        return replace(self, flagged=spark.read.parquet(path).drop("event_date"))
+        return replace(self, flagged=spark.read.schema(dated.schema).parquet(path).drop("event_date"))
 
 
 def _all(conditions: list[Column]) -> Column:

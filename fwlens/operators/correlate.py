@@ -180,7 +180,7 @@ def correlate_alerts(alerts: DataFrame, config: Config, block_times: int = BLOCK
     )
     # numbering reads the incidents twice
     grouped = checkpointed(grouped)
-    placed = numbered(grouped, F.substring("src_ip", 1, 7), F.col("src_ip"), [F.col("anchor")], "place")
+    placed = numbered(grouped, "substring(src_ip, 1, 7)", "src_ip", "anchor", "place")
     types = F.col("types")
     scored = placed.withColumn("risk_score", incident_score(types, config)).withColumn("alert_types", joined(types))
     return scored.select(

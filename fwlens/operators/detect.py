@@ -9,14 +9,14 @@ from typing import Callable, Iterable
 from pyspark.sql import Column, DataFrame, functions as F
 
 from fwlens.config import ALERT_SECTIONS, Config
-from fwlens.functions.columns import flag, from_micros, hour_in
+from fwlens.functions.columns import hour_in
 from fwlens.functions.scoring import severity_of
 from fwlens.operators.baseline import ThresholdRule, compute_baseline
 from fwlens.operators.quantiles import quantiles
 from fwlens.operators.windows import (
     MINUTE_US, first_count_window, first_distinct_window, numbered, rows_of_windows, upto_trigger_row, with_time,
 )
-from fwlens.session import checkpointed, settled
+from fwlens.session import checkpointed, concurrently, settled
 
 BURST, PORT_SCAN, HOST_SCAN, LARGE, OFF_HOURS = ALERT_SECTIONS
 
@@ -66,39 +66,49 @@ def _as_is(df: DataFrame) -> DataFrame:
     return df
 
 
-def _evidence(**given: Column) -> Column:
-    return F.struct(*[given.get(name, F.lit(None)).cast(kind).alias(name) for name, kind in EVIDENCE.items()])
+def _evidence(**given: str) -> str:
+    """SQL text of the evidence struct; fields that are not given are NULL."""
+    fields = ", ".join(f"'{name}', cast({given.get(name, 'NULL')} AS {kind})" for name, kind in EVIDENCE.items())
+    return f"named_struct({fields}) AS evidence"
 
 
-def _threshold_evidence(observed: Column) -> dict[str, Column]:
+def _threshold_evidence(observed: str) -> dict[str, str]:
     return {
-        "threshold_source": F.col("threshold_source"),
-        "effective_threshold": F.col("threshold"),
+        "threshold_source": "threshold_source",
+        "effective_threshold": "threshold",
         "observed_value": observed,
-        "asset_baseline_value": F.col("asset_baseline_value"),
+        "asset_baseline_value": "asset_baseline_value",
     }
 
 
-def _alerts(df: DataFrame, kind: str, window_minutes: int, evidence: Column, config: Config, dst_ip: Column | None = None) -> DataFrame:
+SEVERAL = "CASE WHEN size(destinations) > 1 THEN 'multiple' ELSE try_element_at(destinations, 1) END"
+
+
+def _alerts(df: DataFrame, kind: str, window_minutes: int, evidence: str, config: Config, dst_ip: str = SEVERAL) -> DataFrame:
     """Common alert columns from src_ip, timestamp, event_count, first_seen, last_seen, destinations and ports."""
     score = config.alert_scores()[kind]
-    several = F.when(F.size("destinations") > 1, "multiple").otherwise(F.try_element_at("destinations", F.lit(1)))
-    return df.select(
-        F.lit(list(ALERT_SECTIONS).index(kind)).alias("detector"),
+    return df.selectExpr(
+        f"{list(ALERT_SECTIONS).index(kind)} AS detector",
         "timestamp",
         "src_ip",
-        (several if dst_ip is None else dst_ip).alias("dst_ip"),
-        F.lit(kind).alias("alert_type"),
-        severity_of(F.lit(score), config).alias("severity"),
-        F.col("event_count").cast("bigint"),
-        F.lit(window_minutes).alias("window_minutes"),
-        evidence.alias("evidence"),
-        F.lit(score).alias("score_contribution"),
+        f"{dst_ip} AS dst_ip",
+        f"'{kind}' AS alert_type",
+        "cast(event_count AS bigint) AS event_count",
+        f"{window_minutes} AS window_minutes",
+        evidence,
+        f"{score} AS score_contribution",
         "first_seen",
         "last_seen",
         "destinations",
         "ports",
-    )
+    ).withColumn("severity", severity_of(F.col("score_contribution"), config))
+
+
+# per source, from rows combined per (destination, port)
+SETS = (
+    "array_sort(collect_set(dst_ip)) AS destinations",
+    "array_sort(collect_set(dst_port)) AS ports",
+)
 
 
 def _window_alert_rows(window_rows: DataFrame) -> DataFrame:
@@ -109,15 +119,16 @@ def _window_alert_rows(window_rows: DataFrame) -> DataFrame:
     """
     per_source = ["src_ip", "trigger_us", "threshold", "threshold_source", "asset_baseline_value"]
     pairs = window_rows.groupBy(*per_source, "dst_ip", "dst_port").agg(
-        F.count(F.lit(1)).alias("n"), F.min("us").alias("first_us"), F.max("us").alias("last_us")
+        F.expr("count(1) AS n"), F.expr("min(us) AS first_us"), F.expr("max(us) AS last_us")
+    )
+    found = pairs.groupBy(*per_source).agg(
+        *map(F.expr, ("sum(n) AS event_count", "min(first_us) AS first_us", "max(last_us) AS last_us", *SETS))
+    )
+    naive = "cast(timestamp_micros({0}) AS timestamp_ntz) AS {1}"
+    return found.selectExpr(
+        *per_source, "event_count", "destinations", "ports", naive.format("trigger_us", "timestamp"),
+        naive.format("first_us", "first_seen"), naive.format("last_us", "last_seen"),
     )
-    return pairs.groupBy(*per_source).agg(
-        F.sum("n").alias("event_count"),
-        from_micros(F.min("first_us")).alias("first_seen"),
-        from_micros(F.max("last_us")).alias("last_seen"),
-        F.array_sort(F.collect_set("dst_ip")).alias("destinations"),
-        F.array_sort(F.collect_set("dst_port")).alias("ports"),
-    ).withColumn("timestamp", from_micros(F.col("trigger_us")))
 
 
 def _timed(logs: DataFrame, window_us: int) -> DataFrame:
@@ -130,16 +141,16 @@ def detect_blocked_burst(
     """First time per source with enough blocked connections to the sensitive ports inside the window."""
     cfg = config.brute_force
     window_us = cfg.window_minutes * MINUTE_US
-    blocked = logs.filter((F.col("action") == "BLOCK") & F.col("dst_port").isin(*cfg.destination_ports))
-    rows = _timed(blocked, window_us)
+    ports = ", ".join(map(str, cfg.destination_ports))
+    rows = _timed(logs.filter(f"action = 'BLOCK' AND dst_port IN ({ports})"), window_us)
     rule = ThresholdRule("blocked_rate", cfg.blocked_attempts, config, baselines)
     hits = settle(first_count_window(rows, window_us, rule))
     found = _window_alert_rows(rows_of_windows(rows, hits, window_us, closed_left=False))
     evidence = _evidence(
-        blocked_connections=F.col("event_count"),
-        target_ports=F.col("ports"),
-        interpretation=F.lit("Possible brute-force or automated connection attempts"),
-        **_threshold_evidence(F.col("event_count")),
+        blocked_connections="event_count",
+        target_ports="ports",
+        interpretation="'Possible brute-force or automated connection attempts'",
+        **_threshold_evidence("event_count"),
     )
     return _alerts(found, BURST, cfg.window_minutes, evidence, config)
 
@@ -160,9 +171,9 @@ def detect_port_scan(
     rule = ThresholdRule("unique_ports", cfg.unique_ports, config, baselines)
     found = _scan_rows(logs, "dst_port", cfg.window_minutes, rule, settle)
     evidence = _evidence(
-        unique_destination_ports=F.size("ports"),
-        ports_sample=F.slice("ports", 1, SAMPLE),
-        **_threshold_evidence(F.size("ports")),
+        unique_destination_ports="size(ports)",
+        ports_sample=f"slice(ports, 1, {SAMPLE})",
+        **_threshold_evidence("size(ports)"),
     )
     return _alerts(found, PORT_SCAN, cfg.window_minutes, evidence, config)
 
@@ -175,11 +186,11 @@ def detect_host_scan(
     rule = ThresholdRule("unique_dsts", cfg.unique_destinations, config, baselines)
     found = _scan_rows(logs, "dst_ip", cfg.window_minutes, rule, settle)
     evidence = _evidence(
-        unique_destinations=F.size("destinations"),
-        destinations_sample=F.slice("destinations", 1, SAMPLE),
-        **_threshold_evidence(F.size("destinations")),
+        unique_destinations="size(destinations)",
+        destinations_sample=f"slice(destinations, 1, {SAMPLE})",
+        **_threshold_evidence("size(destinations)"),
     )
-    return _alerts(found, HOST_SCAN, cfg.window_minutes, evidence, config, F.lit("multiple"))
+    return _alerts(found, HOST_SCAN, cfg.window_minutes, evidence, config, "'multiple'")
 
 
 def large_threshold(logs: DataFrame, config: Config) -> DataFrame:
@@ -188,83 +199,72 @@ def large_threshold(logs: DataFrame, config: Config) -> DataFrame:
     Values under the minimum matter only through their number and their largest one, so they travel as one group.
     """
     cfg = config.large_transfer
-    size = F.col("bytes_sent")
     hist = (
-        logs.filter(size.isNotNull())
-        .groupBy(F.when(size < cfg.minimum_bytes, -1).otherwise(size).alias("size_group"))
-        .agg(F.max(size).cast("double").alias("value"), F.count(F.lit(1)).alias("n"))
-        .select(F.lit("all").alias("scope"), "value", "n")
+        logs.filter("bytes_sent IS NOT NULL")
+        .selectExpr("bytes_sent", f"CASE WHEN bytes_sent < {cfg.minimum_bytes} THEN -1 ELSE bytes_sent END AS size_group")
+        .groupBy("size_group")
+        .agg(F.expr("max(bytes_sent) AS size"), F.expr("count(1) AS n"))
+        .selectExpr("'all' AS scope", "cast(size AS double) AS value", "n")
     )
     at = quantiles(hist, ["scope"], [cfg.percentile])
-    return at.agg(F.greatest(F.max("quantile"), F.lit(float(cfg.minimum_bytes))).alias("threshold"))
+    return at.agg(F.expr(f"greatest(max(quantile), {float(cfg.minimum_bytes)!r}D) AS threshold"))
+
+
+def _limit(logs: DataFrame, config: Config, threshold: float | None) -> Column:
+    """The byte threshold as a known number, or as a one-row subquery."""
+    return large_threshold(logs, config).scalar() if threshold is None else F.lit(float(threshold))
 
 
 def detect_large_transfer(
-    logs: DataFrame, config: Config, baselines: DataFrame | None = None, threshold: DataFrame | None = None
+    logs: DataFrame, config: Config, baselines: DataFrame | None = None, threshold: float | None = None
 ) -> DataFrame:
     """One alert per transfer at or above the threshold; transfers equal on time, source and target merge."""
     cfg = config.large_transfer
-    limit = large_threshold(logs, config) if threshold is None else threshold
-    rule = ThresholdRule("bytes_sent", limit.scalar(), config, baselines, whole=False)
+    rule = ThresholdRule("bytes_sent", _limit(logs, config, threshold), config, baselines, whole=False)
     # a constant lower bound of every possible threshold reaches the scan
     lowest = cfg.minimum_bytes if baselines is None else min(cfg.minimum_bytes, config.baselining.min_threshold_floor)
-    rows = logs.filter(F.col("bytes_sent") >= lowest).select(
-        "timestamp", "src_ip", "dst_ip", "dst_port", "bytes_sent", "row_id"
-    )
-    large = rule.attach(rows).filter(F.col("bytes_sent") >= F.col("threshold"))
-    details = ("dst_port", "bytes_sent", "threshold", "threshold_source", "asset_baseline_value")
-    kept = large.groupBy("timestamp", "src_ip", "dst_ip").agg(F.min_by(F.struct(*details), F.col("row_id")).alias("row"))
-    found = kept.select(
-        "timestamp",
-        "src_ip",
-        "dst_ip",
-        "row.*",
-        F.lit(1).alias("event_count"),
-        F.col("timestamp").alias("first_seen"),
-        F.col("timestamp").alias("last_seen"),
-        F.array("dst_ip").alias("destinations"),
-        F.array("row.dst_port").alias("ports"),
+    rows = logs.filter(f"bytes_sent >= {lowest}").select("timestamp", "src_ip", "dst_ip", "dst_port", "bytes_sent", "row_id")
+    large = rule.attach(rows).filter("bytes_sent >= threshold")
+    details = "struct(dst_port, bytes_sent, threshold, threshold_source, asset_baseline_value)"
+    kept = large.groupBy("timestamp", "src_ip", "dst_ip").agg(F.expr(f"min_by({details}, row_id) AS row"))
+    found = kept.selectExpr(
+        "timestamp", "src_ip", "dst_ip", "row.*", "1 AS event_count", "timestamp AS first_seen", "timestamp AS last_seen",
+        "array(dst_ip) AS destinations", "array(row.dst_port) AS ports",
     )
     evidence = _evidence(
-        bytes_sent=F.col("bytes_sent"),
-        threshold=F.col("threshold"),
-        interpretation=F.lit("Unusually large outbound data transfer requiring investigation"),
-        **_threshold_evidence(F.col("bytes_sent")),
+        bytes_sent="bytes_sent",
+        threshold="threshold",
+        interpretation="'Unusually large outbound data transfer requiring investigation'",
+        **_threshold_evidence("bytes_sent"),
     )
-    return _alerts(found, LARGE, 0, evidence, config, F.col("dst_ip"))
+    return _alerts(found, LARGE, 0, evidence, config, "dst_ip")
 
 
-def detect_off_hours(logs: DataFrame, config: Config, threshold: DataFrame | None = None) -> DataFrame:
+def detect_off_hours(logs: DataFrame, config: Config, threshold: float | None = None) -> DataFrame:
     """One alert per source that was blocked, moved much data or used a rare port during off hours."""
     cfg = config.off_hours
-    limit = large_threshold(logs, config) if threshold is None else threshold
-    large = F.col("bytes_sent") >= F.floor(limit.scalar())
-    rare = F.col("dst_port").isin(*RARE_PORTS)
-    blocked = F.col("action") == "BLOCK"
-    suspicious = logs.filter(hour_in(F.col("timestamp"), cfg.start_hour, cfg.end_hour)).filter(blocked | large | rare)
-    pairs = suspicious.groupBy("src_ip", "dst_ip", "dst_port").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.sum(flag(blocked)).alias("blocked"),
-        F.sum(flag(large)).alias("large"),
-        F.min("timestamp").alias("first"),
-        F.max("timestamp").alias("last"),
+    rare = f"IN ({', '.join(map(str, RARE_PORTS))})"
+    inside = logs.filter(hour_in(F.col("timestamp"), cfg.start_hour, cfg.end_hour))
+    marked = inside.withColumn("is_large", F.col("bytes_sent") >= F.floor(_limit(logs, config, threshold)))
+    pairs = (
+        marked.filter(f"action = 'BLOCK' OR is_large OR dst_port {rare}")
+        .groupBy("src_ip", "dst_ip", "dst_port")
+        .agg(
+            F.expr("count(1) AS n"), F.expr("count_if(action = 'BLOCK') AS blocked"), F.expr("count_if(is_large) AS large"),
+            F.expr("min(timestamp) AS first"), F.expr("max(timestamp) AS last"),
+        )
+    )
+    totals = (
+        "sum(n) AS event_count", "sum(blocked) AS blocked", "sum(large) AS large", "min(first) AS timestamp",
+        "min(first) AS first_seen", "max(last) AS last_seen", *SETS,
     )
-    found = pairs.groupBy("src_ip").agg(
-        F.sum("n").alias("event_count"),
-        F.sum("blocked").alias("blocked"),
-        F.sum("large").alias("large"),
-        F.min("first").alias("first_seen"),
-        F.max("last").alias("last_seen"),
-        F.array_sort(F.collect_set("dst_ip")).alias("destinations"),
-        F.array_sort(F.collect_set("dst_port")).alias("ports"),
-    ).withColumn("timestamp", F.col("first_seen"))
     evidence = _evidence(
-        off_hours_window=F.lit(f"{cfg.start_hour:02d}:00-{cfg.end_hour:02d}:00"),
-        blocked_events=F.col("blocked"),
-        rare_ports=F.filter("ports", lambda port: port.isin(*RARE_PORTS)),
-        large_transfer_events=F.col("large"),
+        off_hours_window=f"'{cfg.start_hour:02d}:00-{cfg.end_hour:02d}:00'",
+        blocked_events="blocked",
+        rare_ports=f"filter(ports, p -> p {rare})",
+        large_transfer_events="large",
     )
-    return _alerts(found, OFF_HOURS, OFF_HOURS_WINDOW, evidence, config)
+    return _alerts(pairs.groupBy("src_ip").agg(*map(F.expr, totals)), OFF_HOURS, OFF_HOURS_WINDOW, evidence, config)
 
 
 @dataclass(frozen=True)
@@ -295,9 +295,7 @@ def run_all_detectors(
         baselines = None
     elif baselines is None:
         baselines = settle(compute_baseline(logs, config))
-    limit = None
-    if LARGE not in skipped:
-        limit = settle(large_threshold(logs, config))
+    limit = None if LARGE in skipped else large_threshold(logs, config).first()["threshold"]
     runs = {
         BURST: lambda: detect_blocked_burst(logs, config, baselines, settle),
         PORT_SCAN: lambda: detect_port_scan(logs, config, baselines, settle),
@@ -305,18 +303,19 @@ def run_all_detectors(
         LARGE: lambda: detect_large_transfer(logs, config, baselines, limit),
         OFF_HOURS: lambda: detect_off_hours(logs, config, limit),
     }
-    parts = [run() for kind, run in runs.items() if kind not in skipped]
-    if not parts:
+    wanted = [run for kind, run in runs.items() if kind not in skipped]
+    if not wanted:
         return AlertRun(_no_alerts(logs, config), skipped)
+    # the detectors are independent of each other: their jobs share the cluster instead of queueing
+    parts = concurrently(logs.sparkSession, wanted)
     return AlertRun(number_alerts(checkpointed(reduce(DataFrame.unionByName, parts))), skipped)
 
 
 def number_alerts(alerts: DataFrame) -> DataFrame:
     """Adds ``alert_id`` by (time, detector, source, target)."""
-    when = F.col("timestamp")
-    order = [when, F.col("detector"), F.col("src_ip"), F.col("dst_ip")]
-    placed = numbered(alerts, F.to_date(when), F.date_trunc("second", when), order, "place")
-    return placed.select(F.format_string("ALT-%06d", F.col("place")).alias("alert_id"), *alerts.columns)
+    order = "timestamp, detector, src_ip, dst_ip"
+    placed = numbered(alerts, "to_date(timestamp)", "date_trunc('second', timestamp)", order, "place")
+    return placed.selectExpr("format_string('ALT-%06d', place) AS alert_id", *alerts.columns)
 
 
 def _no_alerts(logs: DataFrame, config: Config) -> DataFrame:
@@ -326,7 +325,7 @@ def _no_alerts(logs: DataFrame, config: Config) -> DataFrame:
         "timestamp timestamp_ntz, src_ip string, event_count bigint, first_seen timestamp_ntz, last_seen timestamp_ntz,"
         " destinations array<string>, ports array<int>",
     )
-    return _alerts(empty, BURST, 0, _evidence(), config).select(F.lit("").alias("alert_id"), "*")
+    return _alerts(empty, BURST, 0, _evidence(), config).selectExpr("'' AS alert_id", "*")
 
 
 def alerts_table(alerts: DataFrame) -> DataFrame:

@@ -14,10 +14,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from fwlens.config import AnomalyModel
-from fwlens.operators.explain import explain_anomalies
+from fwlens.operators.explain import LABELS, explanation
 from fwlens.operators.features import MODEL_FEATURES
 from fwlens.operators.quantiles import column_quantiles, histogram, quantiles
-from fwlens.session import checkpointed
+from fwlens.session import checkpointed, concurrently
 
 SUBSAMPLE = 256
 MINIMUM_WINDOWS = 5
@@ -55,19 +55,24 @@ def numeric_features() -> list[Column]:
     return [F.coalesce(F.col(name).try_cast("double"), F.lit(0.0)).alias(name) for name in MODEL_FEATURES]
 
 
-def scaling(features: DataFrame) -> dict[str, Column]:
+def feature_levels(features: DataFrame) -> dict[tuple[str, float], float]:
+    """(column, p) -> exact quantile of every model feature, and of every explained feature as "raw_" column."""
+    raw = {f"raw_{name}": F.col(name) for name in LABELS}
+    frame = features.select(*numeric_features(), *[c.alias(name) for name, c in raw.items()])
+    rows = column_quantiles(frame, [*MODEL_FEATURES, *raw], [0.25, 0.5, 0.75]).collect()  # 3 rows per column
+    return {(row["name"], row["p"]): row["quantile"] for row in rows}
+
+
+def scaling(levels: dict[tuple[str, float], float]) -> dict[str, Column]:
     """Per model feature: centred on its median and divided by its interquartile range (1 when that is 0)."""
-    numeric = features.select(*numeric_features())
-    rows = column_quantiles(numeric, list(MODEL_FEATURES), [0.25, 0.5, 0.75]).collect()  # 3 rows per feature
-    at = {(row["name"], row["p"]): row["quantile"] for row in rows}
     return {
-        name: (c - at[name, 0.5]) / ((at[name, 0.75] - at[name, 0.25]) or 1.0)
+        name: (c - levels[name, 0.5]) / ((levels[name, 0.75] - levels[name, 0.25]) or 1.0)
         for name, c in zip(MODEL_FEATURES, numeric_features())
     }
 
 
 def robust_scale(features: DataFrame) -> DataFrame:
-    return features.withColumns(scaling(features))
+    return features.withColumns(scaling(feature_levels(features)))
 
 
 def _grow(sample: np.ndarray, rng: np.random.Generator) -> list[tuple]:
@@ -137,7 +142,7 @@ def fit_forest(training: DataFrame, model: AnomalyModel) -> Forest:
                 nodes.insert(0, "tree", int(tree))
                 yield nodes
 
-    tasks = min(model.n_estimators, 64)
+    tasks = min(model.n_estimators, max(1, spark.sparkContext.defaultParallelism))
     nodes = spark.range(0, model.n_estimators, 1, tasks).mapInPandas(grow, NODE_SCHEMA).toPandas()
     trees = []
     for _, tree in nodes.sort_values(["tree", "node"]).groupby("tree"):
@@ -181,17 +186,24 @@ def detect_anomalies(features: DataFrame, model: AnomalyModel) -> AnomalyResult:
         return AnomalyResult(unscored(features), TOO_FEW)
     labelled = counts["normal"] >= MINIMUM_WINDOWS
 
-    scaled = scaling(features)
+    levels = feature_levels(features)
+    scaled = scaling(levels)
     training = features.filter(reliable) if labelled else features
     forest = fit_forest(training.withColumns(scaled), model)
     scored = checkpointed(score_windows(features, forest, scaled))
 
     trained = scored.filter(reliable) if labelled else scored
     negated = histogram(trained.select(F.lit("all").alias("scope"), (-F.col("raw_anomaly_score")).alias("v")), ["scope"], "v")
-    cut = quantiles(negated, ["scope"], [model.contamination]).first()["quantile"]
-    low, high = scored.agg(F.min("raw_anomaly_score"), F.max("raw_anomaly_score")).first()
+    cut, (low, high) = concurrently(
+        features.sparkSession,
+        [
+            lambda: quantiles(negated, ["scope"], [model.contamination]).first()["quantile"],
+            lambda: scored.agg(F.min("raw_anomaly_score"), F.max("raw_anomaly_score")).first(),
+        ],
+    )
     share = (F.col("raw_anomaly_score") - low) / (high - low) * 100 if high > low else F.lit(0.0)
-    explained = explain_anomalies(scored)
+    medians = F.struct(*[F.lit(levels.get((f"raw_{name}", 0.5), 0.0)).alias(name) for name in LABELS])
+    explained = scored.withColumn("ai_explanation", explanation(medians))
     result = explained.withColumns(
         {
             "ai_anomaly_score": F.least(F.greatest(F.bround(share, 2), F.lit(0.0)), F.lit(100.0)),

@@ -2,26 +2,18 @@
 
 from __future__ import annotations
 
-import math
-
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 # Buckets per doubling of the value: a key has at most some 40,000 of them for values up to 2**64.
 _RESOLUTION = 512
+# non-decreasing in the value: signed logarithmic position
+_BUCKET = f"cast(signum(value) * floor(log1p(abs(value)) * ({_RESOLUTION} / ln(2.0D))) AS int) AS bucket"
 
 
 def histogram(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     """(keys, value, n): equal values collapse on the map side, hot groups spread over their values."""
-    return (
-        df.filter(F.col(value).isNotNull())
-        .groupBy(*keys, F.col(value).cast("double").alias("value"))
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
-
-
-def _bucket(value: Column) -> Column:
-    """Non-decreasing in ``value``: signed logarithmic position."""
-    return (F.signum(value) * F.floor(F.log1p(F.abs(value)) * (_RESOLUTION / math.log(2.0)))).cast("int")
+    rows = df.filter(f"{value} IS NOT NULL").selectExpr(*keys, f"cast({value} AS double) AS value")
+    return rows.groupBy(*keys, "value").agg(F.expr("count(1) AS n"))
 
 
 def quantiles(hist: DataFrame, keys: list[str], probabilities: list[float]) -> DataFrame:
@@ -30,43 +22,47 @@ def quantiles(hist: DataFrame, keys: list[str], probabilities: list[float]) -> D
     Ranks are found in two steps: running counts over value buckets (few rows per key) locate the buckets
     that hold the wanted ranks, and only the values of those buckets are ranked one by one.
     """
-    spread = hist.withColumn("bucket", _bucket(F.col("value")))
-    per_bucket = spread.groupBy(*keys, "bucket").agg(F.sum("n").alias("in_bucket"))
-    by_key = Window.partitionBy(*keys)
-    upto = by_key.orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
-    wanted = (
-        per_bucket.withColumn("through", F.sum("in_bucket").over(upto))
-        .withColumn("total", F.sum("in_bucket").over(by_key))
-        .withColumn("before", F.col("through") - F.col("in_bucket"))
-        .withColumn("p", F.explode(F.array(*[F.lit(float(p)) for p in probabilities])))
-        .withColumn("position", F.col("p") * (F.col("total") - 1))
-        .withColumn("low", F.floor("position"))
-        .withColumn("high", F.ceil("position"))
-        .filter((F.col("before") <= F.col("high")) & (F.col("through") > F.col("low")))
-        .select(*keys, "bucket", "before", "total", "p", "position", "low", "high")
+    by_key = ", ".join(keys)
+    spread = hist.selectExpr(*keys, "value", "n", _BUCKET)
+    running = (
+        spread.groupBy(*keys, "bucket")
+        .agg(F.expr("sum(n) AS held"))
+        .selectExpr(
+            *keys,
+            "bucket",
+            "held",
+            f"sum(held) OVER (PARTITION BY {by_key} ORDER BY bucket ROWS UNBOUNDED PRECEDING) AS through",
+            f"sum(held) OVER (PARTITION BY {by_key}) AS total",
+        )
     )
-    # several probabilities may want one bucket: rank its values once
-    buckets = wanted.groupBy(*keys, "bucket", "before").agg(
-        F.collect_list(F.struct("p", "total", "position", "low", "high")).alias("targets")
+    targets = ", ".join(
+        f"named_struct('p', {p!r}D, 'position', {p!r}D * (total - 1), 'low', floor({p!r}D * (total - 1)),"
+        f" 'high', ceil({p!r}D * (total - 1)))"
+        for p in map(float, probabilities)
     )
-    inside = Window.partitionBy(*keys, "bucket").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
+    wanted = running.selectExpr(
+        *keys,
+        "bucket",
+        "total",
+        "through - held AS before",
+        f"filter(array({targets}), t -> through - held <= t.high AND through > t.low) AS targets",
+    ).filter("size(targets) > 0")
     ranked = (
-        spread.join(buckets, [*keys, "bucket"])
-        .withColumn("last", F.col("before") + F.sum("n").over(inside) - 1)
-        .withColumn("first", F.col("last") - F.col("n") + 1)
-        .select(*keys, "value", "first", "last", F.inline("targets"))
+        spread.join(wanted, [*keys, "bucket"])
+        .selectExpr(
+            *keys, "value", "n", "total", "targets",
+            f"before + sum(n) OVER (PARTITION BY {by_key}, bucket ORDER BY value ROWS UNBOUNDED PRECEDING) - 1 AS last",
+        )
+        .selectExpr(*keys, "value", "last - n + 1 AS first", "last", "total", "inline(targets)")
     )
-    holds = lambda rank: (F.col("first") <= F.col(rank)) & (F.col("last") >= F.col(rank))
     ends = ranked.groupBy(*keys, "p", "total", "position", "low").agg(
-        F.max(F.when(holds("low"), F.col("value"))).alias("at_low"),
-        F.max(F.when(holds("high"), F.col("value"))).alias("at_high"),
+        F.expr("max(CASE WHEN low BETWEEN first AND last THEN value END) AS at_low"),
+        F.expr("max(CASE WHEN high BETWEEN first AND last THEN value END) AS at_high"),
     )
-    between = F.col("at_low") + (F.col("at_high") - F.col("at_low")) * (F.col("position") - F.col("low"))
-    return ends.select(*keys, "p", between.alias("quantile"), "total")
+    return ends.selectExpr(*keys, "p", "at_low + (at_high - at_low) * (position - low) AS quantile", "total")
 
 
 def column_quantiles(df: DataFrame, columns: list[str], probabilities: list[float]) -> DataFrame:
     """(name, p, quantile, total) of several numeric columns of one frame."""
-    pairs = F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("v")) for c in columns])
-    long = df.select(F.inline(pairs))
-    return quantiles(histogram(long, ["name"], "v"), ["name"], probabilities)
+    pairs = ", ".join(f"named_struct('name', '{c}', 'v', cast({c} AS double))" for c in columns)
+    return quantiles(histogram(df.selectExpr(f"inline(array({pairs}))"), ["name"], "v"), ["name"], probabilities)

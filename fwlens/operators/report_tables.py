@@ -97,8 +97,8 @@ def incident_cards(incidents: DataFrame, k: int = 5) -> DataFrame:
         F.lit("Recommendations:"),
     )
     advice = F.transform(split_items(F.col("recommendations"), "|"), lambda item: F.concat(F.lit("- "), item))
-    top = incidents.orderBy(F.desc("risk_score"), "incident_id").limit(k)
-    rank = F.row_number().over(Window.orderBy(F.desc("risk_score"), "incident_id"))  # at most k rows
-    return top.select(rank.alias("incident_rank"), F.posexplode(F.concat(fixed, advice)).alias("line_no", "line")).orderBy(
-        "incident_rank", "line_no"
-    )
+    rank = F.row_number().over(Window.orderBy(F.desc("risk_score"), "incident_id"))
+    # the limit leaves at most k rows for the ranking
+    top = incidents.orderBy(F.desc("risk_score"), "incident_id").limit(k).withColumn("incident_rank", rank)
+    lines = top.select("incident_rank", F.posexplode(F.concat(fixed, advice)).alias("line_no", "line"))
+    return lines.orderBy("incident_rank", "line_no")

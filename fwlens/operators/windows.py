@@ -7,16 +7,21 @@ that can hold the first crossing; look at single rows of those slots alone.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
-
-from fwlens.functions.columns import micros, slot
+from pyspark.sql import DataFrame, functions as F
 
 MINUTE_US = 60_000_000
 
 
+def slot_text(us: str, window_us: int) -> str:
+    """SQL text of the index of the epoch-aligned interval that holds ``us``."""
+    return f"({us} - pmod({us}, {window_us}L)) div {window_us}L"
+
+
 def with_time(df: DataFrame, window_us: int, ts: str = "timestamp") -> DataFrame:
     """Adds ``us`` (epoch microseconds) and ``slot`` (index of the window-wide interval)."""
-    return df.withColumn("us", micros(F.col(ts))).withColumn("slot", slot(F.col("us"), window_us))
+    return df.selectExpr("*", f"unix_micros(cast({ts} AS timestamp)) AS us").selectExpr(
+        "*", f"{slot_text('us', window_us)} AS slot"
+    )
 
 
 def _candidate_slots(per_slot: DataFrame) -> DataFrame:
@@ -25,24 +30,26 @@ def _candidate_slots(per_slot: DataFrame) -> DataFrame:
     A window ending in slot c lies within c-1 and c, so n(c-1) + n(c) bounds it from above. A slot that reaches
     the threshold alone certainly crosses, hence nothing after the first such slot matters.
     """
-    source = Window.partitionBy("src_ip")
-    in_time = source.orderBy("slot")
-    before = F.when(F.lag("slot").over(in_time) == F.col("slot") - 1, F.lag("n").over(in_time)).otherwise(0)
-    certain = F.min(F.when(F.col("n") >= F.col("threshold"), F.col("slot"))).over(source)
+    in_time = "OVER (PARTITION BY src_ip ORDER BY slot)"
     return (
-        per_slot.withColumn("before", before)
-        .withColumn("certain", certain)
-        .filter(F.col("before") + F.col("n") >= F.col("threshold"))
-        .filter(F.col("certain").isNull() | (F.col("slot") <= F.col("certain")))
+        per_slot.selectExpr(
+            "*",
+            f"CASE WHEN lag(slot) {in_time} = slot - 1 THEN lag(n) {in_time} ELSE 0 END AS before",
+            "min(CASE WHEN n >= threshold THEN slot END) OVER (PARTITION BY src_ip) AS certain",
+        )
+        .filter("before + n >= threshold AND (certain IS NULL OR slot <= certain)")
         .drop("before", "certain", "n")
     )
 
 
 def _with_previous_slot(candidates: DataFrame) -> DataFrame:
     """Each candidate slot together with the slot before it; ``target`` keeps the candidate."""
-    return candidates.withColumnRenamed("slot", "target").withColumn(
-        "slot", F.explode(F.array(F.col("target") - 1, F.col("target")))
-    )
+    others = [name for name in candidates.columns if name != "slot"]
+    return candidates.selectExpr(*others, "slot AS target", "explode(array(slot - 1, slot)) AS slot")
+
+
+def _passed(candidates: DataFrame) -> list[str]:
+    return [name for name in candidates.columns if name not in ("src_ip", "slot")]
 
 
 def first_count_window(rows: DataFrame, window_us: int, rule) -> DataFrame:
@@ -51,23 +58,19 @@ def first_count_window(rows: DataFrame, window_us: int, rule) -> DataFrame:
     ``rows`` has src_ip, us and slot; ``rule.attach`` adds the threshold columns to a frame with src_ip.
     Returns one row per firing source: src_ip, trigger_us and the threshold columns.
     """
-    instants = rows.groupBy("src_ip", "slot", "us").agg(F.count(F.lit(1)).alias("n"))
-    per_slot = rule.attach(instants.groupBy("src_ip", "slot").agg(F.sum("n").alias("n")))
+    instants = rows.groupBy("src_ip", "slot", "us").agg(F.expr("count(1) AS n"))
+    per_slot = rule.attach(instants.groupBy("src_ip", "slot").agg(F.expr("sum(n) AS n")))
     candidates = _candidate_slots(per_slot)
-    near = instants.join(_with_previous_slot(candidates), ["src_ip", "slot"])
-    frame = Window.partitionBy("src_ip", "target").orderBy("us").rangeBetween(-(window_us - 1), 0)
+    frame = f"PARTITION BY src_ip, target ORDER BY us RANGE BETWEEN {window_us - 1}L PRECEDING AND CURRENT ROW"
     return (
-        near.withColumn("in_window", F.sum("n").over(frame))
-        .filter((F.col("slot") == F.col("target")) & (F.col("in_window") >= F.col("threshold")))
-        .groupBy("src_ip", *_threshold_columns(candidates))
-        .agg(F.min("us").alias("trigger_us"))
+        instants.join(_with_previous_slot(candidates), ["src_ip", "slot"])
+        .selectExpr("*", f"sum(n) OVER ({frame}) AS in_window")
+        .filter("slot = target AND in_window >= threshold")
+        .groupBy("src_ip", *_passed(candidates))
+        .agg(F.expr("min(us) AS trigger_us"))
     )
 
 
-def _threshold_columns(df: DataFrame) -> list[str]:
-    return [name for name in df.columns if name not in ("src_ip", "slot")]
-
-
 def first_distinct_window(rows: DataFrame, value: str, window_us: int, rule) -> DataFrame:
     """Per source, the first time at which [t - W, t] holds at least ``threshold`` distinct values.
 
@@ -75,58 +78,50 @@ def first_distinct_window(rows: DataFrame, value: str, window_us: int, rule) ->
     never more than W apart. So the first step reduces the log to one row per (source, slot, value).
     """
     seen = rows.groupBy("src_ip", "slot", F.col(value).alias("value")).agg(
-        F.min("us").alias("first_us"), F.max("us").alias("last_us")
+        F.expr("min(us) AS first_us"), F.expr("max(us) AS last_us")
     )
-    per_slot = rule.attach(seen.groupBy("src_ip", "slot").agg(F.count(F.lit(1)).alias("n")))
+    per_slot = rule.attach(seen.groupBy("src_ip", "slot").agg(F.expr("count(1) AS n")))
     candidates = _candidate_slots(per_slot)
-    passed = _threshold_columns(candidates)
-    near = seen.join(_with_previous_slot(candidates), ["src_ip", "slot"])
+    passed = _passed(candidates)
 
     # A candidate's own slot is decided by its first ``threshold`` values at the latest, so the rest is not needed.
     # The previous slot keeps all its values: they number fewer than the threshold, or it would have been certain.
-    own = F.col("slot") == F.col("target")
-    early = Window.partitionBy("src_ip", "target", "slot").orderBy("first_us")
-    near = near.withColumn("place", F.row_number().over(early)).filter(F.col("place") <= F.col("threshold"))
+    near = (
+        seen.join(_with_previous_slot(candidates), ["src_ip", "slot"])
+        .selectExpr("*", "row_number() OVER (PARTITION BY src_ip, target, slot ORDER BY first_us) AS place")
+        .filter("place <= threshold")
+    )
     if rule.bound is not None:
         # a literal bound lets Spark drop the surplus before the shuffle
-        near = near.filter(F.col("place") <= rule.bound)
+        near = near.filter(f"place <= {rule.bound}")
+    # one exchange serves the grouping, the sweep and its window; at most twice the threshold rows per group remain
+    near = near.repartition("src_ip", "target")
     active = near.groupBy("src_ip", "target", "value", *passed).agg(
-        F.max(F.when(own, F.col("first_us"))).alias("opens"),
-        (F.max(F.when(~own, F.col("last_us"))) + window_us).alias("expires"),
-    )
-    start = F.col("target") * window_us
-    opens, expires = F.col("opens"), F.col("expires")
-    lapses = opens.isNull() | (opens > expires + 1)
-
-    def change(at: Column, delta: int, when: Column) -> Column:
-        return F.when(when, F.struct(at.alias("at"), F.lit(delta).alias("delta"), F.lit(delta == 1).alias("new")))
-
-    carried = F.when(expires.isNotNull(), F.struct(start.alias("at"), F.lit(1).alias("delta"), F.lit(False).alias("new")))
-    changes = F.array_compact(
-        F.array(
-            carried,
-            change(expires + 1, -1, expires.isNotNull() & lapses),
-            change(opens, 1, opens.isNotNull() & (expires.isNull() | lapses)),
-        )
+        F.expr("max(CASE WHEN slot = target THEN first_us END) AS opens"),
+        F.expr(f"max(CASE WHEN slot < target THEN last_us END) + {window_us}L AS expires"),
     )
-    sweep = active.select("src_ip", "target", *passed, F.inline(changes))
-    upto = Window.partitionBy("src_ip", "target").orderBy("at").rangeBetween(Window.unboundedPreceding, 0)
+    # a value of the previous slot is carried into the candidate slot and may lapse before it is seen again
+    lapses = "(opens IS NULL OR opens > expires + 1)"
+    changes = f"""array_compact(array(
+        CASE WHEN expires IS NOT NULL THEN named_struct('at', target * {window_us}L, 'delta', 1, 'new', false) END,
+        CASE WHEN expires IS NOT NULL AND {lapses} THEN named_struct('at', expires + 1, 'delta', -1, 'new', false) END,
+        CASE WHEN opens IS NOT NULL AND (expires IS NULL OR {lapses}) THEN named_struct('at', opens, 'delta', 1, 'new', true) END
+    ))"""
     return (
-        sweep.withColumn("distinct_values", F.sum("delta").over(upto))
-        .filter(F.col("new") & (F.col("distinct_values") >= F.col("threshold")))
+        active.selectExpr("src_ip", "target", *passed, f"inline({changes})")
+        .selectExpr("*", "sum(delta) OVER (PARTITION BY src_ip, target ORDER BY at) AS distinct_values")
+        .filter("new AND distinct_values >= threshold")
         .groupBy("src_ip", *passed)
-        .agg(F.min("at").alias("trigger_us"))
+        .agg(F.expr("min(at) AS trigger_us"))
     )
 
 
 def rows_of_windows(rows: DataFrame, hits: DataFrame, window_us: int, closed_left: bool) -> DataFrame:
     """The rows inside each source's trigger window, joined by (source, slot) so that a busy source is spread."""
-    windows = hits.withColumn("trigger_slot", slot(F.col("trigger_us"), window_us)).withColumn(
-        "slot", F.explode(F.array(F.col("trigger_slot") - 1, F.col("trigger_slot")))
-    )
-    begin = F.col("trigger_us") - window_us
-    after = F.col("us") >= begin if closed_left else F.col("us") > begin
-    return rows.join(windows.drop("trigger_slot"), ["src_ip", "slot"]).filter(after & (F.col("us") <= F.col("trigger_us")))
+    last = slot_text("trigger_us", window_us)
+    windows = hits.selectExpr("*", f"explode(array({last} - 1, {last})) AS slot")
+    after = ">=" if closed_left else ">"
+    return rows.join(windows, ["src_ip", "slot"]).filter(f"us {after} trigger_us - {window_us}L AND us <= trigger_us")
 
 
 def upto_trigger_row(window_rows: DataFrame, value: str) -> DataFrame:
@@ -134,49 +129,36 @@ def upto_trigger_row(window_rows: DataFrame, value: str) -> DataFrame:
 
     The decisive row is the first appearance of the threshold-th distinct value in (time, row_id) order.
     """
-    values = window_rows.groupBy("src_ip", "threshold", "trigger_us", F.col(value).alias("value")).agg(
-        F.min("us").alias("first_us"),
-        F.min(F.when(F.col("us") == F.col("trigger_us"), F.col("row_id"))).alias("tied_row"),
-    )
-    order = Window.partitionBy("src_ip").orderBy("first_us", "tied_row")
     decisive = (
-        values.withColumn("place", F.row_number().over(order))
-        .filter(F.col("place") == F.col("threshold"))
-        .select("src_ip", F.col("tied_row").alias("last_row"))
+        window_rows.groupBy("src_ip", "threshold", F.col(value).alias("value"))
+        .agg(F.expr("min(us) AS first_us"), F.expr("min(CASE WHEN us = trigger_us THEN row_id END) AS last_row"))
+        .selectExpr("*", "row_number() OVER (PARTITION BY src_ip ORDER BY first_us, last_row) AS place")
+        .filter("place = threshold")
+        .select("src_ip", "last_row")
     )
     return (
         window_rows.join(decisive, "src_ip", "left")
-        .filter((F.col("us") < F.col("trigger_us")) | F.col("last_row").isNull() | (F.col("row_id") <= F.col("last_row")))
+        .filter("us < trigger_us OR last_row IS NULL OR row_id <= last_row")
         .drop("last_row")
     )
 
 
-def numbered(df: DataFrame, coarse: Column, fine: Column, order: list[Column], name: str) -> DataFrame:
+def numbered(df: DataFrame, coarse: str, fine: str, order: str, name: str) -> DataFrame:
     """Global 1-based position of each row without sorting the frame in one task.
 
-    Rows are ordered by (coarse, fine, *order). Counts per fine group are summed within their coarse group and
-    coarse totals are summed over all, so the largest single sort is one fine group.
+    Rows are ordered by (coarse, fine, order), all SQL text. Counts per fine group are summed within their coarse
+    group and coarse totals are summed over all, so the largest single sort is one fine group.
     """
-    keyed = df.withColumn("_coarse", coarse).withColumn("_fine", fine)
-    fine_counts = keyed.groupBy("_coarse", "_fine").agg(F.count(F.lit(1)).alias("_n"))
-    coarse_counts = fine_counts.groupBy("_coarse").agg(F.sum("_n").alias("_n"))
-    before = lambda *keys: Window.partitionBy(*keys)
-    preceding = (Window.unboundedPreceding, -1)
-    coarse_offsets = coarse_counts.select(
-        "_coarse",
-        F.coalesce(F.sum("_n").over(before(F.lit(0)).orderBy("_coarse").rowsBetween(*preceding)), F.lit(0)).alias("_base"),
+    keyed = df.selectExpr("*", f"{coarse} AS _coarse", f"{fine} AS _fine")
+    counts = keyed.groupBy("_coarse", "_fine").agg(F.expr("count(1) AS _n")).selectExpr(
+        "*", "sum(_n) OVER (PARTITION BY _coarse ORDER BY _fine) - _n AS _offset"
     )
-    offsets = (
-        fine_counts.withColumn(
-            "_offset",
-            F.coalesce(F.sum("_n").over(before("_coarse").orderBy("_fine").rowsBetween(*preceding)), F.lit(0)),
-        )
-        .join(coarse_offsets, "_coarse")
-        .select("_coarse", "_fine", (F.col("_offset") + F.col("_base")).alias("_offset"))
+    bases = counts.groupBy("_coarse").agg(F.expr("sum(_n) AS _all")).selectExpr(
+        "_coarse", "sum(_all) OVER (ORDER BY _coarse) - _all AS _base"
     )
-    place = F.row_number().over(before("_coarse", "_fine").orderBy(*order))
+    offsets = counts.join(bases, "_coarse").selectExpr("_coarse", "_fine", "_offset + _base AS _offset")
     return (
         keyed.join(offsets, ["_coarse", "_fine"])
-        .withColumn(name, F.col("_offset") + place)
+        .selectExpr("*", f"_offset + row_number() OVER (PARTITION BY _coarse, _fine ORDER BY {order}) AS {name}")
         .drop("_coarse", "_fine", "_offset")
     )

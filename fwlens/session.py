@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+from concurrent.futures import ThreadPoolExecutor
+from typing import Callable, Sequence, TypeVar
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
@@ -46,6 +49,16 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         raise ValueError("spark.checkpoint.dir must name a folder shared by all executors")
 
 
+T = TypeVar("T")
+
+
+def concurrently(spark: SparkSession, steps: Sequence[Callable[[], T]]) -> list[T]:
+    """Run independent driver steps side by side, so that their Spark jobs overlap; results keep the order."""
+    inherit = inheritable_thread_target(spark)
+    with ThreadPoolExecutor(max_workers=max(1, len(steps))) as pool:
+        return [future.result() for future in [pool.submit(inherit(step)) for step in steps]]
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Materialise ``df`` once in reliable storage, so that reuse survives the loss of executors."""
     ensure_checkpoint_dir(df.sparkSession)

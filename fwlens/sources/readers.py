@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -63,8 +66,20 @@ def read_json(spark: SparkSession, path: str, lines: bool) -> DataFrame:
     return df
 
 
-def load_logs(spark: SparkSession, path: str, file_format: str | None = None, multi_line: bool = False) -> DataFrame:
-    """Lazy scan of a log file, directory or glob, with the checks a caller expects before analysis."""
+def _check_utf8(df: DataFrame, path: str) -> None:
+    """Undecodable bytes arrive as U+FFFD; finding one takes a scan of all text."""
+    broken = [F.coalesce(F.col(f"`{name}`").contains("\ufffd"), F.lit(False)) for name, kind in df.dtypes if kind == "string"]
+    if broken and not df.filter(reduce(lambda left, right: left | right, broken)).isEmpty():
+        raise ValueError(f"Input log file is not valid UTF-8 text: {path}")
+
+
+def load_logs(
+    spark: SparkSession, path: str, file_format: str | None = None, multi_line: bool = False, check_utf8: bool = False
+) -> DataFrame:
+    """Lazy scan of a log file, directory or glob, with the checks a caller expects before analysis.
+
+    ``check_utf8`` reads everything once more, so it is a choice.
+    """
     kind = file_format or format_of(path)
     _check_present(spark, path)
     try:
@@ -75,8 +90,10 @@ def load_logs(spark: SparkSession, path: str, file_format: str | None = None, mu
         else:
             df = read_json(spark, path, lines=kind == "jsonl")
         empty = df.isEmpty()
-    except PySparkException as error:
+    except (PySparkException, Py4JJavaError) as error:
         raise ValueError(f"Input log file is not valid: {path}") from error
     if empty:
         raise ValueError(f"Input log file contains no rows: {path}")
+    if check_utf8:
+        _check_utf8(df, path)
     return df
