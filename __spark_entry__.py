@@ -95,9 +95,9 @@ def fw_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(k == 23, "-5").otherwise(text["bytes_sent"]).alias("Bytes Sent"),
         F.when(k == 17, "n/k").otherwise(text["bytes_received"]).alias("Bytes Received"),
         F.when(k != 31, text["label"]).alias("label"),
-        "k",
+        F.explode(F.array_repeat(F.lit(1), F.when(k.isin(13, 42), 2).otherwise(1))).alias("copy"),
     )
-    return rows.unionByName(rows.filter((k == 13) | (k == 42))).drop("k")
+    return rows.drop("copy")
 
 
 def _cleaned(spark, sf) -> clean.CleanedLogs:

@@ -41,10 +41,10 @@ TIMESTAMP_FORMATS = (
     "yyyyMMdd",
 )
 
+# what trimming removes: ASCII and Unicode white space
+WHITESPACE = " \t\n\x0b\f\r\x1c\x1d\x1e\x1f\x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 _NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
-_SHORT_INTEGER = r"^[+-]?[0-9]{1,18}$"
-_ISO_DATE = r"^[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}"
-_ZONE = r"[0-9] ?(Z|UTC|GMT|[+-][0-9]{2}:?[0-9]{2})$"
+_ZONE = r"(Z|UTC|GMT|[+-][0-9]{2}:?[0-9]{2})$"
 
 
 def col_or(df: DataFrame, name: str, default, kind: str) -> Column:
@@ -53,7 +53,7 @@ def col_or(df: DataFrame, name: str, default, kind: str) -> Column:
 
 
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, r"^\s+|\s+$", "")
+    return F.btrim(c, F.lit(WHITESPACE))
 
 
 def normal_action(c: Column) -> Column:
@@ -61,27 +61,32 @@ def normal_action(c: Column) -> Column:
     return F.when(word.isin(*ALLOW_WORDS), "ALLOW").when(word.isin(*BLOCK_WORDS), "BLOCK").otherwise(word)
 
 
-def to_number(c: Column) -> Column:
-    """Text to double; anything that is not a plain decimal number becomes NULL."""
-    text = strip(c.cast("string"))
+def whole_part(text: Column) -> Column:
+    """Stripped text of a whole number to long; anything else becomes NULL."""
+    return text.try_cast("bigint")
+
+
+def real_part(text: Column) -> Column:
+    """Stripped text of a plain decimal number to double; anything else becomes NULL."""
     return F.when(text.rlike(_NUMBER), text.try_cast("double"))
 
 
 def to_whole(c: Column) -> Column:
-    """Text to long, truncating fractions; short integers never pass through a double."""
+    """Text to long, truncating fractions; whole numbers never pass through a double."""
     text = strip(c.cast("string"))
-    return F.when(text.rlike(_SHORT_INTEGER), text.try_cast("bigint")).when(
-        text.rlike(_NUMBER), text.try_cast("double").try_cast("bigint")
-    )
+    return F.coalesce(whole_part(text), real_part(text).try_cast("bigint"))
 
 
 def to_timestamp_ntz(c: Column, formats: tuple[str, ...] = TIMESTAMP_FORMATS) -> Column:
     """Mixed-format text to a naive UTC timestamp; unparseable values become NULL."""
-    text = strip(c.cast("string"))
+    return timestamp_of(strip(c.cast("string")), formats)
+
+
+def timestamp_of(text: Column, formats: tuple[str, ...] = TIMESTAMP_FORMATS) -> Column:
     zoned = F.convert_timezone(F.current_timezone(), F.lit("UTC"), text.try_cast("timestamp").cast("timestamp_ntz"))
-    iso = F.when(text.rlike(_ZONE), zoned).otherwise(text.try_cast("timestamp_ntz"))
+    iso = F.when(F.right(text, F.lit(6)).rlike(_ZONE), zoned).otherwise(text.try_cast("timestamp_ntz"))
     others = [F.try_to_timestamp(text, F.lit(fmt)).cast("timestamp_ntz") for fmt in formats]
-    return F.when(text.rlike(_ISO_DATE), iso).otherwise(F.coalesce(*others))
+    return F.when(F.substring(text, 5, 1) == "-", iso).otherwise(F.coalesce(*others))
 
 
 def non_negative(c: Column) -> Column:

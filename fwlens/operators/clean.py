@@ -7,10 +7,13 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from fwlens.functions.columns import flag, normal_action, strip, to_number, to_timestamp_ntz, to_whole
+from fwlens.functions.columns import flag, normal_action, real_part, strip, timestamp_of, whole_part
 from fwlens.functions.net import is_ip
 from fwlens.sources.schema_map import CANONICAL, MappedLogs, kept_name, quoted
 
+PORTS = ("src_port", "dst_port")
+SIZES = ("bytes_sent", "bytes_received")
+NUMERIC = PORTS + SIZES
 BOOKKEEPING = ("copies", "null_cells", "bad_timestamp", "bad_ip", "bad_port", "bad_bytes", "row_valid")
 
 
@@ -42,11 +45,12 @@ class CleanedLogs:
 
 
 def _all(conditions: list[Column]) -> Column:
-    return reduce(lambda left, right: left & right, conditions)
+    return reduce(lambda left, right: left & right, conditions, F.lit(True))
 
 
-def _valid_port(number: Column) -> Column:
-    return F.coalesce(number.between(0, 65535), F.lit(False))
+def _computed(columns: dict[str, Column]) -> Column:
+    """The columns as a one-element inline: whatever uses them, filters too, reads results and repeats no parsing."""
+    return F.inline(F.array(F.struct(*[c.alias(name) for name, c in columns.items()])))
 
 
 def clean_logs(mapped: MappedLogs, row_id: str | None = None) -> CleanedLogs:
@@ -66,36 +70,54 @@ def clean_logs(mapped: MappedLogs, row_id: str | None = None) -> CleanedLogs:
     cells = [quoted(name) for name in mapped.passthrough] + list(canonical.values())
     nulls = reduce(lambda left, right: left + right, [flag(c.isNull()) for c in cells])
 
-    port = {name: to_number(canonical[name]) for name in ("src_port", "dst_port")}
-    size = {name: to_number(canonical[name]) for name in ("bytes_sent", "bytes_received")}
-    address = {name: strip(canonical[name].cast("string")) for name in ("src_ip", "dst_ip")}
-    good_ip = _all([is_ip(address[name]) for name in ("src_ip", "dst_ip") if name in supplied])
-    good_port = _all([F.lit(True), *[_valid_port(port[name]) for name in port if name in supplied]])
-    good_size = _all([F.lit(True), *[F.coalesce(size[name] >= 0, F.lit(False)) for name in size if name in supplied]])
-
-    typed = {
-        "timestamp": to_timestamp_ntz(canonical["timestamp"]),
-        "src_ip": address["src_ip"],
-        "dst_ip": address["dst_ip"],
-        "src_port": F.when(_valid_port(port["src_port"]), port["src_port"].cast("int")),
-        "dst_port": F.when(_valid_port(port["dst_port"]), port["dst_port"].cast("int")),
-        "protocol": F.upper(strip(canonical["protocol"].cast("string"))),
-        "action": normal_action(canonical["action"].cast("string")),
-        "bytes_sent": to_whole(canonical["bytes_sent"]),
-        "bytes_received": to_whole(canonical["bytes_received"]),
-    }
     identity = quoted(kept_name(row_id)).cast("bigint") if row_id else F.xxhash64(*keys)
-    flagged = distinct.select(
+    text = {name: strip(c.cast("string")) for name, c in canonical.items()}
+    rows = distinct.select(
         *[quoted(name) for name in mapped.passthrough],
-        *[typed[name].alias(name) for name in CANONICAL],
-        identity.alias("row_id"),
         "copies",
         nulls.alias("null_cells"),
-        (~good_ip).alias("bad_ip"),
-        (~good_port).alias("bad_port"),
-        (~good_size).alias("bad_bytes"),
-    ).withColumn("bad_timestamp", F.col("timestamp").isNull())
-    flagged = flagged.withColumn("row_valid", ~(F.col("bad_timestamp") | F.col("bad_ip") | F.col("bad_port") | F.col("bad_bytes")))
+        identity.alias("row_id"),
+        _computed({f"_{name}": c for name, c in text.items()}),
+    )
+    text = {name: F.col(f"_{name}") for name in CANONICAL}
+    kept = [c for c in rows.columns if c not in {f"_{name}" for name in CANONICAL}]
+    numbers = {}
+    for name in NUMERIC:
+        whole = whole_part(text[name])
+        numbers[f"{name}_whole"], numbers[f"{name}_real"] = whole, F.when(whole.isNull(), real_part(text[name]))
+    parsed = rows.select(
+        *[quoted(name) for name in kept],
+        _computed(
+            {
+                "timestamp": timestamp_of(text["timestamp"]),
+                "src_ip": text["src_ip"],
+                "dst_ip": text["dst_ip"],
+                "protocol": F.upper(text["protocol"]),
+                "action": normal_action(text["action"]),
+                **numbers,
+                "bad_src_ip": ~is_ip(text["src_ip"]),
+                "bad_dst_ip": ~is_ip(text["dst_ip"]) if "dst_ip" in supplied else F.lit(False),
+            }
+        ),
+    )
+    value = {name: F.coalesce(F.col(f"{name}_whole"), F.col(f"{name}_real")) for name in NUMERIC}
+    number = {name: F.coalesce(F.col(f"{name}_whole"), F.col(f"{name}_real").try_cast("bigint")) for name in NUMERIC}
+    good_port = {name: F.coalesce(value[name].between(0, 65535), F.lit(False)) for name in PORTS}
+    good_size = {name: F.coalesce(value[name] >= 0, F.lit(False)) for name in SIZES}
+    typed = {name: F.col(name) for name in ("timestamp", "src_ip", "dst_ip", "protocol", "action")}
+    typed |= {name: F.when(good_port[name], number[name]).cast("int") for name in PORTS}
+    typed |= {name: number[name] for name in SIZES}
+    flagged = parsed.select(
+        *[quoted(name) for name in mapped.passthrough],
+        *[typed[name].alias(name) for name in CANONICAL],
+        "row_id",
+        "copies",
+        "null_cells",
+        F.col("timestamp").isNull().alias("bad_timestamp"),
+        (F.col("bad_src_ip") | F.col("bad_dst_ip")).alias("bad_ip"),
+        (~_all([good_port[name] for name in PORTS if name in supplied])).alias("bad_port"),
+        (~_all([good_size[name] for name in SIZES if name in supplied])).alias("bad_bytes"),
+    ).selectExpr("*", "NOT (bad_timestamp OR bad_ip OR bad_port OR bad_bytes) AS row_valid")
     return CleanedLogs(flagged, mapped.mapped, mapped.unavailable)
 
 
