@@ -128,8 +128,14 @@ def _alerts(spark, sf, config=CONFIG) -> DataFrame:
     return detect.run_all_detectors(fw_logs(spark, sf), config).alerts
 
 
+def _found(spark, sf) -> tuple[DataFrame, DataFrame]:
+    """Alerts and their incidents."""
+    run = detect.run_all_detectors(fw_logs(spark, sf), CONFIG)
+    return run.alerts, correlate.correlate_alerts(run.stored, CONFIG)
+
+
 def _incidents(spark, sf) -> DataFrame:
-    return correlate.correlate_alerts(_alerts(spark, sf), CONFIG)
+    return _found(spark, sf)[1]
 
 
 def _rounded(df: DataFrame, digits: int = 6) -> DataFrame:
@@ -172,9 +178,7 @@ def _anomalies(spark, sf):
 
 
 def _filtered(spark, sf):
-    logs, alerts = fw_logs(spark, sf), _alerts(spark, sf)
-    incidents = correlate.correlate_alerts(alerts, CONFIG)
-    views = investigate.filter_views(logs, alerts, incidents, SPEC)
+    views = investigate.filter_views(fw_logs(spark, sf), *_found(spark, sf), SPEC)
     parts = [
         view.groupBy("src_ip").agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("view"), "src_ip", "n")
         for name, view in zip(("logs", "alerts", "incidents"), views)
@@ -184,8 +188,7 @@ def _filtered(spark, sf):
 
 def _with_alerts(build):
     def run(spark, sf):
-        alerts = _alerts(spark, sf)
-        return build(fw_logs(spark, sf), alerts, correlate.correlate_alerts(alerts, CONFIG))
+        return build(fw_logs(spark, sf), *_found(spark, sf))
 
     return run
 

@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 
+import sys
+
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window, functions as F
 
 from fwlens.config import Config
@@ -13,6 +16,9 @@ from fwlens.functions.scoring import incident_explanation, incident_score, recom
 from fwlens.operators.windows import MINUTE_US, numbered
 from fwlens.session import checkpointed
 
+# Python workers get this module's functions by value, so that executors need not have the package installed.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 INCIDENT_COLUMNS = (
     "incident_id", "src_ip", "start_time", "end_time", "alert_count", "alert_types", "affected_destinations",
     "affected_ports", "event_count", "risk_score", "severity", "score_breakdown", "explanation", "recommendations",

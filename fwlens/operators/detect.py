@@ -269,8 +269,11 @@ def detect_off_hours(logs: DataFrame, config: Config, threshold: float | None =
 
 @dataclass(frozen=True)
 class AlertRun:
+    """Numbered alerts, the stored alerts they number (all that correlation needs), and the detectors left out."""
+
     alerts: DataFrame
     skipped: tuple[str, ...]
+    stored: DataFrame
 
 
 def skipped_detectors(available: Iterable[str]) -> tuple[str, ...]:
@@ -305,10 +308,12 @@ def run_all_detectors(
     }
     wanted = [run for kind, run in runs.items() if kind not in skipped]
     if not wanted:
-        return AlertRun(_no_alerts(logs, config), skipped)
+        none = _no_alerts(logs, config)
+        return AlertRun(none, skipped, none)
     # the detectors are independent of each other: their jobs share the cluster instead of queueing
     parts = concurrently(logs.sparkSession, wanted)
-    return AlertRun(number_alerts(checkpointed(reduce(DataFrame.unionByName, parts))), skipped)
+    stored = checkpointed(reduce(DataFrame.unionByName, parts))
+    return AlertRun(number_alerts(stored), skipped, stored)
 
 
 def number_alerts(alerts: DataFrame) -> DataFrame:

@@ -7,10 +7,12 @@ driver is bounded by the parameters: 256 sampled rows and at most 511 nodes per
 from __future__ import annotations
 
 import math
+import sys
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, functions as F
 
 from fwlens.config import AnomalyModel
@@ -19,6 +21,9 @@ from fwlens.operators.features import MODEL_FEATURES
 from fwlens.operators.quantiles import column_quantiles, histogram, quantiles
 from fwlens.session import checkpointed, concurrently
 
+# Python workers get this module's functions by value, so that executors need not have the package installed.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 SUBSAMPLE = 256
 MINIMUM_WINDOWS = 5
 TOO_FEW = "At least five complete behavioral windows are needed for AI detection."
@@ -100,23 +105,27 @@ def _grow(sample: np.ndarray, rng: np.random.Generator) -> list[tuple]:
 
 @dataclass(frozen=True)
 class Forest:
+    """Per tree the arrays feature, cut, left, right and length over its nodes."""
+
     trees: list[tuple[np.ndarray, ...]]
     sample_size: int
 
-    def raw_scores(self, matrix: np.ndarray) -> np.ndarray:
-        total = np.zeros(len(matrix))
-        rows = np.arange(len(matrix))
-        for feature, cut, left, right, length in self.trees:
-            at = np.zeros(len(matrix), dtype=np.int64)
-            while True:
-                split = feature[at]
-                inner = split >= 0
-                if not inner.any():
-                    break
-                goes_left = matrix[rows, np.maximum(split, 0)] <= cut[at]
-                at = np.where(inner, np.where(goes_left, left[at], right[at]), at)
-            total += length[at]
-        return np.exp2(-(total / len(self.trees)) / max(average_path(self.sample_size), 1e-12))
+
+def raw_scores(trees: list[tuple[np.ndarray, ...]], sample_size: int, matrix: np.ndarray) -> np.ndarray:
+    """Score of each row: 2 to the minus mean path length over its expectation."""
+    total = np.zeros(len(matrix))
+    rows = np.arange(len(matrix))
+    for feature, cut, left, right, length in trees:
+        at = np.zeros(len(matrix), dtype=np.int64)
+        while True:
+            split = feature[at]
+            inner = split >= 0
+            if not inner.any():
+                break
+            goes_left = matrix[rows, np.maximum(split, 0)] <= cut[at]
+            at = np.where(inner, np.where(goes_left, left[at], right[at]), at)
+        total += length[at]
+    return np.exp2(-(total / len(trees)) / max(average_path(sample_size), 1e-12))
 
 
 def fit_forest(training: DataFrame, model: AnomalyModel) -> Forest:
@@ -152,12 +161,12 @@ def fit_forest(training: DataFrame, model: AnomalyModel) -> Forest:
 
 def score_windows(features: DataFrame, forest: Forest, scaled: dict[str, Column]) -> DataFrame:
     """Adds raw_anomaly_score in Arrow batches."""
-    shared = features.sparkSession.sparkContext.broadcast(forest)
+    shared = features.sparkSession.sparkContext.broadcast((forest.trees, forest.sample_size))
 
     @F.pandas_udf("double")
     def raw_score(*columns: pd.Series) -> pd.Series:
         matrix = np.column_stack([column.to_numpy(dtype="float64") for column in columns])
-        return pd.Series(shared.value.raw_scores(matrix))
+        return pd.Series(raw_scores(*shared.value, matrix))
 
     return features.withColumn("raw_anomaly_score", raw_score(*[scaled[name] for name in MODEL_FEATURES]))
 

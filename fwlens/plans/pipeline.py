@@ -50,7 +50,7 @@ def analyze(raw: DataFrame, config: Config, work_dir: str, baselines: DataFrame
     cleaned = clean_logs(mapping).materialized(f"{work_dir}/flagged_logs")
     validate_dataset(cleaned.logs)
     run = run_all_detectors(cleaned.logs, config, mapping.mapped, baselines)
-    return Analysis(mapping, cleaned, run, correlate_alerts(run.alerts, config))
+    return Analysis(mapping, cleaned, run, correlate_alerts(run.stored, config))
 
 
 def score_anomalies(logs: DataFrame, config: Config) -> AnomalyResult:
