@@ -117,7 +117,7 @@ def alert_anchors(times: DataFrame, window_us: int, block_times: int = BLOCK_TIM
     into blocks that are solved independently for every possible start, then linked by walking the blocks.
     """
     width = F.lit(window_us).cast("bigint")
-    distinct = times.select("src_ip", "us").distinct().withColumn("slot", slot(F.col("us"), window_us))
+    distinct = times.select("src_ip", "us").distinct().withColumn("slot", slot(F.col("us"), window_us)).filter("slot IS NOT NULL")
     slots = distinct.groupBy("src_ip", "slot").agg(
         F.min("us").alias("first"), F.max("us").alias("last"), F.count(F.lit(1)).alias("n")
     )

@@ -14,7 +14,7 @@ from fwlens.functions.scoring import severity_of
 from fwlens.operators.baseline import ThresholdRule, compute_baseline
 from fwlens.operators.quantiles import quantiles
 from fwlens.operators.windows import (
-    MINUTE_US, first_count_window, first_distinct_window, numbered, rows_of_windows, upto_trigger_row, with_time,
+    MINUTE_US, combined_rows, first_count_window, first_distinct_window, numbered, rows_of_windows, with_time,
 )
 from fwlens.session import checkpointed, concurrently, settled
 
@@ -111,16 +111,10 @@ SETS = (
 )
 
 
-def _window_alert_rows(window_rows: DataFrame) -> DataFrame:
-    """One row per source from the rows of its trigger window.
-
-    The first aggregation combines equal (destination, port) pairs on the map side, so a window with very many
-    rows reaches its source as one row per pair.
-    """
+def _window_alert_rows(window_rows: DataFrame, value: str | None = None) -> DataFrame:
+    """One row per source from the rows of its trigger window."""
+    pairs = combined_rows(window_rows, ["dst_ip", "dst_port"], value)
     per_source = ["src_ip", "trigger_us", "threshold", "threshold_source", "asset_baseline_value"]
-    pairs = window_rows.groupBy(*per_source, "dst_ip", "dst_port").agg(
-        F.expr("count(1) AS n"), F.expr("min(us) AS first_us"), F.expr("max(us) AS last_us")
-    )
     found = pairs.groupBy(*per_source).agg(
         *map(F.expr, ("sum(n) AS event_count", "min(first_us) AS first_us", "max(last_us) AS last_us", *SETS))
     )
@@ -132,7 +126,8 @@ def _window_alert_rows(window_rows: DataFrame) -> DataFrame:
 
 
 def _timed(logs: DataFrame, window_us: int) -> DataFrame:
-    return with_time(logs.select("timestamp", "src_ip", "dst_ip", "dst_port", "row_id"), window_us).drop("timestamp")
+    known = logs.filter("src_ip IS NOT NULL AND timestamp IS NOT NULL")
+    return with_time(known.select("timestamp", "src_ip", "dst_ip", "dst_port", "row_id"), window_us).drop("timestamp")
 
 
 def detect_blocked_burst(
@@ -160,7 +155,7 @@ def _scan_rows(logs: DataFrame, value: str, minutes: int, rule: ThresholdRule, s
     rows = _timed(logs, window_us)
     hits = settle(first_distinct_window(rows, value, window_us, rule))
     window_rows = rows_of_windows(rows, hits, window_us, closed_left=True)
-    return _window_alert_rows(upto_trigger_row(window_rows, value))
+    return _window_alert_rows(window_rows, value)
 
 
 def detect_port_scan(

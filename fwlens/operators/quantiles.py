@@ -23,7 +23,8 @@ def quantiles(hist: DataFrame, keys: list[str], probabilities: list[float]) -> D
     that hold the wanted ranks, and only the values of those buckets are ranked one by one.
     """
     by_key = ", ".join(keys)
-    spread = hist.selectExpr(*keys, "value", "n", _BUCKET)
+    # the join below would ask for known buckets in its own branch only; asked for here, both branches share a shuffle
+    spread = hist.selectExpr(*keys, "value", "n", _BUCKET).filter("bucket IS NOT NULL")
     running = (
         spread.groupBy(*keys, "bucket")
         .agg(F.expr("sum(n) AS held"))

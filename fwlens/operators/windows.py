@@ -18,10 +18,13 @@ def slot_text(us: str, window_us: int) -> str:
 
 
 def with_time(df: DataFrame, window_us: int, ts: str = "timestamp") -> DataFrame:
-    """Adds ``us`` (epoch microseconds) and ``slot`` (index of the window-wide interval)."""
-    return df.selectExpr("*", f"unix_micros(cast({ts} AS timestamp)) AS us").selectExpr(
-        "*", f"{slot_text('us', window_us)} AS slot"
-    )
+    """Adds ``us`` (epoch microseconds) and ``slot`` (index of the window-wide interval).
+
+    The filter is what a later join on the slot would add to its own branch only; stated for all branches, they
+    stay equal and share one shuffle.
+    """
+    timed = df.selectExpr("*", f"unix_micros(cast({ts} AS timestamp)) AS us")
+    return timed.selectExpr("*", f"{slot_text('us', window_us)} AS slot").filter("slot IS NOT NULL")
 
 
 def _candidate_slots(per_slot: DataFrame) -> DataFrame:
@@ -80,8 +83,9 @@ def first_distinct_window(rows: DataFrame, value: str, window_us: int, rule) ->
     seen = rows.groupBy("src_ip", "slot", F.col(value).alias("value")).agg(
         F.expr("min(us) AS first_us"), F.expr("max(us) AS last_us")
     )
-    per_slot = rule.attach(seen.groupBy("src_ip", "slot").agg(F.expr("count(1) AS n")))
-    candidates = _candidate_slots(per_slot)
+    # the count asks for both times, so that one shuffle of ``seen`` serves it and the join below
+    counted = seen.groupBy("src_ip", "slot").agg(F.expr("count_if(first_us <= last_us) AS n"))
+    candidates = _candidate_slots(rule.attach(counted))
     passed = _passed(candidates)
 
     # A candidate's own slot is decided by its first ``threshold`` values at the latest, so the rest is not needed.
@@ -124,22 +128,34 @@ def rows_of_windows(rows: DataFrame, hits: DataFrame, window_us: int, closed_lef
     return rows.join(windows, ["src_ip", "slot"]).filter(f"us {after} trigger_us - {window_us}L AND us <= trigger_us")
 
 
-def upto_trigger_row(window_rows: DataFrame, value: str) -> DataFrame:
-    """Among rows that share the trigger time, keep those up to the row that brought the decisive value.
+def combined_rows(window_rows: DataFrame, columns: list[str], value: str | None = None) -> DataFrame:
+    """Window rows combined per source and ``columns``: n, first_us, last_us.
 
-    The decisive row is the first appearance of the threshold-th distinct value in (time, row_id) order.
+    With ``value``, rows that share the trigger time count only up to the row that brought the decisive value: the
+    first appearance of the threshold-th distinct value in (time, row_id) order. Only such tied rows stay single;
+    all others combine on the map side, so a window with very many rows reaches its source as one row per pair.
     """
-    decisive = (
-        window_rows.groupBy("src_ip", "threshold", F.col(value).alias("value"))
-        .agg(F.expr("min(us) AS first_us"), F.expr("min(CASE WHEN us = trigger_us THEN row_id END) AS last_row"))
-        .selectExpr("*", "row_number() OVER (PARTITION BY src_ip ORDER BY first_us, last_row) AS place")
-        .filter("place = threshold")
-        .select("src_ip", "last_row")
+    per_source = [c for c in window_rows.columns if c not in (*columns, "us", "slot", "row_id")]
+    tied = "CASE WHEN us = trigger_us THEN row_id END" if value else "cast(NULL AS bigint)"
+    combined = (
+        window_rows.selectExpr(*per_source, *columns, "us", f"{tied} AS tied_row")
+        .groupBy(*per_source, *columns, "tied_row")
+        .agg(F.expr("count(1) AS n"), F.expr("min(us) AS first_us"), F.expr("max(us) AS last_us"))
     )
+    if value is None:
+        return combined.drop("tied_row")
+    of_value = f"OVER (PARTITION BY src_ip, {value})"
     return (
-        window_rows.join(decisive, "src_ip", "left")
-        .filter("us < trigger_us OR last_row IS NULL OR row_id <= last_row")
-        .drop("last_row")
+        combined.repartition("src_ip")
+        .selectExpr("*", f"min(first_us) {of_value} AS value_us", f"min(tied_row) {of_value} AS value_row")
+        .selectExpr(
+            "*",
+            "dense_rank() OVER (PARTITION BY src_ip ORDER BY value_us,"
+            f" CASE WHEN value_us = trigger_us THEN value_row END, {value}) AS place",
+        )
+        .selectExpr("*", "max(CASE WHEN place = threshold THEN value_row END) OVER (PARTITION BY src_ip) AS last_row")
+        .filter("tied_row IS NULL OR last_row IS NULL OR tied_row <= last_row")
+        .drop("tied_row", "value_us", "value_row", "place", "last_row")
     )
 
 

@@ -11,7 +11,7 @@ from fwlens.config import Config
 from fwlens.functions.columns import micros
 from fwlens.operators.baseline import ThresholdRule
 from fwlens.operators.windows import (
-    first_count_window, first_distinct_window, numbered, rows_of_windows, upto_trigger_row, with_time,
+    combined_rows, first_count_window, first_distinct_window, numbered, rows_of_windows, with_time,
 )
 from tests.conftest import START
 
@@ -73,12 +73,13 @@ def test_distinct_window(spark, threshold, width, span, values):
     data = frame(spark, rows, width * SECOND)
     rule = ThresholdRule("unique_ports", threshold, Config())
     hits = first_distinct_window(data, "value", width * SECOND, rule)
-    kept = upto_trigger_row(rows_of_windows(data, hits, width * SECOND, closed_left=True), "value")
+    inside = rows_of_windows(data, hits, width * SECOND, closed_left=True).drop("timestamp")
+    kept = combined_rows(inside, ["value"], "value")
     origin = spark.range(1).select(micros(F.lit(START)).alias("u")).first().u
     found = {
         r.src_ip: ((r.t - origin) // SECOND, r.n, r.d)
         for r in kept.groupBy("src_ip").agg(
-            F.max("trigger_us").alias("t"), F.count("*").alias("n"), F.countDistinct("value").alias("d")
+            F.max("trigger_us").alias("t"), F.sum("n").alias("n"), F.countDistinct("value").alias("d")
         ).collect()
     }
     expected = {}
