@@ -7,14 +7,18 @@ detectors run with windows of half a day.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Callable
 from dataclasses import replace
 from datetime import date
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+sys.path.insert(0, str(Path(__file__).resolve().parent))
+
 import oracles
-from fwlens.config import Baselining, BlockedBurst, Config, Correlation, HostScan, PortScan, AnomalyModel
+from fwlens.config import AnomalyModel, Baselining, BlockedBurst, Config, Correlation, HostScan, PortScan
 from fwlens.functions import net
 from fwlens.functions.columns import normal_action, service_name
 from fwlens.functions.scoring import severity_of, severity_rank

@@ -108,10 +108,6 @@ def micros(c: Column) -> Column:
     return F.unix_micros(c.cast("timestamp"))
 
 
-def from_micros(c: Column) -> Column:
-    return F.timestamp_micros(c).cast("timestamp_ntz")
-
-
 def slot(us: Column, width_us: int) -> Column:
     """Index of the epoch-aligned interval of the given width that holds ``us``."""
     width = F.lit(width_us).cast("bigint")
