@@ -273,6 +273,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "anomaly_explanations": lambda s, d: explain.explain_anomalies(_features(s, d)).select(
             "src_ip", "window_start", "ai_explanation"
         ),
+        "robust_scaling": lambda s, d: _rounded(
+            iforest.robust_scale(_features(s, d)).select("src_ip", "window_start", *features.MODEL_FEATURES), 5
+        ),
         "isolation_forest": lambda s, d: iforest.ranked(_anomalies(s, d)),
         "anomaly_view": lambda s, d: iforest.anomaly_view(_anomalies(s, d)),
         "anomaly_chart": lambda s, d: iforest.anomaly_chart(_anomalies(s, d)),
@@ -298,6 +301,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "report_cleaning_table": lambda s, d: report_tables.cleaning_table(_cleaned(s, d).summary).select("item", "value"),
         "report_top_incidents": lambda s, d: report_tables.top_incidents(_incident_rows(_incidents(s, d))),
         "report_first_alerts": lambda s, d: report_tables.first_alerts(_alerts(s, d)),
+        "report_sources": _with_alerts(lambda logs, a, i: report_tables.report_sources(_rounded(traffic.top_source_ips(logs, a, i)))),
+        "report_ports": lambda s, d: report_tables.report_ports(_rounded(traffic.top_destination_ports(fw_logs(s, d)))),
+        "report_destinations": lambda s, d: report_tables.report_destinations(
+            _rounded(traffic.top_destination_ips(fw_logs(s, d)))
+        ),
         "incident_cards": lambda s, d: report_tables.incident_cards(_incidents(s, d)),
     }
 

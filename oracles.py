@@ -322,6 +322,11 @@ EXPLAINED = (
     ("blocked_ratio", "Blocked-connection ratio"),
     ("bytes_received_total", "Incoming data volume"),
 )
+SCALED = (
+    "connection_count", "blocked_count", "blocked_ratio", "unique_dst_ips", "unique_dst_ports", "bytes_sent_total",
+    "bytes_received_total", "average_bytes_sent", "average_bytes_received", "tcp_ratio", "udp_ratio", "activity_hour",
+    "off_hours_indicator",
+)
 MEDIANS = "medians AS (SELECT " + ", ".join(f"median({c}) AS m_{c}" for c, _ in EXPLAINED) + " FROM features)"
 REASONS = "\n  UNION ALL ".join(
     [
@@ -529,6 +534,10 @@ card AS (
         "anomaly_explanations": over(LOGS, FEATURES, MEDIANS, EXPLANATIONS, select=f"""
   SELECT src_ip, window_start, coalesce(text, '{FALLBACK}') AS ai_explanation
   FROM features LEFT JOIN texts USING (src_ip, window_start)"""),
+        "robust_scaling": over(LOGS, FEATURES, select="SELECT src_ip, window_start, " + ", ".join(
+            f"round((x.{c} - q_{c}[2]) / coalesce(nullif(q_{c}[3] - q_{c}[1], 0), 1), 5) AS {c}" for c in SCALED)
+            + " FROM features x CROSS JOIN (SELECT "
+            + ", ".join(f"quantile_cont(CAST({c} AS DOUBLE), [0.25, 0.5, 0.75]) AS q_{c}" for c in SCALED) + " FROM features)"),
         "kpi_summary": over(*full, select="""
   SELECT count(*) AS events, count(*) FILTER (WHERE action = 'ALLOW') AS allowed, count(*) FILTER (WHERE action = 'BLOCK') AS blocked,
     (SELECT count(*) FROM alerts) AS alerts, (SELECT count(*) FROM incidents) AS incidents,
@@ -576,6 +585,18 @@ card AS (
         "report_first_alerts": over(*found, select="""
   SELECT timestamp, src_ip, alert_type, severity, event_count, CAST(score_contribution AS INTEGER) AS score_contribution
   FROM alerts ORDER BY timestamp, alert_id LIMIT 10"""),
+        "report_sources": over(*found, select=f"""
+  SELECT t.*, coalesce(a.n, 0) AS alert_count FROM (
+    SELECT src_ip, {COUNTS}, count(DISTINCT dst_ip) AS unique_dst_ips, count(DISTINCT dst_port) AS unique_dst_ports
+    FROM fw GROUP BY src_ip) t
+  LEFT JOIN (SELECT src_ip, count(*) AS n FROM alerts GROUP BY 1) a USING (src_ip)
+  ORDER BY total_events DESC, src_ip LIMIT 10"""),
+        "report_ports": over(LOGS, select=f"""
+  SELECT dst_port, {SERVICE} AS service_name, {COUNTS}, count(DISTINCT src_ip) AS unique_source_ips FROM fw
+  GROUP BY dst_port ORDER BY total_events DESC, dst_port LIMIT 10"""),
+        "report_destinations": over(LOGS, select=f"""
+  SELECT dst_ip, {COUNTS}, count(DISTINCT src_ip) AS unique_source_ips FROM fw GROUP BY dst_ip
+  ORDER BY total_events DESC, dst_ip LIMIT 10"""),
         "incident_cards": over(*full, cards, select="""
   SELECT CAST(incident_rank AS INTEGER) AS incident_rank, CAST(unnest(generate_series(0, len(lines) - 1)) AS INTEGER) AS line_no,
     unnest(lines) AS line FROM card"""),

@@ -110,3 +110,9 @@ def test_config_falls_back_to_safe_values(tmp_path):
 def test_empty_export_keeps_its_header(spark, tmp_path):
     path = sinks.export_csv(spark.createDataFrame([], "a int, b array<string>"), str(tmp_path / "x.csv"))
     assert spark.read.option("header", True).csv(path).columns == ["a", "b"]
+
+
+def test_parquet_export_keeps_types_and_partitions(spark, tmp_path):
+    df = spark.createDataFrame([(1, ["a"]), (2, [])], "day int, items array<string>")
+    path = sinks.export_parquet(df, str(tmp_path / "t.parquet"), ("day",))
+    assert load_logs(spark, path).filter("day = 1").first()["items"] == ["a"]
