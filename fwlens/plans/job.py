@@ -5,7 +5,7 @@ from __future__ import annotations
 import argparse
 
 from fwlens.config import Config, load_config
-from fwlens.plans.pipeline import run_job
+from fwlens.plans.analysis import run_job
 from fwlens.session import build_session
 
 

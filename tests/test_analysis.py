@@ -4,7 +4,7 @@ from datetime import timedelta
 
 from fwlens.config import AnomalyModel, Config
 from fwlens.plans.job import parse_args
-from fwlens.plans.pipeline import run_job
+from fwlens.plans.analysis import run_job
 from tests.conftest import START
 
 
