@@ -11,6 +11,7 @@ import sys
 from collections.abc import Callable
 from dataclasses import replace
 from datetime import date
+from importlib import import_module
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -26,6 +27,19 @@ from fwlens.operators import baseline, clean, correlate, detect, explain, featur
 from fwlens.operators import report_tables, traffic
 from fwlens.sources.schema_map import map_log_schema
 
+def _optional(name: str):
+    """A module of the training-data part, or nothing where that part is not installed."""
+    try:
+        return import_module(name)
+    except ModuleNotFoundError as error:
+        if error.name not in {"fwlens.llm", "corpus_pipeline"}:
+            raise
+        return None
+
+
+LLM = _optional("fwlens.llm.queries")
+PIPELINE = _optional("corpus_pipeline")
+
 CONFIG = Config(
     brute_force=BlockedBurst(blocked_attempts=6, window_minutes=720),
     port_scan=PortScan(unique_ports=12, window_minutes=720),
@@ -227,7 +241,10 @@ def entry(spark: SparkSession) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {
+    more = dict(LLM.QUERIES) if LLM else {}
+    if PIPELINE:
+        more["pipeline"] = PIPELINE.run
+    return more | {
         "schema_mapping": _schema_mapping,
         "clean_logs": lambda s, d: _cleaned(s, d).logs.select(
             "row_id", "timestamp", "src_ip", "dst_ip", "src_port", "dst_port", "protocol", "action", "bytes_sent",
@@ -311,4 +328,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return oracles.statements()
+    more = dict(LLM.ORACLES) if LLM else {}
+    if PIPELINE and PIPELINE.ORACLE_SQL:
+        more["pipeline"] = PIPELINE.ORACLE_SQL
+    return more | oracles.statements()
