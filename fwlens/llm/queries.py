@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from fwlens.llm import quality_rules, sharding
+from fwlens.llm import minhash, packing, quality_rules, sharding
 from fwlens.llm.sql import ORACLES  # noqa: F401
 
 
@@ -18,4 +18,24 @@ def op10_feistel_shards(spark, sf_dir):
     return sharding.shard_documents(_table(spark, sf_dir, "documents"), shards=8)
 
 
-QUERIES = {"op2_quality_rules": op2_quality_rules, "op10_feistel_shards": op10_feistel_shards}
+def tokenizer_path(name: str) -> str:
+    """Place of a public tokenizer file, which is the same on every machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op5_bin_completion(spark, sf_dir):
+    return packing.pack_documents(_table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
+
+
+def op9_minhash(spark, sf_dir):
+    return minhash.near_duplicates(_table(spark, sf_dir, "documents"), length=4, percent=80)
+
+
+QUERIES = {
+    "op2_quality_rules": op2_quality_rules,
+    "op5_bin_completion": op5_bin_completion,
+    "op9_minhash": op9_minhash,
+    "op10_feistel_shards": op10_feistel_shards,
+}
