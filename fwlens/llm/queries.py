@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from fwlens.llm import minhash, packing, quality_rules, sharding
+from fwlens.llm import embeddings, minhash, packing, quality_rules, sharding
 from fwlens.llm.sql import ORACLES  # noqa: F401
 
 
@@ -10,6 +10,10 @@ def _table(spark, sf_dir, name):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_pca_tiles(spark, sf_dir):
+    return embeddings.near_vectors(_table(spark, sf_dir, "embeddings"), threshold=0.9)
+
+
 def op2_quality_rules(spark, sf_dir):
     return quality_rules.quality_table(_table(spark, sf_dir, "documents"))
 
@@ -34,6 +38,7 @@ def op9_minhash(spark, sf_dir):
 
 
 QUERIES = {
+    "op1_pca_tiles": op1_pca_tiles,
     "op2_quality_rules": op2_quality_rules,
     "op5_bin_completion": op5_bin_completion,
     "op9_minhash": op9_minhash,
