@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from fwlens.llm import embeddings, minhash, packing, quality_rules, sharding
+from fwlens.llm import embeddings, minhash, packing, quality_rules, sharding, substrings
 from fwlens.llm.sql import ORACLES  # noqa: F401
 
 
@@ -33,6 +33,10 @@ def op5_bin_completion(spark, sf_dir):
     return packing.pack_documents(_table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
+def op6_prefix_trees(spark, sf_dir):
+    return substrings.repeat_digests(_table(spark, sf_dir, "documents"), window=20)
+
+
 def op9_minhash(spark, sf_dir):
     return minhash.near_duplicates(_table(spark, sf_dir, "documents"), length=4, percent=80)
 
@@ -41,6 +45,7 @@ QUERIES = {
     "op1_pca_tiles": op1_pca_tiles,
     "op2_quality_rules": op2_quality_rules,
     "op5_bin_completion": op5_bin_completion,
+    "op6_prefix_trees": op6_prefix_trees,
     "op9_minhash": op9_minhash,
     "op10_feistel_shards": op10_feistel_shards,
 }
