@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from fwlens.llm import embeddings, minhash, packing, quality_rules, sharding, substrings
+from fwlens.llm import embeddings, minhash, packing, quality_rules, quality_trees, sharding, substrings
 from fwlens.llm.sql import ORACLES  # noqa: F401
 
 
@@ -33,6 +33,11 @@ def op5_bin_completion(spark, sf_dir):
     return packing.pack_documents(_table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
+def op3_quality_trees(spark, sf_dir):
+    documents = _table(spark, sf_dir, "documents")
+    return quality_trees.score_documents(documents, quality_trees.train(documents, _table(spark, sf_dir, "labels")))
+
+
 def op6_prefix_trees(spark, sf_dir):
     return substrings.repeat_digests(_table(spark, sf_dir, "documents"), window=20)
 
@@ -44,6 +49,7 @@ def op9_minhash(spark, sf_dir):
 QUERIES = {
     "op1_pca_tiles": op1_pca_tiles,
     "op2_quality_rules": op2_quality_rules,
+    "op3_quality_trees": op3_quality_trees,
     "op5_bin_completion": op5_bin_completion,
     "op6_prefix_trees": op6_prefix_trees,
     "op9_minhash": op9_minhash,
