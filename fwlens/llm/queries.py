@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from fwlens.llm import embeddings, minhash, packing, quality_rules, quality_trees, sharding, substrings
+from fwlens.llm import embeddings, minhash, packing, quality_rules, quality_trees, sharding, substrings, token_counts
 from fwlens.llm.sql import ORACLES  # noqa: F401
 
 
@@ -29,6 +29,10 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op4_viterbi_counts(spark, sf_dir):
+    return token_counts.count_tokens(_table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
+
+
 def op5_bin_completion(spark, sf_dir):
     return packing.pack_documents(_table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
@@ -50,6 +54,7 @@ QUERIES = {
     "op1_pca_tiles": op1_pca_tiles,
     "op2_quality_rules": op2_quality_rules,
     "op3_quality_trees": op3_quality_trees,
+    "op4_viterbi_counts": op4_viterbi_counts,
     "op5_bin_completion": op5_bin_completion,
     "op6_prefix_trees": op6_prefix_trees,
     "op9_minhash": op9_minhash,
