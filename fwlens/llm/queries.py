@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from fwlens.llm import embeddings, minhash, packing, quality_rules, quality_trees, sharding, substrings, token_counts
+from fwlens.llm import context_trees, embeddings, minhash, packing, quality_rules, quality_trees, sharding, substrings, token_counts
 from fwlens.llm.sql import ORACLES  # noqa: F401
 
 
@@ -46,6 +46,10 @@ def op6_prefix_trees(spark, sf_dir):
     return substrings.repeat_digests(_table(spark, sf_dir, "documents"), window=20)
 
 
+def op7_context_trees(spark, sf_dir):
+    return context_trees.score_documents(_table(spark, sf_dir, "documents"))
+
+
 def op9_minhash(spark, sf_dir):
     return minhash.near_duplicates(_table(spark, sf_dir, "documents"), length=4, percent=80)
 
@@ -57,6 +61,7 @@ QUERIES = {
     "op4_viterbi_counts": op4_viterbi_counts,
     "op5_bin_completion": op5_bin_completion,
     "op6_prefix_trees": op6_prefix_trees,
+    "op7_context_trees": op7_context_trees,
     "op9_minhash": op9_minhash,
     "op10_feistel_shards": op10_feistel_shards,
 }
