@@ -33,7 +33,7 @@ from fwlens.llm.storage import stored
 cloudpickle.register_pickle_by_value(_words)
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-DEPTH, TOP = 5, 3
+DEPTH, TOP = 6, 3
 CHUNK_BYTES = 24_000_000
 RANGE_WORDS = 200_000
 #: Pairs weighed together inside a task.
@@ -104,7 +104,8 @@ def weigh(key: np.ndarray, count: np.ndarray, depth: int, low: int, children=Non
     a, b = np.zeros((len(key), 8)), np.ones((len(key), 8))
     for d in range(depth, low - 1, -1):
         rows = np.flatnonzero(length >= d)
-        short = ((key[rows] >> (8 * (depth - d + 1))) << 8) | (key[rows] & 255)
+        context = (key[rows] >> (8 * (depth - d + 1))) & ((1 << (8 * d)) - 1)
+        short = (context << 8) | (key[rows] & 255)
         unique, inverse = np.unique(short, return_inverse=True)
         n = np.bincount(inverse, count[rows], len(unique))
         closed = (((unique >> 8) & 255) == _BLANK) if d else np.zeros(len(unique), dtype=bool)
@@ -208,6 +209,11 @@ def _subtrees(batches):
         yield pd.concat(held)
 
 
+def _two_bytes(pair: np.ndarray) -> np.ndarray:
+    """A key cut to its two latest context bytes."""
+    return (((pair >> (8 * (DEPTH - TOP + 2))) & 0xFFFF) << 8) | (pair & 255)
+
+
 def _weighed(frame: pd.DataFrame):
     pair, inverse = np.unique(frame["pair"].to_numpy(), return_inverse=True)
     n = np.bincount(inverse, frame["n"].to_numpy(), len(pair))
@@ -219,7 +225,7 @@ def _upward(batches):
     """What depths 0 to 2 need: log probabilities of depth-3 nodes, and counts, added up per context of two bytes."""
     for frame in _subtrees(batches):
         pair, _, n, _, _, nodes = _weighed(frame)
-        code = ((pair >> (8 * (DEPTH - TOP + 2))) << 8) | (pair & 255)
+        code = _two_bytes(pair)
         unique, inverse = np.unique(code, return_inverse=True)
         yield pd.DataFrame({"level": -1, "code": unique, "value": np.bincount(inverse, n, len(unique))})
         for level, (node, value) in enumerate(nodes):
@@ -251,7 +257,7 @@ def _answers(top):
         for frame in _subtrees(batches):
             pair, inverse, _, a, b, _ = _weighed(frame)
             # keys without three context bytes end above; their a is not used since the upper b is zero
-            place = np.searchsorted(top_key, ((pair >> (8 * (DEPTH - TOP + 2))) << 8) | (pair & 255))
+            place = np.searchsorted(top_key, _two_bytes(pair))
             chance = top_a[place] + top_b[place] * a
             log = np.log10(chance).sum(axis=1)
             yield pd.DataFrame({"part": frame["part"].to_numpy(), "pair": pair[inverse], "log": log[inverse]})
