@@ -34,7 +34,7 @@ from fwlens.llm import words as _words
 cloudpickle.register_pickle_by_value(_words)
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-WINDOW, GRAM = 20, 8
+WINDOW, GRAM = 20, 5
 #: Suffixes resolved together inside a task before rows are sent; bounds the task's memory.
 LOCAL_SUFFIXES = 1_000_000
 _NULL_ID = -(1 << 63)
