@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from fwlens.llm import context_trees, embeddings, minhash, packing, quality_rules, quality_trees, sharding, substrings, token_counts
+from fwlens.llm import context_trees, embeddings, minhash, mixing, packing, quality_rules, quality_trees, sharding, substrings, token_counts
 from fwlens.llm.sql import ORACLES  # noqa: F401
 
 
@@ -50,6 +50,10 @@ def op7_context_trees(spark, sf_dir):
     return context_trees.score_documents(_table(spark, sf_dir, "documents"))
 
 
+def op8_budget_tree(spark, sf_dir):
+    return mixing.draw(_table(spark, sf_dir, "documents"), mixing.PLAN)
+
+
 def op9_minhash(spark, sf_dir):
     return minhash.near_duplicates(_table(spark, sf_dir, "documents"), length=4, percent=80)
 
@@ -62,6 +66,7 @@ QUERIES = {
     "op5_bin_completion": op5_bin_completion,
     "op6_prefix_trees": op6_prefix_trees,
     "op7_context_trees": op7_context_trees,
+    "op8_budget_tree": op8_budget_tree,
     "op9_minhash": op9_minhash,
     "op10_feistel_shards": op10_feistel_shards,
 }
