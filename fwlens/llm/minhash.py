@@ -2,7 +2,9 @@
 
 Texts of equal word sequences are one class. Each class has 128 minima over its shingles; 32 bands of four whole minima
 give candidates, and the low four bits of each minimum, packed into eight longs, estimate similarity by bit counts,
-corrected for the one in sixteen chance that low bits agree. Pairs that pass are confirmed on their full shingle sets.
+corrected for the one in sixteen chance that low bits agree. A bitmap of parities (each shingle flips one of 1024 bits)
+adds a proof: two bitmaps differ in no more bits than the sets have unshared shingles, so a pair whose bitmaps differ in
+too many cannot be linked. Pairs that pass both are confirmed on their full shingle sets.
 
 A band bucket is first linked to its smallest class only, so a bucket of any size costs as many pairs as it has rows.
 After components of the confirmed links are known, a second round takes the pairs of a bucket whose components still
@@ -33,6 +35,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 BANDS, ROWS, BITS = 32, 4, 4
 MINIMA = BANDS * ROWS
 LEAST_ESTIMATE = 0.55
+PARITY_BITS = 1024
 _PACKED = MINIMA * BITS // 64
 _random = np.random.default_rng(90210)
 _FACTOR = _random.integers(1, 2**63, MINIMA, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -47,8 +50,8 @@ def shingle_set(text: str | None, length: int) -> set:
     return set(zip(*[words[i:] for i in range(length)]))
 
 
-def _signature(hashes: np.ndarray, length: int) -> tuple[list[int], list[int]]:
-    """Band keys over whole minima, and the packed low bits."""
+def _signature(hashes: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Band keys over whole minima, the packed low bits, and the parity bitmap."""
     grams = _words.gram_hashes(hashes, length) if len(hashes) > length else _words.gram_hashes(hashes, len(hashes), 1)
     grams = np.unique(grams)
     least = np.full(MINIMA, np.iinfo(np.uint64).max, dtype=np.uint64)
@@ -63,7 +66,8 @@ def _signature(hashes: np.ndarray, length: int) -> tuple[list[int], list[int]]:
             keys = _words.mixed(keys * np.uint64(0x9E3779B97F4A7C15) + groups[:, column])
     low = (scrambled & np.uint64((1 << BITS) - 1)).reshape(_PACKED, 64 // BITS)
     packed = np.bitwise_or.reduce(low << (np.arange(64 // BITS, dtype=np.uint64) * np.uint64(BITS)), axis=1)
-    return keys.view(np.int64), packed.view(np.int64)
+    parity = np.bincount((grams >> np.uint64(20)) % np.uint64(PARITY_BITS), minlength=PARITY_BITS) % 2
+    return keys.view(np.int64), packed.view(np.int64), np.packbits(parity.astype(np.uint8)).view(np.int64)
 
 
 def _fingerprints(length: int):
@@ -74,11 +78,11 @@ def _fingerprints(length: int):
                 data = _words.encoded(text, lower=True)
                 hashes = _words.word_hashes(data)
                 if not len(hashes):
-                    rows.append((doc_id, 0, None, None, None))
+                    rows.append((doc_id, 0, None, None, None, None))
                     continue
-                keys, packed = _signature(hashes, length)
-                rows.append((doc_id, len(shingle_set(text, length)), _sequence_hash(hashes).to_bytes(16, "big"), keys, packed))
-            frame = pd.DataFrame(rows, columns=["doc_id", "n_shingles", "class_key", "keys", "packed"])
+                signature = _signature(hashes, length)
+                rows.append((doc_id, len(shingle_set(text, length)), _sequence_hash(hashes).to_bytes(16, "big"), *signature))
+            frame = pd.DataFrame(rows, columns=["doc_id", "n_shingles", "class_key", "keys", "packed", "parity"])
             frame["doc_id"] = frame["doc_id"].astype("Int64")
             yield frame
 
@@ -108,6 +112,15 @@ def estimated_similarity(left: Column, right: Column) -> Column:
     return (equal - chance) / (1 - chance)
 
 
+def may_link(left: Column, right: Column, percent: int) -> Column:
+    """Whether two classes, as structs of packed, parity and n_shingles, can be similar enough."""
+    words = range(PARITY_BITS // 64)
+    unshared = sum((F.bit_count(left["parity"][i].bitwiseXOR(right["parity"][i])) for i in words), F.lit(0))
+    # similarity p/100 means that unshared * (100 + p) = (sum of sizes) * (100 - p)
+    possible = unshared * (100 + percent) <= (left["n_shingles"] + right["n_shingles"]) * (100 - percent)
+    return possible & (estimated_similarity(left["packed"], right["packed"]) >= LEAST_ESTIMATE)
+
+
 def _confirmed(percent: int, length: int):
     def run(batches):
         for batch in batches:
@@ -135,26 +148,26 @@ def _links(pairs: DataFrame, texts: DataFrame, percent: int, length: int) -> Dat
 def near_duplicates(documents: DataFrame, length: int = 4, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept, class_id (smallest id of the same word sequence)."""
     rows = documents.select("doc_id", "text")
-    schema = "doc_id bigint, n_shingles bigint, class_key binary, keys array<bigint>, packed array<bigint>"
+    schema = "doc_id bigint, n_shingles bigint, class_key binary, keys array<bigint>, packed array<bigint>, parity array<bigint>"
     prints = checkpointed(rows.mapInPandas(_fingerprints(length), schema))
     filled = prints.where(F.col("class_key").isNotNull() & F.col("doc_id").isNotNull())
     classes = filled.groupBy("class_key").agg(F.min("doc_id").alias("class_id"))
     members = checkpointed(filled.join(classes, "class_key").select("doc_id", "class_id"))
     heads = members.where("doc_id = class_id").select("doc_id").distinct()
-    signatures = filled.select("doc_id", "keys", "packed").join(heads, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    print_ = F.struct("packed", "parity", "n_shingles").alias("print")
+    signatures = filled.select("doc_id", "keys", print_).join(heads, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     exploded = signatures.select("doc_id", F.explode("keys").alias("bucket"))
     sizes = exploded.groupBy("bucket").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most")
     buckets = checkpointed(exploded.join(sizes.select("bucket", "least"), "bucket"))
 
-    bits = signatures.select("doc_id", "packed").join(buckets.select("doc_id").distinct(), "doc_id", "left_semi")
+    bits = signatures.select("doc_id", "print").join(buckets.select("doc_id").distinct(), "doc_id", "left_semi")
     bits = checkpointed(bits)
     texts = rows.join(bits.select("doc_id"), "doc_id", "left_semi")
 
     def likely(pairs: DataFrame) -> DataFrame:
-        near = estimated_similarity(F.col("packed_a"), F.col("packed_b")) >= LEAST_ESTIMATE
-        joined = pairs.join(bits.select(F.col("doc_id").alias("a"), F.col("packed").alias("packed_a")), "a")
-        joined = joined.join(bits.select(F.col("doc_id").alias("b"), F.col("packed").alias("packed_b")), "b")
-        return joined.where(near).select("a", "b")
+        joined = pairs.join(bits.select(F.col("doc_id").alias("a"), F.col("print").alias("print_a")), "a")
+        joined = joined.join(bits.select(F.col("doc_id").alias("b"), F.col("print").alias("print_b")), "b")
+        return joined.where(may_link(F.col("print_a"), F.col("print_b"), percent)).select("a", "b")
 
     star = buckets.where("doc_id > least").select(F.col("least").alias("a"), F.col("doc_id").alias("b")).distinct()
     first = _links(likely(star), texts, percent, length)
@@ -171,10 +184,10 @@ def near_duplicates(documents: DataFrame, length: int = 4, percent: int = 80) ->
         labelled.join(main.where("parts > 1").select("bucket", F.col("top.component").alias("top")), "bucket")
         .join(bits, "doc_id")
     )
-    side = lambda name: [F.col("doc_id").alias(name), F.col("component").alias(f"component_{name}"), F.col("packed").alias(f"packed_{name}")]
+    side = lambda name: [F.col("doc_id").alias(name), F.col("component").alias(f"component_{name}"), F.col("print").alias(f"print_{name}")]
     outside = open_rows.where("component != top").select("bucket", *side("a"))
     everyone = open_rows.select("bucket", *side("b"), "top")
-    near = estimated_similarity(F.col("packed_a"), F.col("packed_b")) >= LEAST_ESTIMATE
+    near = may_link(F.col("print_a"), F.col("print_b"), percent)
     rest = (
         outside.join(everyone, "bucket")
         .where((F.col("component_a") != F.col("component_b")) & ((F.col("component_b") == F.col("top")) | (F.col("a") < F.col("b"))) & near)

@@ -53,7 +53,7 @@ def _steps(number, wide: int, high: int, keys):
 def walks_needed(n: int, seed: int = SEED) -> int:
     """Longest walk from a surplus cell back into 0..n-1; there are fewer surplus cells than the square root of n."""
     wide, high = grid(n)
-    cells, walks, keys = np.arange(n, wide * high, dtype=np.int64), 0, round_keys(seed)
+    cells, walks, keys = np.arange(n, wide * high if n else 0, dtype=np.int64), 0, round_keys(seed)
     while len(cells):
         cells = _steps(cells, wide, high, keys)
         cells = cells[cells >= n]
