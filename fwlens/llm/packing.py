@@ -11,6 +11,8 @@ empty table gives an empty result; other columns of the input are not read.
 
 from __future__ import annotations
 
+import os
+import re
 import sys
 import zlib
 from bisect import bisect_right
@@ -28,13 +30,17 @@ CAPACITY = 2048
 #: Nodes looked at for one filling, and fillings tried per bin in all searches after the first.
 FILLING_NODES = 400
 SEARCH_NODES = 20_000
-MEMO_WORDS = 150_000
+MEMO_WORDS = 300_000
+#: A mark between a letter and a blank is a piece of its own for the tokenizer's splitting rule.
+_CLOSING = re.compile(rb"(?<=[a-z])([.,])(?=[ \n])")
 
 
 class WordIds(dict):
     """Ids of a blank-free chunk as little-endian bytes; the tokenizer drops white space, so chunks are independent."""
 
     def __init__(self, path: str):
+        # tasks are the parallel units; threads inside a task only compete with them
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         super().__init__()
@@ -45,11 +51,14 @@ class WordIds(dict):
         for first in range(0, len(new), 5000):
             part = new[first : first + 5000]
             # a text with unpaired surrogates cannot reach the tokenizer; Arrow has replaced them already
-            for chunk, found in zip(part, self.tokenizer.encode_batch([c.decode("utf-8") for c in part], add_special_tokens=False)):
+            for chunk, found in zip(part, self.tokenizer.encode_batch_fast([c.decode("utf-8") for c in part], add_special_tokens=False)):
                 self[chunk] = np.asarray(found.ids, dtype="<u4").tobytes()
 
     def ids(self, text: str | None) -> bytes:
-        chunks = text.encode("utf-8").split() if text else []
+        data = text.encode("utf-8") if text else b""
+        if b"<|" not in data:  # the only strings for which the tokenizer tells cases apart begin so
+            data = _CLOSING.sub(rb" \1", data.lower())
+        chunks = data.split()
         distinct = set(chunks)
         if len(self) + len(distinct) > MEMO_WORDS:
             self.clear()
