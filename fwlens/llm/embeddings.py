@@ -123,19 +123,22 @@ def _tiled(axes: dict[int, np.ndarray], tile_rows: int):
 def survivors(left: np.ndarray, right: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
     """Index pairs of rotated unit vectors whose product may reach the threshold, leading coordinates first."""
     dim = left.shape[1]
-    stops = sorted({min(dim, s) for s in (8, 16, 32)} | {dim})
     suffix = [np.sqrt((m * m)[:, ::-1].cumsum(axis=1)[:, ::-1]) for m in (left, right)]
     rest = lambda side, stop: suffix[side][:, stop] if stop < dim else np.zeros(len(suffix[side]))
+    # the first product reaches so far that what is left can hold half of a unit length's square
+    energy = (left * left).mean(axis=0).cumsum()
+    first = min(dim, int(np.searchsorted(energy, 0.5)) + 1)
+    stops = sorted({first, min(dim, first + (dim - first) // 2), dim})
+    # with the suffix norms as one more coordinate, one matrix product gives the bounds
+    a = np.column_stack([left[:, :first], rest(0, first)])
+    b = np.column_stack([right[:, :first], rest(1, first)]).T
     found_i, found_j, found_sum = [], [], []
-    first = stops[0]
-    rest_right = rest(1, first)
     for start in range(0, len(left), 256):
-        part = left[start : start + 256, :first] @ right[:, :first].T
-        bound = part + rest(0, first)[start : start + 256, None] * rest_right
+        bound = a[start : start + 256] @ b
         i, j = np.nonzero(bound >= threshold - SLACK)
         found_i.append(i + start)
         found_j.append(j)
-        found_sum.append(part[i, j])
+        found_sum.append(bound[i, j] - a[i + start, first] * b[first, j])
     i, j, total = np.concatenate(found_i), np.concatenate(found_j), np.concatenate(found_sum)
     for begin, stop in zip(stops, stops[1:]):
         keep = []
