@@ -24,27 +24,28 @@ NULL_TOKENS = (
     "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null",
 )
 
-TIMESTAMP_FORMATS = (
-    "yyyy/MM/dd HH:mm:ss",
-    "yyyy/MM/dd HH:mm",
-    "yyyy/MM/dd",
-    "MM/dd/yyyy HH:mm:ss",
-    "MM/dd/yyyy HH:mm",
-    "MM/dd/yyyy",
-    "dd-MMM-yyyy HH:mm:ss",
-    "dd/MMM/yyyy:HH:mm:ss",
-    "dd MMM yyyy HH:mm:ss",
-    "MMM d yyyy HH:mm:ss",
-    "MMM d, yyyy HH:mm:ss",
-    "yyyyMMdd HH:mm:ss",
-    "yyyyMMddHHmmss",
-    "yyyyMMdd",
+# Shapes of a time of day after a date, taken apart by groups: hour, minute, second, fraction, half of the day, zone.
+_CLOCK = (
+    r"(?:(?:[T ,]+|:)(\d{1,2}):(\d{1,2})(?::(\d{1,2})(?:[.,](\d{1,9}))?)?\s*([aApP][mM])?"
+    r"\s*(Z|z|UTC|GMT|[+-]\d{2}(?::?\d{2})?)?)?$"
 )
+_DAY_NAME = r"^(?:(?:Mon|Tue|Wed|Thu|Fri|Sat|Sun)[a-z]*,?\s+)?"
+_MONTH_NAMES = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec")
+# Shapes of a date and the places of year, month and day among its three groups. Month first where both could be meant,
+# unless that is no date.
+_DATES = (
+    (r"^(\d{4})[-/.](\d{1,2})[-/.](\d{1,2})", (1, 2, 3)),
+    (r"^(\d{4})(\d{2})(\d{2})", (1, 2, 3)),
+    (r"^(\d{1,2})[-/.](\d{1,2})[-/.](\d{4})", (3, 1, 2)),
+    (_DAY_NAME + r"(\d{1,2})(?:st|nd|rd|th)?[- /]([A-Za-z]{3,9})[,.]?[- /](\d{4})", (3, 2, 1)),
+    (_DAY_NAME + r"([A-Za-z]{3,9})\.?\s+(\d{1,2})(?:st|nd|rd|th)?,?\s+(\d{4})", (3, 1, 2)),
+)
+#: Microseconds in one unit of a numeric epoch time.
+EPOCH_UNITS = {"s": 1_000_000.0, "ms": 1000.0, "us": 1.0, "ns": 0.001}
 
 # what trimming removes: ASCII and Unicode white space
 WHITESPACE = " \t\n\x0b\f\r\x1c\x1d\x1e\x1f\x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 _NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
-_ZONE = r"(Z|UTC|GMT|[+-][0-9]{2}:?[0-9]{2})$"
 
 
 def col_or(df: DataFrame, name: str, default, kind: str) -> Column:
@@ -71,22 +72,51 @@ def real_part(text: Column) -> Column:
     return F.when(text.rlike(_NUMBER), text.try_cast("double"))
 
 
-def to_whole(c: Column) -> Column:
-    """Text to long, truncating fractions; whole numbers never pass through a double."""
-    text = strip(c.cast("string"))
-    return F.coalesce(whole_part(text), real_part(text).try_cast("bigint"))
-
-
-def to_timestamp_ntz(c: Column, formats: tuple[str, ...] = TIMESTAMP_FORMATS) -> Column:
-    """Mixed-format text to a naive UTC timestamp; unparseable values become NULL."""
-    return timestamp_of(strip(c.cast("string")), formats)
-
-
-def timestamp_of(text: Column, formats: tuple[str, ...] = TIMESTAMP_FORMATS) -> Column:
-    zoned = F.convert_timezone(F.current_timezone(), F.lit("UTC"), text.try_cast("timestamp").cast("timestamp_ntz"))
-    iso = F.when(F.right(text, F.lit(6)).rlike(_ZONE), zoned).otherwise(text.try_cast("timestamp_ntz"))
-    others = [F.try_to_timestamp(text, F.lit(fmt)).cast("timestamp_ntz") for fmt in formats]
-    return F.when(F.substring(text, 5, 1) == "-", iso).otherwise(F.coalesce(*others))
+def _shape(text: Column, date: str, places: tuple[int, int, int]) -> Column:
+    """Fields of a text of one shape as an array of text, empty where the text has another one."""
+    groups = [F.regexp_extract(text, date + _CLOCK, i) for i in (*places, 4, 5, 6, 7, 8, 9)]
+    return F.when(text.rlike(date + _CLOCK), F.array(*groups))
+
+
+def timestamp_of(text: Column, epoch_unit: str | None = None) -> Column:
+    """Mixed-format text to a naive UTC timestamp; unparseable values become NULL.
+
+    The first shape that fits gives the fields, which make one timestamp; a text of no shape is never parsed. Compact
+    dates may run into their time of day. Zoned times become UTC. Plain numbers are epoch times if a unit is given.
+    """
+    unit = EPOCH_UNITS[epoch_unit] if epoch_unit else None
+    # yyyyMMddHHmmss and yyyyMMddTHHmm[ss] get separators first
+    spread = F.regexp_replace(text, r"^(\d{8})[T ]?(\d{2})(\d{2})(\d{2})?(?=$|[.,Z+-])", "$1T$2:$3:$4")
+    spread = F.regexp_replace(spread, r":(?=$|[.,Z+-])", "")
+    parts = F.coalesce(*[_shape(spread, date, places) for date, places in _DATES])
+
+    def made(p: Column) -> Column:
+        whole = lambda c: F.when(c != "", c).otherwise("0").cast("int")
+        word = F.lower(F.substring(p[1], 1, 3))
+        named = F.array_position(F.array(*[F.lit(m) for m in _MONTH_NAMES]), word).cast("int")
+        month, day = F.when(p[1].rlike("^[0-9]+$"), p[1].try_cast("int")).otherwise(named), p[2].try_cast("int")
+        # a first number over twelve can only be the day
+        swap = (month > 12) & (day <= 12) & spread.rlike(r"^\d{1,2}[-/.]")
+        month, day = F.when(swap, day).otherwise(month), F.when(swap, month).otherwise(day)
+        half, hour = F.lower(p[7]), whole(p[3])
+        good_hour = F.when(half == "", hour < 24).otherwise(hour.between(1, 12))
+        hour = F.when(half == "", hour).otherwise(hour % 12 + F.when(half == "pm", 12).otherwise(0))
+        date = F.try_make_timestamp(p[0].try_cast("int"), month, day, F.lit(0), F.lit(0), F.lit(0)).cast("timestamp_ntz")
+        # the fraction is cut to microseconds
+        micros_ = F.rpad(F.substring(p[6], 1, 6), 6, "0")
+        zone = F.regexp_replace(F.regexp_replace(F.upper(p[8]), "^(Z|UTC|GMT|)$", "+00"), ":", "")
+        offset = (F.substring(zone, 2, 2).cast("int") * 60 + whole(F.substring(zone, 4, 2))) * F.when(zone.startswith("-"), -1).otherwise(1)
+        seconds = (hour * 60 + whole(p[4]) - offset) * 60 + whole(p[5])
+        valid = good_hour & (whole(p[4]) < 60) & (whole(p[5]) < 60)
+        shifted = F.timestamp_micros(micros(date) + seconds.cast("bigint") * 1_000_000 + whole(micros_)).cast("timestamp_ntz")
+        return F.when(valid & date.isNotNull(), shifted)
+
+    # the fields are taken from the text once
+    parsed = F.element_at(F.transform(F.array(parts), lambda p: F.when(p.isNotNull(), made(p))), 1)
+    if unit is None:
+        return parsed
+    number = F.when(text.rlike(_NUMBER), text.try_cast("double"))
+    return F.coalesce(F.timestamp_micros(F.round(number * unit).try_cast("bigint")).cast("timestamp_ntz"), parsed)
 
 
 def non_negative(c: Column) -> Column:

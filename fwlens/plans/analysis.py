@@ -18,7 +18,7 @@ from fwlens.operators.traffic import flows, top_destination_ips, top_destination
 from fwlens.session import checkpointed, require_utc
 from fwlens.sources import sinks
 from fwlens.sources.readers import load_logs
-from fwlens.sources.schema_map import MappedLogs, map_log_schema, validate_columns, validate_dataset
+from fwlens.sources.schema_map import MappedLogs, map_log_schema, require_dataset
 
 
 @dataclass(frozen=True)
@@ -44,11 +44,11 @@ def analyze(raw: DataFrame, config: Config, work_dir: str, baselines: DataFrame
     columns it needs from there.
     """
     require_utc(raw.sparkSession)
-    validate_dataset(raw)
+    require_dataset(raw)
     mapping = map_log_schema(raw, config.aliases)
-    validate_columns(mapping.df, ("timestamp", "src_ip"))
+    require_dataset(mapping.df, ("timestamp", "src_ip"))
     cleaned = clean_logs(mapping).materialized(f"{work_dir}/flagged_logs")
-    validate_dataset(cleaned.logs)
+    require_dataset(cleaned.logs)
     run = run_all_detectors(cleaned.logs, config, mapping.mapped, baselines)
     return Analysis(mapping, cleaned, run, correlate_alerts(run.stored, config))
 

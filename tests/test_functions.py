@@ -2,6 +2,7 @@ import ipaddress
 import random
 from datetime import datetime
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -63,16 +64,49 @@ def test_number_text(spark):
     assert values(spark, numbers, "double", columns.fixed1) == [f"{n:.1f}" for n in numbers]
 
 
+def _whole(c):
+    text = columns.strip(c)
+    return F.coalesce(columns.whole_part(text), columns.real_part(text).try_cast("bigint"))
+
+
+MIXED = [
+    "7/4/2026 9:25:27", "07/04/2026 9:25", "07/04/2026 09:25:27 PM", "07/04/2026 12:05 AM", "2026/07/26 09:25:27.123",
+    "2026/07/26T09:25:27", "2026/7/4 09:25:27", "20260726T092527", "26 Jul 2026", "July 26, 2026 09:25", "2026.07.26 09:25:27",
+    "Sat, 26 Jul 2026 09:25:27 GMT", "2026-07-01 09:00:00", "2026-07-01T09:00:00.250Z", "2026-07-01T09:00:00+02:00",
+    "2026-07-01 09:00:00-0530", "2026-07-01", "20260726", "20260726092527", "26-Jul-2026 09:25:27", "Jul 4 2026 09:25:27",
+    "13/07/2026 10:00", "2026-02-30", "2026-13-01 00:00", "2026-07-01 25:00:00", "2026-07-01 09:61", "bad", "no time",
+    "2026-07-01T09:00:00.123456789", "2024-02-29 23:59:59.999999", "1/2/2026", "12:30", "July 2026 x",
+]
+
+
+def test_times_agree_with_pandas(spark):
+    got = values(spark, MIXED, "string", lambda c: columns.timestamp_of(columns.strip(c)))
+    for text, found in zip(MIXED, got):
+        want = pd.to_datetime(pd.Series([text]), errors="coerce", format="mixed", utc=True)[0]
+        if text == "12:30":  # a time without a date means today there
+            assert found is None
+            continue
+        assert (None if pd.isna(want) else want.tz_localize(None).floor("us").to_pydatetime()) == found, text
+
+
+def test_epoch_times(spark):
+    times = ["1782896400", "1782896400.25", "x", None, "2026-07-01"]
+    start = datetime(2026, 7, 1, 9)
+    got = values(spark, times, "string", lambda c: columns.timestamp_of(c, "s"))
+    assert got == [start, start.replace(microsecond=250000), None, None, datetime(2026, 7, 1)]
+    assert values(spark, ["1782896400250"], "string", lambda c: columns.timestamp_of(c, "ms")) == [start.replace(microsecond=250000)]
+
+
 def test_coercion(spark):
     texts = ["50000", " 7 ", "22.7", "1e3", "-5", "5d", "NaN", "", None, "9007199254740993", "0x10"]
-    assert values(spark, texts, "string", columns.to_whole) == [
+    assert values(spark, texts, "string", _whole) == [
         50000, 7, 22, 1000, -5, None, None, None, None, 9007199254740993, None,
     ]
     times = [
         "2026-07-01 09:00:00", "2026-07-01T09:00:00.250", "2026/07/26 09:25:27", "2026-07-01T09:00:00Z",
         "2026-07-01T09:00:00+02:00", "07/26/2026 01:02:03", "bad", None, " 2026-07-01 ",
     ]
-    assert values(spark, times, "string", columns.to_timestamp_ntz) == [
+    assert values(spark, times, "string", lambda c: columns.timestamp_of(columns.strip(c))) == [
         datetime(2026, 7, 1, 9), datetime(2026, 7, 1, 9, 0, 0, 250000), datetime(2026, 7, 26, 9, 25, 27), datetime(2026, 7, 1, 9),
         datetime(2026, 7, 1, 7), datetime(2026, 7, 26, 1, 2, 3), None, None, datetime(2026, 7, 1),
     ]

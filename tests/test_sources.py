@@ -5,7 +5,7 @@ import pytest
 from fwlens.config import Config, config_from_dict, load_config
 from fwlens.sources import sinks
 from fwlens.sources.readers import format_of, load_logs
-from fwlens.sources.schema_map import aliases_for, map_log_schema, validate_columns, validate_dataset
+from fwlens.sources.schema_map import dataset_findings, map_log_schema, require_dataset, spellings
 
 
 def test_csv_is_text_and_null_tokens_are_null(spark, tmp_path):
@@ -73,20 +73,24 @@ def test_required_fields_and_aliases(spark):
         map_log_schema(spark.createDataFrame([("x",)], ["event_time"]))
     with pytest.raises(ValueError, match="Dataset is missing"):
         map_log_schema(None)
-    assert aliases_for("action", {"action": [" policy ", "", "action"]})[:3] == ["action", "policy", "verdict"]
+    table = spellings({"action": [" Policy ", "", "action"]})
+    assert [table[name]["action"] for name in ("action", "policy", "verdict")] == [0, 1, 5] and "" not in table
+    best = map_log_schema(spark.createDataFrame([("t", "s", "v", "p")], ["time", "src", "verdict", "policy"]), {"action": ["Policy"]})
+    assert best.mapped["action"] == "policy"
     mapped = map_log_schema(spark.createDataFrame([("t", "s", "p")], ["time", "src", "policy"]), {"action": ["Policy"]})
     assert mapped.mapped["action"] == "policy"
 
 
 def test_validation(spark):
     df = spark.createDataFrame([("a", "b")], ["timestamp", "src_ip"])
-    assert validate_columns(df, ["timestamp"], count_rows=True).row_count == 1
-    with pytest.raises(ValueError, match="Missing required"):
-        validate_columns(df, ["dst_ip"])
+    assert dataset_findings(df, ["timestamp"]) == []
+    assert dataset_findings(None) == ["Dataset is missing."]
+    with pytest.raises(ValueError, match="Missing required columns: dst_ip"):
+        require_dataset(df, ["dst_ip"])
     with pytest.raises(ValueError, match="Duplicate columns"):
-        validate_columns(df.toDF("timestamp", "timestamp"), ["timestamp"])
+        require_dataset(df.toDF("timestamp", "timestamp"), ["timestamp"])
     with pytest.raises(ValueError, match="empty"):
-        validate_dataset(df.limit(0))
+        require_dataset(df.limit(0))
 
 
 def test_config_falls_back_to_safe_values(tmp_path):
