@@ -14,7 +14,6 @@ from fwlens.config import Config
 from fwlens.functions.columns import joined, micros, slot
 from fwlens.functions.scoring import incident_explanation, incident_score, recommendations, score_breakdown, severity_of
 from fwlens.operators.windows import MINUTE_US, numbered
-from fwlens.session import checkpointed
 
 # Python workers get this module's functions by value, so that executors need not have the package installed.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -184,9 +183,7 @@ def correlate_alerts(alerts: DataFrame, config: Config, block_times: int = BLOCK
         F.array_sort(distinct_sets("ports")).alias("ports"),
         F.sum("event_count").alias("event_count"),
     )
-    # numbering reads the incidents twice
-    grouped = checkpointed(grouped)
-    placed = numbered(grouped, "substring(src_ip, 1, 7)", "src_ip", "anchor", "place")
+    placed = numbered(grouped, ("src_ip", "anchor"), "place")
     types = F.col("types")
     scored = placed.withColumn("risk_score", incident_score(types, config)).withColumn("alert_types", joined(types))
     return scored.select(

@@ -313,8 +313,7 @@ def run_all_detectors(
 
 def number_alerts(alerts: DataFrame) -> DataFrame:
     """Adds ``alert_id`` by (time, detector, source, target)."""
-    order = "timestamp, detector, src_ip, dst_ip"
-    placed = numbered(alerts, "to_date(timestamp)", "date_trunc('second', timestamp)", order, "place")
+    placed = numbered(alerts, ("timestamp", "detector", "src_ip", "dst_ip"), "place")
     return placed.selectExpr("format_string('ALT-%06d', place) AS alert_id", *alerts.columns)
 
 

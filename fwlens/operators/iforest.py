@@ -24,7 +24,6 @@ from fwlens.session import checkpointed, concurrently
 # Python workers get this module's functions by value, so that executors need not have the package installed.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-SUBSAMPLE = 256
 MINIMUM_WINDOWS = 5
 TOO_FEW = "At least five complete behavioral windows are needed for AI detection."
 DISABLED_SCHEMA = (
@@ -128,31 +127,35 @@ def raw_scores(trees: list[tuple[np.ndarray, ...]], sample_size: int, matrix: np
     return np.exp2(-(total / len(trees)) / max(average_path(sample_size), 1e-12))
 
 
-def fit_forest(training: DataFrame, model: AnomalyModel) -> Forest:
-    """Each tree sees up to 256 rows of a pool that the hash of the row key orders, whatever the partitioning."""
-    spark = training.sparkSession
-    ticket = F.xxhash64("src_ip", F.col("window_start").cast("string"), F.lit(model.random_state))
-    pool_rows = (
-        training.select(ticket.alias("ticket"), "src_ip", "window_start", *MODEL_FEATURES)
-        .orderBy("ticket", "src_ip", "window_start")
-        .limit(SUBSAMPLE * model.n_estimators)
-        .select(*MODEL_FEATURES)
+def fit_forest(training: DataFrame, model: AnomalyModel, rows: int) -> Forest:
+    """Each tree draws its own ``sample_size`` of all ``rows`` training rows and grows on an executor.
+
+    A row stands for a tree if the hash of (seed, row, tree) falls under a bound that lets a few more rows than needed
+    pass; the smallest hashes are taken. Samples depend on rows and seed only, whatever the partitioning. Only the nodes
+    come to the driver.
+    """
+    size, seed = min(model.sample_size, rows), model.random_state
+    share = (size + 6 * size**0.5 + 6) / rows
+    bound = int(share * 2**63) if share < 1 else 2**63 - 1
+    ticket = F.xxhash64("src_ip", F.col("window_start").cast("string"), F.lit(seed))
+    draw = lambda tree: F.shiftrightunsigned(F.xxhash64(F.col("ticket"), tree), 1)
+    passed = F.filter(F.sequence(F.lit(0), F.lit(model.n_estimators - 1)), lambda tree: draw(tree) <= bound)
+    drawn = (
+        training.withColumn("ticket", ticket).withColumn("tree", F.explode(passed))
+        .select("tree", draw(F.col("tree")).alias("draw"), "src_ip", "window_start", *MODEL_FEATURES)
     )
-    pool = spark.sparkContext.broadcast(pool_rows.toPandas().to_numpy(dtype="float64"))
-    size = min(SUBSAMPLE, len(pool.value))
-    seed = model.random_state
-
-    def grow(batches):
-        for batch in batches:
-            for tree in batch["id"]:
-                rng = np.random.default_rng([seed, int(tree)])
-                sample = pool.value[rng.choice(len(pool.value), size=size, replace=False)]
-                nodes = pd.DataFrame(_grow(sample, rng), columns=["node", "feature", "cut", "left", "right", "length"])
-                nodes.insert(0, "tree", int(tree))
-                yield nodes
-
-    tasks = min(model.n_estimators, max(1, spark.sparkContext.defaultParallelism))
-    nodes = spark.range(0, model.n_estimators, 1, tasks).mapInPandas(grow, NODE_SCHEMA).toPandas()
+
+    def grow(sample: pd.DataFrame) -> pd.DataFrame:
+        chosen = sample.sort_values(["draw", "src_ip", "window_start"]).head(size)
+        tree = int(chosen["tree"].iloc[0])
+        matrix = chosen[list(MODEL_FEATURES)].to_numpy(dtype="float64")
+        nodes = pd.DataFrame(
+            _grow(matrix, np.random.default_rng([seed, tree])), columns=["node", "feature", "cut", "left", "right", "length"]
+        )
+        nodes.insert(0, "tree", tree)
+        return nodes
+
+    nodes = drawn.groupBy("tree").applyInPandas(grow, NODE_SCHEMA).toPandas()
     trees = []
     for _, tree in nodes.sort_values(["tree", "node"]).groupby("tree"):
         trees.append(tuple(tree[name].to_numpy() for name in ("feature", "cut", "left", "right", "length")))
@@ -198,7 +201,7 @@ def detect_anomalies(features: DataFrame, model: AnomalyModel) -> AnomalyResult:
     levels = feature_levels(features)
     scaled = scaling(levels)
     training = features.filter(reliable) if labelled else features
-    forest = fit_forest(training.withColumns(scaled), model)
+    forest = fit_forest(training.withColumns(scaled), model, counts["normal"] if labelled else counts["n"])
     scored = checkpointed(score_windows(features, forest, scaled))
 
     trained = scored.filter(reliable) if labelled else scored
@@ -260,6 +263,8 @@ def anomaly_chart(scores: DataFrame, k: int = 30) -> DataFrame:
 
 def anomaly_view(scores: DataFrame, k: int = 20) -> DataFrame:
     """The anomalies, or the highest scores when there are none."""
-    found = anomalies_only(scores)
-    shown = ranked(scores).limit(k) if found.isEmpty() else ranked(found)
-    return shown.select(*VIEW_COLUMNS)
+    any_found = scores.agg(F.coalesce(F.max("is_ai_anomaly"), F.lit(False)).alias("any_found"))
+    leading = ranked(scores.filter(~F.coalesce(F.col("is_ai_anomaly"), F.lit(False)))).limit(k)
+    # a subquery decides which of both is shown, without a job while the plan is built
+    shown = leading.filter(~any_found.scalar())
+    return ranked(anomalies_only(scores).unionByName(shown)).select(*VIEW_COLUMNS)

@@ -9,6 +9,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from fwlens.functions.columns import split_items
+from fwlens.operators.windows import id_order
 
 EVIDENCE_READ = "threshold_source string, effective_threshold double, observed_value double, asset_baseline_value double"
 EVENT_COLUMNS = ("timestamp", "src_ip", "dst_ip", "dst_port", "protocol", "action", "bytes_sent", "bytes_received")
@@ -109,12 +110,8 @@ def alert_view(table: DataFrame) -> DataFrame:
     )
 
 
-def evidence_view(table: DataFrame) -> DataFrame:
-    return table.select("alert_id", "evidence")
-
-
 def incident_view(incidents: DataFrame) -> DataFrame:
-    return incidents.select(*INCIDENT_VIEW).orderBy(F.desc("risk_score"), "incident_id")
+    return incidents.select(*INCIDENT_VIEW).orderBy(F.desc("risk_score"), *id_order("incident_id"))
 
 
 def incident_by_id(incidents: DataFrame, incident_id: str) -> DataFrame:
@@ -125,7 +122,7 @@ def incident_labels(incidents: DataFrame) -> DataFrame:
     label = F.concat_ws(
         " | ", "incident_id", "severity", F.concat(F.lit("risk "), F.col("risk_score").cast("string")), "src_ip"
     )
-    return incidents.orderBy(F.desc("risk_score"), "incident_id").select(label.alias("label"))
+    return incidents.orderBy(F.desc("risk_score"), *id_order("incident_id")).select(label.alias("label"))
 
 
 def recommendation_items(incidents: DataFrame) -> DataFrame:
@@ -192,6 +189,6 @@ def incident_timeline(logs: DataFrame, alerts: DataFrame, incidents: DataFrame)
     )
     return (
         event_rows.unionByName(alert_rows)
-        .orderBy("incident_id", "time", "step", "activity")
+        .orderBy(*id_order("incident_id"), "time", "step", "activity")
         .select("incident_id", "time", "activity", "details")
     )

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from fwlens.functions.columns import split_items, timestamp_text
 from fwlens.operators.investigate import INCIDENT_VIEW
+from fwlens.operators.windows import id_order
 
 SUMMARY_LABELS = {
     "original_row_count": "Original rows",
@@ -41,12 +42,12 @@ def cleaning_table(summary: DataFrame) -> DataFrame:
 
 
 def top_incidents(incidents: DataFrame, k: int = 10) -> DataFrame:
-    return incidents.orderBy(F.desc("risk_score"), "incident_id").limit(k).select(*INCIDENT_VIEW)
+    return incidents.orderBy(F.desc("risk_score"), *id_order("incident_id")).limit(k).select(*INCIDENT_VIEW)
 
 
 def first_alerts(alerts: DataFrame, k: int = 10) -> DataFrame:
     """The earliest alerts."""
-    return alerts.orderBy("timestamp", "alert_id").limit(k).select(
+    return alerts.orderBy("timestamp", *id_order("alert_id")).limit(k).select(
         "timestamp", "src_ip", "alert_type", "severity", "event_count", "score_contribution"
     )
 
@@ -97,8 +98,8 @@ def incident_cards(incidents: DataFrame, k: int = 5) -> DataFrame:
         F.lit("Recommendations:"),
     )
     advice = F.transform(split_items(F.col("recommendations"), "|"), lambda item: F.concat(F.lit("- "), item))
-    rank = F.row_number().over(Window.orderBy(F.desc("risk_score"), "incident_id"))
+    rank = F.row_number().over(Window.orderBy(F.desc("risk_score"), *id_order("incident_id")))
     # the limit leaves at most k rows for the ranking
-    top = incidents.orderBy(F.desc("risk_score"), "incident_id").limit(k).withColumn("incident_rank", rank)
+    top = incidents.orderBy(F.desc("risk_score"), *id_order("incident_id")).limit(k).withColumn("incident_rank", rank)
     lines = top.select("incident_rank", F.posexplode(F.concat(fixed, advice)).alias("line_no", "line"))
     return lines.orderBy("incident_rank", "line_no")

@@ -7,7 +7,11 @@ that can hold the first crossing; look at single rows of those slots alone.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from typing import Sequence
+
+from pyspark.sql import Column, DataFrame, functions as F
+
+from fwlens.session import checkpointed
 
 MINUTE_US = 60_000_000
 
@@ -159,22 +163,21 @@ def combined_rows(window_rows: DataFrame, columns: list[str], value: str | None
     )
 
 
-def numbered(df: DataFrame, coarse: str, fine: str, order: str, name: str) -> DataFrame:
-    """Global 1-based position of each row without sorting the frame in one task.
+def numbered(df: DataFrame, order: Sequence[str], name: str) -> DataFrame:
+    """Global 1-based position of each row in the order of some columns, without sorting the frame in one task.
 
-    Rows are ordered by (coarse, fine, order), all SQL text. Counts per fine group are summed within their coarse
-    group and coarse totals are summed over all, so the largest single sort is one fine group.
+    The range-partitioned sort is stored once; a row's position is its place in its partition after the rows of all
+    partitions before it. Ranges split wherever the order columns differ, so rows that only begin alike do not meet.
     """
-    keyed = df.selectExpr("*", f"{coarse} AS _coarse", f"{fine} AS _fine")
-    counts = keyed.groupBy("_coarse", "_fine").agg(F.expr("count(1) AS _n")).selectExpr(
-        "*", "sum(_n) OVER (PARTITION BY _coarse ORDER BY _fine) - _n AS _offset"
-    )
-    bases = counts.groupBy("_coarse").agg(F.expr("sum(_n) AS _all")).selectExpr(
-        "_coarse", "sum(_all) OVER (ORDER BY _coarse) - _all AS _base"
-    )
-    offsets = counts.join(bases, "_coarse").selectExpr("_coarse", "_fine", "_offset + _base AS _offset")
-    return (
-        keyed.join(offsets, ["_coarse", "_fine"])
-        .selectExpr("*", f"_offset + row_number() OVER (PARTITION BY _coarse, _fine ORDER BY {order}) AS {name}")
-        .drop("_coarse", "_fine", "_offset")
+    places = {"_part": F.spark_partition_id(), "_local": F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)}
+    stored = checkpointed(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumns(places))
+    firsts = stored.groupBy("_part").agg(F.count(F.lit(1)).alias("_n")).selectExpr(
+        "_part", "sum(_n) OVER (ORDER BY _part) - _n + 1 AS _first"
     )
+    joined = stored.join(firsts, "_part").withColumn(name, F.col("_first") + F.col("_local"))
+    return joined.drop("_part", "_local", "_first")
+
+
+def id_order(name: str) -> list[Column]:
+    """Sort keys of a numbered id such as ``ALT-000001``: more digits mean a higher number."""
+    return [F.length(name), F.col(name)]

@@ -15,6 +15,7 @@ from fwlens.operators.features import build_features
 from fwlens.operators.iforest import AnomalyResult, anomalies_only, detect_anomalies, disabled_anomalies, ranked
 from fwlens.operators.report_tables import cleaning_table, first_alerts, incident_cards, top_incidents
 from fwlens.operators.traffic import flows, top_destination_ips, top_destination_ports, top_source_ips
+from fwlens.operators.windows import id_order
 from fwlens.session import checkpointed, require_utc
 from fwlens.sources import sinks
 from fwlens.sources.readers import load_logs
@@ -117,8 +118,8 @@ def run_job(spark: SparkSession, input_path: str, output_root: str, config: Conf
     }
     paths = {
         "cleaned": sinks.export_cleaned(analysis.logs, output_root),
-        "alerts": sinks.export_alerts(alerts_table(analysis.alerts).orderBy("alert_id"), output_root),
-        "incidents": sinks.export_incidents(incidents_table(incidents).orderBy("start_time", "incident_id"), output_root),
+        "alerts": sinks.export_alerts(alerts_table(analysis.alerts).orderBy(*id_order("alert_id")), output_root),
+        "incidents": sinks.export_incidents(incidents_table(incidents).orderBy("start_time", *id_order("incident_id")), output_root),
     }
     for name, table in tables.items():
         paths[name.rsplit("/", 1)[-1].removesuffix(".csv")] = sinks.export_csv(table, f"{output_root}/{name}")

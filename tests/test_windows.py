@@ -11,7 +11,7 @@ from fwlens.config import Config
 from fwlens.functions.columns import micros
 from fwlens.operators.baseline import ThresholdRule
 from fwlens.operators.windows import (
-    combined_rows, first_count_window, first_distinct_window, numbered, rows_of_windows, with_time,
+    combined_rows, first_count_window, first_distinct_window, id_order, numbered, rows_of_windows, with_time,
 )
 from tests.conftest import START
 
@@ -109,5 +109,19 @@ def test_threshold_per_source(spark):
 
 def test_numbering(spark):
     df = spark.range(500).select((F.col("id") % 7).alias("a"), (F.col("id") % 5).alias("b"), "id")
-    rows = numbered(df, "a", "b", "id", "place").orderBy("a", "b", "id").collect()
+    rows = numbered(df, ("a", "b", "id"), "place").orderBy("a", "b", "id").collect()
     assert [r.place for r in rows] == list(range(1, 501))
+
+
+def test_numbers_of_sources_that_begin_alike(spark):
+    sources = [f"2001:db8::{i:x}" for i in range(3000)]
+    df = spark.createDataFrame([(s, i % 3) for i, s in enumerate(sources * 2)], "src_ip string, anchor int")
+    placed = numbered(df, ("src_ip", "anchor"), "place")
+    rows = sorted((r.src_ip, r.anchor, r.place) for r in placed.collect())
+    assert [place for *_, place in rows] == list(range(1, 6001))
+
+
+def test_ids_sort_by_number_past_a_million(spark):
+    ids = ["ALT-1000000", "ALT-000002", "ALT-999999", "ALT-1000001", "ALT-010000"]
+    found = spark.createDataFrame([(i,) for i in ids], "alert_id string").orderBy(*id_order("alert_id")).collect()
+    assert [r.alert_id for r in found] == ["ALT-000002", "ALT-010000", "ALT-999999", "ALT-1000000", "ALT-1000001"]
