@@ -30,7 +30,7 @@ CAPACITY = 2048
 #: Nodes looked at for one filling, and fillings tried per bin in all searches after the first.
 FILLING_NODES = 400
 SEARCH_NODES = 20_000
-MEMO_WORDS = 300_000
+MEMO_WORDS = 900_000
 #: A mark between a letter and a blank is a piece of its own for the tokenizer's splitting rule.
 _CLOSING = re.compile(rb"(?<=[a-z])([.,])(?=[ \n])")
 
