@@ -7,6 +7,7 @@ detectors run with windows of half a day.
 
 from __future__ import annotations
 
+import os
 import sys
 from collections.abc import Callable
 from dataclasses import replace
@@ -56,6 +57,14 @@ SPEC = investigate.FilterSpec(
 )
 
 
+# Written forms of the time in the raw log, by the value of k; SQL has the same in oracles.TIME_FORMS.
+TIME_FORMS = {
+    14: "yyyy/MM/dd HH:mm:ss", 33: "M/d/yyyy H:mm:ss", 34: "MM/dd/yyyy hh:mm:ss a", 35: "yyyyMMdd'T'HHmmss",
+    36: "dd MMM yyyy HH:mm:ss", 37: "MMMM d, yyyy HH:mm", 38: "yyyy.MM.dd HH:mm:ss", 39: "EEE, dd MMM yyyy HH:mm:ss 'GMT'",
+    40: "yyyy-MM-dd'T'HH:mm:ss'+02:00'", 41: "yyyy/M/d H:mm:ss.SSSSSS", 43: "dd-MMM-yyyy HH:mm:ss",
+}
+
+
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     k = F.get_json_object("props", "$.k").cast("int")
@@ -98,11 +107,12 @@ def fw_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = _columns()
     k = F.col("k")
     text = {name: column.cast("string") for name, column in c.items()}
-    slashed = F.date_format("ts", "yyyy/MM/dd HH:mm:ss")
+    written = F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS")
+    for value, form in TIME_FORMS.items():
+        written = F.when(k == value, F.date_format("ts", form)).otherwise(written)
     rows = _events(spark, sf_dir).select(
         F.col("event_id").cast("string").alias("Event ID"),
-        F.when(k == 13, "no time").when(k == 14, slashed).otherwise(F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS"))
-        .alias("Generated Time"),
+        F.when(k == 13, "no time").otherwise(written).alias("Generated Time"),
         F.when(k == 17, "999.1.1.1").when(k == 18, F.concat(F.lit(" "), text["src_ip"], F.lit("\t"))).otherwise(text["src_ip"])
         .alias("Source address"),
         F.when(k == 27, "2001:db8::7").otherwise(text["dst_ip"]).alias("Destination address"),
@@ -236,8 +246,8 @@ def _quantile_rows(spark, sf):
 
 
 def entry(spark: SparkSession) -> DataFrame:
-    """Flagship: incidents of the smallest data set."""
-    return _incident_rows(_incidents(spark, "/root/testdata/sf0.001"))
+    """Flagship: incidents of the smallest data set, or of the folder in ENTRY_SF_DIR."""
+    return _incident_rows(_incidents(spark, os.environ.get("ENTRY_SF_DIR", "/root/testdata/sf0.001")))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -28,10 +28,22 @@ fw AS (
   FROM shaped
 )"""
 
-RAW = LOGS + """,
+# Written forms of the time in the raw log, by the value of k.
+TIME_FORMS = {
+    14: "%Y/%m/%d %H:%M:%S", 33: "%-m/%-d/%Y %-H:%M:%S", 34: "%m/%d/%Y %I:%M:%S %p", 35: "%Y%m%dT%H%M%S",
+    36: "%d %b %Y %H:%M:%S", 37: "%B %-d, %Y %H:%M", 38: "%Y.%m.%d %H:%M:%S", 39: "%a, %d %b %Y %H:%M:%S GMT",
+    40: "%Y-%m-%dT%H:%M:%S+02:00", 41: "%Y/%-m/%-d %-H:%M:%S.%f", 43: "%d-%b-%Y %H:%M:%S",
+}
+_WRITTEN = " ".join(f"WHEN {k} THEN strftime(ts, '{form}')" for k, form in TIME_FORMS.items())
+# the instant that a written form still holds
+_READ = "CASE k WHEN 13 THEN NULL WHEN 37 THEN date_trunc('minute', ts) WHEN 40 THEN date_trunc('second', ts) - INTERVAL 2 HOUR " + " ".join(
+    f"WHEN {k} THEN date_trunc('second', ts)" for k in TIME_FORMS if k not in (37, 40, 41)
+) + " ELSE ts END"
+
+RAW = LOGS + f""",
 raw_once AS (
   SELECT k, CAST(event_id AS VARCHAR) AS id,
-    CASE k WHEN 13 THEN 'no time' WHEN 14 THEN strftime(ts, '%Y/%m/%d %H:%M:%S') ELSE strftime(ts, '%Y-%m-%d %H:%M:%S.%f') END AS t,
+    CASE k WHEN 13 THEN 'no time' {_WRITTEN} ELSE strftime(ts, '%Y-%m-%d %H:%M:%S.%f') END AS t, {_READ} AS instant,
     CASE k WHEN 17 THEN '999.1.1.1' WHEN 18 THEN ' ' || src_ip || chr(9) ELSE src_ip END AS src,
     CASE k WHEN 27 THEN '2001:db8::7' ELSE dst_ip END AS dst,
     CAST(src_port AS VARCHAR) AS sport,
@@ -46,7 +58,7 @@ raw_all AS (SELECT * FROM raw_once UNION ALL SELECT * FROM raw_once WHERE k = 13
 deduped AS (SELECT DISTINCT * FROM raw_all),
 typed AS (
   SELECT CAST(id AS BIGINT) AS row_id,
-    coalesce(try_strptime(t, '%Y-%m-%d %H:%M:%S.%f'), try_strptime(t, '%Y/%m/%d %H:%M:%S')) AS timestamp,
+    instant AS timestamp,
     trim(src, ' ' || chr(9)) AS src_ip, dst AS dst_ip, TRY_CAST(sport AS DOUBLE) AS sp, TRY_CAST(dport AS DOUBLE) AS dp,
     upper(proto) AS protocol,
     CASE WHEN lower(action) IN ('denied', 'drop') THEN 'BLOCK' ELSE 'ALLOW' END AS action,
