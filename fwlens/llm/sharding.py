@@ -51,12 +51,16 @@ def _steps(number, wide: int, high: int, keys):
 
 
 def walks_needed(n: int, seed: int = SEED) -> int:
-    """Longest walk from a surplus cell back into 0..n-1; there are fewer surplus cells than the square root of n."""
+    """Longest walk from a surplus cell back into 0..n-1; there are fewer surplus cells than the square root of n.
+
+    A surplus cell that comes back to itself is never reached from a row, so its circle is left out."""
     wide, high = grid(n)
-    cells, walks, keys = np.arange(n, wide * high if n else 0, dtype=np.int64), 0, round_keys(seed)
+    origins = np.arange(n, wide * high if n else 0, dtype=np.int64)
+    cells, walks, keys = origins, 0, round_keys(seed)
     while len(cells):
         cells = _steps(cells, wide, high, keys)
-        cells = cells[cells >= n]
+        on = (cells >= n) & (cells != origins)
+        cells, origins = cells[on], origins[on]
         walks += 1
     return walks
 
