@@ -21,9 +21,11 @@ from __future__ import annotations
 
 import sys
 from collections import Counter
+from itertools import chain, islice, repeat
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -36,6 +38,8 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 DEPTH, TOP = 6, 3
 CHUNK_BYTES = 24_000_000
 RANGE_WORDS = 200_000
+#: Words that a task gathers before it sends some.
+LOCAL_WORDS = 400_000
 #: Pairs weighed together inside a task.
 LOCAL_PAIRS = 300_000
 END = b"\n"
@@ -147,27 +151,29 @@ def _vocabulary(batches):
     held: dict[int, Counter] = {}
     others: dict[int, set] = {}
     for batch in batches:
-        for chunk, text, out in zip(batch["chunk"], batch["text"], batch["held_out"]):
-            tokens = _words.encoded(text, lower=True).split()
+        chunks, texts, outs = batch.column(0), batch.column(1), batch.column(2)
+        for place in range(batch.num_rows):
+            chunk = chunks[place].as_py()
+            tokens = _words.encoded(texts[place].as_py(), lower=True).split()
             tokens.append(END)
-            if out:
+            if outs[place].as_py():
                 others.setdefault(chunk, set()).update(tokens)
             else:
                 held.setdefault(chunk, Counter()).update(tokens)
-            # a chunk that has gathered much is sent in parts, which add up
-            if len(held.get(chunk, ())) + len(others.get(chunk, ())) > 400_000:
-                yield from _vocabulary_frames({chunk: held.pop(chunk, Counter())}, {chunk: others.pop(chunk, set())})
-        while sum(map(len, held.values())) + sum(map(len, others.values())) > 500_000:
+        # a chunk that has gathered much is sent in parts, which add up
+        while sum(map(len, held.values())) + sum(map(len, others.values())) > LOCAL_WORDS:
             chunk = max(set(held) | set(others), key=lambda c: len(held.get(c, ())) + len(others.get(c, ())))
-            yield from _vocabulary_frames({chunk: held.pop(chunk, Counter())}, {chunk: others.pop(chunk, set())})
-    yield from _vocabulary_frames(held, others)
+            yield from _vocabulary_rows(chunk, held.pop(chunk, Counter()), others.pop(chunk, set()))
+    for chunk in set(held) | set(others):
+        yield from _vocabulary_rows(chunk, held.pop(chunk, Counter()), others.pop(chunk, set()))
 
 
-def _vocabulary_frames(held, others):
-    for chunk in set(held) | set(others):
-        counts = dict.fromkeys(others.get(chunk, ()), 0) | held.get(chunk, {})
-        if counts:
-            yield pd.DataFrame({"chunk": chunk, "word": list(counts), "n": np.fromiter(counts.values(), dtype=np.int64, count=len(counts))})
+def _vocabulary_rows(chunk: int, held: Counter, others: set):
+    others.difference_update(held)
+    rows = chain(held.items(), zip(others, repeat(0)))
+    while part := list(islice(rows, 50_000)):
+        columns = [pa.array([chunk] * len(part)), pa.array([w for w, _ in part], pa.binary()), pa.array([n for _, n in part], pa.int64())]
+        yield pa.RecordBatch.from_arrays(columns, names=["chunk", "word", "n"])
 
 
 def _requests(batches):
@@ -175,10 +181,15 @@ def _requests(batches):
     part, words, counts = None, [], []
 
     def pairs():
-        key, token = pairs_of(words)
-        unique, inverse = np.unique(key, return_inverse=True)
-        sums = np.bincount(inverse, np.array(counts, dtype=float)[token], len(unique)).astype(np.int64)
-        return pd.DataFrame({"subtree": unique >> (8 * (DEPTH - TOP + 1)), "part": part, "pair": unique, "n": sums})
+        found = []
+        for first in range(0, len(words), 25_000):
+            key, token = pairs_of(words[first : first + 25_000])
+            unique, inverse = np.unique(key, return_inverse=True)
+            found.append((unique, np.bincount(inverse, np.array(counts[first : first + 25_000], dtype=float)[token], len(unique))))
+        keys, sums = (np.concatenate(column) for column in zip(*found))
+        unique, inverse = np.unique(keys, return_inverse=True)
+        total = np.bincount(inverse, sums, len(unique)).astype(np.int64)
+        return pd.DataFrame({"subtree": unique >> (8 * (DEPTH - TOP + 1)), "part": part, "pair": unique, "n": total})
 
     for batch in batches:
         for number, frame in batch.groupby("part", sort=False):
@@ -270,9 +281,9 @@ def _word_scores(words: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
     known, log = answers["pair"].to_numpy(), answers["log"].to_numpy()
     tokens = list(words["word"])
     score = np.zeros(len(tokens))
-    for first in range(0, len(tokens), 50_000):
-        key, token = pairs_of(tokens[first : first + 50_000])
-        part = tokens[first : first + 50_000]
+    for first in range(0, len(tokens), 25_000):
+        key, token = pairs_of(tokens[first : first + 25_000])
+        part = tokens[first : first + 25_000]
         score[first : first + len(part)] = np.bincount(token, log[np.searchsorted(known, key)], len(part))
     return pd.DataFrame({"word": tokens, "n": words["n"].to_numpy(), "log": score})
 
@@ -305,7 +316,7 @@ def score_documents(documents: DataFrame) -> DataFrame:
     ways = max(1, -(-largest // CHUNK_BYTES))
     chunk = (F.col("scan") * ways + F.pmod(F.xxhash64("doc_id"), F.lit(ways))).cast("bigint")
     rows = rows.withColumn("chunk", chunk).select("chunk", "doc_id", "text", "held_out")
-    vocabulary = stored(rows.select("chunk", "text", "held_out").mapInPandas(_vocabulary, "chunk bigint, word binary, n bigint"))
+    vocabulary = stored(rows.select("chunk", "text", "held_out").mapInArrow(_vocabulary, "chunk bigint, word binary, n bigint"))
     types = stored(vocabulary.groupBy("word").agg(F.sum("n").alias("n")))
     total, kinds, number = types.agg(
         F.coalesce(F.sum("n"), F.lit(0)), F.count(F.when(F.col("n") > 0, 1)), F.count(F.lit(1))
