@@ -46,7 +46,11 @@ def compute_baseline(history: DataFrame, config: Config) -> DataFrame:
     # metrics that share a window length share one pass
     for minutes in sorted({length for length, _ in measures.values()}):
         shared = {name: text for name, (length, text) in measures.items() if length == minutes}
-        per_bucket = data.groupBy("asset_key", bucket_start(F.col("timestamp"), minutes).alias("bucket")).agg(
+        # distinct counts expand their input, so they run on one row per target and port, not on the log
+        targets = data.groupBy(
+            "asset_key", bucket_start(F.col("timestamp"), minutes).alias("bucket"), "dst_ip", "dst_port"
+        ).agg(F.sum("is_blocked").alias("is_blocked"))
+        per_bucket = targets.groupBy("asset_key", "bucket").agg(
             *[F.expr(f"cast({text} AS double) AS {name}") for name, text in shared.items()]
         )
         # the median joins its rows as a window value, so the spread needs no second shuffle

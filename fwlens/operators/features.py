@@ -34,18 +34,21 @@ def build_features(logs: DataFrame, config: Config, baselines: DataFrame | None
         non_negative(col_or(logs, "bytes_received", 0, "bigint")).alias("received"),
         flag(F.lower(strip(col_or(logs, "label", None, "string"))).isin(*NORMAL_LABELS)).alias("normal"),
     )
-    grouped = events.groupBy("src_ip", "window_start").agg(
-        F.count(F.lit(1)).alias("connection_count"),
-        F.sum("blocked").alias("blocked_count"),
-        F.countDistinct("dst_ip").alias("unique_dst_ips"),
-        F.countDistinct("dst_port").alias("unique_dst_ports"),
-        F.sum("sent").alias("bytes_sent_total"),
-        F.sum("received").alias("bytes_received_total"),
-        F.avg("sent").alias("average_bytes_sent"),
-        F.avg("received").alias("average_bytes_received"),
-        F.avg("tcp").alias("tcp_ratio"),
-        F.avg("udp").alias("udp_ratio"),
-        F.avg("normal").alias("normal_label_ratio"),
+    # distinct counts expand their input, so they run on one row per target and port, not on the log
+    added = ("blocked", "tcp", "udp", "sent", "received", "normal")
+    targets = events.groupBy("src_ip", "window_start", "dst_ip", "dst_port").agg(
+        F.count(F.lit(1)).alias("n"), *[F.sum(name).alias(name) for name in added]
+    )
+    sums = targets.groupBy("src_ip", "window_start").agg(
+        F.sum("n").alias("connection_count"), F.countDistinct("dst_ip").alias("unique_dst_ips"),
+        F.countDistinct("dst_port").alias("unique_dst_ports"), *[F.sum(name).alias(name) for name in added],
+    )
+    mean = lambda name: F.col(name).cast("double") / F.col("connection_count")
+    grouped = sums.select(
+        "src_ip", "window_start", "connection_count", F.col("blocked").alias("blocked_count"), "unique_dst_ips",
+        "unique_dst_ports", F.col("sent").alias("bytes_sent_total"), F.col("received").alias("bytes_received_total"),
+        mean("sent").alias("average_bytes_sent"), mean("received").alias("average_bytes_received"),
+        mean("tcp").alias("tcp_ratio"), mean("udp").alias("udp_ratio"), mean("normal").alias("normal_label_ratio"),
     )
     start = F.col("window_start")
     result = grouped.withColumns(
