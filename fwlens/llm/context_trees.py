@@ -1,16 +1,21 @@
 """Language-model scores by context-tree weighting over bytes.
 
 A text is a row of tokens: its words in lower case (A-Z), each closed by a blank, then one end sign. Each byte is coded as
-eight binary decisions. Contexts are the bytes before it, back to the blank in front of the word, at most ``DEPTH`` of
-them. Every context of every length, with every bit prefix, holds a Krichevsky-Trofimov estimator over the training
-tokens; each node weighs its own estimate against its longer contexts by their probability of the training data, half
-and half beforehand. A text's score is the sum of log10 probabilities of its bytes, i.e. its negative code length.
-
-How it runs: each chunk of documents (about ``CHUNK_BYTES`` of text) sends its distinct words with their training counts;
-equal words meet, and sorted ranges of words send their distinct (context, byte) pairs. Pairs meet by the three latest
-context bytes, where depths 3 and more are weighed in one pass over sorted keys. Depths 0 to 2 have at most 2^16 contexts,
-whatever the corpus; the driver weighs them and sends them along. Probabilities go back to the word ranges, word scores
-back to the chunks. Only word tables and pair tables are shuffled, and the texts once.
+eight binary decisions. Contexts are the ``DEPTH`` bytes before it, across blanks and words; before its first word a text
+reads as a blank after end signs. Every context of every length, with every bit prefix, holds a Krichevsky-Trofimov
+estimator over the training texts; each node weighs its own estimate against its longer contexts by their probability of
+the training data, half and half beforehand. A text's score is the sum of log10 probabilities of its bytes, i.e. its
+negative code length.
+
+How it runs: each chunk of documents (about ``CHUNK_BYTES`` of text) sends its distinct (context, byte) pairs with their
+training counts, as one row for each three latest context bytes. Pairs meet by these bytes, where depths 3 and more are
+weighed in one pass over sorted keys. Depths 0 to 2 have at most 2^16 contexts, whatever the corpus; the driver weighs
+them and sends them along. The pairs' probabilities go back to the chunks, which add them up along their own texts.
+Distinct words with their counts go the same way for ``n_known`` and the base score. Only word tables and pair tables are
+shuffled, and the texts once.
+
+:func:`score_documents` is the same model with contexts that stop at the blank in front of a word, so that each distinct
+word is scored once; no query uses it.
 
 Cases: a null or blank text is the end sign alone; repeated rows count as often as they stand there; a null id is in the
 training part; an empty table, or one without training rows, scores by untrained estimators (one half a bit); other
@@ -42,7 +47,12 @@ RANGE_WORDS = 200_000
 LOCAL_WORDS = 400_000
 #: Pairs weighed together inside a task.
 LOCAL_PAIRS = 300_000
+#: Text whose pairs a task makes at once, and distinct pairs that it gathers before it sends some.
+PIECE_BYTES = 4_000_000
+HELD_PAIRS = 6_000_000
 END = b"\n"
+#: What stands before a text.
+_LEAD = END * (DEPTH - 1) + b" "
 _BLANK = 0x20
 _HALF = np.log(0.5)
 
@@ -97,14 +107,15 @@ def _context_length(key: np.ndarray, depth: int) -> np.ndarray:
     return length
 
 
-def weigh(key: np.ndarray, count: np.ndarray, depth: int, low: int, children=None):
+def weigh(key: np.ndarray, count: np.ndarray, depth: int, low: int, children=None, across: bool = False):
     """Weighs the nodes of depths ``depth`` down to ``low`` that are above distinct keys with ``depth`` context bytes.
 
     Returns, per key, ``a, b`` of eight bits each, so that a bit's probability is a + b * (that of the next deeper
     contexts), b being 0 where no deeper ones exist; and the log probabilities of the nodes of depth ``low`` as
     ``(node keys, values)`` for each of the eight bit levels. ``children`` are such lists of depth + 1.
+    Contexts end at a blank unless they go ``across``.
     """
-    length = _context_length(key, depth)
+    length = np.full(len(key), depth) if across else _context_length(key, depth)
     a, b = np.zeros((len(key), 8)), np.ones((len(key), 8))
     for d in range(depth, low - 1, -1):
         rows = np.flatnonzero(length >= d)
@@ -112,7 +123,7 @@ def weigh(key: np.ndarray, count: np.ndarray, depth: int, low: int, children=Non
         short = (context << 8) | (key[rows] & 255)
         unique, inverse = np.unique(short, return_inverse=True)
         n = np.bincount(inverse, count[rows], len(unique))
-        closed = (((unique >> 8) & 255) == _BLANK) if d else np.zeros(len(unique), dtype=bool)
+        closed = (((unique >> 8) & 255) == _BLANK) if d and not across else np.zeros(len(unique), dtype=bool)
         if children is None and d == depth:
             closed = np.ones(len(unique), dtype=bool)
         found = []
@@ -236,16 +247,20 @@ def _upward(batches):
     """What depths 0 to 2 need: log probabilities of depth-3 nodes, and counts, added up per context of two bytes."""
     for frame in _subtrees(batches):
         pair, _, n, _, _, nodes = _weighed(frame)
-        code = _two_bytes(pair)
-        unique, inverse = np.unique(code, return_inverse=True)
-        yield pd.DataFrame({"level": -1, "code": unique, "value": np.bincount(inverse, n, len(unique))})
-        for level, (node, value) in enumerate(nodes):
-            parent = ((node >> (level + 8)) << level) | (node & ((1 << level) - 1))
-            unique, inverse = np.unique(parent, return_inverse=True)
-            yield pd.DataFrame({"level": level, "code": unique, "value": np.bincount(inverse, value, len(unique))})
+        yield from _parents(pair, n, nodes)
+
+
+def _parents(pair: np.ndarray, n: np.ndarray, nodes):
+    code = _two_bytes(pair)
+    unique, inverse = np.unique(code, return_inverse=True)
+    yield pd.DataFrame({"level": -1, "code": unique, "value": np.bincount(inverse, n, len(unique))})
+    for level, (node, value) in enumerate(nodes):
+        parent = ((node >> (level + 8)) << level) | (node & ((1 << level) - 1))
+        unique, inverse = np.unique(parent, return_inverse=True)
+        yield pd.DataFrame({"level": level, "code": unique, "value": np.bincount(inverse, value, len(unique))})
 
 
-def _top(table: pd.DataFrame):
+def _top(table: pd.DataFrame, across: bool = False):
     """Weighs depths 0 to 2."""
     part = lambda level: table[table["level"] == level].sort_values("code")
     counts = part(-1)
@@ -256,7 +271,7 @@ def _top(table: pd.DataFrame):
         rows = part(level)
         code = rows["code"].to_numpy(dtype=np.int64)
         children.append((((code >> level) << (level + 8)) | (code & ((1 << level) - 1)), rows["value"].to_numpy(dtype=float)))
-    a, b, _ = weigh(key, counts["value"].to_numpy(dtype=float), TOP - 1, 0, children)
+    a, b, _ = weigh(key, counts["value"].to_numpy(dtype=float), TOP - 1, 0, children, across)
     return key, a, b
 
 
@@ -309,13 +324,252 @@ def _document_scores(total: int, kinds: int):
     return run
 
 
-def score_documents(documents: DataFrame) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte (null for an empty text)."""
+def sequence(tokens: list[bytes]) -> bytes:
+    """The bytes of a text with what stands before it; the first ``DEPTH`` are not coded."""
+    return _LEAD + b" ".join(tokens) + (b" " if tokens else b"") + END
+
+
+def _pieces(text: bytes):
+    """A sequence as shorter ones that code the same bytes after the same contexts."""
+    for first in range(0, len(text) - DEPTH, PIECE_BYTES):
+        yield text[first : first + PIECE_BYTES + DEPTH]
+
+
+def keys_of(texts: list[bytes]) -> np.ndarray:
+    """(context, byte) keys of all coded bytes of sequences; the latest context byte is the highest, the byte the lowest."""
+    flat = np.frombuffer(b"".join(texts), dtype=np.uint8).astype(np.int64)
+    key = np.zeros(len(flat) - DEPTH, dtype=np.int64)
+    for back in range(1, DEPTH + 1):
+        key <<= 8
+        key |= flat[DEPTH - back : len(flat) - back]
+    key <<= 8
+    key |= flat[DEPTH:]
+    # what a sequence begins with has no byte of the one before as its context
+    ends = np.cumsum([len(t) for t in texts])[:-1]
+    coded = np.ones(len(key), dtype=bool)
+    coded[(ends[:, None] - DEPTH + np.arange(DEPTH)).ravel()] = False
+    return key[coded]
+
+
+def _added(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys of several tables with the sums of their counts."""
+    if len(parts) == 1:
+        return parts[0]
+    unique, inverse = np.unique(np.concatenate([key for key, _ in parts]), return_inverse=True)
+    return unique, np.bincount(inverse, np.concatenate([n for _, n in parts]), len(unique)).astype(np.int64)
+
+
+def _counted(texts: list[bytes], training: bool) -> tuple[np.ndarray, np.ndarray]:
+    key = np.sort(keys_of(texts))
+    first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+    n = np.diff(np.append(first, len(key)))
+    return key[first], n if training else np.zeros(len(first), dtype=np.int64)
+
+
+def _packed(values: np.ndarray) -> bytes:
+    """Numbers as bytes, all highest ones together, and so on, since neighbours mostly agree in these."""
+    return np.ascontiguousarray(values.view(np.uint8).reshape(len(values), -1).T).tobytes()
+
+
+def _unpacked(data: bytes, kind: type) -> np.ndarray:
+    width = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(data, dtype=np.uint8).reshape(width, -1).T).view(kind).ravel()
+
+
+def _asked(batches):
+    """Distinct pairs of each chunk with their training counts, one row for each three latest context bytes."""
+    texts: dict[tuple[int, bool], list[bytes]] = {}
+    sizes: Counter = Counter()
+    found: dict[int, list] = {}
+
+    def settle(place):
+        found.setdefault(place[0], []).append(_counted(texts.pop(place), not place[1]))
+        del sizes[place]
+        if sum(len(key) for key, _ in found[place[0]][1:]) > len(found[place[0]][0][0]):
+            found[place[0]] = [_added(found[place[0]])]
+
+    for batch in batches:
+        chunks, bodies, outs = batch.column(0), batch.column(1), batch.column(2)
+        for row in range(batch.num_rows):
+            place = chunks[row].as_py(), outs[row].as_py()
+            for piece in _pieces(sequence(_words.encoded(bodies[row].as_py(), lower=True).split())):
+                texts.setdefault(place, []).append(piece)
+                sizes[place] += len(piece)
+                if sizes[place] >= PIECE_BYTES:
+                    settle(place)
+        while sum(sizes.values()) > 4 * PIECE_BYTES:
+            settle(max(sizes, key=sizes.get))
+        # a chunk that has gathered much is sent in parts, which add up
+        while sum(len(key) for parts in found.values() for key, _ in parts) > HELD_PAIRS:
+            chunk = max(found, key=lambda c: sum(len(key) for key, _ in found[c]))
+            yield from _asked_rows(chunk, *_added(found.pop(chunk)))
+    for place in list(texts):
+        settle(place)
+    for chunk in list(found):
+        yield from _asked_rows(chunk, *_added(found.pop(chunk)))
+
+
+def _asked_rows(chunk: int, key: np.ndarray, n: np.ndarray):
+    below = 8 * (DEPTH - TOP + 1)
+    subtree, pair = key >> below, (key & ((1 << below) - 1)).astype(np.uint32)
+    starts = np.flatnonzero(np.concatenate(([True], subtree[1:] != subtree[:-1])))
+    ends = np.append(starts[1:], len(key))
+    for first in range(0, len(starts), 2000):
+        spans = list(zip(starts[first : first + 2000], ends[first : first + 2000]))
+        columns = [
+            pa.array(subtree[starts[first : first + 2000]]), pa.array([chunk] * len(spans), pa.int64()),
+            pa.array([_packed(pair[a:b]) for a, b in spans], pa.binary()), pa.array([_packed(n[a:b]) for a, b in spans], pa.binary()),
+        ]
+        yield pa.RecordBatch.from_arrays(columns, names=["subtree", "chunk", "pairs", "counts"])
+
+
+def _whole_subtrees(batches):
+    """Some hundred thousand distinct pairs with their counts, and the chunks' requests ``(chunk, subtree, pairs)`` for
+    them; rows come sorted by subtree. Counts are added up as they come."""
+    below = 8 * (DEPTH - TOP + 1)
+    requests, parts, loose, last = [], [], 0, None
+    for batch in batches:
+        subtrees, chunks, pairs, counts = (batch.column(i) for i in range(4))
+        for row in range(batch.num_rows):
+            subtree = subtrees[row].as_py()
+            if subtree != last and loose + (len(parts[0][0]) if parts else 0) >= LOCAL_PAIRS:
+                yield (*_added(parts), requests)
+                requests, parts, loose = [], [], 0
+            last = subtree
+            blob = pairs[row].as_py()
+            requests.append((chunks[row].as_py(), subtree, blob))
+            key = (np.int64(subtree) << below) | _unpacked(blob, np.uint32).astype(np.int64)
+            parts.append((key, _unpacked(counts[row].as_py(), np.int64)))
+            loose += len(key)
+            if loose > max(LOCAL_PAIRS, len(parts[0][0])):
+                parts, loose = [_added(parts)], 0
+    if requests:
+        yield (*_added(parts), requests)
+
+
+def _upward_across(batches):
+    """As :func:`_upward`, from the chunks' rows."""
+    for pair, n, _ in _whole_subtrees(batches):
+        _, _, nodes = weigh(pair, n, DEPTH, TOP, across=True)
+        for frame in _parents(pair, n, nodes):
+            yield pa.RecordBatch.from_pandas(frame.astype({"level": "int32", "value": float}), preserve_index=False)
+
+
+def _answers_across(top):
+    """log10 probability of each asked pair, to the chunk that asked."""
+    top_key, top_a, top_b = top
+    below = 8 * (DEPTH - TOP + 1)
+
+    def run(batches):
+        for pair, n, requests in _whole_subtrees(batches):
+            a, _, _ = weigh(pair, n, DEPTH, TOP, across=True)
+            place = np.searchsorted(top_key, _two_bytes(pair))
+            log = np.log10(top_a[place] + top_b[place] * a).sum(axis=1)
+            for first in range(0, len(requests), 500):
+                part = requests[first : first + 500]
+                logs = []
+                for _, subtree, blob in part:
+                    key = (np.int64(subtree) << below) | _unpacked(blob, np.uint32).astype(np.int64)
+                    logs.append(log[np.searchsorted(pair, key)].tobytes())
+                columns = [
+                    pa.array([chunk for chunk, _, _ in part], pa.int64()), pa.array([subtree for _, subtree, _ in part], pa.int64()),
+                    pa.array([blob for _, _, blob in part], pa.binary()), pa.array(logs, pa.binary()),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, names=["chunk", "subtree", "pairs", "logs"])
+
+    return run
+
+
+def _sequence_scores(total: int, kinds: int):
+    unseen = np.log10(1.0 / (total + kinds + 1))
+    below = 8 * (DEPTH - TOP + 1)
+
+    def run(documents: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
+        words, pairs = answers[answers["pairs"].isna()], answers[answers["pairs"].notna()]
+        number = {word: i for i, word in enumerate(words["word"])}
+        n = words["n"].to_numpy(dtype=float)
+        base = np.log10(n + 1) + unseen
+        known = [
+            (np.int64(subtree) << below) | _unpacked(blob, np.uint32).astype(np.int64)
+            for subtree, blob in zip(pairs["subtree"], pairs["pairs"])
+        ]
+        known = np.concatenate(known) if known else np.zeros(0, dtype=np.int64)
+        order = np.argsort(known)
+        known, log = known[order], np.frombuffer(b"".join(pairs["logs"]), dtype=float)[order]
+        rows, score, texts, owners, size = [], np.zeros(len(documents)), [], [], 0
+
+        def add():
+            key = keys_of(texts)
+            by_key = np.argsort(key)
+            of_byte = np.empty(len(key))
+            of_byte[by_key] = log[np.searchsorted(known, key[by_key])]
+            lengths = np.array([len(t) - DEPTH for t in texts])
+            np.add.at(score, owners, np.add.reduceat(of_byte, np.cumsum(lengths) - lengths))
+
+        for doc_id, text, out in zip(documents["doc_id"], documents["text"], documents["held_out"]):
+            tokens = _words.encoded(text, lower=True).split()
+            for piece in _pieces(sequence(tokens)):
+                texts.append(piece)
+                owners.append(len(rows))
+                size += len(piece)
+                if size >= PIECE_BYTES:
+                    add()
+                    texts, owners, size = [], [], 0
+            tokens.append(END)
+            at = np.fromiter(map(number.__getitem__, tokens), dtype=np.int64, count=len(tokens))
+            rows.append((doc_id, out, len(tokens), int((n[at] > 0).sum()), total, base[at].sum(), len(text.encode("utf-8", "surrogatepass")) if text else 0))
+        if texts:
+            add()
+        frame = pd.DataFrame(rows, columns=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "n_bytes"])
+        frame.insert(6, "score", score)
+        frame["doc_id"] = frame["doc_id"].astype("Int64")
+        return frame
+
+    return run
+
+
+_SCORED = (
+    "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double, n_bytes bigint"
+)
+
+
+def _chunked(documents: DataFrame) -> DataFrame:
     rows = documents.select("doc_id", "text", held_out().alias("held_out"), F.spark_partition_id().alias("scan"))
     largest = rows.groupBy("scan").agg(F.sum(F.octet_length("text")).alias("size")).agg(F.max("size")).first()[0] or 0
     ways = max(1, -(-largest // CHUNK_BYTES))
     chunk = (F.col("scan") * ways + F.pmod(F.xxhash64("doc_id"), F.lit(ways))).cast("bigint")
-    rows = rows.withColumn("chunk", chunk).select("chunk", "doc_id", "text", "held_out")
+    return rows.withColumn("chunk", chunk).select("chunk", "doc_id", "text", "held_out")
+
+
+def score_sequences(documents: DataFrame) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte (null for an empty text)."""
+    rows = _chunked(documents)
+    read = rows.select("chunk", "text", "held_out")
+    vocabulary = stored(read.mapInArrow(_vocabulary, "chunk bigint, word binary, n bigint"))
+    types = stored(vocabulary.groupBy("word").agg(F.sum("n").alias("n")))
+    total, kinds = types.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.when(F.col("n") > 0, 1))).first()
+    asked = read.mapInArrow(_asked, "subtree bigint, chunk bigint, pairs binary, counts binary")
+    dealt = asked.repartition("subtree").sortWithinPartitions("subtree")
+    sums = dealt.mapInArrow(_upward_across, "level int, code bigint, value double")
+    top = _top(sums.groupBy("level", "code").agg(F.sum("value").alias("value")).toPandas(), across=True)
+    answers = dealt.mapInArrow(_answers_across(top), "chunk bigint, subtree bigint, pairs binary, logs binary")
+    wanted = vocabulary.select("chunk", "word").join(types, "word").select(
+        "chunk", "word", "n", F.lit(None).cast("bigint").alias("subtree"), F.lit(None).cast("binary").alias("pairs"),
+        F.lit(None).cast("binary").alias("logs"),
+    )
+    wanted = wanted.unionByName(answers, allowMissingColumns=True)
+    result = rows.groupBy("chunk").cogroup(wanted.groupBy("chunk")).applyInPandas(_sequence_scores(total, kinds), _SCORED)
+    return _with_bits(result)
+
+
+def _with_bits(result: DataFrame) -> DataFrame:
+    bits = -F.col("score") / F.log10(F.lit(2.0)) / F.when(F.col("n_bytes") > 0, F.col("n_bytes"))
+    return result.withColumn("bits_per_byte", bits).drop("n_bytes")
+
+
+def score_documents(documents: DataFrame) -> DataFrame:
+    """As :func:`score_sequences`, with contexts that stop at the blank in front of each word."""
+    rows = _chunked(documents)
     vocabulary = stored(rows.select("chunk", "text", "held_out").mapInArrow(_vocabulary, "chunk bigint, word binary, n bigint"))
     types = stored(vocabulary.groupBy("word").agg(F.sum("n").alias("n")))
     total, kinds, number = types.agg(
@@ -331,9 +585,5 @@ def score_documents(documents: DataFrame) -> DataFrame:
     answers = dealt.mapInPandas(_answers(top), "part bigint, pair bigint, log double")
     scored = words.groupBy("part").cogroup(answers.groupBy("part")).applyInPandas(_word_scores, "word binary, n bigint, log double")
     wanted = vocabulary.select("chunk", "word").join(stored(scored), "word")
-    result = rows.groupBy("chunk").cogroup(wanted.groupBy("chunk")).applyInPandas(
-        _document_scores(total, kinds),
-        "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double, n_bytes bigint",
-    )
-    bits = -F.col("score") / F.log10(F.lit(2.0)) / F.when(F.col("n_bytes") > 0, F.col("n_bytes"))
-    return result.withColumn("bits_per_byte", bits).drop("n_bytes")
+    result = rows.groupBy("chunk").cogroup(wanted.groupBy("chunk")).applyInPandas(_document_scores(total, kinds), _SCORED)
+    return _with_bits(result)

@@ -47,7 +47,7 @@ def op6_prefix_trees(spark, sf_dir):
 
 
 def op7_context_trees(spark, sf_dir):
-    return context_trees.score_documents(_table(spark, sf_dir, "documents"))
+    return context_trees.score_sequences(_table(spark, sf_dir, "documents"))
 
 
 def op8_budget_tree(spark, sf_dir):
