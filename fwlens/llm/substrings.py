@@ -1,12 +1,16 @@
-"""Repeated passages across and inside documents: prefix-partitioned suffix trees over words.
+"""Repeated passages across and inside documents: windows of words, dealt by prefixes of measured length.
 
 Suffixes that share ``window`` words share a node of that depth in the suffix tree of the corpus, and all but the
-earliest suffix under it start a passage that stands earlier. The tree is never built as one:
-
-* A suffix is dealt by a prefix of variable length: the words up to and including its anchor, the ``gram`` consecutive
-  words with the smallest hash within its first ``window`` words. Equal suffixes have equal anchors, so each group is a
-  subtree of its own. Suffixes of one document that share an anchor travel as one row with a 64-bit fingerprint each, so
-  that a suffix is a node only by anchor and fingerprint together, 128 bits.
+earliest suffix under it start a passage that stands earlier. No tree is built: of its nodes only those of depth
+``window`` matter, and hashes name them.
+
+* A suffix is dealt by its anchor, the ``gram`` consecutive words with the smallest hash within its first ``window``
+  words. Equal suffixes have equal anchors. Suffixes of one document that share an anchor travel as one row with a
+  64-bit fingerprint of their ``window`` words each, so that a suffix is a node only by anchor and fingerprint together,
+  128 bits.
+* Suffixes are counted first, by ``2^BUCKET_BITS`` hash ranges of their anchors. Where a range holds more than
+  ``GROUP_SUFFIXES``, its anchors are followed by as many bits of the fingerprint as bring the groups below that, so a
+  phrase that stands in many places in differing surroundings is many groups.
 * Each task first resolves what repeats among its own rows and sends on only the earliest suffix of each node, so a
   passage that a third of all documents share costs a group one row per task and not one per document.
 * A group is read in sorted order, and only the nodes of the prefix at hand are held.
@@ -37,6 +41,8 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 WINDOW, GRAM = 20, 5
 #: Suffixes resolved together inside a task before rows are sent; bounds the task's memory.
 LOCAL_SUFFIXES = 1_000_000
+#: Suffixes of a group from which its prefix is made longer, and hash ranges in which they are counted.
+GROUP_SUFFIXES, BUCKET_BITS = 500_000, 16
 _NULL_ID = -(1 << 63)
 _ROW = "prefix bigint, doc bigint, pos int, n int, nodes array<bigint>"
 _SPAN = "doc bigint, pos int, n int"
@@ -83,7 +89,49 @@ def _spans(doc: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     return doc[starts], pos[starts], lengths
 
 
-def _sent(window: int, gram: int):
+def _bucket(anchor: np.ndarray) -> np.ndarray:
+    return (_words.mixed(anchor) >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
+
+
+def _measured(window: int, gram: int):
+    """Suffixes of a task by hash range of their anchors."""
+
+    def run(batches):
+        total = np.zeros(1 << BUCKET_BITS, dtype=np.int64)
+        for batch in batches:
+            for text in batch.column(0):
+                hashes = _words.word_hashes(_words.encoded(text.as_py()))
+                if len(hashes) >= window:
+                    total += np.bincount(_bucket(anchored(hashes, window, gram)[0]), minlength=len(total))
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["bucket", "n"])
+
+    return run
+
+
+def further_bits(documents: DataFrame, window: int, gram: int) -> np.ndarray:
+    """Bits of the fingerprint that follow an anchor, by hash range."""
+    counted = documents.select("text").mapInArrow(_measured(window, gram), "bucket bigint, n bigint")
+    large = counted.groupBy("bucket").agg(F.sum("n").alias("n")).where(F.col("n") > GROUP_SUFFIXES).collect()
+    bits = np.zeros(1 << BUCKET_BITS, dtype=np.uint8)
+    for row in large:
+        # one bit more than an even division needs
+        bits[row["bucket"]] = (row["n"] // GROUP_SUFFIXES).bit_length() + 1
+    return bits
+
+
+def prefixes(anchor: np.ndarray, node: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """Anchors, hashed with the leading bits of the fingerprint where there are some."""
+    more = bits[_bucket(anchor)].astype(np.uint64)
+    long = np.flatnonzero(more)
+    result = anchor.copy()
+    with np.errstate(over="ignore"):
+        lead = (node[long] >> (np.uint64(64) - more[long])) + np.uint64(1)
+        result[long] = _words.mixed(anchor[long] + lead * np.uint64(0x9E3779B97F4A7C15))
+    return result
+
+
+def _sent(window: int, gram: int, bits: np.ndarray):
     """Rows for the groups from whole texts: spans that are settled inside the task, and the earliest suffixes."""
 
     def flush(held):
@@ -121,7 +169,8 @@ def _sent(window: int, gram: int):
                 hashes = _words.word_hashes(_words.encoded(texts[place].as_py()))
                 if len(hashes) < window:
                     continue
-                held.append((_NULL_ID if doc_id is None else doc_id, *anchored(hashes, window, gram)))
+                anchor, at, node = anchored(hashes, window, gram)
+                held.append((_NULL_ID if doc_id is None else doc_id, prefixes(anchor, node, bits), at, node))
                 size += len(held[-1][1])
                 if size >= LOCAL_SUFFIXES:
                     yield from flush(held)
@@ -168,7 +217,8 @@ def _resolved(batches):
 
 def repeat_spans(documents: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """``doc, pos, n``: n consecutive windows from word ``pos`` on that all stand earlier in the corpus."""
-    rows = documents.select("doc_id", "text").mapInArrow(_sent(window, gram), _ROW)
+    bits = further_bits(documents, window, gram)
+    rows = documents.select("doc_id", "text").mapInArrow(_sent(window, gram, bits), _ROW)
     dealt = rows.repartition("prefix").sortWithinPartitions("prefix", "doc", "pos")
     return dealt.mapInArrow(_resolved, _SPAN)
 
