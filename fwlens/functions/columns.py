@@ -30,15 +30,25 @@ _CLOCK = (
     r"\s*(Z|z|UTC|GMT|[+-]\d{2}(?::?\d{2})?)?)?$"
 )
 _DAY_NAME = r"^(?:(?:Mon|Tue|Wed|Thu|Fri|Sat|Sun)[a-z]*,?\s+)?"
+# two digits that a colon follows are an hour
+_YEAR = r"(\d{4}|\d{2}(?![:\d]))"
 _MONTH_NAMES = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec")
 # Shapes of a date and the places of year, month and day among its three groups. Month first where both could be meant,
 # unless that is no date.
 _DATES = (
     (r"^(\d{4})[-/.](\d{1,2})[-/.](\d{1,2})", (1, 2, 3)),
     (r"^(\d{4})(\d{2})(\d{2})", (1, 2, 3)),
-    (r"^(\d{1,2})[-/.](\d{1,2})[-/.](\d{4})", (3, 1, 2)),
-    (_DAY_NAME + r"(\d{1,2})(?:st|nd|rd|th)?[- /]([A-Za-z]{3,9})[,.]?[- /](\d{4})", (3, 2, 1)),
-    (_DAY_NAME + r"([A-Za-z]{3,9})\.?\s+(\d{1,2})(?:st|nd|rd|th)?,?\s+(\d{4})", (3, 1, 2)),
+    (r"^(3[2-9]|[4-9]\d)[-/.](\d{1,2})[-/.](\d{1,2})", (1, 2, 3)),
+    (r"^(\d{1,2})[-/.](\d{1,2})[-/.]" + _YEAR, (3, 1, 2)),
+    (r"^(\d{4})[- /]([A-Za-z]{3,9})[- /](\d{1,2})", (1, 2, 3)),
+    (_DAY_NAME + r"(\d{1,2})(?:st|nd|rd|th)?[- /]([A-Za-z]{3,9})[,.]?[- /]" + _YEAR, (3, 2, 1)),
+    (_DAY_NAME + r"([A-Za-z]{3,9})\.?(?:\s+|[-/])(\d{1,2})(?:st|nd|rd|th)?(?:,?\s+|[-/])" + _YEAR, (3, 1, 2)),
+)
+# A time of day that stands first, or between day and year as ctime writes it, goes to the end.
+_PLAIN_CLOCK = r"\d{1,2}:\d{1,2}(?::\d{1,2}(?:[.,]\d{1,9})?)?(?:\s*[aApP][mM])?(?:\s*(?:Z|z|UTC|GMT|[+-]\d{2}:?\d{2}))?"
+_MOVED = (
+    (rf"^({_PLAIN_CLOCK})[ ,]+(\S.*)$", "$2 $1"),
+    (_DAY_NAME + rf"([A-Za-z]{{3,9}}\.?\s+\d{{1,2}}),?\s+({_PLAIN_CLOCK})\s+(\d{{4}})$", "$1 $3 $2"),
 )
 #: Microseconds in one unit of a numeric epoch time.
 EPOCH_UNITS = {"s": 1_000_000.0, "ms": 1000.0, "us": 1.0, "ns": 0.001}
@@ -82,12 +92,15 @@ def timestamp_of(text: Column, epoch_unit: str | None = None) -> Column:
     """Mixed-format text to a naive UTC timestamp; unparseable values become NULL.
 
     The first shape that fits gives the fields, which make one timestamp; a text of no shape is never parsed. Compact
-    dates may run into their time of day. Zoned times become UTC. Plain numbers are epoch times if a unit is given.
+    dates may run into their time of day. Years of two digits lie within fifty years of today's. Zoned times become UTC.
+    Plain numbers are epoch times if a unit is given.
     """
     unit = EPOCH_UNITS[epoch_unit] if epoch_unit else None
     # yyyyMMddHHmmss and yyyyMMddTHHmm[ss] get separators first
     spread = F.regexp_replace(text, r"^(\d{8})[T ]?(\d{2})(\d{2})(\d{2})?(?=$|[.,Z+-])", "$1T$2:$3:$4")
     spread = F.regexp_replace(spread, r":(?=$|[.,Z+-])", "")
+    for shape, order in _MOVED:
+        spread = F.regexp_replace(spread, shape, order)
     parts = F.coalesce(*[_shape(spread, date, places) for date, places in _DATES])
 
     def made(p: Column) -> Column:
@@ -96,12 +109,16 @@ def timestamp_of(text: Column, epoch_unit: str | None = None) -> Column:
         named = F.array_position(F.array(*[F.lit(m) for m in _MONTH_NAMES]), word).cast("int")
         month, day = F.when(p[1].rlike("^[0-9]+$"), p[1].try_cast("int")).otherwise(named), p[2].try_cast("int")
         # a first number over twelve can only be the day
-        swap = (month > 12) & (day <= 12) & spread.rlike(r"^\d{1,2}[-/.]")
+        swap = (month > 12) & (day <= 12) & spread.rlike(r"^([0-2]?\d|3[01])[-/.]")
         month, day = F.when(swap, day).otherwise(month), F.when(swap, month).otherwise(day)
+        year, now = p[0].try_cast("int"), F.year(F.current_date())
+        near = year + now - now % 100
+        near = near + F.when(near >= now + 50, -100).when(near < now - 50, 100).otherwise(0)
+        year = F.when(F.length(p[0]) == 2, near).otherwise(year)
         half, hour = F.lower(p[7]), whole(p[3])
         good_hour = F.when(half == "", hour < 24).otherwise(hour.between(1, 12))
         hour = F.when(half == "", hour).otherwise(hour % 12 + F.when(half == "pm", 12).otherwise(0))
-        date = F.try_make_timestamp(p[0].try_cast("int"), month, day, F.lit(0), F.lit(0), F.lit(0)).cast("timestamp_ntz")
+        date = F.try_make_timestamp(year, month, day, F.lit(0), F.lit(0), F.lit(0)).cast("timestamp_ntz")
         # the fraction is cut to microseconds
         micros_ = F.rpad(F.substring(p[6], 1, 6), 6, "0")
         zone = F.regexp_replace(F.regexp_replace(F.upper(p[8]), "^(Z|UTC|GMT|)$", "+00"), ":", "")

@@ -53,12 +53,13 @@ def _computed(columns: dict[str, Column]) -> Column:
     return F.inline(F.array(F.struct(*[c.alias(name) for name, c in columns.items()])))
 
 
-def clean_logs(mapped: MappedLogs, row_id: str | None = None) -> CleanedLogs:
+def clean_logs(mapped: MappedLogs, row_id: str | None = None, epoch_unit: str | None = None) -> CleanedLogs:
     """Drop duplicate and invalid rows.
 
     One aggregation over the source columns finds the distinct rows; copies collapse on the map side, so a
     row repeated any number of times reaches its reducer once per task. ``row_id`` names a unique source
     column; without one the hash of the distinct row serves, which does not depend on file order.
+    Numeric times are epoch times in ``epoch_unit``; without one they are invalid.
     """
     names = mapped.source.columns
     keys = [quoted(name) for name in names]
@@ -89,7 +90,7 @@ def clean_logs(mapped: MappedLogs, row_id: str | None = None) -> CleanedLogs:
         *[quoted(name) for name in kept],
         _computed(
             {
-                "timestamp": timestamp_of(text["timestamp"]),
+                "timestamp": timestamp_of(text["timestamp"], epoch_unit),
                 "src_ip": text["src_ip"],
                 "dst_ip": text["dst_ip"],
                 "protocol": F.upper(text["protocol"]),

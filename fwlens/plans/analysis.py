@@ -48,7 +48,7 @@ def analyze(raw: DataFrame, config: Config, work_dir: str, baselines: DataFrame
     require_dataset(raw)
     mapping = map_log_schema(raw, config.aliases)
     require_dataset(mapping.df, ("timestamp", "src_ip"))
-    cleaned = clean_logs(mapping).materialized(f"{work_dir}/flagged_logs")
+    cleaned = clean_logs(mapping, epoch_unit=config.epoch_unit or None).materialized(f"{work_dir}/flagged_logs")
     require_dataset(cleaned.logs)
     run = run_all_detectors(cleaned.logs, config, mapping.mapped, baselines)
     return Analysis(mapping, cleaned, run, correlate_alerts(run.stored, config))
