@@ -52,7 +52,7 @@ def shingle_set(text: str | None, length: int) -> set:
 
 def _signature(hashes: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Band keys over whole minima, the packed low bits, and the parity bitmap."""
-    grams = _words.gram_hashes(hashes, length) if len(hashes) > length else _words.gram_hashes(hashes, len(hashes), 1)
+    grams = _words.gram_hashes(hashes, length) if len(hashes) >= length else _words.gram_hashes(hashes, len(hashes), 1)
     grams = np.unique(grams)
     least = np.full(MINIMA, np.iinfo(np.uint64).max, dtype=np.uint64)
     with np.errstate(over="ignore"):
