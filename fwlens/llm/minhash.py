@@ -12,8 +12,8 @@ differ; pairs inside a component cannot change the result. A pair of similarity
 probability (1 - 0.8^4)^32 = 5e-8. The estimate drops a pair only below 0.55, over six standard errors from 0.8.
 
 Cases: a null or blank text has the empty set, 0 shingles, and is linked with nothing; repeated rows and texts are one
-class; equal ids count as one document; an empty table gives an empty result; other columns are not read by
-:func:`near_duplicates` and pass through :func:`deduplicated`.
+class; equal ids count as one document in :func:`near_duplicates`, equal rows in :func:`deduplicated`; an empty table gives
+an empty result; other columns are not read by :func:`near_duplicates` and pass through :func:`deduplicated`.
 """
 
 from __future__ import annotations
@@ -27,6 +27,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from fwlens.llm import words as _words
 from fwlens.llm.components import connected_components
+from fwlens.llm.row_keys import KEY, row_keyed
 from fwlens.session import checkpointed
 
 cloudpickle.register_pickle_by_value(_words)
@@ -210,7 +211,9 @@ def near_duplicates(documents: DataFrame, length: int = 4, percent: int = 80) ->
 
 
 def deduplicated(documents: DataFrame, length: int = 5, percent: int = 80) -> DataFrame:
-    """The first document of each group, with all its columns; of rows with one id, one stays."""
-    kept = near_duplicates(documents, length, percent).where("kept").select(F.col("doc_id").alias("kept_id")).distinct()
-    rows = documents.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id"))).drop("kept_id")
-    return rows.dropDuplicates(["doc_id"])
+    """The first document of each group, with all its columns. Of equal rows one stays; rows without an id, and different
+    rows of one id, are compared as documents of their own."""
+    keyed = row_keyed(documents, documents.columns)
+    compared = near_duplicates(keyed.select(F.col(KEY).alias("doc_id"), "text"), length, percent)
+    kept = compared.where("kept").select(F.col("doc_id").alias(KEY)).distinct()
+    return keyed.join(kept, KEY).dropDuplicates([KEY]).drop(KEY)

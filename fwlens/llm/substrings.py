@@ -17,9 +17,10 @@ earliest suffix under it start a passage that stands earlier. No tree is built:
 
 The deep nodes' later suffixes, joined where they overlap, are the maximal repeats, returned as word spans.
 
-Cases: a null or blank text has no words; a text shorter than the window has no suffix; rows with one id are one
-document, spans of either apply to both, and a null id is the smallest; an empty table gives an empty result; other
-columns are not read by :func:`repeat_spans` and pass through :func:`without_repeats`.
+Cases: a null or blank text has no words; a text shorter than the window has no suffix; rows of one id and text are
+one document; rows without an id, and different texts of one id, are documents of their own; a null id is the smallest; an
+empty table gives an empty result; other columns are not read by :func:`repeat_spans`, which wants one text an id, and
+pass through :func:`without_repeats`.
 """
 
 from __future__ import annotations
@@ -34,6 +35,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, functions as F
 
 from fwlens.llm import words as _words
+from fwlens.llm.row_keys import KEY, row_keyed
 
 cloudpickle.register_pickle_by_value(_words)
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -43,7 +45,6 @@ WINDOW, GRAM = 20, 5
 LOCAL_SUFFIXES = 1_000_000
 #: Suffixes of a group from which its prefix is made longer, and hash ranges in which they are counted.
 GROUP_SUFFIXES, BUCKET_BITS = 500_000, 16
-_NULL_ID = -(1 << 63)
 _ROW = "prefix bigint, doc bigint, pos int, n int, nodes array<bigint>"
 _SPAN = "doc bigint, pos int, n int"
 
@@ -170,7 +171,7 @@ def _sent(window: int, gram: int, bits: np.ndarray):
                 if len(hashes) < window:
                     continue
                 anchor, at, node = anchored(hashes, window, gram)
-                held.append((_NULL_ID if doc_id is None else doc_id, prefixes(anchor, node, bits), at, node))
+                held.append((doc_id, prefixes(anchor, node, bits), at, node))
                 size += len(held[-1][1])
                 if size >= LOCAL_SUFFIXES:
                     yield from flush(held)
@@ -273,25 +274,27 @@ def _cut(window: int):
     return run
 
 
-def _with_spans(documents: DataFrame, columns: list[str], window: int, gram: int) -> DataFrame:
-    spans = repeat_spans(documents, window, gram).groupBy("doc").agg(F.collect_list(F.struct("pos", "n")).alias("spans"))
-    keyed = documents.select(*columns, F.coalesce("doc_id", F.lit(_NULL_ID)).alias("doc"))
-    return keyed.join(spans, "doc", "left").select(*columns, "spans")
+def _with_spans(keyed: DataFrame, columns: list[str], window: int, gram: int) -> DataFrame:
+    rows = keyed.select(F.col(KEY).alias("doc_id"), "text")
+    spans = repeat_spans(rows, window, gram).groupBy("doc").agg(F.collect_list(F.struct("pos", "n")).alias("spans"))
+    narrow = keyed.select(*columns, F.col(KEY).alias("doc"))
+    return narrow.join(spans, "doc", "left").select(*columns, "spans")
 
 
 def repeat_digests(documents: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256."""
-    rows = _with_spans(documents, ["doc_id", "text"], window, gram)
+    rows = _with_spans(row_keyed(documents.select("doc_id", "text"), ["text"]), ["doc_id", "text"], window, gram)
     return rows.mapInPandas(_digests(window), "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string")
 
 
 def without_repeats(documents: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """Documents without the covered words, white space after kept words as it was; a document that loses its last
     word goes. All columns stay."""
-    narrow = _with_spans(documents, ["doc_id", "text"], window, gram)
-    cut = narrow.where("spans IS NOT NULL").mapInPandas(_cut(window), "doc_id bigint, text string, whole boolean")
-    texts = cut.select(F.col("doc_id").alias("cut_id"), F.col("text").alias("cut_text"), F.lit(True).alias("was_cut"))
-    joined = documents.join(texts.dropDuplicates(["cut_id"]), F.col("doc_id").eqNullSafe(F.col("cut_id")), "left")
+    keyed = row_keyed(documents, ["text"])
+    narrow = _with_spans(keyed, [KEY, "text"], window, gram)
+    cut = narrow.where("spans IS NOT NULL").mapInPandas(_cut(window), f"{KEY} bigint, text string, whole boolean")
+    texts = cut.select(KEY, F.col("text").alias("cut_text"), F.lit(True).alias("was_cut"))
+    joined = keyed.join(texts.dropDuplicates([KEY]), KEY, "left")
     text = F.when(F.col("was_cut"), F.col("cut_text")).otherwise(F.col("text"))
     kept = joined.where("was_cut IS NULL OR cut_text IS NOT NULL")
     return kept.select(*[text.alias("text") if c == "text" else F.col(c) for c in documents.columns])
