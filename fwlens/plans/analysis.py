@@ -117,10 +117,13 @@ def run_job(spark: SparkSession, input_path: str, output_root: str, config: Conf
         "run_summary.csv": run_summary(done, result.scores, sources, ports, config),
     }
     paths = {
-        "cleaned": sinks.export_cleaned(analysis.logs, output_root),
+        "cleaned": sinks.export_cleaned(analysis.logs.orderBy("timestamp", "row_id"), output_root),
         "alerts": sinks.export_alerts(alerts_table(analysis.alerts).orderBy(*id_order("alert_id")), output_root),
         "incidents": sinks.export_incidents(incidents_table(incidents).orderBy("start_time", *id_order("incident_id")), output_root),
     }
     for name, table in tables.items():
         paths[name.rsplit("/", 1)[-1].removesuffix(".csv")] = sinks.export_csv(table, f"{output_root}/{name}")
+    if config.ai_detection.enabled:
+        features = build_features(analysis.logs, config).orderBy("window_start", "src_ip")
+        paths["features"] = sinks.export_csv(features, f"{output_root}/ai/features.csv")
     return paths
