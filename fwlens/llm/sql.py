@@ -7,6 +7,13 @@ from fwlens.llm import quality_rules, sharding
 _RULES = quality_rules.LineRules()
 _CLOSED = quality_rules.CLOSED.replace("'", "''")
 
+_FAR = 1 << 50
+CRC_TABLE = """crc_table AS (
+    SELECT list(c ORDER BY b) AS t
+    FROM (SELECT b, list_reduce(range(8), lambda a, k: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END, b) AS c
+          FROM (SELECT b::BIGINT AS b FROM range(256) r(b))))"""
+
+
 OP2 = rf"""
 WITH docs AS (
     SELECT doc_id, coalesce(text, '') AS body,
@@ -56,10 +63,7 @@ def _shard_sql(shards: int = 8, seed: int = sharding.SEED) -> str:
     last = len(keys)
     return f"""
 WITH RECURSIVE
-crc_table AS (
-    SELECT list(c ORDER BY b) AS t
-    FROM (SELECT b, list_reduce(range(8), lambda a, k: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END, b) AS c
-          FROM (SELECT b::BIGINT AS b FROM range(256) r(b)))),
+{CRC_TABLE},
 docs AS (
     SELECT doc_id, octet_length(encode(coalesce(text, '')))::BIGINT + 1 AS size,
            xor(list_reduce(
@@ -83,4 +87,79 @@ FROM counted JOIN done USING (row_no)
 """
 
 
-ORACLES = {"op2_quality_rules": OP2, "op10_feistel_shards": _shard_sql()}
+OP13 = rf"""
+WITH RECURSIVE
+{CRC_TABLE},
+keyed AS (
+    SELECT conv_id, turn::BIGINT AS turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+           coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS k FROM conversations),
+dealt AS (
+    SELECT *, xor(list_reduce(
+                list_transform(regexp_extract_all(hex(encode(k)), '..'), lambda x: ('0x' || x)::BIGINT),
+                lambda a, b: xor(a >> 8, t[xor(a & 255, b) + 1]), 4294967295::BIGINT), 4294967295) % 20 AS d
+    FROM keyed, crc_table),
+hit AS (
+    SELECT conv_id, turn, CASE WHEN d = 4 THEN 'user' ELSE role END AS role,
+           CASE d WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+           unnest(range(CASE WHEN d = 3 THEN 2 ELSE 1 END)) AS copy
+    FROM dealt WHERE d <> 0),
+ordered AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i FROM hit),
+placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) AS seen FROM ordered),
+faulted AS (
+    SELECT *, left(role, 1) AS c,
+           CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 3 WHEN seen > 1 THEN 2
+                WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*\z') THEN 1 ELSE 0 END AS fault
+    FROM placed),
+paired AS (SELECT *, lag(c) OVER (PARTITION BY conv_id ORDER BY i) AS c_before FROM faulted),
+counted AS (
+    SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+           count(*) FILTER (WHERE fault = 3) AS blank, count(*) FILTER (WHERE fault = 2) AS duplicate,
+           count(*) FILTER (WHERE fault = 1) AS truncated,
+           count(*) FILTER (WHERE c_before IS NOT NULL AND c_before || c NOT IN ('su', 'ua', 'au')) AS illegal
+    FROM paired GROUP BY conv_id),
+back AS (
+    SELECT conv_id, n + 1 AS i, 0::BIGINT AS v0, 10::BIGINT AS v1, 5::BIGINT AS v2, 0::BIGINT AS v3 FROM counted
+    UNION ALL
+    SELECT conv_id, i, least(p0, 5 + p2, 10 + p3), least(p1, 5 + p2, 10 + p3), least(p2, 5 + p3), least(p3, 5 + p2)
+    FROM (
+        SELECT b.conv_id, f.i,
+               least(2 + v0, e + least(1 + v2, CASE c WHEN 's' THEN v1 WHEN 'u' THEN v2 ELSE {_FAR} END)) AS p0,
+               least(2 + v1, e + least(1 + v2, CASE c WHEN 'u' THEN v2 ELSE {_FAR} END)) AS p1,
+               least(2 + v2, e + least(1 + v3, CASE c WHEN 'a' THEN v3 ELSE {_FAR} END)) AS p2,
+               least(2 + v3, e + least(1 + v2, CASE c WHEN 'u' THEN v2 ELSE {_FAR} END)) AS p3
+        FROM back b
+        JOIN (SELECT *, CASE fault WHEN 0 THEN 0 WHEN 1 THEN 5 ELSE {_FAR} END AS e FROM faulted) f
+          ON f.conv_id IS NOT DISTINCT FROM b.conv_id AND f.i = b.i - 1)),
+vectors AS (SELECT conv_id, i, [v0, v1, v2, v3] AS v, lead([v0, v1, v2, v3]) OVER (PARTITION BY conv_id ORDER BY i) AS w FROM back),
+steps AS (
+    SELECT g.conv_id, g.i, g.v, g.w, f.c, f.role, f.text, CASE f.fault WHEN 0 THEN 0 WHEN 1 THEN 5 ELSE {_FAR} END AS e
+    FROM vectors g LEFT JOIN faulted f ON f.conv_id IS NOT DISTINCT FROM g.conv_id AND f.i = g.i),
+walk AS (
+    SELECT conv_id, 1::BIGINT AS i, 0 AS s, '' AS audit, '' AS body, false AS stop FROM counted
+    UNION ALL
+    SELECT conv_id, CASE WHEN edit = 'I' OR edit = '' THEN i ELSE i + 1 END,
+           CASE WHEN edit IN ('D', '') THEN s WHEN edit = 'K' THEN kept ELSE onward END, audit || edit,
+           CASE WHEN edit IN ('D', '') THEN body ELSE body || CASE WHEN audit = repeat('D', length(audit)) THEN '' ELSE chr(10) END
+               || CASE WHEN edit = 'K' THEN role WHEN onward = 2 THEN 'user' ELSE 'assistant' END || ':'
+               || CASE WHEN edit = 'I' THEN '' ELSE text END END,
+           edit = ''
+    FROM (
+        SELECT *, CASE WHEN w IS NULL THEN CASE WHEN s IN (0, 3) THEN '' ELSE 'I' END
+                       WHEN v[s + 1] = 2 + w[s + 1] THEN 'D' WHEN v[s + 1] = 5 + v[onward + 1] THEN 'I'
+                       WHEN kept IS NOT NULL AND v[s + 1] = e + w[kept + 1] THEN 'K' ELSE 'R' END AS edit
+        FROM (
+            SELECT k.conv_id, k.i, k.s, k.audit, k.body, t.v, t.w, t.e, t.role, t.text, CASE k.s WHEN 2 THEN 3 ELSE 2 END AS onward,
+                   CASE WHEN t.c = 's' AND k.s = 0 THEN 1 WHEN t.c = 'u' AND k.s <> 2 THEN 2 WHEN t.c = 'a' AND k.s = 2 THEN 3 END AS kept
+            FROM walk k JOIN steps t ON t.conv_id IS NOT DISTINCT FROM k.conv_id AND t.i = k.i
+            WHERE NOT k.stop)))
+SELECT o.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate,
+       coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal, coalesce(b.v0, 0)::BIGINT AS cost,
+       coalesce(audit, '') AS audit, sha256(coalesce(body, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o
+LEFT JOIN counted c ON c.conv_id IS NOT DISTINCT FROM o.conv_id
+LEFT JOIN back b ON b.conv_id IS NOT DISTINCT FROM o.conv_id AND b.i = 1
+LEFT JOIN walk k ON k.conv_id IS NOT DISTINCT FROM o.conv_id AND k.stop
+"""
+
+
+ORACLES = {"op2_quality_rules": OP2, "op10_feistel_shards": _shard_sql(), "op13_conversation_repair": OP13}
