@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from fwlens.llm import context_trees, conversations, embeddings, minhash, mixing, packing, quality_rules, quality_trees, sharding, substrings, token_counts
+from fwlens.llm import context_trees, conversations, embeddings, minhash, mixing, packing, personal_data, quality_rules, quality_trees, sharding, substrings, token_counts
 from fwlens.llm.sql import ORACLES  # noqa: F401
 
 
@@ -58,6 +58,10 @@ def op9_minhash(spark, sf_dir):
     return minhash.near_duplicates(_table(spark, sf_dir, "documents"), length=4, percent=80)
 
 
+def op12_weak_supervision(spark, sf_dir):
+    return personal_data.find_spans(_table(spark, sf_dir, "documents"))
+
+
 def op13_conversation_repair(spark, sf_dir):
     return conversations.repair_digests(_table(spark, sf_dir, "conversations"))
 
@@ -73,5 +77,6 @@ QUERIES = {
     "op8_budget_tree": op8_budget_tree,
     "op9_minhash": op9_minhash,
     "op10_feistel_shards": op10_feistel_shards,
+    "op12_weak_supervision": op12_weak_supervision,
     "op13_conversation_repair": op13_conversation_repair,
 }
