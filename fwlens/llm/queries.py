@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from fwlens.llm import context_trees, conversations, embeddings, minhash, mixing, packing, personal_data, quality_rules, quality_trees, sharding, substrings, token_counts
+from fwlens.llm import context_trees, conversations, embeddings, lexical_search, minhash, mixing, packing, personal_data, quality_rules, quality_trees, sharding, substrings, token_counts
 from fwlens.llm.sql import ORACLES  # noqa: F401
 
 
@@ -58,6 +58,10 @@ def op9_minhash(spark, sf_dir):
     return minhash.near_duplicates(_table(spark, sf_dir, "documents"), length=4, percent=80)
 
 
+def op11_geometric_blocks(spark, sf_dir):
+    return lexical_search.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), k=10)
+
+
 def op12_weak_supervision(spark, sf_dir):
     return personal_data.find_spans(_table(spark, sf_dir, "documents"))
 
@@ -77,6 +81,7 @@ QUERIES = {
     "op8_budget_tree": op8_budget_tree,
     "op9_minhash": op9_minhash,
     "op10_feistel_shards": op10_feistel_shards,
+    "op11_geometric_blocks": op11_geometric_blocks,
     "op12_weak_supervision": op12_weak_supervision,
     "op13_conversation_repair": op13_conversation_repair,
 }

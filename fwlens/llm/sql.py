@@ -162,4 +162,26 @@ LEFT JOIN walk k ON k.conv_id IS NOT DISTINCT FROM o.conv_id AND k.stop
 """
 
 
-ORACLES = {"op2_quality_rules": OP2, "op10_feistel_shards": _shard_sql(), "op13_conversation_repair": OP13}
+_TERMS = """regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                              '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')"""
+OP11 = f"""
+WITH docs AS (SELECT row_number() OVER () AS r, doc_id, {_TERMS} AS terms FROM documents),
+sized AS (SELECT r, doc_id, terms, len(terms)::BIGINT AS n FROM docs WHERE len(terms) > 0),
+totals AS (SELECT count(*)::BIGINT AS docs, sum(n)::BIGINT AS words FROM sized),
+held AS (SELECT r, term, count(*)::BIGINT AS tf FROM (SELECT r, unnest(terms) AS term FROM sized) GROUP BY r, term),
+weighted AS (
+    SELECT term, floor(1000 * ln((2 * docs + 2) / (2 * count(*) + 1)))::BIGINT AS w FROM held, totals GROUP BY term, docs),
+damped AS (SELECT r, doc_id, 25 + (75 * n * docs) // words AS m FROM sized, totals),
+items AS (SELECT row_number() OVER () AS q, item_id, {_TERMS} AS terms FROM benchmark),
+asked AS (SELECT q, item_id, term, count(*)::BIGINT AS times FROM (SELECT q, item_id, unnest(terms) AS term FROM items) GROUP BY ALL),
+scored AS (
+    SELECT q, item_id, doc_id, r, sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * m)))::BIGINT AS score
+    FROM asked JOIN weighted USING (term) JOIN held USING (term) JOIN damped USING (r) GROUP BY q, item_id, doc_id, r),
+ranked AS (
+    SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id NULLS FIRST)::INTEGER AS rank FROM scored WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 10
+"""
+
+
+ORACLES = {"op2_quality_rules": OP2, "op10_feistel_shards": _shard_sql(), "op11_geometric_blocks": OP11,
+           "op13_conversation_repair": OP13}
