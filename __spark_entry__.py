@@ -303,9 +303,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "robust_scaling": lambda s, d: _rounded(
             iforest.robust_scale(_features(s, d)).select("src_ip", "window_start", *features.MODEL_FEATURES), 5
         ),
-        "isolation_forest": lambda s, d: iforest.ranked(_anomalies(s, d)),
-        "anomaly_view": lambda s, d: iforest.anomaly_view(_anomalies(s, d)),
+        "isolation_forest": lambda s, d: _rounded(iforest.ranked(_anomalies(s, d))),
+        "anomaly_view": lambda s, d: _rounded(iforest.anomaly_view(_anomalies(s, d))),
         "anomaly_chart": lambda s, d: iforest.anomaly_chart(_anomalies(s, d)),
+        "anomalies_at_threshold": lambda s, d: iforest.anomalies_only(iforest.flag_anomalies(_anomalies(s, d), 85)).select(
+            "src_ip", "window_start", "ai_anomaly_score"
+        ),
         "kpi_summary": _with_alerts(traffic.kpi_summary),
         "severity_histogram": lambda s, d: traffic.severity_histogram(_incidents(s, d)),
         "action_counts": lambda s, d: traffic.action_counts(fw_logs(s, d)),

@@ -2,165 +2,62 @@
 
 from __future__ import annotations
 
-
-import sys
-
-import numpy as np
-import pandas as pd
-from pyspark import cloudpickle
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from fwlens.config import Config
 from fwlens.functions.columns import joined, micros, slot
 from fwlens.functions.scoring import incident_explanation, incident_score, recommendations, score_breakdown, severity_of
 from fwlens.operators.windows import MINUTE_US, numbered
-
-# Python workers get this module's functions by value, so that executors need not have the package installed.
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
+from fwlens.session import checkpointed, concurrently
 
 INCIDENT_COLUMNS = (
     "incident_id", "src_ip", "start_time", "end_time", "alert_count", "alert_types", "affected_destinations",
     "affected_ports", "event_count", "risk_score", "severity", "score_breakdown", "explanation", "recommendations",
 )
 
-# Sessions up to about this many distinct alert times are folded in one expression, longer ones in blocks.
-BLOCK_TIMES = 4096
-
-
-def _jumps(times: np.ndarray, window_us: int) -> np.ndarray:
-    """For each time, the position of the first one more than a window later (len(times) when there is none)."""
-    return np.searchsorted(times, times + window_us, side="right")
 
+def _chained(links: DataFrame, starts: DataFrame) -> DataFrame:
+    """Every ``place`` that the links ``(a, b)`` lead to from ``starts``, both given by place.
 
-def _block_exits(window_us: int):
-    """Which last anchor a block ends with, for every anchor it may start with.
-
-    A block starts with one of its times up to a window after its first. Later starts end no earlier, so runs of
-    equal ends are kept as (last start of the run, end).
+    Pointer doubling: round i knows where 2^i links lead from each place, so a chain of n places takes log2(n) rounds, each a
+    join of stored tables by place. No chain is ever a group.
     """
-
-    def run(block: pd.DataFrame) -> pd.DataFrame:
-        times = np.sort(block["us"].to_numpy())
-        jump = _jumps(times, window_us)
-        starts = np.arange(min(np.searchsorted(times, times[0] + window_us, side="left") + 1, len(times)))
-        here = starts.copy()
-        while True:
-            there = jump[here]
-            moving = there < len(times)
-            if not moving.any():
-                break
-            here = np.where(moving, np.minimum(there, len(times) - 1), here)
-        ends = times[here]
-        last_of_run = np.append(ends[1:] != ends[:-1], True)
-        return pd.DataFrame(
-            {
-                "src_ip": block["src_ip"].iloc[0],
-                "session": block["session"].iloc[0],
-                "block": block["block"].iloc[0],
-                "start_upto": times[starts][last_of_run],
-                "end_anchor": ends[last_of_run],
-            }
-        )
-
-    return run
-
-
-def _block_entries(window_us: int):
-    """Walks the blocks of one session: the anchor that is open when each block begins."""
-
-    def run(session: pd.DataFrame) -> pd.DataFrame:
-        rows, anchor = [], None
-        for block, runs in session.sort_values(["block", "start_upto"]).groupby("block"):
-            rows.append((block, anchor))
-            if anchor is None:
-                anchor = int(runs["end_anchor"].iloc[0])
-                continue
-            place = int(np.searchsorted(runs["start_upto"].to_numpy(), anchor + window_us, side="right"))
-            if place < len(runs):
-                anchor = int(runs["end_anchor"].iloc[place])
-        return pd.DataFrame(
-            {
-                "src_ip": session["src_ip"].iloc[0],
-                "session": session["session"].iloc[0],
-                "block": [block for block, _ in rows],
-                "open_anchor": pd.array([anchor for _, anchor in rows], dtype="Int64"),
-            }
-        )
-
-    return run
-
-
-def _block_anchors(window_us: int):
-    """The anchors inside one block, given the anchor that is open when it begins."""
-
-    def run(block: pd.DataFrame) -> pd.DataFrame:
-        times = np.sort(block["us"].to_numpy())
-        jump = _jumps(times, window_us)
-        opened = block["open_anchor"].iloc[0]
-        here = 0 if pd.isna(opened) else int(np.searchsorted(times, int(opened) + window_us, side="right"))
-        found = []
-        while here < len(times):
-            found.append(times[here])
-            here = jump[here]
-        return pd.DataFrame({"src_ip": block["src_ip"].iloc[0], "anchor": np.array(found, dtype="int64")})
-
-    return run
-
-
-def alert_anchors(times: DataFrame, window_us: int, block_times: int = BLOCK_TIMES) -> DataFrame:
+    spark = starts.sparkSession
+    first, step = starts, links
+    reached, links = concurrently(spark, [lambda: checkpointed(first), lambda: checkpointed(step)])
+    while True:
+        doubled = links.select("a", F.col("b").alias("mid")).join(links.select(F.col("a").alias("mid"), "b"), "mid").select("a", "b")
+        further = reached.join(links, reached["place"] == links["a"]).select(F.col("b").alias("place"))
+        further, links = concurrently(spark, [lambda: checkpointed(further), lambda: checkpointed(doubled)])  # noqa: B023
+        if further.isEmpty():
+            return reached
+        reached = reached.unionByName(further)
+
+
+def alert_anchors(times: DataFrame, window_us: int) -> DataFrame:
     """(src_ip, anchor) of the greedy grouping over (src_ip, us).
 
-    The first time of a source opens a group; a time more than a window after the open anchor opens the next.
-    Gaps longer than a window always separate, so each source falls into sessions. A slot as wide as the window
-    holds at most one anchor and no gap, hence sessions are found on (source, slot) counts. A long session is cut
-    into blocks that are solved independently for every possible start, then linked by walking the blocks.
+    The first time of a source opens a group; a time more than a window after the open anchor opens the next. Times are
+    numbered by (source, time). Sorting each time beside its own end of window then tells two things by the places of both
+    alone, without a group per source: how many times lie before each end, which names the time that opens the next
+    group should this one open a group, and whether the window of the time before has ended, which makes a time an
+    anchor whatever came before. From those the links are followed by pointer doubling.
     """
-    width = F.lit(window_us).cast("bigint")
-    distinct = times.select("src_ip", "us").distinct().withColumn("slot", slot(F.col("us"), window_us)).filter("slot IS NOT NULL")
-    slots = distinct.groupBy("src_ip", "slot").agg(
-        F.min("us").alias("first"), F.max("us").alias("last"), F.count(F.lit(1)).alias("n")
-    )
-    in_time = Window.partitionBy("src_ip").orderBy("slot")
-    gap = F.col("first") - F.lag("last").over(in_time)
-    session = Window.partitionBy("src_ip", "session")
-    before = session.orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
-    slots = (
-        slots.withColumn("opens", F.when(gap.isNull() | (gap > width), 1).otherwise(0))
-        .withColumn("session", F.sum("opens").over(in_time.rowsBetween(Window.unboundedPreceding, 0)))
-        .withColumn("block", F.call_function("div", F.coalesce(F.sum("n").over(before), F.lit(0)), F.lit(block_times)))
-        .withColumn("long", F.max("block").over(session) > 0)
-        .select("src_ip", "slot", "session", "block", "long")
-    )
-    placed = distinct.join(slots, ["src_ip", "slot"])
-
-    def step(anchors, us):
-        open_anchor = F.try_element_at(anchors, F.lit(-1))
-        return F.when(open_anchor.isNull() | (us > open_anchor + width), F.array_append(anchors, us)).otherwise(anchors)
-
-    short = (
-        placed.filter(~F.col("long"))
-        .groupBy("src_ip", "session")
-        .agg(F.array_sort(F.collect_list("us")).alias("times"))
-        .select("src_ip", F.explode(F.aggregate("times", F.array().cast("array<bigint>"), step)).alias("anchor"))
-    )
-    blocks = placed.filter("long").select("src_ip", "session", "block", "us")
-    keys = ["src_ip", "session", "block"]
-    exits = blocks.groupBy(*keys).applyInPandas(
-        _block_exits(window_us), "src_ip string, session bigint, block bigint, start_upto bigint, end_anchor bigint"
-    )
-    entries = exits.groupBy("src_ip", "session").applyInPandas(
-        _block_entries(window_us), "src_ip string, session bigint, block bigint, open_anchor bigint"
-    )
-    long = blocks.join(entries, keys).groupBy(*keys).applyInPandas(
-        _block_anchors(window_us), "src_ip string, anchor bigint"
-    )
-    return short.unionByName(long)
-
-
-def with_anchor(alerts: DataFrame, window_us: int, block_times: int = BLOCK_TIMES) -> DataFrame:
+    placed = numbered(times.select("src_ip", "us").filter("us IS NOT NULL").distinct(), ("src_ip", "us"), "place")
+    marks = placed.selectExpr("src_ip", "place", f"inline(array(struct(us AS at, 0 AS is_end), struct(us + {window_us}L AS at, 1 AS is_end)))")
+    # a time that falls on an end still belongs to that group, so it is sorted before it
+    lined = numbered(marks, ("src_ip", "at", "is_end"), "line").select("place", "line", "is_end")
+    times_of = lined.filter("is_end = 0").selectExpr("place", "line = 2 * place - 1 AS starts")
+    starts = times_of.filter("starts").select("place")
+    onward = lined.filter("is_end = 1").selectExpr("place AS a", "line - place + 1 AS b")
+    links = onward.join(times_of.filter("NOT starts").select(F.col("place").alias("b")), "b").select("a", "b")
+    return _chained(links, starts).join(placed, "place").select("src_ip", F.col("us").alias("anchor"))
+
+
+def with_anchor(alerts: DataFrame, window_us: int) -> DataFrame:
     """Adds to each alert the anchor of its group: the one in its own slot if not later, else the one before."""
     timed = alerts.withColumn("us", micros(F.col("timestamp"))).withColumn("slot", slot(F.col("us"), window_us))
-    anchors = alert_anchors(timed, window_us, block_times).withColumn("home", slot(F.col("anchor"), window_us))
+    anchors = alert_anchors(timed, window_us).withColumn("home", slot(F.col("anchor"), window_us))
     reach = anchors.withColumn("slot", F.explode(F.array(F.col("home"), F.col("home") + 1)))
     by_slot = reach.groupBy("src_ip", "slot").agg(
         F.max(F.when(F.col("home") == F.col("slot"), F.col("anchor"))).alias("own"),
@@ -170,18 +67,28 @@ def with_anchor(alerts: DataFrame, window_us: int, block_times: int = BLOCK_TIME
     return timed.join(by_slot, ["src_ip", "slot"]).withColumn("anchor", chosen).drop("slot", "us", "own", "previous")
 
 
-def correlate_alerts(alerts: DataFrame, config: Config, block_times: int = BLOCK_TIMES) -> DataFrame:
+# One row per alert, destination and port of an incident, so that equal values meet before they reach its group.
+_PARTS = """inline(concat(
+    array(named_struct('alerts', 1L, 'alert_type', alert_type, 'events', cast(event_count AS bigint), 'first_seen', first_seen,
+                       'last_seen', last_seen, 'dst', cast(NULL AS string), 'port', cast(NULL AS int))),
+    transform(destinations, d -> named_struct('alerts', 0L, 'alert_type', cast(NULL AS string), 'events', 0L,
+        'first_seen', cast(NULL AS timestamp_ntz), 'last_seen', cast(NULL AS timestamp_ntz), 'dst', d, 'port', cast(NULL AS int))),
+    transform(ports, p -> named_struct('alerts', 0L, 'alert_type', cast(NULL AS string), 'events', 0L,
+        'first_seen', cast(NULL AS timestamp_ntz), 'last_seen', cast(NULL AS timestamp_ntz), 'dst', cast(NULL AS string), 'port', p))))"""
+
+
+def correlate_alerts(alerts: DataFrame, config: Config) -> DataFrame:
     """Incidents: alerts of one source within a window of the group's first alert."""
     window_us = config.correlation.window_minutes * MINUTE_US
-    distinct_sets = lambda name: F.array_distinct(F.flatten(F.collect_set(name)))
-    grouped = with_anchor(alerts, window_us, block_times).groupBy("src_ip", "anchor").agg(
+    parts = with_anchor(alerts, window_us).selectExpr("src_ip", "anchor", _PARTS)
+    grouped = parts.groupBy("src_ip", "anchor").agg(
         F.min("first_seen").alias("start_time"),
         F.max("last_seen").alias("end_time"),
-        F.count(F.lit(1)).alias("alert_count"),
+        F.sum("alerts").alias("alert_count"),
         F.array_sort(F.collect_set("alert_type")).alias("types"),
-        F.array_sort(distinct_sets("destinations")).alias("destinations"),
-        F.array_sort(distinct_sets("ports")).alias("ports"),
-        F.sum("event_count").alias("event_count"),
+        F.array_sort(F.collect_set("dst")).alias("destinations"),
+        F.array_sort(F.collect_set("port")).alias("ports"),
+        F.sum("events").alias("event_count"),
     )
     placed = numbered(grouped, ("src_ip", "anchor"), "place")
     types = F.col("types")

@@ -6,6 +6,7 @@ driver is bounded by the parameters: 256 sampled rows and at most 511 nodes per
 
 from __future__ import annotations
 
+import hashlib
 import math
 import sys
 from dataclasses import dataclass
@@ -79,12 +80,38 @@ def robust_scale(features: DataFrame) -> DataFrame:
     return features.withColumns(scaling(feature_levels(features)))
 
 
-def _grow(sample: np.ndarray, rng: np.random.Generator) -> list[tuple]:
-    """Nodes of one tree, parents before children; leaves carry their expected path length."""
+# Draws are whole numbers below this prime, from sums of products that stay within 64 bits.
+PRIME = 2**31 - 1
+
+
+def _words(text: str) -> list[int]:
+    """The first three 32-bit words of a text's MD5."""
+    digest = hashlib.md5(text.encode()).hexdigest()
+    return [int(digest[i : i + 8], 16) for i in (0, 8, 16)]
+
+
+def tree_factors(seed: int, trees: int) -> list[tuple[int, int, int]]:
+    """Per tree the factors of both words of a row's ticket, and the summand, of its draw."""
+    keys = [_words(f"{seed}:{tree}") for tree in range(trees)]
+    return [(a % (PRIME - 1) + 1, b % (PRIME - 1) + 1, c % PRIME) for a, b, c in keys]
+
+
+def ticket(seed: int) -> list[Column]:
+    """Two 31-bit words of a row's own, from its source and time."""
+    text = F.concat_ws("|", F.lit(str(seed)), "src_ip", F.unix_micros(F.col("window_start").cast("timestamp")).cast("string"))
+    return [F.conv(F.substring(F.md5(text.cast("binary")), first, 8), 16, 10).cast("bigint") % PRIME for first in (1, 9)]
+
+
+def _grow(sample: np.ndarray, seed: int, tree: int) -> list[tuple]:
+    """Nodes of one tree, parents before children; leaves carry their expected path length.
+
+    Nodes are named as in a heap, and a node's feature and cut are drawn by a hash of seed, tree and that name, so a tree
+    depends on its sample alone.
+    """
     limit = math.ceil(math.log2(max(len(sample), 2)))
-    nodes, pending = [], [(sample, 0, -1, False)]
+    nodes, pending = [], [(sample, 0, -1, False, 1)]
     while pending:
-        rows, depth, parent, is_right = pending.pop()
+        rows, depth, parent, is_right, name = pending.pop()
         index = len(nodes)
         if parent >= 0:
             nodes[parent][4 if is_right else 3] = index
@@ -93,12 +120,13 @@ def _grow(sample: np.ndarray, rng: np.random.Generator) -> list[tuple]:
         if depth >= limit or len(rows) <= 1 or not len(varying):
             nodes.append([index, -1, 0.0, -1, -1, depth + average_path(len(rows))])
             continue
-        feature = int(rng.choice(varying))
-        cut = float(rng.uniform(low[feature], high[feature]))
+        which, where, _ = _words(f"{seed}:{tree}:{name}")
+        feature = int(varying[which * len(varying) >> 32])
+        cut = float(low[feature] + where / 2**32 * (high[feature] - low[feature]))
         nodes.append([index, feature, cut, -1, -1, 0.0])
         goes_left = rows[:, feature] <= cut
-        pending.append((rows[~goes_left], depth + 1, index, True))
-        pending.append((rows[goes_left], depth + 1, index, False))
+        pending.append((rows[~goes_left], depth + 1, index, True, 2 * name + 1))
+        pending.append((rows[goes_left], depth + 1, index, False, 2 * name))
     return nodes
 
 
@@ -124,34 +152,33 @@ def raw_scores(trees: list[tuple[np.ndarray, ...]], sample_size: int, matrix: np
             goes_left = matrix[rows, np.maximum(split, 0)] <= cut[at]
             at = np.where(inner, np.where(goes_left, left[at], right[at]), at)
         total += length[at]
-    return np.exp2(-(total / len(trees)) / max(average_path(sample_size), 1e-12))
+    # rounded, so that scores that differ by the order of a sum only are equal
+    return np.round(np.exp2(-(total / len(trees)) / max(average_path(sample_size), 1e-12)), 12)
 
 
 def fit_forest(training: DataFrame, model: AnomalyModel, rows: int) -> Forest:
     """Each tree draws its own ``sample_size`` of all ``rows`` training rows and grows on an executor.
 
-    A row stands for a tree if the hash of (seed, row, tree) falls under a bound that lets a few more rows than needed
-    pass; the smallest hashes are taken. Samples depend on rows and seed only, whatever the partitioning. Only the nodes
-    come to the driver.
+    A row has a ticket, a hash of seed, source and time; a tree's draw of the row is a sum of products of ticket and tree.
+    A row stands for a tree if that falls under a bound that lets a few more rows than needed pass; the smallest draws are
+    taken. Samples depend on rows and seed only, whatever the partitioning. Only the nodes come to the driver.
     """
     size, seed = min(model.sample_size, rows), model.random_state
     share = (size + 6 * size**0.5 + 6) / rows
-    bound = int(share * 2**63) if share < 1 else 2**63 - 1
-    ticket = F.xxhash64("src_ip", F.col("window_start").cast("string"), F.lit(seed))
-    draw = lambda tree: F.shiftrightunsigned(F.xxhash64(F.col("ticket"), tree), 1)
-    passed = F.filter(F.sequence(F.lit(0), F.lit(model.n_estimators - 1)), lambda tree: draw(tree) <= bound)
+    bound = math.ceil(share * PRIME) if share < 1 else PRIME
+    factors = F.array(*[F.struct(*[F.lit(v).cast("bigint").alias(n) for n, v in zip("abc", key)]) for key in tree_factors(seed, model.n_estimators)])
+    one, two = ticket(seed)
+    trees = F.transform(factors, lambda f, i: F.struct(i.alias("tree"), ((F.col("one") * f["a"] % PRIME + F.col("two") * f["b"] % PRIME + f["c"]) % PRIME).alias("draw")))
     drawn = (
-        training.withColumn("ticket", ticket).withColumn("tree", F.explode(passed))
-        .select("tree", draw(F.col("tree")).alias("draw"), "src_ip", "window_start", *MODEL_FEATURES)
+        training.withColumns({"one": one, "two": two}).withColumn("chosen", F.filter(trees, lambda t: t["draw"] <= bound))
+        .select("src_ip", "window_start", *MODEL_FEATURES, F.inline("chosen"))
     )
 
     def grow(sample: pd.DataFrame) -> pd.DataFrame:
         chosen = sample.sort_values(["draw", "src_ip", "window_start"]).head(size)
         tree = int(chosen["tree"].iloc[0])
         matrix = chosen[list(MODEL_FEATURES)].to_numpy(dtype="float64")
-        nodes = pd.DataFrame(
-            _grow(matrix, np.random.default_rng([seed, tree])), columns=["node", "feature", "cut", "left", "right", "length"]
-        )
+        nodes = pd.DataFrame(_grow(matrix, seed, tree), columns=["node", "feature", "cut", "left", "right", "length"])
         nodes.insert(0, "tree", tree)
         return nodes
 

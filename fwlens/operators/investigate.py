@@ -160,13 +160,33 @@ def incident_events(logs: DataFrame, incidents: DataFrame) -> DataFrame:
     return related.select("incident_id", *EVENT_COLUMNS, "row_id")
 
 
+def incident_extremes(logs: DataFrame, incidents: DataFrame) -> DataFrame:
+    """incident_id, first, last: the first and last related event of every incident.
+
+    The log is rolled up to the first and last event of each (source, hour) once. Hours inside an incident are answered
+    by that table; single rows are joined only for the two hours at an incident's ends.
+    """
+    known = logs.select(*EVENT_COLUMNS, "row_id").withColumn("hour", F.date_trunc("hour", F.col("timestamp")).cast("timestamp_ntz"))
+    place, details = F.struct("timestamp", "row_id"), F.struct("timestamp", "action", "protocol", "dst_ip", "dst_port", "row_id")
+    hourly = known.groupBy("src_ip", "hour").agg(F.min_by(details, place).alias("first"), F.max_by(details, place).alias("last"))
+    cut = _hours(incidents).withColumn(
+        "at_end", F.col("hour").isin(F.date_trunc("hour", "start_time").cast("timestamp_ntz"), F.date_trunc("hour", "end_time").cast("timestamp_ntz"))
+    )
+    inside = cut.where("NOT at_end").join(hourly, ["src_ip", "hour"]).select("incident_id", "first", "last")
+    edges = (
+        known.join(cut.where("at_end"), ["src_ip", "hour"])
+        .where(F.col("timestamp").between(F.col("start_time"), F.col("end_time")))
+        .groupBy("incident_id").agg(F.min_by(details, place).alias("first"), F.max_by(details, place).alias("last"))
+    )
+    earliest, latest = F.struct("first.timestamp", "first.row_id"), F.struct("last.timestamp", "last.row_id")
+    return inside.unionByName(edges).groupBy("incident_id").agg(
+        F.min_by("first", earliest).alias("first"), F.max_by("last", latest).alias("last")
+    )
+
+
 def incident_timeline(logs: DataFrame, alerts: DataFrame, incidents: DataFrame) -> DataFrame:
     """First related event, related alerts and last related event of every incident, by time."""
-    place = F.struct("timestamp", "row_id")
-    details = F.struct("timestamp", "action", "protocol", "dst_ip", "dst_port")
-    ends = incident_events(logs, incidents).groupBy("incident_id").agg(
-        F.min_by(details, place).alias("first"), F.max_by(details, place).alias("last")
-    )
+    ends = incident_extremes(logs, incidents)
     entries = F.array(
         F.struct(F.lit(0).alias("step"), F.lit("First related event").alias("activity"), F.col("first").alias("e")),
         F.struct(F.lit(2).alias("step"), F.lit("Last related event").alias("activity"), F.col("last").alias("e")),

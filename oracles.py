@@ -373,6 +373,79 @@ FALLBACK = (
     "The combined behavior differs from the dataset baseline; no single feature exceeded 1.5 times its median."
 )
 
+def _forest(trees: int = 200, seed: int = 42, size: int = 256, contamination: float = 0.02, threshold: float = 60) -> str:
+    """Isolation forest over ``features``: samples and cuts by hash, all trees grown and walked level by level."""
+    levels = max(1, (size - 1).bit_length())
+    prime = 2**31 - 1
+    word = "('0x' || substr({0}, {1}, 8))::BIGINT"
+    values = ", ".join(f"coalesce((CAST({c} AS DOUBLE) - q_{c}[2]) / CASE WHEN q_{c}[3] - q_{c}[1] = 0 THEN 1 ELSE q_{c}[3] - q_{c}[1] END, 0)" for c in SCALED)
+    quantiles = ", ".join(f"quantile_cont(CAST({c} AS DOUBLE), [0.25, 0.5, 0.75]) AS q_{c}" for c in SCALED)
+    lows, highs = (", ".join(f"{f}(f[{i}])" for i in range(1, len(SCALED) + 1)) for f in ("min", "max"))
+    path = "CASE WHEN {0} <= 1 THEN 0 WHEN {0} = 2 THEN 1 ELSE 2 * (ln({0} - 1) + 0.5772156649015329) - 2 * ({0} - 1) / {0} END"
+    parts = [f"""
+levels_of AS (SELECT {quantiles} FROM features),
+scaled AS (
+  SELECT src_ip, window_start, [{values}] AS f, has_reliable_normal_label AS normal, md5('{seed}|' || src_ip || '|' || epoch_us(window_start)) AS h
+  FROM features CROSS JOIN levels_of
+),
+rows_of AS MATERIALIZED (
+  SELECT *, row_number() OVER (ORDER BY src_ip, window_start) AS r, {word.format("h", 1)} % {prime} AS one, {word.format("h", 9)} % {prime} AS two,
+    normal OR (SELECT count(*) FILTER (WHERE normal) FROM scaled) < 5 AS trains FROM scaled
+),
+trees AS (
+  SELECT tree, {word.format("h", 1)} % {prime - 1} + 1 AS a, {word.format("h", 9)} % {prime - 1} + 1 AS b, {word.format("h", 17)} % {prime} AS c
+  FROM (SELECT tree, md5('{seed}:' || tree) AS h FROM range({trees}) t(tree))
+),
+drawn AS (
+  SELECT tree, r, row_number() OVER (PARTITION BY tree ORDER BY (one * a % {prime} + two * b % {prime} + c) % {prime}, r) AS place
+  FROM rows_of CROSS JOIN trees WHERE trains
+),
+at_0 AS MATERIALIZED (
+  SELECT t.tree, r.r, r.f, 1::BIGINT AS node, coalesce(d.place <= {size}, false) AS sampled
+  FROM rows_of r CROSS JOIN trees t LEFT JOIN drawn d ON d.tree = t.tree AND d.r = r.r
+),
+depths AS (SELECT ceil(log2(greatest(count(*) FILTER (WHERE sampled), 2)))::INTEGER AS most FROM at_0 WHERE tree = 0)"""]
+    for level in range(levels + 1):
+        parts.append(f"""
+nodes_{level} AS MATERIALIZED (
+  SELECT tree, node, n, low, high, list_filter(range(1, {len(SCALED) + 1}), lambda i: high[i] > low[i]) AS varying, md5('{seed}:' || tree || ':' || node) AS h
+  FROM (SELECT tree, node, count(*) AS n, [{lows}] AS low, [{highs}] AS high FROM at_{level} WHERE sampled GROUP BY tree, node)
+),
+cuts_{level} AS MATERIALIZED (
+  SELECT tree, node, n, CASE WHEN n > 1 AND len(varying) > 0 AND {level} < most THEN feature END AS feature,
+    low[feature] + ({word.format("h", 9)} / 4294967296.0::DOUBLE) * (high[feature] - low[feature]) AS cut
+  FROM (SELECT *, varying[({word.format("h", 1)} * len(varying) >> 32) + 1] AS feature FROM nodes_{level}) CROSS JOIN depths
+),
+ended_{level} AS (
+  SELECT tree, r, {level} + {path.format("n")} AS length FROM at_{level} JOIN cuts_{level} USING (tree, node) WHERE feature IS NULL
+),
+at_{level + 1} AS MATERIALIZED (
+  SELECT tree, r, f, 2 * node + CASE WHEN f[feature] <= cut THEN 0 ELSE 1 END AS node, sampled
+  FROM at_{level} JOIN cuts_{level} USING (tree, node) WHERE feature IS NOT NULL
+)""")
+    ended = " UNION ALL ".join(f"SELECT * FROM ended_{level}" for level in range(levels + 1))
+    parts.append(f"""
+sampled_rows AS (SELECT count(*)::DOUBLE AS n FROM at_0 WHERE tree = 0 AND sampled),
+raw AS (
+  SELECT src_ip, window_start, trains,
+    round(pow(2, -(total / {trees}) / greatest((SELECT {path.format("n")} FROM sampled_rows), 1e-12)), 12) AS raw_score
+  FROM rows_of JOIN (SELECT r, sum(length) AS total FROM ({ended}) GROUP BY r) USING (r)
+),
+bounds AS (SELECT min(raw_score) AS low, max(raw_score) AS high, quantile_cont(-raw_score, {contamination}) FILTER (WHERE trains) AS cut FROM raw),
+judged AS (
+  SELECT src_ip, window_start, raw_score, CASE WHEN high > low THEN round_even((raw_score - low) / (high - low) * 100, 2) ELSE 0 END AS score,
+    CASE WHEN -raw_score < cut THEN -1 ELSE 1 END AS prediction
+  FROM raw CROSS JOIN bounds
+),
+anomalies AS (
+  SELECT f.*, j.raw_score, j.score, j.prediction, j.prediction = -1 AND j.score >= {threshold} AS is_ai_anomaly, coalesce(t.text, '{FALLBACK}') AS ai_explanation
+  FROM judged j JOIN features f USING (src_ip, window_start) LEFT JOIN texts t USING (src_ip, window_start)
+)""")
+    return ",".join(parts).lstrip()
+
+
+FOREST = ",\n".join((FEATURES, MEDIANS, EXPLANATIONS, _forest()))
+
 COUNTS = """count(*) AS total_events, count(*) FILTER (WHERE action = 'ALLOW') AS allowed_events,
   count(*) FILTER (WHERE action = 'BLOCK') AS blocked_events,
   round(count(*) FILTER (WHERE action = 'BLOCK') / count(*), 6) AS blocked_ratio,
@@ -546,6 +619,19 @@ card AS (
         "anomaly_explanations": over(LOGS, FEATURES, MEDIANS, EXPLANATIONS, select=f"""
   SELECT src_ip, window_start, coalesce(text, '{FALLBACK}') AS ai_explanation
   FROM features LEFT JOIN texts USING (src_ip, window_start)"""),
+        "isolation_forest": over(LOGS, FOREST, select=f"""
+  SELECT {FEATURE_COLUMNS}, score AS ai_anomaly_score, round(raw_score, 6) AS raw_anomaly_score,
+    prediction AS isolation_forest_prediction, is_ai_anomaly, ai_explanation FROM anomalies"""),
+        "anomaly_view": over(LOGS, FOREST, select=f"""
+  SELECT src_ip, window_start, connection_count, unique_dst_ips, unique_dst_ports, round(blocked_ratio, 6) AS blocked_ratio,
+    bytes_sent_total, score AS ai_anomaly_score, is_ai_anomaly, ai_explanation FROM anomalies
+  WHERE is_ai_anomaly OR NOT (SELECT bool_or(is_ai_anomaly) FROM anomalies)
+  QUALIFY is_ai_anomaly OR row_number() OVER (ORDER BY score DESC, src_ip, window_start) <= 20"""),
+        "anomaly_chart": over(LOGS, FOREST, select="""
+  SELECT src_ip || ' | ' || strftime(window_start, '%Y-%m-%d %H:%M:%S') AS window_label, score AS ai_anomaly_score FROM anomalies
+  ORDER BY score DESC, src_ip, window_start LIMIT 30"""),
+        "anomalies_at_threshold": over(LOGS, FOREST, select="""
+  SELECT src_ip, window_start, score AS ai_anomaly_score FROM anomalies WHERE prediction = -1 AND score >= 85"""),
         "robust_scaling": over(LOGS, FEATURES, select="SELECT src_ip, window_start, " + ", ".join(
             f"round((x.{c} - q_{c}[2]) / coalesce(nullif(q_{c}[3] - q_{c}[1], 0), 1), 5) AS {c}" for c in SCALED)
             + " FROM features x CROSS JOIN (SELECT "

@@ -119,3 +119,24 @@ def test_zero_median_and_off_hours(spark):
 
 def test_forest_config_default():
     assert Config().ai_detection.n_estimators == 200
+
+
+def test_samples_and_trees_depend_on_rows_and_seed_alone(spark):
+    rows = windows(spark, n=60)
+    model = replace(MODEL, sample_size=16)
+    first = {r.src_ip: r.raw_anomaly_score for r in iforest.detect_anomalies(rows.repartition(5), model).scores.collect()}
+    again = {r.src_ip: r.raw_anomaly_score for r in iforest.detect_anomalies(rows.repartition(2), model).scores.collect()}
+    other = {r.src_ip: r.raw_anomaly_score for r in iforest.detect_anomalies(rows, replace(model, random_state=7)).scores.collect()}
+    assert first == again and len(first) == 60 and max(first, key=first.get) == max(other, key=other.get) == "10.0.0.59"
+
+
+def test_draws_are_even():
+    """Sums of products of a ticket: each tree takes about its share, and two trees rarely take the same rows."""
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    one, two = rng.integers(0, iforest.PRIME, (2, 20_000))
+    draws = [(one * a % iforest.PRIME + two * b % iforest.PRIME + c) % iforest.PRIME for a, b, c in iforest.tree_factors(42, 20)]
+    taken = [set(np.flatnonzero(d < iforest.PRIME // 50).tolist()) for d in draws]
+    assert all(330 < len(t) < 470 for t in taken)
+    assert max(len(a & b) for i, a in enumerate(taken) for b in taken[:i]) < 30

@@ -27,7 +27,7 @@ def plain(row):
 
 CHEAP = (
     "clean_logs", "cleaning_summary", "top_destination_ports", "asset_baseline", "large_transfer", "off_hours", "incidents",
-    "anomaly_explanations", "events_over_time", "incident_timeline",
+    "anomaly_explanations", "events_over_time", "incident_timeline", "isolation_forest", "anomalies_at_threshold",
 )
 
 

@@ -118,3 +118,19 @@ def test_report_tables(spark, alert_rows, config):
     assert [tuple(r)[1:] for r in report_tables.cleaning_table(summary).collect()][:2] == [("Original rows", 5), ("Final rows", 4)]
     row = spark.range(1).select(report_tables.report_summary_lines(F.lit(12345), F.lit(2), F.lit(1), F.lit(60)).alias("l")).first()
     assert row.l == ["- Log events: 12,345", "- Alerts: 2", "- Incidents: 1", "- Highest risk score: 60"]
+
+
+def test_extremes_from_hours_equal_all_related_events(spark, events):
+    """First and last events of incidents that begin, end and lie inside hours, with ties in time."""
+    import random
+
+    rng = random.Random(4)
+    logs = events([(rng.randrange(6 * 3600), {"src_ip": rng.choice("ab"), "dst_port": rng.randrange(9)}) for _ in range(400)])
+    spans = [(f"INC-{i:06d}", rng.choice("abc"), *sorted(rng.sample(range(6 * 3600), 2))) for i in range(40)]
+    rows = [(name, source, START + timedelta(seconds=low), START + timedelta(seconds=high)) for name, source, low, high in spans]
+    incidents = spark.createDataFrame(rows, "incident_id string, src_ip string, start_time timestamp_ntz, end_time timestamp_ntz")
+    found = {r.incident_id: (r.first.row_id, r.last.row_id) for r in investigate.incident_extremes(logs, incidents).collect()}
+    related = {}
+    for r in investigate.incident_events(logs, incidents).collect():
+        related.setdefault(r.incident_id, []).append((r.timestamp, r.row_id))
+    assert found == {name: (min(rows)[1], max(rows)[1]) for name, rows in related.items()} and len(found) > 20
