@@ -25,6 +25,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, functions as F
 
 from fwlens.llm.components import connected_components
+from fwlens.llm.sharding import numbered
 from fwlens.session import checkpointed
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -220,14 +221,18 @@ def near_vectors(embeddings: DataFrame, threshold: float = THRESHOLD, tile_rows:
     usable = F.col("vec_id").isNotNull() & (F.size(vector) > 0) & finite & nonzero
     # adding zero turns negative zeros into zeros, so that equal vectors are one class
     rows = embeddings.select("vec_id", F.when(usable, F.transform(vector, lambda x: x + F.lit(0.0))).alias("vector"))
+    # numbered in the order of their ids, as an id may name several vectors; a group's first class has its smallest id
     classes = checkpointed(
-        rows.where(F.col("vector").isNotNull()).groupBy("vector")
-        .agg(F.min("vec_id").alias("class_id"), F.count(F.lit(1)).alias("weight"))
-        .withColumn("dim", F.size("vector"))
+        numbered(
+            rows.where(F.col("vector").isNotNull()).groupBy("vector")
+            .agg(F.min("vec_id").alias("class_id"), F.count(F.lit(1)).alias("weight"))
+            .withColumn("dim", F.size("vector")),
+            "class_id", "vector",
+        ).withColumnRenamed("row_no", "class_no")
     )
     axes = principal_axes(classes)
     width = _reach(threshold)
-    celled = classes.select("dim", F.col("class_id").alias("vec_id"), "weight", "vector").mapInPandas(
+    celled = classes.select("dim", F.col("class_no").alias("vec_id"), "weight", "vector").mapInPandas(
         _celled(axes, width), "dim int, vec_id bigint, weight bigint, vector array<double>, cx bigint, cy bigint, cz bigint, lead double"
     )
     sort_key = ["dim", "cx", "cy", "cz", "lead", "vec_id"]
@@ -259,12 +264,12 @@ def near_vectors(embeddings: DataFrame, threshold: float = THRESHOLD, tile_rows:
     one_by_one = joined.select("dim", "tile_a", "tile_b", "ids_a", "ids_b", "weights_a", "weights_b", "flat_a", "flat_b")
     found = checkpointed(one_by_one.mapInPandas(_compared(axes, threshold), "vec_id bigint, links bigint, root bigint"))
     groups = connected_components(found.select(F.col("vec_id").alias("a"), F.col("root").alias("b")))
-    counts = found.groupBy(F.col("vec_id").alias("class_id")).agg(F.sum("links").alias("links"))
-    per_class = classes.select("vector", "class_id", "weight").join(counts, "class_id", "left").join(
-        groups.select(F.col("node").alias("class_id"), "component"), "class_id", "left"
-    )
+    counts = found.groupBy(F.col("vec_id").alias("class_no")).agg(F.sum("links").alias("links"))
+    heads = classes.select(F.col("class_no").alias("component"), F.col("class_id").alias("first_id"))
+    of_class = groups.join(heads, "component").select(F.col("node").alias("class_no"), "first_id")
+    per_class = classes.select("vector", "class_no", "class_id", "weight").join(counts, "class_no", "left").join(of_class, "class_no", "left")
     labels = rows.join(per_class, "vector", "left")
-    component = F.coalesce("component", "class_id", "vec_id")
+    component = F.coalesce("first_id", "class_id", "vec_id")
     return labels.select(
         "vec_id", F.coalesce(F.col("weight") - 1 + F.coalesce("links", F.lit(0)), F.lit(0)).alias("n_links"),
         component.alias("component_id"), F.coalesce(component == F.col("vec_id"), F.lit(True)).alias("kept"),

@@ -12,8 +12,8 @@ differ; pairs inside a component cannot change the result. A pair of similarity
 probability (1 - 0.8^4)^32 = 5e-8. The estimate drops a pair only below 0.55, over six standard errors from 0.8.
 
 Cases: a null or blank text has the empty set, 0 shingles, and is linked with nothing; repeated rows and texts are one
-class; equal ids count as one document in :func:`near_duplicates`, equal rows in :func:`deduplicated`; an empty table gives
-an empty result; other columns are not read by :func:`near_duplicates` and pass through :func:`deduplicated`.
+class; different texts of one id, and texts without an id, are documents of their own; an empty table gives an empty
+result; other columns are not read by :func:`near_duplicates` and pass through :func:`deduplicated`.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from fwlens.llm import words as _words
 from fwlens.llm.components import connected_components
-from fwlens.llm.row_keys import KEY, row_keyed
+from fwlens.llm.row_keys import row_keyed
 from fwlens.session import checkpointed
 
 cloudpickle.register_pickle_by_value(_words)
@@ -147,7 +147,26 @@ def _links(pairs: DataFrame, texts: DataFrame, percent: int, length: int) -> Dat
 
 
 def near_duplicates(documents: DataFrame, length: int = 4, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept, class_id (smallest id of the same word sequence)."""
+    """doc_id, n_shingles, component_id, kept, class_id (smallest id of the same word sequence).
+
+    Different texts of one id, and texts without an id, are compared as documents of their own. A group's id is the smallest
+    of its ids; where none has one, the group has none, and its first row is kept.
+    """
+    keyed, key = row_keyed(documents.select("doc_id", "text"), ["text"])
+    found = _compared_rows(keyed.select(F.col(key).alias("doc_id"), "text"), length, percent).withColumnRenamed("doc_id", key)
+    rows = found.join(keyed.select(key, "doc_id").distinct(), key)
+    ids = [
+        rows.groupBy(of).agg(F.min("doc_id").alias(name)) for of, name in (("component_id", "first_id"), ("class_id", "first_of_class"))
+    ]
+    named = rows.join(ids[0], "component_id").join(ids[1], "class_id")
+    kept = F.when(F.col("first_id").isNull(), F.col("kept")).otherwise(F.coalesce(F.col("doc_id") == F.col("first_id"), F.lit(False)))
+    return named.select(
+        "doc_id", "n_shingles", F.col("first_id").alias("component_id"), kept.alias("kept"), F.col("first_of_class").alias("class_id")
+    )
+
+
+def _compared_rows(documents: DataFrame, length: int, percent: int) -> DataFrame:
+    """The same columns for a table whose ids are keys of its distinct rows."""
     rows = documents.select("doc_id", "text")
     schema = "doc_id bigint, n_shingles bigint, class_key binary, keys array<bigint>, packed array<bigint>, parity array<bigint>"
     prints = checkpointed(rows.mapInPandas(_fingerprints(length), schema))
@@ -213,7 +232,7 @@ def near_duplicates(documents: DataFrame, length: int = 4, percent: int = 80) ->
 def deduplicated(documents: DataFrame, length: int = 5, percent: int = 80) -> DataFrame:
     """The first document of each group, with all its columns. Of equal rows one stays; rows without an id, and different
     rows of one id, are compared as documents of their own."""
-    keyed = row_keyed(documents, documents.columns)
-    compared = near_duplicates(keyed.select(F.col(KEY).alias("doc_id"), "text"), length, percent)
-    kept = compared.where("kept").select(F.col("doc_id").alias(KEY)).distinct()
-    return keyed.join(kept, KEY).dropDuplicates([KEY]).drop(KEY)
+    keyed, key = row_keyed(documents, documents.columns)
+    compared = _compared_rows(keyed.select(F.col(key).alias("doc_id"), "text"), length, percent)
+    kept = compared.where("kept").select(F.col("doc_id").alias(key)).distinct()
+    return keyed.join(kept, key).dropDuplicates([key]).drop(key)

@@ -9,8 +9,9 @@ hash ranges, about as many ranges as the square root of a leaf's documents, so t
 DataFrame functions only.
 
 Cases: null languages and sources are leaves named ``unknown``; documents without words hold no tokens and are never
-drawn; rows with one id are drawn together or next to each other; an empty table gives an empty result; other columns are
-not read by :func:`draw` and pass through :func:`drawn_documents`.
+drawn; :func:`draw` names rows by their ids, so that rows with one id, or none, stand next to each other and cannot be
+told apart, while :func:`drawn_documents` tells rows apart by all their columns, and equal rows are drawn together; an
+empty table gives an empty result; other columns are not read by :func:`draw` and pass through :func:`drawn_documents`.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from fwlens.llm.row_keys import row_keyed
 from fwlens.llm.storage import stored
 
 LEAF = ("domain", "lang", "source")
@@ -76,19 +78,29 @@ def shared(amount: int, weights: list[float], room: list[int]) -> list[int]:
 
 def budgets(tokens: dict[tuple[str, ...], int], plan: MixPlan, amount: int) -> dict[tuple[str, ...], int]:
     """Token budget of each leaf path."""
+    children: dict[tuple[str, ...], list[tuple[str, ...]]] = {}
+    for leaf in sorted(tokens):
+        for depth in range(len(leaf)):
+            below = children.setdefault(leaf[:depth], [])
+            if not below or below[-1] != leaf[: depth + 1]:
+                below.append(leaf[: depth + 1])
+    weight = lambda path: plan.weights.get(path, plan.other_weight)
+    room = {leaf: plan.epochs * n for leaf, n in tokens.items()}
+    for path in sorted(children, key=len, reverse=True):
+        # a branch takes what those below it can be given; without weight they are given nothing
+        room[path] = sum(room[child] for child in children[path] if weight(child) > 0)
     found: dict[tuple[str, ...], int] = {}
 
     def descend(path: tuple[str, ...], given: int) -> None:
-        depth = len(path)
         if path in tokens:
             found[path] = given
             return
-        children = sorted({leaf[: depth + 1] for leaf in tokens if leaf[:depth] == path})
-        room = [plan.epochs * sum(n for leaf, n in tokens.items() if leaf[: depth + 1] == child) for child in children]
-        for child, part in zip(children, shared(given, [plan.weights.get(c, plan.other_weight) for c in children], room)):
+        below = children[path]
+        for child, part in zip(below, shared(given, [weight(c) for c in below], [room[c] for c in below])):
             descend(child, part)
 
-    descend((), amount)
+    if tokens:
+        descend((), amount)
     return found
 
 
@@ -120,8 +132,9 @@ def draw(documents: DataFrame, plan: MixPlan = PLAN) -> DataFrame:
     sums = rows.groupBy(*LEAF).agg(F.sum("n_tokens").alias("tokens"), F.count(F.lit(1)).alias("n")).collect()
     tokens = {tuple(row[c] for c in LEAF): row["tokens"] for row in sums}
     given = budgets(tokens, plan, sum(tokens.values()) * plan.budget_percent // 100) if tokens else {}
+    sizes = {tuple(row[c] for c in LEAF): row["n"] for row in sums}
     table = [
-        (*leaf, i, given[leaf] // tokens[leaf], given[leaf] % tokens[leaf], max(1, int(next(r["n"] for r in sums if tuple(r[c] for c in LEAF) == leaf) ** 0.5)))
+        (*leaf, i, given[leaf] // tokens[leaf], given[leaf] % tokens[leaf], max(1, int(sizes[leaf] ** 0.5)))
         for i, leaf in enumerate(sorted(tokens))
     ]
     leaves = spark.createDataFrame(table, "domain string, lang string, source string, leaf int, whole bigint, rest bigint, ranges bigint")
@@ -146,5 +159,6 @@ def draw(documents: DataFrame, plan: MixPlan = PLAN) -> DataFrame:
 
 def drawn_documents(documents: DataFrame, plan: MixPlan = PLAN) -> DataFrame:
     """Documents that a plan draws, each once and whole, with all their columns."""
-    chosen = draw(documents, plan).select(F.col("doc_id").alias("drawn_id")).distinct()
-    return documents.join(chosen, F.col("doc_id").eqNullSafe(F.col("drawn_id")), "left_semi")
+    keyed, key = row_keyed(documents, documents.columns)
+    chosen = draw(keyed.select(F.col(key).alias("doc_id"), "lang", "source", "text"), plan)
+    return keyed.join(chosen.select(F.col("doc_id").alias(key)).distinct(), key, "left_semi").drop(key)

@@ -21,7 +21,7 @@ BOILERPLATE = (
     "enable javascript", "subscribe to our newsletter", "click here", "sign up now", "lorem ipsum", "skip to content",
 )
 #: A line closes with one of these, perhaps followed by quotes or brackets.
-CLOSED = r"""[.!?:;…。][\x22\x27”’»)\]]*$"""
+MARKS, CLOSERS = ".!?:;…。", "\"'”’»)]"
 
 
 @dataclass(frozen=True)
@@ -99,7 +99,7 @@ def line_facts(line: Column) -> Column:
     return F.struct(
         line.alias("line"), (F.regexp_count(trimmed, F.lit(SPACE)) + 1).alias("n"),
         F.regexp_count(line, F.lit("[#*$%&<>!~=^_]")).alias("marks"), F.regexp_count(line, F.lit("[|»•·]")).alias("separators"),
-        F.right(trimmed, F.lit(8)).alias("end"),
+        F.right(F.rtrim(trimmed, F.lit(CLOSERS)), F.lit(1)).alias("end"),
     )
 
 
@@ -108,11 +108,11 @@ def line_passes(fact: Column, rules: LineRules) -> Column:
     littered = fact["marks"] * 100 > fact["n"] * rules.marks_per_100_words
     navigation = fact["separators"] * 100 > fact["n"] * rules.separators_per_100_words
     boilerplate = (fact["n"] <= rules.boilerplate_max_words) & F.lower(fact["line"]).rlike("|".join(BOILERPLATE))
-    return fact["end"].rlike(CLOSED) & ~littered & ~navigation & ~boilerplate
+    return fact["end"].isin(*MARKS) & ~littered & ~navigation & ~boilerplate
 
 
 def judged(documents: DataFrame, rules: LineRules = LineRules(), text: str = "text") -> DataFrame:
-    """All input columns and a struct ``verdict``: counts, cleaned text and the decision."""
+    """``row``, a struct of all input columns, and ``verdict``, one of counts, cleaned text and the decision."""
     body = F.coalesce(F.col(text), F.lit(""))
     has_word = lambda line: line.rlike(r"[^\x20\x09-\x0D]")
     parts = F.struct(
@@ -133,11 +133,11 @@ def judged(documents: DataFrame, rules: LineRules = LineRules(), text: str = "te
     failed = (c["n_words"] < rules.min_words) | (c["n_repeat_words"] * 100 > c["n_words"] * rules.repeat_percent)
     lossy = kept_chars * 100 < c["word_chars"] * (100 - rules.lost_percent)
     # a generator over one struct is not folded into what reads it: each step runs once per row
-    columns = [F.col(name) for name in documents.columns]
+    row = F.struct(*[F.col(f"`{name}`") for name in documents.columns]).alias("row")
     return (
-        documents.select(*columns, F.explode(F.array(parts)).alias("parts"))
-        .select(*columns, F.explode(F.array(counts)).alias("counts"))
-        .select(*columns, F.explode(F.array(c.withField("kept_chars", kept_chars).withField("base_failed", failed).withField("kept", ~failed & ~lossy))).alias("verdict"))
+        documents.select(row, F.explode(F.array(parts)).alias("parts"))
+        .select("row", F.explode(F.array(counts)).alias("counts"))
+        .select("row", F.explode(F.array(c.withField("kept_chars", kept_chars).withField("base_failed", failed).withField("kept", ~failed & ~lossy))).alias("verdict"))
     )
 
 
@@ -145,10 +145,11 @@ def quality_table(documents: DataFrame, rules: LineRules = LineRules()) -> DataF
     """doc_id, the base counts, base_failed, kept, and the word characters that line rules left."""
     v = F.col("verdict")
     names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "kept_chars")
-    return judged(documents.select("doc_id", "text"), rules).select("doc_id", *[v[name].alias(name) for name in names])
+    return judged(documents.select("doc_id", "text"), rules).select("row.doc_id", *[v[name].alias(name) for name in names])
 
 
 def clean(documents: DataFrame, rules: LineRules = LineRules()) -> DataFrame:
     """Kept documents with all their columns; the text holds the lines that passed."""
     rows = judged(documents, rules).where(F.col("verdict")["kept"])
-    return rows.withColumn("text", F.col("verdict")["clean_text"]).select(*documents.columns)
+    text = F.col("verdict")["clean_text"].alias("text")
+    return rows.select(*[text if name == "text" else F.col("row")[name].alias(name) for name in documents.columns])

@@ -180,7 +180,8 @@ def train(documents: DataFrame, labels: DataFrame, settings: TreeSettings = Tree
     usable = labels.where(F.col("quality").isin(0, 1) & ~held_out()).groupBy("doc_id").agg(F.min("quality").alias("label"))
     order = [F.xxhash64(F.col("doc_id"), F.lit(settings.seed)), F.col("doc_id")]
     chosen = usable.orderBy(*order).limit(settings.train_rows)
-    rows = documents.select("doc_id", "text").join(chosen, "doc_id").dropDuplicates(["doc_id"])
+    # of several texts of one id the least serves, wherever the rows lie
+    rows = documents.select("doc_id", "text").join(chosen, "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text"))
     fields = ", ".join(f"{name} double" for name in FEATURES)
     table = rows.mapInPandas(_table_rows, f"doc_id bigint, label int, {fields}").toPandas().sort_values("doc_id")
     return grow(table[list(FEATURES)].to_numpy(dtype=float), table["label"].to_numpy(dtype=float), settings)

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import re
+
 from fwlens.llm import quality_rules, sharding
 
 _RULES = quality_rules.LineRules()
-_CLOSED = quality_rules.CLOSED.replace("'", "''")
+_CLOSED = rf"[{quality_rules.MARKS}][{re.escape(quality_rules.CLOSERS)}]*$".replace("'", "''")
 
 _FAR = 1 << 50
 CRC_TABLE = """crc_table AS (
@@ -38,7 +40,7 @@ line_facts AS (
 kept_lines AS (
     SELECT doc_id, sum(length(regexp_replace(line, '[\x20\x09-\x0D]+', '', 'g'))) AS kept_chars
     FROM line_facts
-    WHERE regexp_matches(right(t, 8), '{_CLOSED}')
+    WHERE regexp_matches(t, '{_CLOSED}')
       AND marks * 100 <= n * {_RULES.marks_per_100_words} AND separators * 100 <= n * {_RULES.separators_per_100_words}
       AND NOT (n <= {_RULES.boilerplate_max_words} AND regexp_matches(lower(line), '{"|".join(quality_rules.BOILERPLATE)}'))
     GROUP BY doc_id),

@@ -35,7 +35,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, functions as F
 
 from fwlens.llm import words as _words
-from fwlens.llm.row_keys import KEY, row_keyed
+from fwlens.llm.row_keys import free_name, row_keyed
 
 cloudpickle.register_pickle_by_value(_words)
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -274,27 +274,29 @@ def _cut(window: int):
     return run
 
 
-def _with_spans(keyed: DataFrame, columns: list[str], window: int, gram: int) -> DataFrame:
-    rows = keyed.select(F.col(KEY).alias("doc_id"), "text")
+def _with_spans(keyed: DataFrame, key: str, window: int, gram: int) -> DataFrame:
+    """doc (the key), doc_id, text, spans."""
+    rows = keyed.select(F.col(key).alias("doc_id"), "text")
     spans = repeat_spans(rows, window, gram).groupBy("doc").agg(F.collect_list(F.struct("pos", "n")).alias("spans"))
-    narrow = keyed.select(*columns, F.col(KEY).alias("doc"))
-    return narrow.join(spans, "doc", "left").select(*columns, "spans")
+    return keyed.select(F.col(key).alias("doc"), "doc_id", "text").join(spans, "doc", "left")
 
 
 def repeat_digests(documents: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256."""
-    rows = _with_spans(row_keyed(documents.select("doc_id", "text"), ["text"]), ["doc_id", "text"], window, gram)
-    return rows.mapInPandas(_digests(window), "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string")
+    rows = _with_spans(*row_keyed(documents.select("doc_id", "text"), ["text"]), window, gram)
+    return rows.select("doc_id", "text", "spans").mapInPandas(_digests(window), "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string")
 
 
 def without_repeats(documents: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """Documents without the covered words, white space after kept words as it was; a document that loses its last
     word goes. All columns stay."""
-    keyed = row_keyed(documents, ["text"])
-    narrow = _with_spans(keyed, [KEY, "text"], window, gram)
-    cut = narrow.where("spans IS NOT NULL").mapInPandas(_cut(window), f"{KEY} bigint, text string, whole boolean")
-    texts = cut.select(KEY, F.col("text").alias("cut_text"), F.lit(True).alias("was_cut"))
-    joined = keyed.join(texts.dropDuplicates([KEY]), KEY, "left")
-    text = F.when(F.col("was_cut"), F.col("cut_text")).otherwise(F.col("text"))
-    kept = joined.where("was_cut IS NULL OR cut_text IS NOT NULL")
-    return kept.select(*[text.alias("text") if c == "text" else F.col(c) for c in documents.columns])
+    keyed, key = row_keyed(documents, ["text"])
+    narrow = _with_spans(keyed, key, window, gram).select("doc", "text", "spans")
+    cut = narrow.where("spans IS NOT NULL").mapInPandas(_cut(window), "doc bigint, text string, whole boolean")
+    change = free_name(documents.columns, "change")
+    texts = cut.select(F.col("doc").alias(key), F.struct("text").alias(change)).dropDuplicates([key])
+    joined = keyed.join(texts, key, "left")
+    was_cut, left = F.col(change).isNotNull(), F.col(change)["text"]
+    kept = joined.where(~was_cut | left.isNotNull())
+    text = F.when(was_cut, left).otherwise(F.col("text"))
+    return kept.select(*[text.alias("text") if c == "text" else F.col(f"`{c}`") for c in documents.columns])
