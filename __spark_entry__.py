@@ -26,6 +26,7 @@ from fwlens.functions.columns import normal_action, service_name
 from fwlens.functions.scoring import severity_of, severity_rank
 from fwlens.operators import baseline, clean, correlate, detect, explain, features, iforest, investigate, quantiles
 from fwlens.operators import report_tables, traffic
+from fwlens.session import settled
 from fwlens.sources.schema_map import map_log_schema
 
 def _optional(name: str):
@@ -281,7 +282,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "large_transfer": lambda s, d: _shown(detect.detect_large_transfer(fw_logs(s, d), CONFIG)),
         "off_hours": _off_hours,
         "baseline_port_scan": lambda s, d: _shown(
-            detect.detect_port_scan(fw_logs(s, d), ADAPTIVE, baseline.compute_baseline(fw_logs(s, d), ADAPTIVE))
+            detect.detect_port_scan(fw_logs(s, d), ADAPTIVE, settled(baseline.compute_baseline(fw_logs(s, d), ADAPTIVE)))
         ),
         "subnet_large_transfer": lambda s, d: _shown(
             detect.detect_large_transfer(fw_logs(s, d), SUBNETS, baseline.compute_baseline(fw_logs(s, d), SUBNETS))

@@ -50,6 +50,21 @@ _MOVED = (
     (rf"^({_PLAIN_CLOCK})[ ,]+(\S.*)$", "$2 $1"),
     (_DAY_NAME + rf"([A-Za-z]{{3,9}}\.?\s+\d{{1,2}}),?\s+({_PLAIN_CLOCK})\s+(\d{{4}})$", "$1 $3 $2"),
 )
+# The usual form, which needs no rewriting.
+_USUAL = r"^\d{4}[-/.]\d{1,2}[-/.]\d{1,2}[T ]\d{1,2}:\d{1,2}(?::\d{1,2}(?:[.,]\d{1,9})?)?\s*(?:Z|[+-]\d{2}:?\d{2})?$"
+# Forms that lack something, rewritten in this order: "at" before the time, zone names (which are read past), hours without
+# minutes, dates without a day or month.
+_COMPLETED = (
+    (r"(?:^|\s+)at\s+(?=\d)", " "),
+    (r"^ ", ""),
+    (r"(:\d{2}(?:[.,]\d+)?|[aApP][mM])\s+(?!UTC|GMT)[A-Z]{3,5}$", "$1"),
+    (r"(?<![:\d.,])(\d{1,2})\s*([aApP][mM])\b", "$1:00 $2"),
+    (r"^(\d{4}[-/.]\d{1,2}[-/.]\d{1,2}[T ]\d{2}|\d{8}T\d{2})$", "$1:00"),
+    (r"^(\d{4})[-/.](\d{1,2})$", "$1-$2-1"),
+    (r"^(\d{1,2})[-/](\d{4})$", "$2-$1-1"),
+    (r"^([A-Za-z]{3,9})\.?[ ,-]+(\d{4})$", "$2 $1 1"),
+    (r"^(\d{4})[ -]([A-Za-z]{3,9})$", "$1 $2 1"),
+)
 #: Microseconds in one unit of a numeric epoch time.
 EPOCH_UNITS = {"s": 1_000_000.0, "ms": 1000.0, "us": 1.0, "ns": 0.001}
 
@@ -83,24 +98,31 @@ def real_part(text: Column) -> Column:
 
 
 def _shape(text: Column, date: str, places: tuple[int, int, int]) -> Column:
-    """Fields of a text of one shape as an array of text, empty where the text has another one."""
-    groups = [F.regexp_extract(text, date + _CLOCK, i) for i in (*places, 4, 5, 6, 7, 8, 9)]
-    return F.when(text.rlike(date + _CLOCK), F.array(*groups))
+    """Fields of a text of one shape as an array of text, taken apart by one replacement; NULL where it has another."""
+    fields = "\x01".join(f"${i}" for i in (*places, 4, 5, 6, 7, 8, 9))
+    return F.when(text.rlike(date + _CLOCK), F.split(F.regexp_replace(text, date + _CLOCK, fields), "\x01"))
+
+
+def _rewritten(text: Column) -> Column:
+    """Times of day, compact and incomplete forms brought to the shapes that are taken apart."""
+    # yyyyMMddHHmmss and yyyyMMddTHHmm[ss] get separators first
+    spread = F.regexp_replace(text, r"^(\d{8})[T ]?(\d{2})(\d{2})(\d{2})?(?=$|[.,Z+-])", "$1T$2:$3:$4")
+    spread = F.regexp_replace(spread, r":(?=$|[.,Z+-])", "")
+    for form, order in (*_COMPLETED, *_MOVED):
+        spread = F.regexp_replace(spread, form, order)
+    return F.when(text.rlike(_USUAL), text).otherwise(spread)
 
 
 def timestamp_of(text: Column, epoch_unit: str | None = None) -> Column:
     """Mixed-format text to a naive UTC timestamp; unparseable values become NULL.
 
     The first shape that fits gives the fields, which make one timestamp; a text of no shape is never parsed. Compact
-    dates may run into their time of day. Years of two digits lie within fifty years of today's. Zoned times become UTC.
-    Plain numbers are epoch times if a unit is given.
+    dates may run into their time of day. Years of two digits lie within fifty years of today's. Offsets become UTC, names
+    of zones other than UTC and GMT are read past. A missing day is the first, missing minutes are none. Plain numbers are
+    epoch times if a unit is given.
     """
     unit = EPOCH_UNITS[epoch_unit] if epoch_unit else None
-    # yyyyMMddHHmmss and yyyyMMddTHHmm[ss] get separators first
-    spread = F.regexp_replace(text, r"^(\d{8})[T ]?(\d{2})(\d{2})(\d{2})?(?=$|[.,Z+-])", "$1T$2:$3:$4")
-    spread = F.regexp_replace(spread, r":(?=$|[.,Z+-])", "")
-    for shape, order in _MOVED:
-        spread = F.regexp_replace(spread, shape, order)
+    spread = _rewritten(text)
     parts = F.coalesce(*[_shape(spread, date, places) for date, places in _DATES])
 
     def made(p: Column) -> Column:

@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from fwlens.config import Config
+from fwlens.config import Baselining, Config
 from fwlens.functions.columns import bucket_start, col_or, flag, non_negative
 from fwlens.functions.net import asset_key
 from fwlens.operators.quantiles import histogram, quantiles
@@ -66,6 +67,21 @@ def compute_baseline(history: DataFrame, config: Config) -> DataFrame:
     return result
 
 
+def own_threshold(events: Column, level: Column, settings: Baselining) -> Column:
+    """An asset's own threshold: its level times a factor, floor included; NULL where its history is too short or empty."""
+    own = F.greatest(F.lit(float(settings.min_threshold_floor)), level * settings.deviation_multiplier)
+    return F.when((events >= settings.min_history_events) & (level > 0), own)
+
+
+def threshold_columns(own: Column, level: Column, fallback: Column, kind: str) -> dict[str, Column]:
+    """The threshold in force, where it comes from, and the level it was made of."""
+    return {
+        "threshold": F.coalesce(own, fallback.cast("double")).cast(kind),
+        "threshold_source": F.when(own.isNotNull(), "per_asset_baseline").otherwise("global_config"),
+        "asset_baseline_value": F.when(own.isNotNull(), level),
+    }
+
+
 @dataclass(frozen=True)
 class ThresholdRule:
     """Threshold of one metric: the asset's own level times a factor, or the global value."""
@@ -76,10 +92,19 @@ class ThresholdRule:
     baselines: DataFrame | None = None
     whole: bool = True
 
-    @property
+    @cached_property
     def bound(self) -> int | None:
-        """The threshold as a plain number when it is one for all sources."""
-        return int(self.global_value) if self.baselines is None and isinstance(self.global_value, (int, float)) else None
+        """The largest threshold that any source can have, as a plain number.
+
+        With baselines it is read from them by one aggregate over a row per asset, so they should be a stored table.
+        """
+        if not isinstance(self.global_value, (int, float)):
+            return None
+        if self.baselines is None:
+            return int(self.global_value)
+        own = own_threshold(F.col("event_count"), F.col(METRICS[self.metric]), self.config.baselining)
+        largest = self.baselines.agg(F.max(own)).first()[0]
+        return int(max(self.global_value, largest or 0))
 
     def attach(self, df: DataFrame) -> DataFrame:
         """Adds threshold, threshold_source and asset_baseline_value to a frame with ``src_ip``.
@@ -97,29 +122,18 @@ class ThresholdRule:
                 }
             )
         settings = self.config.baselining
-        level = F.col("_level")
-        known = F.coalesce((F.col("_events") >= settings.min_history_events) & (level > 0), F.lit(False))
-        own = F.greatest(F.lit(float(settings.min_threshold_floor)), level * settings.deviation_multiplier)
+        level = F.col(METRICS[self.metric])
         side = self.baselines.select(
-            F.col("asset_key").alias("_asset"), F.col("event_count").alias("_events"), F.col(METRICS[self.metric]).alias("_level")
+            F.col("asset_key").alias("_asset"), level.alias("_level"), own_threshold(F.col("event_count"), level, settings).alias("_own")
         )
         key = asset_key(F.col("src_ip"), settings.group_by, settings.subnet_prefix_length)
-        return (
-            df.join(side, key == F.col("_asset"), "left")
-            .withColumns(
-                {
-                    "threshold": F.when(known, own).otherwise(fallback.cast("double")).cast(kind),
-                    "threshold_source": F.when(known, "per_asset_baseline").otherwise("global_config"),
-                    "asset_baseline_value": F.when(known, F.bround(level, 2)),
-                }
-            )
-            .drop("_asset", "_events", "_level")
-        )
+        joined = df.join(side, key == F.col("_asset"), "left")
+        return joined.withColumns(threshold_columns(F.col("_own"), F.col("_level"), fallback, kind)).drop("_asset", "_level", "_own")
 
 
 def effective_thresholds(baselines: DataFrame, config: Config, global_bytes: float | None = None) -> DataFrame:
-    """(asset_key, metric, threshold, threshold_source, asset_baseline_value) for every known asset."""
-    settings = config.baselining
+    """(asset_key, metric, threshold, threshold_source, asset_baseline_value) for every known asset, by the rule that the
+    detectors apply."""
     globals_ = {
         "blocked_rate": config.brute_force.blocked_attempts,
         "unique_ports": config.port_scan.unique_ports,
@@ -132,14 +146,10 @@ def effective_thresholds(baselines: DataFrame, config: Config, global_bytes: flo
             for m, g in globals_.items()
         ]
     )
-    known = (F.col("event_count") >= settings.min_history_events) & (F.col("level") > 0)
-    own = F.greatest(F.lit(float(settings.min_threshold_floor)), F.col("level") * settings.deviation_multiplier)
+    own = own_threshold(F.col("event_count"), F.col("level"), config.baselining)
+    columns = threshold_columns(own, F.col("level"), F.col("global_value"), "double")
     return baselines.select("asset_key", "event_count", F.inline(rows)).select(
-        "asset_key",
-        "metric",
-        F.when(known, own).otherwise(F.col("global_value")).alias("threshold"),
-        F.when(known, "per_asset_baseline").otherwise("global_config").alias("threshold_source"),
-        F.when(known, F.col("level")).alias("asset_baseline_value"),
+        "asset_key", "metric", *[c.alias(name) for name, c in columns.items()]
     )
 
 

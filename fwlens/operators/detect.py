@@ -77,7 +77,7 @@ def _threshold_evidence(observed: str) -> dict[str, str]:
         "threshold_source": "threshold_source",
         "effective_threshold": "threshold",
         "observed_value": observed,
-        "asset_baseline_value": "asset_baseline_value",
+        "asset_baseline_value": "bround(asset_baseline_value, 2)",
     }
 
 

@@ -473,6 +473,31 @@ OWN_PORTS = """JOIN (
       CASE WHEN known THEN round_even(level, 2) END AS asset_baseline_value
     FROM effective WHERE metric = 'unique_ports') own USING (src_ip)"""
 
+
+def _own(metric: str, fallback: str = "threshold") -> str:
+    """Each source's own threshold of a metric, else the global one."""
+    return OWN_PORTS.replace("unique_ports", metric).replace("floor(threshold)", f"CASE WHEN known THEN floor(threshold) ELSE {fallback} END")
+
+
+# Alerts of a run with baselining by the threshold that they passed.
+MODES = ",\n".join((
+    LIMIT, OFF, _scan("ownp", "dst_port", _own("unique_ports")), _scan("ownh", "dst_ip", _own("unique_dsts")),
+)) + f""",
+own_burst AS (
+  SELECT src_ip, threshold, threshold_source, count(*) OVER (PARTITION BY src_ip ORDER BY timestamp
+    RANGE BETWEEN INTERVAL '{WINDOW * 60 - 1}.999999 seconds' PRECEDING AND CURRENT ROW) AS n
+  FROM fw {_own("blocked_rate")} WHERE action = 'BLOCK' AND dst_port IN (22, 23, 3389)
+),
+own_large AS (
+  SELECT timestamp, src_ip, dst_ip, arg_min(CASE WHEN known THEN 'per_asset_baseline' ELSE 'global_config' END, row_id) AS threshold_source
+  FROM fw CROSS JOIN lim JOIN effective e ON e.asset_key = src_ip AND metric = 'bytes_sent'
+  WHERE bytes_sent >= CASE WHEN known THEN threshold ELSE lim END GROUP BY timestamp, src_ip, dst_ip
+),
+sources AS (
+  SELECT threshold_source FROM ownp UNION ALL SELECT threshold_source FROM ownh UNION ALL SELECT threshold_source FROM own_large
+  UNION ALL SELECT any_value(threshold_source) FROM own_burst WHERE n >= threshold GROUP BY src_ip UNION ALL SELECT 'global_config' FROM off
+)"""
+
 TIMELINE = """
 related AS (
   SELECT incident_id, fw.* FROM fw JOIN incidents i ON fw.src_ip = i.src_ip AND fw.timestamp BETWEEN i.start_time AND i.end_time
@@ -632,6 +657,9 @@ card AS (
   ORDER BY score DESC, src_ip, window_start LIMIT 30"""),
         "anomalies_at_threshold": over(LOGS, FOREST, select="""
   SELECT src_ip, window_start, score AS ai_anomaly_score FROM anomalies WHERE prediction = -1 AND score >= 85"""),
+        "threshold_modes": over(LOGS, ASSET, THRESHOLDS, MODES, select="""
+  SELECT CASE threshold_source WHEN 'per_asset_baseline' THEN 'per-asset' ELSE 'global' END AS threshold_mode, count(*) AS alerts
+  FROM sources GROUP BY 1"""),
         "robust_scaling": over(LOGS, FEATURES, select="SELECT src_ip, window_start, " + ", ".join(
             f"round((x.{c} - q_{c}[2]) / coalesce(nullif(q_{c}[3] - q_{c}[1], 0), 1), 5) AS {c}" for c in SCALED)
             + " FROM features x CROSS JOIN (SELECT "

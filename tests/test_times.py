@@ -15,6 +15,10 @@ FORMS = [
     "26/7/26 09:25", "13-07-26", "7/4/75 1:02:03 PM", "7/4/77", "99/07/04 09:25:27", "26-Jul-26 09:25:27", "26 Jul 26", "Jul 26, 26 09:25",
     "09:25:27 26 Jul 2026", "09:25 07/26/2026", "09:25:27.5 2026-07-26", "9:25 PM Jul 26 2026", "Jul/26/2026 09:25:27", "Jul-26-2026",
     "2026-Jul-26 09:25:27", "Foo/26/2026 09:25:27", "7/4/26 25:00:00", "31/31/26", "09:25:27 nothing",
+    "2026-07-26 9 PM", "2026-07-26T09", "2026-07-26 09", "2026-07-26 9", "2026-07-26 24", "2026-07-26 13 PM", "Jul 26 2026 9PM", "7/26/2026 9 AM",
+    "20260726T09", "2026-07", "2026/07", "2026.07", "2026-13", "07/2026", "7-2026", "July 2026", "Jul-2026", "July, 2026", "2026 Jul", "2026-07-26 at 09:25",
+    "26 July 2026 at 9 pm", "at 09:25 2026-07-26", "2026-07-26 09:25 EST", "2026-07-26 09:25:27 PDT", "2026-07-26 9PM EST", "2026-07-26 09:25 Europe",
+    "2026-07-26 09:25:27.5 PM", "26 JUL 2026", "2026-07-26T09:25:27.123456789Z", "2026-07-26 9:25:27+0200", "12:30 AM 7/4/2026",
 ]
 
 

@@ -1,6 +1,9 @@
 """Trailing windows against plain loops, with tied times and several thresholds."""
 
+import io
 import random
+import re
+from contextlib import redirect_stdout
 from collections import defaultdict
 from datetime import timedelta
 
@@ -107,6 +110,25 @@ def test_threshold_per_source(spark):
     assert [(h.src_ip, h.threshold, h.threshold_source, h.asset_baseline_value) for h in hits] == [("a", 6, "per_asset_baseline", 2.0)]
 
 
+def test_surplus_values_go_before_the_shuffle_with_baselines(spark):
+    """The largest threshold of the run bounds what each (source, slot) may send."""
+    # one hot slot with far more distinct values than any threshold asks for
+    rows = [(t % 50, "hot", t, t) for t in range(4000)] + [(t, "calm", t, 9000 + t) for t in range(6)]
+    data = frame(spark, rows, 60 * SECOND)
+    usual = spark.createDataFrame([("hot", 100, 4.0), ("calm", 100, 9.0)], "asset_key string, event_count bigint, unique_ports_median double")
+    config = Config().with_baselining(True)
+    rule = ThresholdRule("unique_ports", 3, config, usual)
+    factor = config.baselining.deviation_multiplier
+    assert rule.bound == int(9 * factor)
+    hits = first_distinct_window(data, "value", 60 * SECOND, rule)
+    assert [(h.src_ip, h.threshold) for h in hits.collect()] == [("hot", int(4 * factor))]
+    shown = io.StringIO()
+    with redirect_stdout(shown):
+        hits.explain("simple")
+    limits = re.findall(r"WindowGroupLimit .*, (\d+), \w+", shown.getvalue())
+    assert limits and set(limits) == {str(rule.bound)}, limits
+
+
 def test_numbering(spark):
     df = spark.range(500).select((F.col("id") % 7).alias("a"), (F.col("id") % 5).alias("b"), "id")
     rows = numbered(df, ("a", "b", "id"), "place").orderBy("a", "b", "id").collect()
