@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import os
 import sys
+import uuid
 from collections.abc import Callable
 from dataclasses import replace
 from datetime import date
@@ -26,7 +27,9 @@ from fwlens.functions.columns import normal_action, service_name
 from fwlens.functions.scoring import severity_of, severity_rank
 from fwlens.operators import baseline, clean, correlate, detect, explain, features, iforest, investigate, quantiles
 from fwlens.operators import report_tables, traffic
-from fwlens.session import settled
+from fwlens.plans.analysis import Analysis, run_summary, score_anomalies
+from fwlens.session import checkpointed, ensure_checkpoint_dir, settled
+from fwlens.sources import sinks
 from fwlens.sources.schema_map import map_log_schema
 
 def _optional(name: str):
@@ -198,6 +201,68 @@ def _asset_key(spark, sf):
     )
 
 
+def _folder(spark, name: str) -> str:
+    """A folder of its own on the storage that executors share."""
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext.getCheckpointDir().rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def _run_summary(spark, sf):
+    """The whole run over the raw log; the cleaning counters come from the write of the cleaned rows."""
+    mapping = map_log_schema(fw_raw(spark, sf))
+    cleaned = clean.clean_logs(mapping, row_id="Event ID").materialized(_folder(spark, "flagged"))
+    run = detect.run_all_detectors(cleaned.logs, CONFIG, mapping.mapped)
+    analysis = Analysis(mapping, cleaned, run, checkpointed(correlate.correlate_alerts(run.stored, CONFIG)))
+    scores = checkpointed(score_anomalies(cleaned.logs, CONFIG).scores)
+    flows = checkpointed(traffic.flows(cleaned.logs))
+    sources = traffic.top_source_ips(cleaned.logs, analysis.alerts, analysis.incidents, 10, flows)
+    row = run_summary(analysis, scores, sources, traffic.top_destination_ports(cleaned.logs, 10, flows), CONFIG)
+    mapped = F.array_join(F.transform(F.map_entries("mapped_columns"), lambda e: F.concat(e["key"], F.lit("="), e["value"])), "; ")
+    return row.withColumns({
+        "mapped_columns": mapped, "unavailable_columns": F.array_join("unavailable_columns", ", "),
+        "skipped_detectors": F.array_join("skipped_detectors", ", "),
+    })
+
+
+def _partial(spark, sf) -> clean.CleanedLogs:
+    """A log that holds times, sources, destinations and ports only."""
+    columns = ["Event ID", "Generated Time", "Source address", "Destination address", "Destination Port"]
+    return clean.clean_logs(map_log_schema(fw_raw(spark, sf).select(*columns)), row_id="Event ID")
+
+
+def _partial_mapping(spark, sf):
+    cleaned = _partial(spark, sf)
+    skipped = detect.skipped_detectors(cleaned.mapped)
+    return cleaned.logs.agg(
+        F.count(F.lit(1)).alias("events"), F.lit(", ".join(cleaned.mapped)).alias("mapped"), F.lit(", ".join(cleaned.unavailable)).alias("unavailable"),
+        F.lit(", ".join(skipped)).alias("skipped"),
+    )
+
+
+def _partial_alerts(spark, sf):
+    cleaned = _partial(spark, sf)
+    return _shown(detect.run_all_detectors(cleaned.logs, CONFIG, cleaned.mapped).alerts).drop("alert_id")
+
+
+def _cleaned_columns(spark, sf):
+    root = _folder(spark, "clean")
+    stored = spark.read.parquet(sinks.export_cleaned_columns(_cleaned(spark, sf).logs, root))
+    return stored.select(
+        "row_id", "timestamp", "src_ip", "dst_ip", "src_port", "dst_port", "protocol", "action", "bytes_sent", "bytes_received", "label"
+    )
+
+
+def _incident_lookup(spark, sf):
+    stored = spark.read.parquet(sinks.export_by_key(_incident_rows(_incidents(spark, sf)), _folder(spark, "incidents"), "incident_id"))
+    return investigate.incident_by_id(stored, "INC-000007").select("incident_id", "src_ip", "start_time", "end_time", "risk_score", "explanation")
+
+
+def _baseline_lookup(spark, sf):
+    baselines = baseline.compute_baseline(fw_logs(spark, sf), ADAPTIVE)
+    stored = spark.read.parquet(sinks.export_by_key(baselines, _folder(spark, "baselines"), "asset_key"))
+    return _rounded(baseline.baseline_of(stored, "10.0.1.5"))
+
+
 def _features(spark, sf):
     return features.build_features(fw_logs(spark, sf), CONFIG)
 
@@ -310,6 +375,17 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "anomalies_at_threshold": lambda s, d: iforest.anomalies_only(iforest.flag_anomalies(_anomalies(s, d), 85)).select(
             "src_ip", "window_start", "ai_anomaly_score"
         ),
+        "run_summary": _run_summary,
+        "partial_mapping": _partial_mapping,
+        "partial_alerts": _partial_alerts,
+        "partial_features": lambda s, d: _rounded(features.build_features(_partial(s, d).logs, CONFIG)),
+        "cleaned_columns": _cleaned_columns,
+        "incident_view": lambda s, d: investigate.incident_view(_incident_rows(_incidents(s, d))),
+        "incident_lookup": _incident_lookup,
+        "baseline_lookup": _baseline_lookup,
+        "destination_networks": lambda s, d: _cleaned(s, d).logs.groupBy(net.asset_key(F.col("dst_ip"), "subnet24", 24).alias("network")).agg(
+            F.count(F.lit(1)).alias("events")
+        ),
         "kpi_summary": _with_alerts(traffic.kpi_summary),
         "severity_histogram": lambda s, d: traffic.severity_histogram(_incidents(s, d)),
         "action_counts": lambda s, d: traffic.action_counts(fw_logs(s, d)),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass, replace
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Observation, functions as F
 
 from fwlens.functions.columns import flag, normal_action, real_part, strip, timestamp_of, whole_part
 from fwlens.functions.net import is_ip
@@ -24,6 +24,8 @@ class CleanedLogs:
     flagged: DataFrame
     mapped: dict[str, str]
     unavailable: tuple[str, ...]
+    #: The summary's counters, where a write has taken them.
+    counted: dict[str, int] | None = None
 
     @property
     def logs(self) -> DataFrame:
@@ -31,17 +33,25 @@ class CleanedLogs:
 
     @property
     def summary(self) -> DataFrame:
-        return cleaning_summary(self.flagged)
+        """One row of counters, from the write that has passed all rows, else by a scan."""
+        if self.counted is None:
+            return cleaning_summary(self.flagged)
+        fields = ", ".join(f"{name} bigint" for name in self.counted)
+        return self.flagged.sparkSession.createDataFrame([tuple(self.counted.values())], fields)
 
     def materialized(self, path: str) -> "CleanedLogs":
         """Write the flagged rows once to shared storage, so that every later operator scans columns of a table.
 
-        Rows are laid out by date: the AQE rebalance splits large dates and merges small ones.
+        Rows are laid out by date: the AQE rebalance splits large dates and merges small ones. The summary is observed on
+        the rows as they are written, behind the exchange, where a task that runs again counts once.
         """
         spark = self.flagged.sparkSession
         dated = self.flagged.withColumn("event_date", F.to_date("timestamp"))
-        dated.hint("rebalance", "event_date").write.mode("overwrite").partitionBy("row_valid", "event_date").parquet(path)
-        return replace(self, flagged=spark.read.schema(dated.schema).parquet(path).drop("event_date"))
+        counters = Observation()
+        spread = dated.hint("rebalance", "event_date").observe(counters, *summary_counters())
+        spread.write.mode("overwrite").partitionBy("row_valid", "event_date").parquet(path)
+        stored = spark.read.schema(dated.schema).parquet(path).drop("event_date")
+        return replace(self, flagged=stored, counted=counters.get)
 
 
 def _all(conditions: list[Column]) -> Column:
@@ -124,12 +134,16 @@ def clean_logs(mapped: MappedLogs, row_id: str | None = None, epoch_unit: str |
 
 def cleaning_summary(flagged: DataFrame) -> DataFrame:
     """One row: nulls count every source row, the invalid counters count distinct rows and may overlap."""
+    return flagged.agg(*summary_counters())
+
+
+def summary_counters() -> list[Column]:
     copies = F.col("copies")
 
     def total(c: Column, name: str) -> Column:
         return F.coalesce(F.sum(c), F.lit(0)).cast("bigint").alias(name)
 
-    return flagged.agg(
+    return [
         total(copies, "original_row_count"),
         total(flag(F.col("row_valid")), "final_row_count"),
         total(copies - 1, "duplicate_rows_removed"),
@@ -138,4 +152,4 @@ def cleaning_summary(flagged: DataFrame) -> DataFrame:
         total(flag(F.col("bad_port")), "invalid_ports"),
         total(copies * F.col("null_cells"), "missing_values"),
         total(flag(F.col("bad_bytes")), "invalid_bytes"),
-    )
+    ]

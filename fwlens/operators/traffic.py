@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from fwlens.functions.columns import col_or, flag, ratio, service_name
 from fwlens.functions.scoring import SEVERITIES
+from fwlens.session import checkpointed
 
 RANKING_KEYS = ("src_ip", "dst_ip", "dst_port")
 
@@ -57,8 +58,9 @@ def top_source_ips(
     flow_rows: DataFrame | None = None,
 ) -> DataFrame:
     distinct = {"unique_dst_ips": "dst_ip", "unique_dst_ports": "dst_port"}
-    top = _ranking(flows(logs) if flow_rows is None else flow_rows, "src_ip", distinct, top_n)
-    wanted = F.broadcast(top.select("src_ip"))  # at most top_n rows
+    # at most top_n rows, kept so that what is joined to them does not rank again
+    top = checkpointed(_ranking(flows(logs) if flow_rows is None else flow_rows, "src_ip", distinct, top_n))
+    wanted = F.broadcast(top.select("src_ip"))
     for name, frame, measure in (
         ("alert_count", alerts, lambda: F.count(F.lit(1))),
         ("highest_incident_risk_score", incidents, lambda: F.max("risk_score")),
@@ -190,10 +192,9 @@ def events_over_time(logs: DataFrame) -> DataFrame:
 
 def observed_counts(logs: DataFrame, scores: DataFrame | None = None) -> DataFrame:
     """One row: distinct sources, distinct destination ports and the highest anomaly score."""
-    kinds = logs.agg(
-        F.countDistinct("src_ip").alias("source_ips"),
-        F.countDistinct(col_or(logs, "dst_port", None, "int")).alias("destination_ports"),
-    )
+    # pairs meet on the map side, so the two distinct counts expand them and not the log
+    pairs = logs.select("src_ip", col_or(logs, "dst_port", None, "int").alias("dst_port")).distinct()
+    kinds = pairs.agg(F.countDistinct("src_ip").alias("source_ips"), F.countDistinct("dst_port").alias("destination_ports"))
     if scores is None:
         return kinds.withColumn("highest_ai_score", F.lit(0.0))
     best = scores.agg(F.coalesce(F.max("ai_anomaly_score"), F.lit(0.0))).scalar()

@@ -18,7 +18,7 @@ from fwlens.operators.traffic import flows, top_destination_ips, top_destination
 from fwlens.operators.windows import id_order
 from fwlens.session import checkpointed, require_utc
 from fwlens.sources import sinks
-from fwlens.sources.readers import load_logs
+from fwlens.sources.readers import input_errors, load_logs, rejected_records
 from fwlens.sources.schema_map import MappedLogs, map_log_schema, require_dataset
 
 
@@ -48,16 +48,18 @@ def analyze(raw: DataFrame, config: Config, work_dir: str, baselines: DataFrame
     require_dataset(raw)
     mapping = map_log_schema(raw, config.aliases)
     require_dataset(mapping.df, ("timestamp", "src_ip"))
-    cleaned = clean_logs(mapping, epoch_unit=config.epoch_unit or None).materialized(f"{work_dir}/flagged_logs")
+    with input_errors():
+        cleaned = clean_logs(mapping, epoch_unit=config.epoch_unit or None).materialized(f"{work_dir}/flagged_logs")
     require_dataset(cleaned.logs)
     run = run_all_detectors(cleaned.logs, config, mapping.mapped, baselines)
     return Analysis(mapping, cleaned, run, correlate_alerts(run.stored, config))
 
 
-def score_anomalies(logs: DataFrame, config: Config) -> AnomalyResult:
+def score_anomalies(logs: DataFrame, config: Config, features: DataFrame | None = None) -> AnomalyResult:
+    """Scores of the log's windows, whose ``features`` may have been built before."""
     if not config.ai_detection.enabled:
         return AnomalyResult(disabled_anomalies(logs.sparkSession), "AI detection is disabled.")
-    return detect_anomalies(build_features(logs, config), config.ai_detection)
+    return detect_anomalies(build_features(logs, config) if features is None else features, config.ai_detection)
 
 
 def run_summary(
@@ -94,11 +96,21 @@ def run_summary(
     )
 
 
-def run_job(spark: SparkSession, input_path: str, output_root: str, config: Config) -> dict[str, str]:
-    """Analyse a log and write every result under ``output_root``; returns the written paths."""
-    analysis = analyze(load_logs(spark, input_path), config, f"{output_root}/work")
+def run_job(
+    spark: SparkSession, input_path: str, output_root: str, config: Config, multi_line: bool = False, check_utf8: bool = False,
+    keep_rejected: bool = False,
+) -> dict[str, str]:
+    """Analyse a log and write every result under ``output_root``; returns the written paths.
+
+    ``multi_line`` reads CSV records that span lines, ``check_utf8`` looks for undecodable text first, and ``keep_rejected``
+    writes records that cannot be read to a table of their own instead of failing.
+    """
+    with input_errors():
+        raw = load_logs(spark, input_path, multi_line=multi_line, check_utf8=check_utf8, keep_rejected=keep_rejected)
+    analysis = analyze(raw, config, f"{output_root}/work")
     incidents = checkpointed(analysis.incidents)
-    result = score_anomalies(analysis.logs, config)
+    features = checkpointed(build_features(analysis.logs, config)) if config.ai_detection.enabled else None
+    result = score_anomalies(analysis.logs, config, features)
     flow_rows = checkpointed(flows(analysis.logs))
     sources = top_source_ips(analysis.logs, analysis.alerts, incidents, config.top_n, flow_rows)
     ports = top_destination_ports(analysis.logs, config.top_n, flow_rows)
@@ -118,12 +130,15 @@ def run_job(spark: SparkSession, input_path: str, output_root: str, config: Conf
     }
     paths = {
         "cleaned": sinks.export_cleaned(analysis.logs.orderBy("timestamp", "row_id"), output_root),
+        "cleaned_columns": sinks.export_cleaned_columns(analysis.logs, output_root),
         "alerts": sinks.export_alerts(alerts_table(analysis.alerts).orderBy(*id_order("alert_id")), output_root),
         "incidents": sinks.export_incidents(incidents_table(incidents).orderBy("start_time", *id_order("incident_id")), output_root),
     }
     for name, table in tables.items():
         paths[name.rsplit("/", 1)[-1].removesuffix(".csv")] = sinks.export_csv(table, f"{output_root}/{name}")
-    if config.ai_detection.enabled:
-        features = build_features(analysis.logs, config).orderBy("window_start", "src_ip")
-        paths["features"] = sinks.export_csv(features, f"{output_root}/ai/features.csv")
+    if features is not None:
+        paths["features"] = sinks.export_csv(features.orderBy("window_start", "src_ip"), f"{output_root}/ai/features.csv")
+    if keep_rejected:
+        rejected = rejected_records(spark, input_path, multi_line=multi_line)
+        paths["rejected"] = sinks.export_parquet(rejected, f"{output_root}/rejected.parquet")
     return paths

@@ -36,6 +36,19 @@ def export_cleaned(logs: DataFrame, output_root: str) -> str:
     return export_csv(logs, f"{output_root}/cleaned/cleaned_logs.csv")
 
 
+def export_cleaned_columns(logs: DataFrame, output_root: str) -> str:
+    """The cleaned log as parquet by day. Ranges are cut by time, so that a busy day is several files and quiet ones share a
+    task, and rows lie in time order within each file."""
+    path, order = f"{output_root}/cleaned/cleaned_logs.parquet", ("event_date", "timestamp", "row_id")
+    dated = logs.withColumn("event_date", F.to_date("timestamp"))
+    return export_parquet(dated.repartitionByRange(*order).sortWithinPartitions(*order), path, ("event_date",))
+
+
+def export_by_key(table: DataFrame, path: str, *key: str) -> str:
+    """Parquet ranged and sorted by a key, so that a look-up by the key reads few row groups."""
+    return export_parquet(table.repartitionByRange(*key).sortWithinPartitions(*key), path)
+
+
 def export_alerts(alerts: DataFrame, output_root: str) -> str:
     return export_csv(alerts, f"{output_root}/alerts/alerts.csv")
 

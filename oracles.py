@@ -85,6 +85,21 @@ summary AS (
   FROM checked
 )"""
 
+# The cleaned raw log as the log that everything else reads.
+CLEANED = RAW.replace("\nfw AS (", "\nfw_given AS (") + """,
+fw AS (
+  SELECT row_id, timestamp, src_ip, dst_ip, CAST(trunc(sp) AS INTEGER) AS src_port, CAST(trunc(dp) AS INTEGER) AS dst_port, protocol, action,
+    bytes_sent, bytes_received, label, epoch_us(timestamp) AS us
+  FROM checked WHERE NOT (bad_time OR bad_ip OR bad_port OR bad_bytes)
+)"""
+# The same of a log that lacks most columns: only those supplied are checked.
+PARTIAL = RAW.replace("\nfw AS (", "\nfw_given AS (") + """,
+fw AS (
+  SELECT row_id, timestamp, src_ip, dst_ip, CAST(trunc(dp) AS INTEGER) AS dst_port, 'UNKNOWN' AS protocol, 'UNKNOWN' AS action, 0::BIGINT AS bytes_sent,
+    0::BIGINT AS bytes_received, CAST(NULL AS VARCHAR) AS label, epoch_us(timestamp) AS us
+  FROM checked WHERE NOT (bad_time OR bad_ip) AND coalesce(dp BETWEEN 0 AND 65535, false)
+)"""
+
 WINDOW = 720
 W_US = WINDOW * 60_000_000
 SETS = """count(*) AS event_count, min(timestamp) AS first_seen, max(timestamp) AS last_seen,
@@ -657,6 +672,31 @@ card AS (
   ORDER BY score DESC, src_ip, window_start LIMIT 30"""),
         "anomalies_at_threshold": over(LOGS, FOREST, select="""
   SELECT src_ip, window_start, score AS ai_anomaly_score FROM anomalies WHERE prediction = -1 AND score >= 85"""),
+        "run_summary": over(CLEANED, ALERTS, INCIDENTS, FOREST, select="""
+  SELECT original_row_count AS input_rows, final_row_count AS cleaned_rows, (SELECT count(*) FROM alerts) AS alerts_detected,
+    (SELECT count(*) FROM incidents) AS incidents_created, (SELECT count(*) FROM anomalies WHERE is_ai_anomaly) AS ai_anomalies,
+    (SELECT max(score) FROM anomalies) AS highest_ai_score,
+    (SELECT src_ip FROM fw GROUP BY src_ip ORDER BY count(*) DESC, src_ip LIMIT 1) AS most_active_source_ip,
+    (SELECT CAST(dst_port AS VARCHAR) FROM fw GROUP BY dst_port ORDER BY count(*) DESC, dst_port LIMIT 1) AS most_frequent_destination_port,
+    false AS baselining_enabled, duplicate_rows_removed, invalid_timestamps, invalid_ip_addresses, invalid_ports, invalid_bytes, missing_values,
+    'timestamp=Generated Time; src_ip=Source address; dst_ip=Destination address; src_port=Source Port; dst_port=Destination Port; '
+      || 'protocol=src__Protocol; action=src__Action; bytes_sent=Bytes Sent; bytes_received=Bytes Received' AS mapped_columns,
+    '' AS unavailable_columns, '' AS skipped_detectors FROM summary"""),
+        "partial_alerts": over(PARTIAL, PORTS, HOSTS, select="SELECT * FROM pscan_alerts UNION ALL SELECT * FROM hscan_alerts"),
+        "partial_features": over(PARTIAL, FEATURES, select=f"SELECT {FEATURE_COLUMNS} FROM features"),
+        "partial_mapping": over(PARTIAL, select="""
+  SELECT count(*) AS events, 'timestamp, src_ip, dst_ip, dst_port' AS mapped,
+    'src_port, protocol, action, bytes_sent, bytes_received' AS unavailable,
+    'Repeated blocked connections, Large outbound transfer, Suspicious off-hours activity' AS skipped FROM fw"""),
+        "cleaned_columns": over(CLEANED, select="SELECT * EXCLUDE (us) FROM fw"),
+        "incident_view": over(*full, select="""
+  SELECT incident_id, src_ip, start_time, end_time, risk_score, severity, alert_types, alert_count FROM incidents"""),
+        "incident_lookup": over(*full, select="""
+  SELECT incident_id, src_ip, start_time, end_time, risk_score, explanation FROM incidents WHERE incident_id = 'INC-000007'"""),
+        "baseline_lookup": over(LOGS, ASSET, select=f"SELECT {BASELINE_COLUMNS} FROM baseline WHERE asset_key = '10.0.1.5'"),
+        "destination_networks": over(CLEANED, select="""
+  SELECT CASE WHEN contains(dst_ip, ':') THEN '2001:d00::/24' ELSE regexp_replace(dst_ip, '[0-9]+$', '0/24') END AS network, count(*) AS events
+  FROM fw GROUP BY 1"""),
         "threshold_modes": over(LOGS, ASSET, THRESHOLDS, MODES, select="""
   SELECT CASE threshold_source WHEN 'per_asset_baseline' THEN 'per-asset' ELSE 'global' END AS threshold_mode, count(*) AS alerts
   FROM sources GROUP BY 1"""),

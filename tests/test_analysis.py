@@ -2,6 +2,8 @@ import json
 from dataclasses import replace
 from datetime import timedelta
 
+import pytest
+
 from fwlens.config import AnomalyModel, Config
 from fwlens.plans.job import parse_args
 from fwlens.plans.analysis import run_job
@@ -57,3 +59,25 @@ def test_job_with_few_columns_and_without_model(spark, tmp_path):
 def test_arguments():
     args = parse_args(["--input", "x.csv", "--no-baseline"])
     assert (args.input, args.output, args.baselining) == ("x.csv", "outputs", False)
+
+
+def test_job_over_records_that_span_lines_and_broken_ones(spark, tmp_path):
+    log = tmp_path / "log.csv"
+    write_log(log)
+    log.write_text(log.read_text().replace(",attack\n", ',"two\nlines"\n', 1))
+    config = replace(Config(), ai_detection=AnomalyModel(enabled=False))
+    paths = run_job(spark, str(log), str(tmp_path / "lines"), config, multi_line=True)
+    assert spark.read.parquet(paths["cleaned_columns"]).filter("label = 'two\nlines'").count() == 1
+    write_log(log)
+    log.write_text(log.read_text() + "2026-07-01,10.0.0.1,a,1,2,tcp,allow,1,1,normal,surplus\n")
+    with pytest.raises(ValueError, match="not valid: .*surplus"):
+        run_job(spark, str(log), str(tmp_path / "broken"), config)
+    paths = run_job(spark, str(log), str(tmp_path / "kept"), config, keep_rejected=True)
+    assert [r.record.endswith("surplus") for r in spark.read.parquet(paths["rejected"]).collect()] == [True]
+    summary = read(spark, paths["run_summary"]).first()
+    assert (summary.input_rows, summary.cleaned_rows) == ("103", "101")
+    log.write_bytes(log.read_bytes() + b"2026-07-01,10.0.0.1,a,1,2,tcp,allow,1,1,caf\xe9\n")
+    with pytest.raises(ValueError, match="UTF-8"):
+        run_job(spark, str(log), str(tmp_path / "latin"), config, check_utf8=True, keep_rejected=True)
+    flags = parse_args(["--input", "x", "--multi-line", "--keep-rejected"])
+    assert (flags.multi_line, flags.keep_rejected, flags.check_utf8) == (True, True, False)
