@@ -6,7 +6,7 @@ from dataclasses import dataclass
 from functools import reduce
 from typing import Callable, Iterable
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Observation, functions as F
 
 from fwlens.config import ALERT_SECTIONS, Config
 from fwlens.functions.columns import hour_in
@@ -16,7 +16,7 @@ from fwlens.operators.quantiles import quantiles
 from fwlens.operators.windows import (
     MINUTE_US, combined_rows, first_count_window, first_distinct_window, numbered, rows_of_windows, with_time,
 )
-from fwlens.session import checkpointed, concurrently, settled
+from fwlens.session import checkpointed, concurrently, settled, written
 
 BURST, PORT_SCAN, HOST_SCAN, LARGE, OFF_HOURS = ALERT_SECTIONS
 
@@ -130,14 +130,17 @@ def _timed(logs: DataFrame, window_us: int) -> DataFrame:
     return with_time(known.select("timestamp", "src_ip", "dst_ip", "dst_port", "row_id"), window_us).drop("timestamp")
 
 
+def _burst_rows(config: Config) -> str:
+    return f"action = 'BLOCK' AND dst_port IN ({', '.join(map(str, config.brute_force.destination_ports))})"
+
+
 def detect_blocked_burst(
     logs: DataFrame, config: Config, baselines: DataFrame | None = None, settle: Settle = _as_is
 ) -> DataFrame:
     """First time per source with enough blocked connections to the sensitive ports inside the window."""
     cfg = config.brute_force
     window_us = cfg.window_minutes * MINUTE_US
-    ports = ", ".join(map(str, cfg.destination_ports))
-    rows = _timed(logs.filter(f"action = 'BLOCK' AND dst_port IN ({ports})"), window_us)
+    rows = _timed(logs.filter(_burst_rows(config)), window_us)
     rule = ThresholdRule("blocked_rate", cfg.blocked_attempts, config, baselines)
     hits = settle(first_count_window(rows, window_us, rule))
     found = _window_alert_rows(rows_of_windows(rows, hits, window_us, closed_left=False))
@@ -162,38 +165,98 @@ def detect_port_scan(
     logs: DataFrame, config: Config, baselines: DataFrame | None = None, settle: Settle = _as_is
 ) -> DataFrame:
     """First time per source with enough distinct destination ports inside the window."""
-    cfg = config.port_scan
-    rule = ThresholdRule("unique_ports", cfg.unique_ports, config, baselines)
-    found = _scan_rows(logs, "dst_port", cfg.window_minutes, rule, settle)
+    rule = ThresholdRule("unique_ports", config.port_scan.unique_ports, config, baselines)
+    return _port_scan_alerts(_scan_rows(logs, "dst_port", config.port_scan.window_minutes, rule, settle), config)
+
+
+def _port_scan_alerts(found: DataFrame, config: Config) -> DataFrame:
     evidence = _evidence(
         unique_destination_ports="size(ports)",
         ports_sample=f"slice(ports, 1, {SAMPLE})",
         **_threshold_evidence("size(ports)"),
     )
-    return _alerts(found, PORT_SCAN, cfg.window_minutes, evidence, config)
+    return _alerts(found, PORT_SCAN, config.port_scan.window_minutes, evidence, config)
 
 
 def detect_host_scan(
     logs: DataFrame, config: Config, baselines: DataFrame | None = None, settle: Settle = _as_is
 ) -> DataFrame:
     """First time per source with enough distinct destination addresses inside the window."""
-    cfg = config.host_scan
-    rule = ThresholdRule("unique_dsts", cfg.unique_destinations, config, baselines)
-    found = _scan_rows(logs, "dst_ip", cfg.window_minutes, rule, settle)
+    rule = ThresholdRule("unique_dsts", config.host_scan.unique_destinations, config, baselines)
+    return _host_scan_alerts(_scan_rows(logs, "dst_ip", config.host_scan.window_minutes, rule, settle), config)
+
+
+def _host_scan_alerts(found: DataFrame, config: Config) -> DataFrame:
     evidence = _evidence(
         unique_destinations="size(destinations)",
         destinations_sample=f"slice(destinations, 1, {SAMPLE})",
         **_threshold_evidence("size(destinations)"),
     )
-    return _alerts(found, HOST_SCAN, cfg.window_minutes, evidence, config, "'multiple'")
+    return _alerts(found, HOST_SCAN, config.host_scan.window_minutes, evidence, config, "'multiple'")
+
+
+def detect_scans(logs: DataFrame, config: Config, baselines: DataFrame | None = None, settle: Settle = _as_is) -> DataFrame:
+    """Port and host scans over windows of one length, from two scans of the log.
+
+    One rollup per (source, slot, destination, port) with first and last time serves both searches; the rows of all trigger
+    windows are fetched at once and kept.
+    """
+    window_us = config.port_scan.window_minutes * MINUTE_US
+    rows = _timed(logs, window_us)
+    rollup = rows.groupBy("src_ip", "slot", "dst_ip", "dst_port").agg(F.expr("min(us) AS first_us"), F.expr("max(us) AS last_us"))
+    rollup = checkpointed(rollup)
+    searches = {
+        PORT_SCAN: ("dst_port", ThresholdRule("unique_ports", config.port_scan.unique_ports, config, baselines)),
+        HOST_SCAN: ("dst_ip", ThresholdRule("unique_dsts", config.host_scan.unique_destinations, config, baselines)),
+    }
+    hits = [
+        first_distinct_window(rollup, value, window_us, rule).withColumn("kind", F.lit(kind)) for kind, (value, rule) in searches.items()
+    ]
+    window_rows = checkpointed(rows_of_windows(rows, settle(hits[0].unionByName(hits[1])), window_us, closed_left=True))
+    found = {
+        kind: _window_alert_rows(window_rows.filter(F.col("kind") == kind).drop("kind"), value) for kind, (value, _) in searches.items()
+    }
+    return _port_scan_alerts(found[PORT_SCAN], config).unionByName(_host_scan_alerts(found[HOST_SCAN], config))
 
 
-def large_threshold(logs: DataFrame, config: Config) -> DataFrame:
+def suspicious_rows(logs: DataFrame, config: Config, kinds: Iterable[str], baselines: DataFrame | None) -> tuple[DataFrame, float | None]:
+    """What the burst, transfer and off-hours detectors look at, kept from one scan of the log, and the byte threshold.
+
+    What the quantile needs of the transfers below the minimum, their number and the largest, is observed on the way; a
+    task that runs again counts once, since the rows are written without an exchange.
+    """
+    kinds, parts, columns = set(kinds), [], ["timestamp", "src_ip", "dst_ip", "dst_port", "row_id"]
+    minimum = config.large_transfer.minimum_bytes
+    columns += [name for name in ("action", "bytes_sent") if name in logs.columns]
+    if BURST in kinds:
+        parts.append(_burst_rows(config))
+    if LARGE in kinds:
+        parts.append(f"bytes_sent >= {_lowest_transfer(config, baselines)}")
+    picked = logs.select(*columns)
+    if OFF_HOURS in kinds:
+        picked = picked.withColumn("off", hour_in(F.col("timestamp"), config.off_hours.start_hour, config.off_hours.end_hour))
+        rare = f"dst_port IN ({', '.join(map(str, RARE_PORTS))})"
+        parts.append(f"off AND (action = 'BLOCK' OR {rare} OR bytes_sent >= {minimum})")
+    counts = Observation()
+    if LARGE in kinds:
+        below = f"CASE WHEN bytes_sent < {minimum} THEN bytes_sent END"
+        picked = picked.observe(counts, F.expr(f"count({below}) AS n"), F.expr(f"max({below}) AS largest"))
+    kept = written(picked.filter(" OR ".join(f"({part})" for part in parts)).select(*columns))
+    if LARGE not in kinds:
+        return kept, None
+    seen = counts.get
+    return kept, large_threshold(kept, config, (seen["n"], seen["largest"])).first()["threshold"]
+
+
+def large_threshold(logs: DataFrame, config: Config, below: tuple[int, int | None] | None = None) -> DataFrame:
     """One row: the larger of the byte minimum and the exact quantile of bytes_sent.
 
-    Values under the minimum matter only through their number and their largest one, so they travel as one group.
+    Values under the minimum matter only through their number and their largest one, so they travel as one group; where
+    both are known as ``below``, ``logs`` need not hold those rows.
     """
     cfg = config.large_transfer
+    if below is not None:
+        logs = logs.filter(f"bytes_sent >= {cfg.minimum_bytes}")
     hist = (
         logs.filter("bytes_sent IS NOT NULL")
         .selectExpr("bytes_sent", f"CASE WHEN bytes_sent < {cfg.minimum_bytes} THEN -1 ELSE bytes_sent END AS size_group")
@@ -201,10 +264,19 @@ def large_threshold(logs: DataFrame, config: Config) -> DataFrame:
         .agg(F.expr("max(bytes_sent) AS size"), F.expr("count(1) AS n"))
         .selectExpr("'all' AS scope", "cast(size AS double) AS value", "n")
     )
+    if below is not None and below[0]:
+        low = logs.sparkSession.createDataFrame([("all", float(below[1]), below[0])], "scope string, value double, n bigint")
+        hist = hist.unionByName(low)
     at = quantiles(hist, ["scope"], [cfg.percentile])
     return at.agg(F.expr(f"greatest(max(quantile), {float(cfg.minimum_bytes)!r}D) AS threshold"))
 
 
+def _lowest_transfer(config: Config, baselines: DataFrame | None) -> int:
+    """A constant lower bound of every possible threshold, which reaches the scan."""
+    lowest = config.large_transfer.minimum_bytes
+    return lowest if baselines is None else min(lowest, config.baselining.min_threshold_floor)
+
+
 def _limit(logs: DataFrame, config: Config, threshold: float | None) -> Column:
     """The byte threshold as a known number, or as a one-row subquery."""
     return large_threshold(logs, config).scalar() if threshold is None else F.lit(float(threshold))
@@ -216,9 +288,7 @@ def detect_large_transfer(
     """One alert per transfer at or above the threshold; transfers equal on time, source and target merge."""
     cfg = config.large_transfer
     rule = ThresholdRule("bytes_sent", _limit(logs, config, threshold), config, baselines, whole=False)
-    # a constant lower bound of every possible threshold reaches the scan
-    lowest = cfg.minimum_bytes if baselines is None else min(cfg.minimum_bytes, config.baselining.min_threshold_floor)
-    rows = logs.filter(f"bytes_sent >= {lowest}").select("timestamp", "src_ip", "dst_ip", "dst_port", "bytes_sent", "row_id")
+    rows = logs.filter(f"bytes_sent >= {_lowest_transfer(config, baselines)}").select("timestamp", "src_ip", "dst_ip", "dst_port", "bytes_sent", "row_id")
     large = rule.attach(rows).filter("bytes_sent >= threshold")
     details = "struct(dst_port, bytes_sent, threshold, threshold_source, asset_baseline_value)"
     kept = large.groupBy("timestamp", "src_ip", "dst_ip").agg(F.expr(f"min_by({details}, row_id) AS row"))
@@ -285,6 +355,8 @@ def run_all_detectors(
 ) -> AlertRun:
     """Every detector whose columns the source supplied, united and numbered by time.
 
+    The log is scanned three times: for the rows that burst, transfer and off-hours detectors share, for the rollup of both
+    scan detectors (if their windows are equally long), and for the rows of their trigger windows.
     The union is materialised once, because numbering reads it twice. ``baselines`` may come from a separate
     history; with baselining enabled and none given, they are computed from ``logs``.
     """
@@ -293,21 +365,33 @@ def run_all_detectors(
         baselines = None
     elif baselines is None:
         baselines = settle(compute_baseline(logs, config))
-    limit = None if LARGE in skipped else large_threshold(logs, config).first()["threshold"]
-    runs = {
-        BURST: lambda: detect_blocked_burst(logs, config, baselines, settle),
-        PORT_SCAN: lambda: detect_port_scan(logs, config, baselines, settle),
-        HOST_SCAN: lambda: detect_host_scan(logs, config, baselines, settle),
-        LARGE: lambda: detect_large_transfer(logs, config, baselines, limit),
-        OFF_HOURS: lambda: detect_off_hours(logs, config, limit),
-    }
-    wanted = [run for kind, run in runs.items() if kind not in skipped]
+    wanted = [kind for kind in ALERT_SECTIONS if kind not in skipped]
     if not wanted:
         none = _no_alerts(logs, config)
         return AlertRun(none, skipped, none)
-    # the detectors are independent of each other: their jobs share the cluster instead of queueing
-    parts = concurrently(logs.sparkSession, wanted)
-    stored = checkpointed(reduce(DataFrame.unionByName, parts))
+    scans = [kind for kind in (PORT_SCAN, HOST_SCAN) if kind in wanted]
+    others = [kind for kind in wanted if kind not in scans]
+
+    def scanned() -> list[DataFrame]:
+        if len(scans) == 2 and config.port_scan.window_minutes == config.host_scan.window_minutes:
+            return [detect_scans(logs, config, baselines, settle)]
+        of = {PORT_SCAN: detect_port_scan, HOST_SCAN: detect_host_scan}
+        return [of[kind](logs, config, baselines, settle) for kind in scans]
+
+    def picked() -> list[DataFrame]:
+        if not others:
+            return []
+        rows, limit = suspicious_rows(logs, config, others, baselines)
+        runs = {
+            BURST: lambda: detect_blocked_burst(rows, config, baselines, settle),
+            LARGE: lambda: detect_large_transfer(rows, config, baselines, limit),
+            OFF_HOURS: lambda: detect_off_hours(rows, config, limit),
+        }
+        return concurrently(logs.sparkSession, [runs[kind] for kind in others])
+
+    # both parts are independent of each other: their jobs share the cluster instead of queueing
+    parts = concurrently(logs.sparkSession, [scanned, picked])
+    stored = checkpointed(reduce(DataFrame.unionByName, [part for found in parts for part in found]))
     return AlertRun(number_alerts(stored), skipped, stored)
 
 

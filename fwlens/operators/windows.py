@@ -82,10 +82,12 @@ def first_distinct_window(rows: DataFrame, value: str, window_us: int, rule) ->
     """Per source, the first time at which [t - W, t] holds at least ``threshold`` distinct values.
 
     Only the first and last occurrence of a value within a slot can matter: inside one slot its occurrences are
-    never more than W apart. So the first step reduces the log to one row per (source, slot, value).
+    never more than W apart. So the first step reduces the log to one row per (source, slot, value). ``rows`` may be reduced
+    before, to ``first_us`` and ``last_us`` of several columns' values together.
     """
+    first, last = ("first_us", "last_us") if "first_us" in rows.columns else ("us", "us")
     seen = rows.groupBy("src_ip", "slot", F.col(value).alias("value")).agg(
-        F.expr("min(us) AS first_us"), F.expr("max(us) AS last_us")
+        F.expr(f"min({first}) AS first_us"), F.expr(f"max({last}) AS last_us")
     )
     # the count asks for both times, so that one shuffle of ``seen`` serves it and the join below
     counted = seen.groupBy("src_ip", "slot").agg(F.expr("count_if(first_us <= last_us) AS n"))

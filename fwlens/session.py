@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
+import uuid
 from concurrent.futures import ThreadPoolExecutor
 from typing import Callable, Sequence, TypeVar
 
@@ -67,6 +69,28 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """Write ``df`` once as parquet beside the checkpoints and read it back, so that each reader scans its columns only.
+
+    The folder goes when the driver's program ends.
+    """
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext.getCheckpointDir().rstrip('/')}/rows-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+
+    def remove():
+        try:
+            target = jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(conf).delete(target, True)
+        except Exception:  # the session may have ended before; the folder belongs to it
+            pass
+
+    atexit.register(remove)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 # A broadcast side is held by the driver and every executor: at some 100 bytes per row this stays near 50 MB.
 BROADCAST_ROWS = 500_000
 

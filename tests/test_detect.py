@@ -1,4 +1,5 @@
 import json
+import random
 from dataclasses import replace
 
 import pytest
@@ -120,3 +121,28 @@ def test_baselines_make_the_difference(events, config):
     off = detect.detect_port_scan(events(scan), config).collect()
     assert {a.src_ip for a in off} == {"busy", "quiet"}
     assert all(a.evidence.threshold_source == "global_config" and a.evidence.observed_value == 20 for a in off)
+
+
+@pytest.mark.parametrize("baselining", [False, True])
+@pytest.mark.parametrize("host_minutes", [1, 2])
+def test_one_run_equals_its_detectors(spark, events, small_windows, host_minutes, baselining):
+    """What detectors share does not change what each of them finds, with ties in time and missing values."""
+    rng = random.Random(host_minutes)
+    rows = []
+    for _ in range(1500):
+        rows.append((rng.randrange(7200) - 3600 * 7, {
+            "src_ip": rng.choice(["a", "a", "a", "b", "c", None]), "dst_ip": rng.choice([None, *"uvwxyz"]), "dst_port": rng.choice([None, 22, 23, 80, 443, 3306]),
+            "action": rng.choice(["BLOCK", "ALLOW"]), "bytes_sent": rng.choice([None, 5, 900, 10_000_000, 10_000_001 + rng.randrange(50)]),
+        }))
+    logs = events(rows)
+    config = replace(small_windows, host_scan=replace(small_windows.host_scan, window_minutes=host_minutes)).with_baselining(baselining)
+    history = compute_baseline(logs, config) if baselining else None
+    limit = detect.large_threshold(logs, config).first()["threshold"]
+    single = [
+        detect.detect_blocked_burst(logs, config, history), detect.detect_port_scan(logs, config, history),
+        detect.detect_host_scan(logs, config, history), detect.detect_large_transfer(logs, config, history, limit),
+        detect.detect_off_hours(logs, config, limit),
+    ]
+    together = detect.run_all_detectors(logs, config, baselines=history).stored
+    plain = lambda df: sorted(map(str, df.select(sorted(df.columns)).collect()))
+    assert plain(together) == sorted(row for part in single for row in plain(part)) and len({r.alert_type for r in together.collect()}) >= 4
