@@ -30,6 +30,7 @@ from fwlens.operators import report_tables, traffic
 from fwlens.plans.analysis import Analysis, run_summary, score_anomalies
 from fwlens.session import checkpointed, ensure_checkpoint_dir, settled
 from fwlens.sources import sinks
+from fwlens.sources.readers import load_logs
 from fwlens.sources.schema_map import map_log_schema
 
 def _optional(name: str):
@@ -224,6 +225,24 @@ def _run_summary(spark, sf):
     })
 
 
+CLEAN_COLUMNS = (
+    "row_id", "timestamp", "src_ip", "dst_ip", "src_port", "dst_port", "protocol", "action", "bytes_sent", "bytes_received", "label"
+)
+
+
+def _read_back(kind: str):
+    """The raw log written as a file of one kind, loaded like any input, mapped and cleaned."""
+
+    def run(spark, sf):
+        path = f"{_folder(spark, 'raw')}/log.{kind}"
+        raw = fw_raw(spark, sf)
+        raw.write.json(path) if kind == "jsonl" else sinks.export_csv(raw, path)
+        mapping = map_log_schema(load_logs(spark, path))
+        return clean.clean_logs(mapping, row_id="Event ID").logs.select(*CLEAN_COLUMNS)
+
+    return run
+
+
 def _partial(spark, sf) -> clean.CleanedLogs:
     """A log that holds times, sources, destinations and ports only."""
     columns = ["Event ID", "Generated Time", "Source address", "Destination address", "Destination Port"]
@@ -247,9 +266,7 @@ def _partial_alerts(spark, sf):
 def _cleaned_columns(spark, sf):
     root = _folder(spark, "clean")
     stored = spark.read.parquet(sinks.export_cleaned_columns(_cleaned(spark, sf).logs, root))
-    return stored.select(
-        "row_id", "timestamp", "src_ip", "dst_ip", "src_port", "dst_port", "protocol", "action", "bytes_sent", "bytes_received", "label"
-    )
+    return stored.select(*CLEAN_COLUMNS)
 
 
 def _incident_lookup(spark, sf):
@@ -322,10 +339,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         more["pipeline"] = PIPELINE.run
     return more | {
         "schema_mapping": _schema_mapping,
-        "clean_logs": lambda s, d: _cleaned(s, d).logs.select(
-            "row_id", "timestamp", "src_ip", "dst_ip", "src_port", "dst_port", "protocol", "action", "bytes_sent",
-            "bytes_received", "label",
-        ),
+        "clean_logs": lambda s, d: _cleaned(s, d).logs.select(*CLEAN_COLUMNS),
+        "csv_log": _read_back("csv"),
+        "json_lines_log": _read_back("jsonl"),
         "cleaning_summary": lambda s, d: _cleaned(s, d).summary,
         "action_normalisation": lambda s, d: fw_logs(s, d).groupBy("action", "protocol").agg(
             F.count(F.lit(1)).alias("events")
@@ -380,6 +396,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "partial_alerts": _partial_alerts,
         "partial_features": lambda s, d: _rounded(features.build_features(_partial(s, d).logs, CONFIG)),
         "cleaned_columns": _cleaned_columns,
+        "incident_labels": lambda s, d: investigate.incident_labels(_incidents(s, d)),
+        "port_labels": lambda s, d: traffic.port_labels(traffic.top_destination_ports(fw_logs(s, d), 10)),
         "incident_view": lambda s, d: investigate.incident_view(_incident_rows(_incidents(s, d))),
         "incident_lookup": _incident_lookup,
         "baseline_lookup": _baseline_lookup,

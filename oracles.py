@@ -689,6 +689,13 @@ card AS (
     'src_port, protocol, action, bytes_sent, bytes_received' AS unavailable,
     'Repeated blocked connections, Large outbound transfer, Suspicious off-hours activity' AS skipped FROM fw"""),
         "cleaned_columns": over(CLEANED, select="SELECT * EXCLUDE (us) FROM fw"),
+        "csv_log": over(CLEANED, select="SELECT * EXCLUDE (us) FROM fw"),
+        "json_lines_log": over(CLEANED, select="SELECT * EXCLUDE (us) FROM fw"),
+        "incident_labels": over(*full, select="""
+  SELECT incident_id || ' | ' || severity || ' | risk ' || risk_score || ' | ' || src_ip AS label FROM incidents"""),
+        "port_labels": over(LOGS, select=f"""
+  SELECT dst_port || ' - ' || {SERVICE} AS port_label, count(*) AS total_events FROM fw GROUP BY dst_port
+  ORDER BY total_events DESC, dst_port LIMIT 10"""),
         "incident_view": over(*full, select="""
   SELECT incident_id, src_ip, start_time, end_time, risk_score, severity, alert_types, alert_count FROM incidents"""),
         "incident_lookup": over(*full, select="""
