@@ -164,6 +164,71 @@ LEFT JOIN walk k ON k.conv_id IS NOT DISTINCT FROM o.conv_id AND k.stop
 """
 
 
+def _components(nodes: str, links: str) -> str:
+    """``components``: node and its smallest reachable node, from ``nodes(id)`` and ``links(a, b)``."""
+    return f"""
+either AS (SELECT a, b FROM {links} UNION ALL SELECT b, a FROM {links}),
+reached AS (
+    SELECT id, id AS least FROM {nodes}
+    UNION
+    SELECT b, least FROM reached JOIN either ON either.a = reached.id WHERE least < b),
+components AS (SELECT id, min(least) AS component_id FROM reached GROUP BY id)"""
+
+
+OP1 = f"""
+WITH RECURSIVE
+vectors AS (
+    SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+    WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+      AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS (
+    SELECT p.id AS a, q.id AS b FROM vectors p JOIN vectors q ON p.id < q.id AND len(p.v) = len(q.v)
+    WHERE list_cosine_similarity(p.v, q.v) >= 0.9),
+{_components("vectors", "links")},
+counted AS (SELECT a AS id, count(*) AS n FROM either GROUP BY a)
+SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, coalesce(component_id, vec_id) AS component_id, coalesce(component_id = vec_id, true) AS kept
+FROM embeddings LEFT JOIN components c ON c.id = vec_id LEFT JOIN counted t ON t.id = vec_id
+"""
+
+
+_WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
+OP6 = f"""
+WITH docs AS (SELECT doc_id, {_WORDS.format("coalesce(text, '')")} AS words FROM documents),
+windows AS (
+    SELECT doc_id, i, array_to_string(words[i : i + 19], ' ') AS w
+    FROM (SELECT doc_id, words, unnest(range(1, len(words) - 18)) AS i FROM docs WHERE len(words) >= 20)),
+later AS (SELECT doc_id, i FROM windows QUALIFY row_number() OVER (PARTITION BY w ORDER BY doc_id, i) > 1),
+covered AS (SELECT DISTINCT doc_id, place FROM (SELECT doc_id, unnest(range(i, i + 20)) AS place FROM later)),
+placed AS (SELECT doc_id, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS place FROM docs),
+kept AS (
+    SELECT p.doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY p.place) AS body
+    FROM placed p LEFT JOIN covered c ON c.doc_id = p.doc_id AND c.place = p.place WHERE c.place IS NULL GROUP BY p.doc_id)
+SELECT doc_id, len(words)::BIGINT AS n_words, (len(words) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(body, '')) AS kept_sha256
+FROM docs LEFT JOIN kept USING (doc_id)
+"""
+
+
+OP9 = f"""
+WITH RECURSIVE
+docs AS (
+    SELECT doc_id, {_WORDS.format("translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} AS words
+    FROM documents),
+shingles AS (
+    SELECT DISTINCT doc_id, array_to_string(words[i : i + 3], ' ') AS s
+    FROM (SELECT doc_id, words, unnest(range(1, greatest(len(words) - 3, 1) + 1)) AS i FROM docs WHERE len(words) > 0)),
+sizes AS (SELECT doc_id AS id, count(*) AS n FROM shingles GROUP BY doc_id),
+shared AS (
+    SELECT p.doc_id AS a, q.doc_id AS b, count(*) AS n FROM shingles p JOIN shingles q ON p.s = q.s AND p.doc_id < q.doc_id GROUP BY ALL),
+links AS (
+    SELECT a, b FROM shared JOIN sizes x ON x.id = a JOIN sizes y ON y.id = b WHERE 100 * shared.n >= 80 * (x.n + y.n - shared.n)),
+{_components("sizes", "links")}
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, coalesce(component_id, doc_id) AS component_id,
+       coalesce(component_id = doc_id, true) AS kept,
+       CASE WHEN n IS NULL THEN doc_id ELSE min(doc_id) OVER (PARTITION BY array_to_string(words, ' ')) END AS class_id
+FROM docs LEFT JOIN sizes ON sizes.id = doc_id LEFT JOIN components c ON c.id = doc_id
+"""
+
+
 _TERMS = """regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
                               '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')"""
 OP11 = f"""
@@ -185,5 +250,5 @@ SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 10
 """
 
 
-ORACLES = {"op2_quality_rules": OP2, "op10_feistel_shards": _shard_sql(), "op11_geometric_blocks": OP11,
+ORACLES = {"op1_pca_tiles": OP1, "op2_quality_rules": OP2, "op6_prefix_trees": OP6, "op9_minhash": OP9, "op10_feistel_shards": _shard_sql(), "op11_geometric_blocks": OP11,
            "op13_conversation_repair": OP13}

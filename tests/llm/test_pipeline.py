@@ -17,7 +17,8 @@ SF = "/root/testdata/sf0.001"
 def test_queries_equal_sql(spark, name):
     got = driver.queries()[name](spark, SF).toPandas()
     con = duckdb.connect()
-    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
+    for table in ("documents", "embeddings", "benchmark", "conversations"):
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{SF}/{table}.parquet'")
     want = con.execute(driver.oracle_sql()[name]).fetchdf()
     columns = sorted(got.columns)
     assert columns == sorted(want.columns)
@@ -27,7 +28,7 @@ def test_queries_equal_sql(spark, name):
 
 def test_all_operators_are_registered():
     names = driver.queries()
-    assert all(any(n.startswith(f"op{i}_") for n in names) for i in range(1, 11)) and "pipeline" in names
+    assert all(any(n.startswith(f"op{i}_") for n in names) for i in range(1, 14)) and "pipeline" in names
 
 
 def test_stages(spark):
