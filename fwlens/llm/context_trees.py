@@ -11,11 +11,8 @@ How it runs: each chunk of documents (about ``CHUNK_BYTES`` of text) sends its d
 training counts, as one row for each three latest context bytes. Pairs meet by these bytes, where depths 3 and more are
 weighed in one pass over sorted keys. Depths 0 to 2 have at most 2^16 contexts, whatever the corpus; the driver weighs
 them and sends them along. The pairs' probabilities go back to the chunks, which add them up along their own texts.
-Distinct words with their counts go the same way for ``n_known`` and the base score. Only word tables and pair tables are
-shuffled, and the texts once.
-
-:func:`score_documents` is the same model with contexts that stop at the blank in front of a word, so that each distinct
-word is scored once; no query uses it.
+Distinct words with their counts go the same way, by ranges of their hashes, for ``n_known`` and the base score. Words, pairs
+and logarithms travel as packed arrays, and the texts once.
 
 Cases: a null or blank text is the end sign alone; repeated rows count as often as they stand there; a null id is in the
 training part; an empty table, or one without training rows, scores by untrained estimators (one half a bit); other
@@ -25,13 +22,13 @@ columns are not read. ``documents`` must be a stored table, since chunks are nam
 from __future__ import annotations
 
 import sys
+import zlib
 from collections import Counter
-from itertools import chain, islice, repeat
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark import cloudpickle
+from pyspark import StorageLevel, cloudpickle
 from pyspark.sql import Column, DataFrame, functions as F
 
 from fwlens.llm import words as _words
@@ -42,7 +39,8 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 DEPTH, TOP = 6, 3
 CHUNK_BYTES = 24_000_000
-RANGE_WORDS = 200_000
+#: Text whose words meet in one range of word hashes.
+RANGE_BYTES = 16_000_000
 #: Words that a task gathers before it sends some.
 LOCAL_WORDS = 400_000
 #: Pairs weighed together inside a task.
@@ -53,7 +51,6 @@ HELD_PAIRS = 6_000_000
 END = b"\n"
 #: What stands before a text.
 _LEAD = END * (DEPTH - 1) + b" "
-_BLANK = 0x20
 _HALF = np.log(0.5)
 
 
@@ -81,51 +78,20 @@ def log_gamma(x: np.ndarray) -> np.ndarray:
     return series
 
 
-def pairs_of(tokens: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(context, byte) keys of all bytes of all tokens, and each key's token. The latest context byte is the highest of
-    a key; bytes before the blank in front are zero; the predicted byte is the lowest."""
-    parts = b"".join([b" " + t if t == END else b" " + t + b" " for t in tokens])
-    flat = np.frombuffer(parts, dtype=np.uint8).astype(np.uint64)
-    lengths = np.array([2 if t == END else len(t) + 2 for t in tokens], dtype=np.int64)
-    starts = np.concatenate(([0], np.cumsum(lengths)[:-1]))
-    token = np.repeat(np.arange(len(tokens)), lengths)
-    place = np.arange(len(flat)) - np.repeat(starts, lengths)
-    at = np.flatnonzero(place > 0)
-    key = np.zeros(len(at), dtype=np.uint64)
-    for back in range(1, DEPTH + 1):
-        inside = place[at] >= back
-        byte = np.where(inside, flat[np.maximum(at - back, 0)], 0)
-        key = (key << np.uint64(8)) | byte
-    return ((key << np.uint64(8)) | flat[at]).astype(np.int64), token[at]
-
-
-def _context_length(key: np.ndarray, depth: int) -> np.ndarray:
-    """Bytes of context a key has: up to and with the blank, at most ``depth``."""
-    length = np.full(len(key), depth)
-    for d in range(depth, 0, -1):
-        length[((key >> (8 * (depth - d + 1))) & 255) == _BLANK] = d
-    return length
-
-
-def weigh(key: np.ndarray, count: np.ndarray, depth: int, low: int, children=None, across: bool = False):
+def weigh(key: np.ndarray, count: np.ndarray, depth: int, low: int, children=None):
     """Weighs the nodes of depths ``depth`` down to ``low`` that are above distinct keys with ``depth`` context bytes.
 
     Returns, per key, ``a, b`` of eight bits each, so that a bit's probability is a + b * (that of the next deeper
     contexts), b being 0 where no deeper ones exist; and the log probabilities of the nodes of depth ``low`` as
     ``(node keys, values)`` for each of the eight bit levels. ``children`` are such lists of depth + 1.
-    Contexts end at a blank unless they go ``across``.
     """
-    length = np.full(len(key), depth) if across else _context_length(key, depth)
     a, b = np.zeros((len(key), 8)), np.ones((len(key), 8))
     for d in range(depth, low - 1, -1):
-        rows = np.flatnonzero(length >= d)
-        context = (key[rows] >> (8 * (depth - d + 1))) & ((1 << (8 * d)) - 1)
-        short = (context << 8) | (key[rows] & 255)
+        context = (key >> (8 * (depth - d + 1))) & ((1 << (8 * d)) - 1)
+        short = (context << 8) | (key & 255)
         unique, inverse = np.unique(short, return_inverse=True)
-        n = np.bincount(inverse, count[rows], len(unique))
-        closed = (((unique >> 8) & 255) == _BLANK) if d and not across else np.zeros(len(unique), dtype=bool)
-        if children is None and d == depth:
-            closed = np.ones(len(unique), dtype=bool)
+        n = np.bincount(inverse, count, len(unique))
+        leaf = children is None
         found = []
         for level in range(8):
             node = unique >> (8 - level)
@@ -137,119 +103,31 @@ def weigh(key: np.ndarray, count: np.ndarray, depth: int, low: int, children=Non
             bit = (unique >> (7 - level)) & 1
             total, ones = np.add.reduceat(n, first), np.add.reduceat(n * bit, first)
             own = log_gamma(ones + 0.5) + log_gamma(total - ones + 0.5) - log_gamma(total + 1) - np.log(np.pi)
-            nodes, leaf = node[first], closed[first]
-            deeper = np.zeros(len(nodes))
-            if children is not None:
+            nodes = node[first]
+            if leaf:
+                mixed, share = own, np.ones(len(node))
+            else:
                 child, value = children[level]
                 parent = ((child >> (level + 8)) << level) | (child & ((1 << level) - 1))
-                where = np.searchsorted(nodes, parent)
-                deeper = np.bincount(where, value, len(nodes))
-            mixed = np.where(leaf, own, _HALF + np.logaddexp(own, deeper))
-            share = np.where(leaf, 1.0, np.exp(_HALF + own - mixed))[of]
+                deeper = np.bincount(np.searchsorted(nodes, parent), value, len(nodes))
+                mixed = _HALF + np.logaddexp(own, deeper)
+                share = np.exp(_HALF + own - mixed)[of]
             hits = np.where(bit == 1, ones[of], (total - ones)[of])
             chance = (hits + 0.5) / (total[of] + 1)
             s, c = share[inverse], chance[inverse]
             # p = s c + (1 - s)(a + b q)
-            a[rows, level] = s * c + (1 - s) * a[rows, level]
-            b[rows, level] = (1 - s) * b[rows, level]
+            a[:, level] = s * c + (1 - s) * a[:, level]
+            b[:, level] = (1 - s) * b[:, level]
             found.append((nodes, mixed))
         children = found
     return a, b, children
 
 
-def _vocabulary(batches):
-    """Distinct tokens of each chunk with their training counts."""
-    held: dict[int, Counter] = {}
-    others: dict[int, set] = {}
-    for batch in batches:
-        chunks, texts, outs = batch.column(0), batch.column(1), batch.column(2)
-        for place in range(batch.num_rows):
-            chunk = chunks[place].as_py()
-            tokens = _words.encoded(texts[place].as_py(), lower=True).split()
-            tokens.append(END)
-            if outs[place].as_py():
-                others.setdefault(chunk, set()).update(tokens)
-            else:
-                held.setdefault(chunk, Counter()).update(tokens)
-        # a chunk that has gathered much is sent in parts, which add up
-        while sum(map(len, held.values())) + sum(map(len, others.values())) > LOCAL_WORDS:
-            chunk = max(set(held) | set(others), key=lambda c: len(held.get(c, ())) + len(others.get(c, ())))
-            yield from _vocabulary_rows(chunk, held.pop(chunk, Counter()), others.pop(chunk, set()))
-    for chunk in set(held) | set(others):
-        yield from _vocabulary_rows(chunk, held.pop(chunk, Counter()), others.pop(chunk, set()))
-
-
-def _vocabulary_rows(chunk: int, held: Counter, others: set):
-    others.difference_update(held)
-    rows = chain(held.items(), zip(others, repeat(0)))
-    while part := list(islice(rows, 50_000)):
-        columns = [pa.array([chunk] * len(part)), pa.array([w for w, _ in part], pa.binary()), pa.array([n for _, n in part], pa.int64())]
-        yield pa.RecordBatch.from_arrays(columns, names=["chunk", "word", "n"])
-
-
-def _requests(batches):
-    """Distinct pairs of a range of words with their training counts."""
-    part, words, counts = None, [], []
-
-    def pairs():
-        found = []
-        for first in range(0, len(words), 25_000):
-            key, token = pairs_of(words[first : first + 25_000])
-            unique, inverse = np.unique(key, return_inverse=True)
-            found.append((unique, np.bincount(inverse, np.array(counts[first : first + 25_000], dtype=float)[token], len(unique))))
-        keys, sums = (np.concatenate(column) for column in zip(*found))
-        unique, inverse = np.unique(keys, return_inverse=True)
-        total = np.bincount(inverse, sums, len(unique)).astype(np.int64)
-        return pd.DataFrame({"subtree": unique >> (8 * (DEPTH - TOP + 1)), "part": part, "pair": unique, "n": total})
-
-    for batch in batches:
-        for number, frame in batch.groupby("part", sort=False):
-            if words and (number != part or len(words) >= RANGE_WORDS):
-                yield pairs()
-                words, counts = [], []
-            part = number
-            words.extend(frame["word"])
-            counts.extend(frame["n"])
-    if words:
-        yield pairs()
-
-
-def _subtrees(batches):
-    """Whole subtrees, some hundred thousand rows at a time, from rows sorted by subtree."""
-    held, size = [], 0
-    for batch in batches:
-        held.append(batch)
-        size += len(batch)
-        if size >= LOCAL_PAIRS:
-            frame = pd.concat(held)
-            whole = (frame["subtree"] != frame["subtree"].iloc[-1]).to_numpy()
-            if whole.any():
-                yield frame[whole]
-            held = [frame[~whole]]
-            size = len(held[0])
-    if size:
-        yield pd.concat(held)
-
-
 def _two_bytes(pair: np.ndarray) -> np.ndarray:
     """A key cut to its two latest context bytes."""
     return (((pair >> (8 * (DEPTH - TOP + 2))) & 0xFFFF) << 8) | (pair & 255)
 
 
-def _weighed(frame: pd.DataFrame):
-    pair, inverse = np.unique(frame["pair"].to_numpy(), return_inverse=True)
-    n = np.bincount(inverse, frame["n"].to_numpy(), len(pair))
-    a, b, nodes = weigh(pair, n, DEPTH, TOP)
-    return pair, inverse, n, a, b, nodes
-
-
-def _upward(batches):
-    """What depths 0 to 2 need: log probabilities of depth-3 nodes, and counts, added up per context of two bytes."""
-    for frame in _subtrees(batches):
-        pair, _, n, _, _, nodes = _weighed(frame)
-        yield from _parents(pair, n, nodes)
-
-
 def _parents(pair: np.ndarray, n: np.ndarray, nodes):
     code = _two_bytes(pair)
     unique, inverse = np.unique(code, return_inverse=True)
@@ -260,7 +138,7 @@ def _parents(pair: np.ndarray, n: np.ndarray, nodes):
         yield pd.DataFrame({"level": level, "code": unique, "value": np.bincount(inverse, value, len(unique))})
 
 
-def _top(table: pd.DataFrame, across: bool = False):
+def _top(table: pd.DataFrame):
     """Weighs depths 0 to 2."""
     part = lambda level: table[table["level"] == level].sort_values("code")
     counts = part(-1)
@@ -271,59 +149,10 @@ def _top(table: pd.DataFrame, across: bool = False):
         rows = part(level)
         code = rows["code"].to_numpy(dtype=np.int64)
         children.append((((code >> level) << (level + 8)) | (code & ((1 << level) - 1)), rows["value"].to_numpy(dtype=float)))
-    a, b, _ = weigh(key, counts["value"].to_numpy(dtype=float), TOP - 1, 0, children, across)
+    a, b, _ = weigh(key, counts["value"].to_numpy(dtype=float), TOP - 1, 0, children)
     return key, a, b
 
 
-def _answers(top):
-    """log10 probability of each asked pair."""
-    top_key, top_a, top_b = top
-
-    def run(batches):
-        for frame in _subtrees(batches):
-            pair, inverse, _, a, b, _ = _weighed(frame)
-            # keys without three context bytes end above; their a is not used since the upper b is zero
-            place = np.searchsorted(top_key, _two_bytes(pair))
-            chance = top_a[place] + top_b[place] * a
-            log = np.log10(chance).sum(axis=1)
-            yield pd.DataFrame({"part": frame["part"].to_numpy(), "pair": pair[inverse], "log": log[inverse]})
-
-    return run
-
-
-def _word_scores(words: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
-    answers = answers.drop_duplicates("pair").sort_values("pair")
-    known, log = answers["pair"].to_numpy(), answers["log"].to_numpy()
-    tokens = list(words["word"])
-    score = np.zeros(len(tokens))
-    for first in range(0, len(tokens), 25_000):
-        key, token = pairs_of(tokens[first : first + 25_000])
-        part = tokens[first : first + 25_000]
-        score[first : first + len(part)] = np.bincount(token, log[np.searchsorted(known, key)], len(part))
-    return pd.DataFrame({"word": tokens, "n": words["n"].to_numpy(), "log": score})
-
-
-def _document_scores(total: int, kinds: int):
-    unseen = np.log10(1.0 / (total + kinds + 1))
-
-    def run(documents: pd.DataFrame, words: pd.DataFrame) -> pd.DataFrame:
-        number = {word: i for i, word in enumerate(words["word"])}
-        n, log = words["n"].to_numpy(dtype=float), words["log"].to_numpy(dtype=float)
-        base = np.log10(n + 1) + unseen
-        rows = []
-        for doc_id, text, out in zip(documents["doc_id"], documents["text"], documents["held_out"]):
-            tokens = _words.encoded(text, lower=True).split()
-            tokens.append(END)
-            at = np.fromiter(map(number.__getitem__, tokens), dtype=np.int64, count=len(tokens))
-            rows.append((doc_id, out, len(tokens), int((n[at] > 0).sum()), total, base[at].sum(), log[at].sum(), len(text.encode()) if text else 0))
-        names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "n_bytes"]
-        frame = pd.DataFrame(rows, columns=names)
-        frame["doc_id"] = frame["doc_id"].astype("Int64")
-        return frame
-
-    return run
-
-
 def sequence(tokens: list[bytes]) -> bytes:
     """The bytes of a text with what stands before it; the first ``DEPTH`` are not coded."""
     return _LEAD + b" ".join(tokens) + (b" " if tokens else b"") + END
@@ -371,11 +200,101 @@ def _packed(values: np.ndarray) -> bytes:
     return np.ascontiguousarray(values.view(np.uint8).reshape(len(values), -1).T).tobytes()
 
 
+def _packed_logs(log: np.ndarray) -> bytes:
+    """Logarithms to 36 bits after the leading one, which is 2e-11 of each, as planes of bytes."""
+    return np.ascontiguousarray(((log.view(np.uint64) + np.uint64(1 << 15)) >> np.uint64(16)).view(np.uint8).reshape(-1, 8)[:, :6].T).tobytes()
+
+
+def _unpacked_logs(data: bytes) -> np.ndarray:
+    whole = np.zeros((len(data) // 6, 8), dtype=np.uint8)
+    whole[:, 2:] = np.frombuffer(data, dtype=np.uint8).reshape(6, -1).T
+    return whole.view(float).ravel()
+
+
 def _unpacked(data: bytes, kind: type) -> np.ndarray:
     width = np.dtype(kind).itemsize
     return np.ascontiguousarray(np.frombuffer(data, dtype=np.uint8).reshape(width, -1).T).view(kind).ravel()
 
 
+def _word_requests(ranges: int):
+    """Distinct tokens of each chunk with their training counts, one row for each range of word hashes."""
+
+    def run(batches):
+        held: dict[int, Counter] = {}
+        others: dict[int, set] = {}
+        for batch in batches:
+            chunks, texts, outs = batch.column(0), batch.column(1), batch.column(2)
+            for place in range(batch.num_rows):
+                chunk = chunks[place].as_py()
+                tokens = _words.encoded(texts[place].as_py(), lower=True).split()
+                tokens.append(END)
+                if outs[place].as_py():
+                    others.setdefault(chunk, set()).update(tokens)
+                else:
+                    held.setdefault(chunk, Counter()).update(tokens)
+            # a chunk that has gathered much is sent in parts, which add up
+            while sum(map(len, held.values())) + sum(map(len, others.values())) > LOCAL_WORDS:
+                chunk = max(set(held) | set(others), key=lambda c: len(held.get(c, ())) + len(others.get(c, ())))
+                yield from _word_rows(chunk, held.pop(chunk, Counter()), others.pop(chunk, set()), ranges)
+        for chunk in set(held) | set(others):
+            yield from _word_rows(chunk, held.pop(chunk, Counter()), others.pop(chunk, set()), ranges)
+
+    return run
+
+
+def _word_rows(chunk: int, held: Counter, others: set, ranges: int):
+    words = [*held, *others.difference(held)]
+    counts = np.zeros(len(words), dtype=np.int64)
+    counts[: len(held)] = list(held.values())
+    of = np.fromiter((zlib.crc32(word) % ranges for word in words), dtype=np.int64, count=len(words))
+    order = np.lexsort((np.array([word[:8] for word in words]), of))
+    starts = np.flatnonzero(np.diff(of[order], prepend=-1))
+    spans = list(zip(starts, np.append(starts[1:], len(order))))
+    for first in range(0, len(spans), 2000):
+        part = spans[first : first + 2000]
+        columns = [
+            pa.array([int(of[order[a]]) for a, _ in part], pa.int64()), pa.array([chunk] * len(part), pa.int64()),
+            pa.array([_line(words[i] for i in order[a:b]) for a, b in part], pa.binary()), pa.array([_packed(counts[order[a:b]]) for a, b in part], pa.binary()),
+        ]
+        yield pa.RecordBatch.from_arrays(columns, names=["range_no", "chunk", "words", "counts"])
+
+
+def _line(words) -> bytes:
+    """Words as one value; the end sign, which is what parts them, stands as an empty word."""
+    return END.join(b"" if word == END else word for word in words)
+
+
+_REPLY = pa.schema([("chunk", pa.int64()), ("words", pa.binary()), ("counts", pa.binary()), ("tokens", pa.int64()), ("kinds", pa.int64())])
+
+
+def _word_replies(batches):
+    """The words of each request with their counts in the whole training part; and per range one row of sums without a
+    chunk. Rows come sorted by range."""
+
+    def answered(requests):
+        sums: dict[bytes, int] = {}
+        for _, line, counts in requests:
+            for word, n in zip(line.split(END), counts.tolist()):
+                sums[word] = sums.get(word, 0) + n
+        rows = [(chunk, line, _packed(np.array([sums[word] for word in line.split(END)], dtype=np.int64)), None, None) for chunk, line, _ in requests]
+        rows.append((None, None, None, sum(sums.values()), sum(n > 0 for n in sums.values())))
+        for first in range(0, len(rows), 2000):
+            part = rows[first : first + 2000]
+            yield pa.RecordBatch.from_arrays([pa.array(column, field.type) for column, field in zip(zip(*part), _REPLY)], schema=_REPLY)
+
+    requests, last = [], None
+    for batch in batches:
+        ranges, chunks, lines, counts = (batch.column(i) for i in range(4))
+        for row in range(batch.num_rows):
+            if ranges[row].as_py() != last and requests:
+                yield from answered(requests)
+                requests = []
+            last = ranges[row].as_py()
+            requests.append((chunks[row].as_py(), lines[row].as_py(), _unpacked(counts[row].as_py(), np.int64)))
+    if requests:
+        yield from answered(requests)
+
+
 def _asked(batches):
     """Distinct pairs of each chunk with their training counts, one row for each three latest context bytes."""
     texts: dict[tuple[int, bool], list[bytes]] = {}
@@ -447,22 +366,22 @@ def _whole_subtrees(batches):
         yield (*_added(parts), requests)
 
 
-def _upward_across(batches):
-    """As :func:`_upward`, from the chunks' rows."""
+def _upward(batches):
+    """What depths 0 to 2 need: log probabilities of depth-3 nodes, and counts, added up per context of two bytes."""
     for pair, n, _ in _whole_subtrees(batches):
-        _, _, nodes = weigh(pair, n, DEPTH, TOP, across=True)
+        _, _, nodes = weigh(pair, n, DEPTH, TOP)
         for frame in _parents(pair, n, nodes):
             yield pa.RecordBatch.from_pandas(frame.astype({"level": "int32", "value": float}), preserve_index=False)
 
 
-def _answers_across(top):
+def _answers(top):
     """log10 probability of each asked pair, to the chunk that asked."""
     top_key, top_a, top_b = top
     below = 8 * (DEPTH - TOP + 1)
 
     def run(batches):
         for pair, n, requests in _whole_subtrees(batches):
-            a, _, _ = weigh(pair, n, DEPTH, TOP, across=True)
+            a, _, _ = weigh(pair, n, DEPTH, TOP)
             place = np.searchsorted(top_key, _two_bytes(pair))
             log = np.log10(top_a[place] + top_b[place] * a).sum(axis=1)
             for first in range(0, len(requests), 500):
@@ -470,7 +389,7 @@ def _answers_across(top):
                 logs = []
                 for _, subtree, blob in part:
                     key = (np.int64(subtree) << below) | _unpacked(blob, np.uint32).astype(np.int64)
-                    logs.append(log[np.searchsorted(pair, key)].tobytes())
+                    logs.append(_packed_logs(log[np.searchsorted(pair, key)]))
                 columns = [
                     pa.array([chunk for chunk, _, _ in part], pa.int64()), pa.array([subtree for _, subtree, _ in part], pa.int64()),
                     pa.array([blob for _, _, blob in part], pa.binary()), pa.array(logs, pa.binary()),
@@ -485,9 +404,9 @@ def _sequence_scores(total: int, kinds: int):
     below = 8 * (DEPTH - TOP + 1)
 
     def run(documents: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
-        words, pairs = answers[answers["pairs"].isna()], answers[answers["pairs"].notna()]
-        number = {word: i for i, word in enumerate(words["word"])}
-        n = words["n"].to_numpy(dtype=float)
+        lines, pairs = answers[answers["pairs"].isna()], answers[answers["pairs"].notna()]
+        number = {word or END: i for i, word in enumerate(word for line in lines["words"] for word in line.split(END))}
+        n = np.concatenate([_unpacked(counts, np.int64) for counts in lines["counts"]]).astype(float)
         base = np.log10(n + 1) + unseen
         known = [
             (np.int64(subtree) << below) | _unpacked(blob, np.uint32).astype(np.int64)
@@ -495,7 +414,7 @@ def _sequence_scores(total: int, kinds: int):
         ]
         known = np.concatenate(known) if known else np.zeros(0, dtype=np.int64)
         order = np.argsort(known)
-        known, log = known[order], np.frombuffer(b"".join(pairs["logs"]), dtype=float)[order]
+        known, log = known[order], (np.concatenate([_unpacked_logs(logs) for logs in pairs["logs"]]) if len(pairs) else np.zeros(0))[order]
         rows, score, texts, owners, size = [], np.zeros(len(documents)), [], [], 0
 
         def add():
@@ -533,31 +452,33 @@ _SCORED = (
 )
 
 
-def _chunked(documents: DataFrame) -> DataFrame:
+def _chunked(documents: DataFrame) -> tuple[DataFrame, int]:
+    """Rows with their chunk, and the number of word ranges, which grows with the texts."""
     rows = documents.select("doc_id", "text", held_out().alias("held_out"), F.spark_partition_id().alias("scan"))
-    largest = rows.groupBy("scan").agg(F.sum(F.octet_length("text")).alias("size")).agg(F.max("size")).first()[0] or 0
-    ways = max(1, -(-largest // CHUNK_BYTES))
+    sizes = rows.groupBy("scan").agg(F.sum(F.octet_length("text")).alias("size"))
+    largest, total = sizes.agg(F.max("size"), F.sum("size")).first()
+    ways = max(1, -(-(largest or 0) // CHUNK_BYTES))
     chunk = (F.col("scan") * ways + F.pmod(F.xxhash64("doc_id"), F.lit(ways))).cast("bigint")
-    return rows.withColumn("chunk", chunk).select("chunk", "doc_id", "text", "held_out")
+    return rows.withColumn("chunk", chunk).select("chunk", "doc_id", "text", "held_out"), max(8, -(-(total or 0) // RANGE_BYTES))
 
 
 def score_sequences(documents: DataFrame) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte (null for an empty text)."""
-    rows = _chunked(documents)
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte (null for an empty text).
+
+    The pairs serve two jobs; they stay on the executors' disks as long as the session keeps its cache.
+    """
+    rows, ranges = _chunked(documents)
     read = rows.select("chunk", "text", "held_out")
-    vocabulary = stored(read.mapInArrow(_vocabulary, "chunk bigint, word binary, n bigint"))
-    types = stored(vocabulary.groupBy("word").agg(F.sum("n").alias("n")))
-    total, kinds = types.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.when(F.col("n") > 0, 1))).first()
+    requests = read.mapInArrow(_word_requests(ranges), "range_no bigint, chunk bigint, words binary, counts binary")
+    in_ranges = requests.repartition("range_no").sortWithinPartitions("range_no")
+    replies = stored(in_ranges.mapInArrow(_word_replies, "chunk bigint, words binary, counts binary, tokens bigint, kinds bigint"))
+    total, kinds = replies.agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("tokens", "kinds")]).first()
     asked = read.mapInArrow(_asked, "subtree bigint, chunk bigint, pairs binary, counts binary")
-    dealt = asked.repartition("subtree").sortWithinPartitions("subtree")
-    sums = dealt.mapInArrow(_upward_across, "level int, code bigint, value double")
-    top = _top(sums.groupBy("level", "code").agg(F.sum("value").alias("value")).toPandas(), across=True)
-    answers = dealt.mapInArrow(_answers_across(top), "chunk bigint, subtree bigint, pairs binary, logs binary")
-    wanted = vocabulary.select("chunk", "word").join(types, "word").select(
-        "chunk", "word", "n", F.lit(None).cast("bigint").alias("subtree"), F.lit(None).cast("binary").alias("pairs"),
-        F.lit(None).cast("binary").alias("logs"),
-    )
-    wanted = wanted.unionByName(answers, allowMissingColumns=True)
+    dealt = asked.repartition("subtree").sortWithinPartitions("subtree").persist(StorageLevel.DISK_ONLY)
+    sums = dealt.mapInArrow(_upward, "level int, code bigint, value double")
+    top = _top(sums.groupBy("level", "code").agg(F.sum("value").alias("value")).toPandas())
+    answers = dealt.mapInArrow(_answers(top), "chunk bigint, subtree bigint, pairs binary, logs binary")
+    wanted = replies.where("chunk IS NOT NULL").select("chunk", "words", "counts").unionByName(answers, allowMissingColumns=True)
     result = rows.groupBy("chunk").cogroup(wanted.groupBy("chunk")).applyInPandas(_sequence_scores(total, kinds), _SCORED)
     return _with_bits(result)
 
@@ -565,25 +486,3 @@ def score_sequences(documents: DataFrame) -> DataFrame:
 def _with_bits(result: DataFrame) -> DataFrame:
     bits = -F.col("score") / F.log10(F.lit(2.0)) / F.when(F.col("n_bytes") > 0, F.col("n_bytes"))
     return result.withColumn("bits_per_byte", bits).drop("n_bytes")
-
-
-def score_documents(documents: DataFrame) -> DataFrame:
-    """As :func:`score_sequences`, with contexts that stop at the blank in front of each word."""
-    rows = _chunked(documents)
-    vocabulary = stored(rows.select("chunk", "text", "held_out").mapInArrow(_vocabulary, "chunk bigint, word binary, n bigint"))
-    types = stored(vocabulary.groupBy("word").agg(F.sum("n").alias("n")))
-    total, kinds, number = types.agg(
-        F.coalesce(F.sum("n"), F.lit(0)), F.count(F.when(F.col("n") > 0, 1)), F.count(F.lit(1))
-    ).first()
-    ranges = max(1, -(-number // RANGE_WORDS))
-    ranged = types.repartitionByRange(ranges, "word").sortWithinPartitions("word")
-    words = stored(ranged.withColumn("part", F.spark_partition_id().cast("bigint")))
-    asked = words.mapInPandas(_requests, "subtree bigint, part bigint, pair bigint, n bigint")
-    dealt = asked.repartition("subtree").sortWithinPartitions("subtree")
-    sums = dealt.mapInPandas(_upward, "level int, code bigint, value double")
-    top = _top(sums.groupBy("level", "code").agg(F.sum("value").alias("value")).toPandas())
-    answers = dealt.mapInPandas(_answers(top), "part bigint, pair bigint, log double")
-    scored = words.groupBy("part").cogroup(answers.groupBy("part")).applyInPandas(_word_scores, "word binary, n bigint, log double")
-    wanted = vocabulary.select("chunk", "word").join(stored(scored), "word")
-    result = rows.groupBy("chunk").cogroup(wanted.groupBy("chunk")).applyInPandas(_document_scores(total, kinds), _SCORED)
-    return _with_bits(result)
