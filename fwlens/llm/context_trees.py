@@ -48,6 +48,8 @@ LOCAL_PAIRS = 300_000
 #: Text whose pairs a task makes at once, and distinct pairs that it gathers before it sends some.
 PIECE_BYTES = 4_000_000
 HELD_PAIRS = 6_000_000
+#: Text whose bytes are looked up together.
+SCORE_BYTES = 1_000_000
 END = b"\n"
 #: What stands before a text.
 _LEAD = END * (DEPTH - 1) + b" "
@@ -420,8 +422,11 @@ def _sequence_scores(total: int, kinds: int):
         def add():
             key = keys_of(texts)
             by_key = np.argsort(key)
+            key = key[by_key]
+            # equal keys are looked up once
+            first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
             of_byte = np.empty(len(key))
-            of_byte[by_key] = log[np.searchsorted(known, key[by_key])]
+            of_byte[by_key] = np.repeat(log[np.searchsorted(known, key[first])], np.diff(np.append(first, len(key))))
             lengths = np.array([len(t) - DEPTH for t in texts])
             np.add.at(score, owners, np.add.reduceat(of_byte, np.cumsum(lengths) - lengths))
 
@@ -431,7 +436,7 @@ def _sequence_scores(total: int, kinds: int):
                 texts.append(piece)
                 owners.append(len(rows))
                 size += len(piece)
-                if size >= PIECE_BYTES:
+                if size >= SCORE_BYTES:
                     add()
                     texts, owners, size = [], [], 0
             tokens.append(END)
