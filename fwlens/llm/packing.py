@@ -5,6 +5,9 @@ completion runs on that bounded histogram and returns fillings with multipliciti
 each length its place in a filling, r being found from counts per partition and length. Nothing of the size of the
 input passes through the driver, one task or one group.
 
+The search is on the driver, within a number of nodes that is a parameter; how far it may be from the best packing is known
+from the lower bound (:attr:`Packing.gap`).
+
 Cases: a null text packs as an empty one (its end id alone); repeated rows are packed as often as they stand there; an
 empty table gives an empty result; other columns of the input are not read.
 """
@@ -15,7 +18,9 @@ import os
 import re
 import sys
 import zlib
-from bisect import bisect_right
+from itertools import islice
+from types import ModuleType
+from typing import Iterable, Iterator, NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -27,12 +32,18 @@ from fwlens.session import checkpointed
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 CAPACITY = 2048
-#: Nodes looked at for one filling, and fillings tried per bin in all searches after the first.
-FILLING_NODES = 400
-SEARCH_NODES = 20_000
-MEMO_WORDS = 900_000
-#: A mark between a letter and a blank is a piece of its own for the tokenizer's splitting rule.
-_CLOSING = re.compile(rb"(?<=[a-z])([.,])(?=[ \n])")
+#: Nodes of a search and steps inside them, open nodes that keep their options, and copies of one length that the test for
+#: dominance looks at.
+SEARCH_NODES, SEARCH_STEPS, OPEN_NODES, MOST_COPIES = 20_000, 4_000_000, 64, 64
+MEMO_WORDS = 1_200_000
+#: UTF-8 of Latin letters that the tokenizer takes as they are; a chunk of them is one word for it.
+_LETTER = rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])"
+_LETTERS = re.compile(_LETTER + rb"+")
+#: Runs of letters, single digits and runs of marks are parts of their own for the tokenizer's splitting rule; it has rules for
+#: what follows an apostrophe.
+_MARKS = rb"[!-&(-/:-@\[-`{-~]"
+_PARTS = re.compile(_LETTER + rb"+|[0-9]|" + _MARKS + rb"+")
+_SIMPLE = re.compile(rb"(?:" + _LETTER + rb"|[0-9]|" + _MARKS + rb")+")
 
 
 class WordIds(dict):
@@ -46,36 +57,88 @@ class WordIds(dict):
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
 
-    def learn(self, chunks: set[bytes]) -> None:
-        new = [chunk for chunk in chunks if chunk not in self]
-        for first in range(0, len(new), 5000):
-            part = new[first : first + 5000]
-            # a text with unpaired surrogates cannot reach the tokenizer; Arrow has replaced them already
-            for chunk, found in zip(part, self.tokenizer.encode_batch_fast([c.decode("utf-8") for c in part], add_special_tokens=False)):
-                self[chunk] = np.asarray(found.ids, dtype="<u4").tobytes()
+        ids = self.tokenizer.get_vocab()
+        self.closes = np.zeros(max(ids.values()) + 1, dtype=bool)
+        self.closes[[number for token, number in ids.items() if token.endswith("</w>")]] = True
+
+    def _encoded(self, texts: list[str]) -> list[np.ndarray]:
+        # a text with unpaired surrogates cannot reach the tokenizer; Arrow has replaced them already
+        return [np.asarray(found.ids, dtype="<u4") for found in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn_words(self, words: list[bytes]) -> None:
+        """Chunks of letters only: each ends with the one closing token, so that many are read as one text."""
+        for first in range(0, len(words), 10_000):
+            part = words[first : first + 10_000]
+            lines = [part[i : i + 200] for i in range(0, len(part), 200)]
+            for line, ids in zip(lines, self._encoded([b" ".join(line).decode("utf-8") for line in lines])):
+                ends = (4 * (np.flatnonzero(self.closes[ids]) + 1)).tolist()
+                data = ids.tobytes()
+                if len(ends) != len(line):
+                    raise ValueError("words and closing tokens differ in number")
+                for word, begin, end in zip(line, [0, *ends], ends):
+                    self[word] = data[begin:end]
 
-    def ids(self, text: str | None) -> bytes:
-        data = text.encode("utf-8") if text else b""
-        if b"<|" not in data:  # the only strings for which the tokenizer tells cases apart begin so
-            data = _CLOSING.sub(rb" \1", data.lower())
-        chunks = data.split()
-        distinct = set(chunks)
+    def learn(self, chunks: set[bytes]) -> None:
+        """Adds chunks, taken apart where the tokenizer does so anyway; its own work is left to each part's first time."""
+        parts_of: dict[bytes, list[bytes]] = {}
+        parts, whole = set(), []
+        for chunk in chunks:
+            if chunk.isalpha():
+                parts.add(chunk)
+            elif chunk[:-1].isalpha() and chunk[-1] in b".,":
+                parts_of[chunk] = [chunk[:-1], chunk[-1:]]
+            elif _SIMPLE.fullmatch(chunk):
+                parts_of[chunk] = _PARTS.findall(chunk)
+            else:
+                whole.append(chunk)
+        parts = parts.union(*parts_of.values()).difference(self)
+        self._learn_words([part for part in parts if part.isalpha() or _LETTERS.fullmatch(part)])
+        others = [part for part in parts if part not in self] + whole
+        for first in range(0, len(others), 5000):
+            part = others[first : first + 5000]
+            for chunk, ids in zip(part, self._encoded([c.decode("utf-8") for c in part])):
+                self[chunk] = ids.tobytes()
+        for chunk, own in parts_of.items():
+            if len(own) > 1:
+                self[chunk] = b"".join(map(self.__getitem__, own))
+
+    def ids_of(self, texts: Iterable[str | None]) -> Iterator[bytes]:
+        """Ids of several texts, learning what is new in all of them at once."""
+        rows = []
+        for text in texts:
+            data = text.encode("utf-8") if text else b""
+            if b"<|" not in data:  # the only strings for which the tokenizer tells cases apart begin so
+                data = data.lower()
+            rows.append(data.split())
+        distinct = set().union(*rows)
         if len(self) + len(distinct) > MEMO_WORDS:
             self.clear()
-        self.learn(distinct)
-        return b"".join(map(self.__getitem__, chunks))
+        self.learn(distinct.difference(self))
+        for chunks in rows:
+            yield b"".join(map(self.__getitem__, chunks))
+
+    def ids(self, text: str | None) -> bytes:
+        return next(self.ids_of([text]))
+
+
+def _remembered(path: str) -> WordIds:
+    """The chunks that this Python process has met in earlier tasks; they serve any task, in any order."""
+    held = sys.modules.setdefault("_fwlens_word_ids", ModuleType("_fwlens_word_ids")).__dict__
+    if path not in held:
+        held[path] = WordIds(path)
+    return held[path]
 
 
 def _piece_rows(path: str, capacity: int, end_id: int, keep_ids: bool):
     def run(batches):
-        memo = WordIds(path)
+        memo = _remembered(path)
         end = np.asarray([end_id], dtype="<u4").tobytes()
         for batch in batches:
             for first in range(0, len(batch), 500):
                 rows = []
                 part = batch.iloc[first : first + 500]
-                for doc_id, text in zip(part["doc_id"], part["text"]):
-                    data = memo.ids(text) + end
+                for doc_id, data in zip(part["doc_id"], memo.ids_of(part["text"])):
+                    data += end
                     for piece, start in enumerate(range(0, len(data), 4 * capacity)):
                         cut = data[start : start + 4 * capacity]
                         row = (doc_id, piece, start // 4, len(cut) // 4, zlib.crc32(cut))
@@ -95,105 +158,189 @@ def token_pieces(documents: DataFrame, tokenizer_path: str, capacity: int = CAPA
 
 
 def best_fit_decreasing(counts: dict[int, int], capacity: int) -> list[tuple[dict[int, int], int]]:
-    """Fillings with multiplicities; bins of equal content are handled together."""
+    """Fillings with multiplicities; bins of equal content are handled together, and rooms just made count too."""
     open_bins: dict[int, list[tuple[dict[int, int], int]]] = {}
+    rooms = 0  # bit r: some bin has room r
+
+    def put(room: int, content: dict[int, int], times: int) -> None:
+        nonlocal rooms
+        open_bins.setdefault(room, []).append((content, times))
+        rooms |= 1 << room
+
     for length in sorted(counts, reverse=True):
         left = counts[length]
-        for room in sorted(room for room in open_bins if room >= length):
-            while left and open_bins.get(room):
-                content, times = open_bins[room].pop()
-                # as many copies as still fit beside each other keep the bins of one kind together
-                fit = min(room // length, max(1, left // times)) if left >= times else 1
-                used = min(times, left // fit)
-                if used < times:
-                    open_bins[room].append((content, times - used))
-                new = content | {length: fit}
-                open_bins.setdefault(room - fit * length, []).append((new, used))
-                left -= used * fit
-            if not left:
-                break
         while left:
-            fit = min(capacity // length, left)
-            open_bins.setdefault(capacity - fit * length, []).append(({length: fit}, left // fit))
-            left -= left // fit * fit
+            large = rooms >> length
+            if not large:
+                fit = min(capacity // length, left)
+                put(capacity - fit * length, {length: fit}, left // fit)
+                left -= left // fit * fit
+                continue
+            room = length + (large & -large).bit_length() - 1
+            content, times = open_bins[room].pop()
+            # as many copies as still fit beside each other keep the bins of one kind together
+            fit = min(room // length, max(1, left // times))
+            used = min(times, left // fit)
+            if used < times:
+                open_bins[room].append((content, times - used))
+            if not open_bins[room]:
+                rooms &= ~(1 << room)
+            put(room - fit * length, content | {length: content.get(length, 0) + fit}, used)
+            left -= used * fit
     return [bin_ for bins in open_bins.values() for bin_ in bins]
 
 
-def fillings(counts: list[int], lengths: list[int], room: int, wanted: int) -> list[tuple[int, dict[int, int]]]:
-    """Undominated fillings of ``room`` from the lengths at hand, least waste first.
+def _shifted(bits: int, span: int) -> int:
+    """Bit s is set if one of the bits s to s + span is."""
+    done = 0
+    while done < span:
+        step = min(done + 1, span - done)
+        bits |= bits >> step
+        done += step
+    return bits
+
 
-    Items are tried in falling order, so a filling that swaps an item for a shorter one, which the first dominates, comes
-    later and is kept only if it wastes less. The search stops at a full bin or after a fixed number of nodes.
+def dominated(content: dict[int, int], stock: list[int], lengths: list[int], lost: int) -> bool:
+    """Whether an item left out fits besides, or in place of a shorter one or of several that are no longer together.
+
+    Then a filling with that item is no worse, as what it replaces fits wherever the item would have gone.
+    """
+    outside = sum(1 << length for length in lengths if stock[length] > content.get(length, 0))
+    if outside & ((1 << (lost + 1)) - 1):
+        return True
+    single = sum(1 << length for length in content)
+    if lost and _shifted(outside >> 1, lost - 1) & single:
+        return True
+    one = several = 0
+    for length, n in content.items():
+        for _ in range(min(n, MOST_COPIES)):
+            several |= (one | several) << length
+            one |= 1 << length
+    return bool(_shifted(outside, lost) & several)
+
+
+class Work:
+    """Steps that a search may still take."""
+
+    def __init__(self, steps: int):
+        self.left = steps
+
+    def done(self, steps: int) -> bool:
+        """Takes some steps; whether none are left."""
+        self.left -= steps
+        return self.left < 0
+
+
+def fillings(stock: list[int], room: int, most_lost: int, work: Work) -> Iterator[tuple[int, dict[int, int]]]:
+    """All undominated fillings of ``room`` that leave at most ``most_lost`` of it, least first, one at a time, as far as the
+    steps go.
+
+    ``reach[i]`` has a bit for each sum of items from the i-th length on, so that the search, longest items first, never
+    enters a branch without a filling.
     """
-    found: list[tuple[int, dict[int, int]]] = []
-    nodes = 0
-    best = room + 1
-
-    def search(left: int, longest: int, taken: dict[int, int]) -> bool:
-        nonlocal nodes, best
-        nodes += 1
-        if nodes > FILLING_NODES:
-            return True
-        if left and left <= longest and counts[left] > taken.get(left, 0):
-            taken = taken | {left: taken.get(left, 0) + 1}
-            left = 0
-        place = bisect_right(lengths, min(left, longest)) - 1
-        extended = False
-        while left and place >= 0:
-            length = lengths[place]
-            if counts[length] > taken.get(length, 0):
-                extended = True
-                if search(left - length, length, taken | {length: taken.get(length, 0) + 1}):
-                    return True
-            place -= 1
-        if not extended and left < best:
-            best = left
-            found.append((left, taken))
-            return left == 0 and len(found) >= wanted
-        return False
-
-    search(room, room, {})
-    return sorted(found, key=lambda f: f[0])[:wanted] or [(room, {})]
-
-
-def complete_bins(counts: dict[int, int], capacity: int = CAPACITY, nodes: int = SEARCH_NODES) -> list[tuple[dict[int, int], int]]:
+    lengths = [length for length in range(min(room, len(stock) - 1), 0, -1) if stock[length]]
+    reach, mask = [1] * (len(lengths) + 1), (1 << (room + 1)) - 1
+    if work.done(len(lengths)):
+        return
+    for i in range(len(lengths) - 1, -1, -1):
+        bits, n, step = reach[i + 1], min(stock[lengths[i]], room // lengths[i]), 1
+        while n:
+            copies = min(step, n)
+            bits |= (bits << (lengths[i] * copies)) & mask
+            n, step = n - copies, step * 2
+        reach[i] = bits
+    for lost in range(min(most_lost, room) + 1):
+        pending = [(0, room - lost, None)]
+        while pending:
+            i, left, taken = pending.pop()
+            if work.done(1):
+                return
+            if not reach[i] >> left & 1:
+                continue
+            if not left:
+                content = {}
+                while taken:
+                    at, n, taken = taken
+                    content[lengths[at]] = n
+                if work.done(len(lengths)):
+                    return
+                if not dominated(content, stock, lengths, lost):
+                    yield lost, content
+                continue
+            # most copies come first
+            for n in range(min(stock[lengths[i]], left // lengths[i]) + 1):
+                pending.append((i + 1, left - n * lengths[i], (i, n, taken) if n else taken))
+
+
+class Packing(NamedTuple):
+    """Fillings with multiplicities, how many bins no packing goes below, and the nodes that the search took."""
+
+    bins: list[tuple[dict[int, int], int]]
+    bound: int
+    nodes: int
+
+    @property
+    def gap(self) -> int:
+        """Bins above the bound; 0 means that the packing is proven to be the best."""
+        return sum(times for _, times in self.bins) - self.bound
+
+
+def complete_bins(counts: dict[int, int], capacity: int = CAPACITY, nodes: int = SEARCH_NODES, steps: int = SEARCH_STEPS) -> Packing:
     """Few bins for a histogram of lengths: bin completion around the longest item left, with best fit as incumbent.
 
-    A node fixes the filling of as many bins as it serves; a branch ends when its waste cannot beat the incumbent. The
-    search ends at the lower bound, or after ``nodes`` nodes with the best packing so far.
+    A node fixes the filling of as many bins as the counts allow. Depth first, each node tries all undominated fillings, least
+    waste first, that leave the waste below the incumbent's; no branch is dropped. The search ends when the incumbent
+    reaches the lower bound, when all branches are done, or after ``nodes`` nodes or ``steps`` steps inside them with the
+    best packing so far, whose distance from the bound is its ``gap``.
     """
+    work = Work(steps)
     counts = {length: n for length, n in counts.items() if n}
     total = sum(length * n for length, n in counts.items())
     # items over half a sequence need one each; others fill what those leave
     bound = max(-(-total // capacity), sum(n for length, n in counts.items() if 2 * length > capacity))
     best = best_fit_decreasing(counts, capacity)
     fewest = sum(times for _, times in best)
-    stock = [counts.get(length, 0) for length in range(capacity + 1)]
-    stack = [(stock, 0, 0, [])]
-    while stack and nodes and fewest > bound:
-        stock, bins, waste, chosen = stack.pop()
-        nodes -= 1
-        lengths = [length for length, n in enumerate(stock) if n]
-        if not lengths:
-            if bins < fewest:
-                best, fewest = chosen, bins
+
+    def options(stock: list[int], waste: int) -> Iterator[tuple[int, dict[int, int]]]:
+        longest = max(length for length, n in enumerate(stock) if n)
+        rest = list(stock)
+        rest[longest] -= 1
+        for lost, filling in fillings(rest, capacity - longest, (fewest - 1) * capacity - total - waste, work):
+            yield lost, filling | {longest: filling.get(longest, 0) + 1}
+
+    # each open node: stock, bins and waste so far, fillings on the way, its options and how many of them are done
+    stack, looked = [[[counts.get(length, 0) for length in range(capacity + 1)], 0, 0, None, None, 0]] if counts else [], 0
+    while stack and looked < nodes and work.left > 0 and fewest > bound:
+        node = stack[-1]
+        stock, bins, waste, way, choices, done = node
+        if choices is None:
+            # the nodes far up give their options back for memory and make them again
+            choices = node[4] = islice(options(stock, waste), done, None)
+            if len(stack) > OPEN_NODES:
+                stack[-OPEN_NODES - 1][4] = None
+        choice = next(choices, None)
+        if choice is None:
+            stack.pop()
             continue
-        if waste > (fewest - 1) * capacity - total:
+        node[5] += 1
+        looked += 1
+        lost, content = choice
+        times = min(stock[length] // n for length, n in content.items())
+        spent = waste + lost * times
+        if spent > (fewest - 1) * capacity - total:
             continue
-        longest = lengths[-1]
-        stock[longest] -= 1
-        options = fillings(stock, lengths, capacity - longest, 2)
-        stock[longest] += 1
-        for lost, filling in reversed(options):  # the least waste is on top of the stack
-            content = dict(filling)
-            content[longest] = content.get(longest, 0) + 1
-            times = min(stock[length] // k for length, k in content.items())
-            rest = list(stock)
-            for length, k in content.items():
-                rest[length] -= k * times
-            stack.append((rest, bins + times, waste + lost * times, [*chosen, (content, times)]))
-        del stack[:-4000]
-    return best
+        rest = list(stock)
+        for length, n in content.items():
+            rest[length] -= n * times
+        way = (content, times, way)
+        if any(rest):
+            stack.append([rest, bins + times, spent, way, None, 0])
+        elif bins + times < fewest:
+            best, fewest = [], bins + times
+            while way:
+                best.append(way[:2])
+                way = way[2]
+    return Packing(best, bound, looked)
 
 
 def _intervals(bins: list[tuple[dict[int, int], int]]) -> pd.DataFrame:
@@ -240,12 +387,12 @@ def _placed(plan: pd.DataFrame):
     return run
 
 
-def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY, nodes: int = SEARCH_NODES) -> DataFrame:
     """Adds sequence_id and offset to a table with a ``length`` column (1 to capacity)."""
     stored = checkpointed(pieces).withColumn("part", F.spark_partition_id())
     per_part = checkpointed(stored.groupBy("part", "length").agg(F.count(F.lit(1)).alias("n")))
     histogram = {row["length"]: row["n"] for row in per_part.groupBy("length").agg(F.sum("n").alias("n")).collect()}
-    plan = _intervals(complete_bins(histogram, capacity))
+    plan = _intervals(complete_bins(histogram, capacity, nodes).bins)
     earlier = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     before = per_part.select("part", "length", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in stored.schema.fields)

@@ -143,7 +143,7 @@ def test_packing_round_trip(spark):
 def test_bins_are_valid_and_never_worse_than_best_fit(seed):
     rng = random.Random(seed)
     lengths = Counter(rng.randrange(1, 101) for _ in range(rng.choice([3, 12, 80, 900])))
-    bins = packing.complete_bins(dict(lengths), 100, nodes=3000)
+    bins = packing.complete_bins(dict(lengths), 100, nodes=3000).bins
     used = Counter()
     for content, times in bins:
         assert times > 0 and sum(length * k for length, k in content.items()) <= 100
@@ -156,66 +156,7 @@ def test_bin_completion_beats_best_fit():
     # three bins are the lower bound; best fit needs four
     lengths = {8: 2, 6: 1, 9: 2, 5: 1, 10: 1, 4: 1}
     assert sum(t for _, t in packing.best_fit_decreasing(lengths, 20)) == 4
-    assert sum(t for _, t in packing.complete_bins(lengths, 20)) == 3
-
-
-def brute_context_trees(train, score):
-    """Every node of the context trees by recursion over plain lists of (context, byte)."""
-    depth = context_trees.DEPTH
-
-    def events(token):
-        data = b" " + token + (b"" if token == b"\n" else b" ")
-        return [(data[max(0, i - depth) : i], data[i]) for i in range(1, len(data))]
-
-    seen = Counter(e for t in train for e in events(t))
-
-    def estimate(zeros, ones):
-        return math.lgamma(ones + 0.5) + math.lgamma(zeros + 0.5) - math.lgamma(zeros + ones + 1) - math.log(math.pi)
-
-    def counts(suffix, level, prefix):
-        ones = zeros = 0
-        for (context, byte), n in seen.items():
-            if context.endswith(suffix) and byte >> (8 - level) == prefix:
-                if byte >> (7 - level) & 1:
-                    ones += n
-                else:
-                    zeros += n
-        return zeros, ones
-
-    def log_weight(suffix, level, prefix):
-        own = estimate(*counts(suffix, level, prefix))
-        if len(suffix) == depth or suffix[:1] == b" ":
-            return own
-        longer = {c[len(c) - len(suffix) - 1 :] for c, _ in seen if c.endswith(suffix)}
-        return math.log(0.5) + np.logaddexp(own, sum(log_weight(s, level, prefix) for s in longer))
-
-    def chance(context, length, level, byte):
-        suffix = context[len(context) - length :]
-        zeros, ones = counts(suffix, level, byte >> (8 - level))
-        own = ((ones if byte >> (7 - level) & 1 else zeros) + 0.5) / (zeros + ones + 1)
-        if length == depth or suffix[:1] == b" ":
-            return own
-        weight = math.exp(math.log(0.5) + estimate(zeros, ones) - log_weight(suffix, level, byte >> (8 - level)))
-        return weight * own + (1 - weight) * chance(context, length + 1, level, byte)
-
-    return sum(math.log10(chance(c, 0, level, byte)) for t in score for c, byte in events(t) for level in range(8))
-
-
-def test_context_trees_against_recursion(spark, tmp_path):
-    texts = [(i, t) for i, t in enumerate(["the Then hen", "then the", "", None, "of the hen é", "offthen often zzz", "q"])]
-    table(spark, texts, ", chunk string, n string, word string").write.parquet(str(tmp_path / "d"))
-    got = {r["doc_id"]: r for r in context_trees.score_documents(spark.read.parquet(str(tmp_path / "d"))).collect()}
-    tokens = {i: words.encoded(t, lower=True).split() + [b"\n"] for i, t in texts}
-    held = {i: zlib.crc32(str(i).encode()) % 7 == 2 for i in tokens}
-    train = [t for i in tokens if not held[i] for t in tokens[i]]
-    n = Counter(train)
-    for i, own in tokens.items():
-        row = got[i]
-        assert (row["held_out"], row["n_tokens"], row["train_tokens"]) == (held[i], len(own), len(train))
-        assert row["n_known"] == sum(n[t] > 0 for t in own)
-        assert math.isclose(row["base_score"], sum(math.log10((n[t] + 1) / (len(train) + len(n) + 1)) for t in own))
-        assert math.isclose(row["score"], brute_context_trees(train, own), rel_tol=1e-9), own
-    assert context_trees.score_documents(spark.read.parquet(str(tmp_path / "d")).limit(0)).count() == 0
+    assert sum(t for _, t in packing.complete_bins(lengths, 20).bins) == 3
 
 
 def test_context_trees_are_a_distribution():
