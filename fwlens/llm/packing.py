@@ -20,10 +20,12 @@ import sys
 import zlib
 from itertools import islice
 from types import ModuleType
-from typing import Iterable, Iterator, NamedTuple
+from typing import Iterator, NamedTuple
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window, functions as F
 
@@ -36,18 +38,75 @@ CAPACITY = 2048
 #: dominance looks at.
 SEARCH_NODES, SEARCH_STEPS, OPEN_NODES, MOST_COPIES = 20_000, 4_000_000, 64, 64
 MEMO_WORDS = 1_200_000
-#: UTF-8 of Latin letters that the tokenizer takes as they are; a chunk of them is one word for it.
-_LETTER = rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])"
-_LETTERS = re.compile(_LETTER + rb"+")
-#: Runs of letters, single digits and runs of marks are parts of their own for the tokenizer's splitting rule; it has rules for
-#: what follows an apostrophe.
-_MARKS = rb"[!-&(-/:-@\[-`{-~]"
-_PARTS = re.compile(_LETTER + rb"+|[0-9]|" + _MARKS + rb"+")
-_SIMPLE = re.compile(rb"(?:" + _LETTER + rb"|[0-9]|" + _MARKS + rb")+")
+#: Bytes of text that are taken apart at once.
+SLICE_BYTES = 8 << 20
+#: Kinds of bytes of lower-cased UTF-8 text. Runs of letters, single digits and runs of marks are parts of their own for the
+#: tokenizer's splitting rule; it has rules for what follows an apostrophe, which is no mark here.
+SPACE, LETTER, DIGIT, MARK, OTHER = range(5)
+_KIND = np.full(256, OTHER, dtype=np.uint8)
+_KIND[list(b" \t\n\x0b\x0c\r")] = SPACE
+_KIND[list(b"abcdefghijklmnopqrstuvwxyz\xc3")] = LETTER
+_KIND[list(b"0123456789")] = DIGIT
+_KIND[list(b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~")] = MARK
+#: Bytes that make a letter with a byte C3 in front: U+00DF to U+00FF without the sign of division.
+_SECOND = np.zeros(256, dtype=bool)
+_SECOND[[*range(0x9F, 0xB7), *range(0xB8, 0xC0)]] = True
+_LOWER = np.frombuffer(bytes(range(256)).lower(), dtype=np.uint8)
+#: Special tokens are found in the text as it stands, and a capital may compose with a mark otherwise than its small letter.
+_CASED = "<[|]|[\u0300-\u036f]"
+_LETTERS = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+")
+
+
+class Parts(NamedTuple):
+    """Parts of several texts: their bytes without blanks, where each part begins, and each text's first part, with the ends."""
+
+    data: np.ndarray
+    begins: np.ndarray
+    rows: np.ndarray
+
+
+def parts_of(texts: pa.LargeStringArray) -> Parts:
+    """Texts without nulls cut into chunks free of blanks, and these where the tokenizer cuts them anyway.
+
+    A chunk with a byte of no kind, or with what may begin a special token, stays whole.
+    """
+    bounds = np.frombuffer(texts.buffers()[1], dtype=np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    raw = np.frombuffer(texts.buffers()[2] or b"", dtype=np.uint8)[bounds[0] : bounds[-1]]
+    bounds = bounds - bounds[0]
+    if not len(raw):
+        return Parts(raw, np.zeros(1, dtype=np.int64), np.zeros(len(bounds), dtype=np.int64))
+    codes = _LOWER[raw]
+    seconds = np.flatnonzero(raw[:-1] == 0xC3) + 1
+    capital = seconds[(raw[seconds] < 0x9F) & (raw[seconds] != 0x97)]
+    codes[capital] += 32
+    for row in np.flatnonzero(pc.match_substring_regex(texts, _CASED).to_numpy(zero_copy_only=False)):
+        codes[bounds[row] : bounds[row + 1]] = raw[bounds[row] : bounds[row + 1]]
+    kinds = _KIND[codes]
+    kinds[seconds[_SECOND[codes[seconds]]]] = LETTER
+    special = np.flatnonzero(codes[:-1] == ord("<"))
+    kinds[special[codes[special + 1] == ord("|")]] = OTHER
+
+    inside = kinds != SPACE
+    opens = inside.copy()
+    opens[1:] &= ~inside[:-1]
+    starts = bounds[:-1][bounds[:-1] < len(raw)]
+    opens[starts] = inside[starts]
+    data, kinds, opens = codes[inside], kinds[inside], opens[inside]
+    cut = kinds == DIGIT
+    cut[1:] |= kinds[1:] != kinds[:-1]
+    odd = np.flatnonzero(kinds == OTHER)
+    if len(odd):
+        chunks = np.flatnonzero(opens)
+        whole = np.zeros(len(chunks), dtype=bool)
+        whole[np.searchsorted(chunks, odd, side="right") - 1] = True
+        cut &= ~np.repeat(whole, np.diff(chunks, append=len(data)))
+    begins = np.append(np.flatnonzero(cut | opens), len(data))
+    sizes = [np.count_nonzero(inside[begin:end]) for begin, end in zip(bounds[:-1], bounds[1:])]
+    return Parts(data, begins, np.searchsorted(begins, np.cumsum([0, *sizes])))
 
 
 class WordIds(dict):
-    """Ids of a blank-free chunk as little-endian bytes; the tokenizer drops white space, so chunks are independent."""
+    """Ids of a part as little-endian bytes; the tokenizer drops white space and cuts between parts, so parts are independent."""
 
     def __init__(self, path: str):
         # tasks are the parallel units; threads inside a task only compete with them
@@ -66,7 +125,7 @@ class WordIds(dict):
         return [np.asarray(found.ids, dtype="<u4") for found in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn_words(self, words: list[bytes]) -> None:
-        """Chunks of letters only: each ends with the one closing token, so that many are read as one text."""
+        """Runs of letters: each ends with the one closing token, so that many are read as one text."""
         for first in range(0, len(words), 10_000):
             part = words[first : first + 10_000]
             lines = [part[i : i + 200] for i in range(0, len(part), 200)]
@@ -78,47 +137,37 @@ class WordIds(dict):
                 for word, begin, end in zip(line, [0, *ends], ends):
                     self[word] = data[begin:end]
 
-    def learn(self, chunks: set[bytes]) -> None:
-        """Adds chunks, taken apart where the tokenizer does so anyway; its own work is left to each part's first time."""
-        parts_of: dict[bytes, list[bytes]] = {}
-        parts, whole = set(), []
-        for chunk in chunks:
-            if chunk.isalpha():
-                parts.add(chunk)
-            elif chunk[:-1].isalpha() and chunk[-1] in b".,":
-                parts_of[chunk] = [chunk[:-1], chunk[-1:]]
-            elif _SIMPLE.fullmatch(chunk):
-                parts_of[chunk] = _PARTS.findall(chunk)
-            else:
-                whole.append(chunk)
-        parts = parts.union(*parts_of.values()).difference(self)
-        self._learn_words([part for part in parts if part.isalpha() or _LETTERS.fullmatch(part)])
-        others = [part for part in parts if part not in self] + whole
+    def learn(self, parts: list[bytes]) -> None:
+        """Adds parts by the tokenizer itself, whose work is left to each part's first time."""
+        letters, others = [], []
+        for part in parts:
+            (letters if part.isalpha() or _LETTERS.fullmatch(part) else others).append(part)
+        self._learn_words(letters)
         for first in range(0, len(others), 5000):
             part = others[first : first + 5000]
             for chunk, ids in zip(part, self._encoded([c.decode("utf-8") for c in part])):
                 self[chunk] = ids.tobytes()
-        for chunk, own in parts_of.items():
-            if len(own) > 1:
-                self[chunk] = b"".join(map(self.__getitem__, own))
-
-    def ids_of(self, texts: Iterable[str | None]) -> Iterator[bytes]:
-        """Ids of several texts, learning what is new in all of them at once."""
-        rows = []
-        for text in texts:
-            data = text.encode("utf-8") if text else b""
-            if b"<|" not in data:  # the only strings for which the tokenizer tells cases apart begin so
-                data = data.lower()
-            rows.append(data.split())
-        distinct = set().union(*rows)
-        if len(self) + len(distinct) > MEMO_WORDS:
+
+    def ids_of(self, texts: pa.Array) -> Iterator[memoryview]:
+        """Ids of several texts; each of their distinct parts is looked up, or learnt, once."""
+        texts = pc.fill_null(pa.array(texts, pa.large_string()) if isinstance(texts, list) else texts.cast(pa.large_string()), "")
+        data, begins, rows = parts_of(texts)
+        buffers = [None, pa.py_buffer(begins.astype(np.int64, copy=False)), pa.py_buffer(data)]
+        found = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(begins) - 1, buffers).dictionary_encode()
+        distinct = found.dictionary.to_pylist()
+        new = [part for part in distinct if part not in self]
+        if len(self) + len(new) > MEMO_WORDS:
             self.clear()
-        self.learn(distinct.difference(self))
-        for chunks in rows:
-            yield b"".join(map(self.__getitem__, chunks))
+            new = distinct
+        self.learn(new)
+        ids = pa.array([self[part] for part in distinct], pa.large_binary()).take(found.indices)
+        ends = np.frombuffer(ids.buffers()[1], dtype=np.int64)[rows].tolist() if len(ids) else [0] * len(rows)
+        joined = memoryview(ids.buffers()[2] or b"")
+        for begin, end in zip(ends, ends[1:]):
+            yield joined[begin:end]
 
     def ids(self, text: str | None) -> bytes:
-        return next(self.ids_of([text]))
+        return bytes(next(self.ids_of([text])))
 
 
 def _remembered(path: str) -> WordIds:
@@ -129,24 +178,37 @@ def _remembered(path: str) -> WordIds:
     return held[path]
 
 
+def _slices(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """Ranges of rows of about ``SLICE_BYTES`` of text, a longer text on its own."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    first = 0
+    while first < len(ends):
+        done = ends[first - 1] if first else 0
+        last = max(first + 1, int(np.searchsorted(ends, done + SLICE_BYTES, side="right")))
+        yield first, last
+        first = last
+
+
 def _piece_rows(path: str, capacity: int, end_id: int, keep_ids: bool):
+    names = ["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * keep_ids
+    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32())]
+
     def run(batches):
         memo = _remembered(path)
         end = np.asarray([end_id], dtype="<u4").tobytes()
         for batch in batches:
-            for first in range(0, len(batch), 500):
+            numbers, texts = batch.column("doc_id").cast(pa.int64()), batch.column("text")
+            for first, last in _slices(texts):
                 rows = []
-                part = batch.iloc[first : first + 500]
-                for doc_id, data in zip(part["doc_id"], memo.ids_of(part["text"])):
-                    data += end
+                for at, data in enumerate(memo.ids_of(texts.slice(first, last - first)), first):
+                    data = bytes(data) + end
                     for piece, start in enumerate(range(0, len(data), 4 * capacity)):
                         cut = data[start : start + 4 * capacity]
-                        row = (doc_id, piece, start // 4, len(cut) // 4, zlib.crc32(cut))
+                        row = (at, piece, start // 4, len(cut) // 4, zlib.crc32(cut))
                         rows.append(row + ((np.frombuffer(cut, dtype="<u4").astype(np.int32),) if keep_ids else ()))
-                names = ["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * keep_ids
-                frame = pd.DataFrame(rows, columns=names)
-                frame["doc_id"] = frame["doc_id"].astype("Int64")
-                yield frame
+                at, *columns = zip(*rows)
+                columns = [numbers.take(pa.array(at, pa.int64()))] + [pa.array(c, kind) for c, kind in zip(columns, kinds[1:])]
+                yield pa.RecordBatch.from_arrays(columns, names)
 
     return run
 
@@ -154,7 +216,7 @@ def _piece_rows(path: str, capacity: int, end_id: int, keep_ids: bool):
 def token_pieces(documents: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = 0, keep_ids: bool = False) -> DataFrame:
     """Pieces of at most ``capacity`` ids: doc_id, piece, start, length, ids_crc32 and, if asked for, ids."""
     schema = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint" + (", ids array<int>" if keep_ids else "")
-    return documents.select("doc_id", "text").mapInPandas(_piece_rows(tokenizer_path, capacity, end_id, keep_ids), schema)
+    return documents.select("doc_id", "text").mapInArrow(_piece_rows(tokenizer_path, capacity, end_id, keep_ids), schema)
 
 
 def best_fit_decreasing(counts: dict[int, int], capacity: int) -> list[tuple[dict[int, int], int]]:

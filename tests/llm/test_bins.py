@@ -7,6 +7,7 @@ from collections import Counter
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from fwlens.llm import packing
@@ -123,3 +124,25 @@ def test_joined_words_have_the_ids_of_single_ones():
     list(memo.ids_of(sorted(words)))
     for word in words:
         assert memo.ids(word) == np.asarray(memo.tokenizer.encode(word, add_special_tokens=False).ids, dtype="<u4").tobytes(), word
+
+
+def test_parts_have_the_ids_of_whole_texts(monkeypatch):
+    """Special tokens, capitals before combining marks and odd characters, in texts cut into small slices."""
+    path = tokenizer_path("word_bpe_49k.json")
+    memo, rng = packing.WordIds(path), random.Random(4)
+    signs = ["a", "H", "T", "é", "É", "ß", "×", "Ä", "̱", "̈", "'", " ", "\n", "\xa0", "\x1c", "<|", "<|endoftext|>", "<|ENDOFTEXT|>", "|>"]
+    signs += ["<", "1", "…", "日", "İ", "K", "'S", "\x00", "ﬁ", ".", "!", "\U0001f600", "Σ", "½", "the"]
+    texts = ["".join(rng.choices(signs, k=rng.randrange(14))) for _ in range(3000)] + [None, "", " ", "H̱ <|endoftext|>x"]
+    wanted = [np.asarray(memo.tokenizer.encode(t or "", add_special_tokens=False).ids + [7], dtype="<u4") for t in texts]
+    assert [bytes(ids) for ids in memo.ids_of(texts)] == [ids[:-1].tobytes() for ids in wanted]
+    monkeypatch.setattr(packing, "SLICE_BYTES", 50)
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(len(texts))), "text": texts})
+    found = pa.Table.from_batches(packing._piece_rows(path, 2048, 7, True)([batch])).to_pydict()
+    assert found["doc_id"] == batch.column("doc_id").to_pylist() and found["ids"] == [ids.tolist() for ids in wanted]
+
+
+def test_chunks_are_remembered_by_their_parts():
+    """What words and marks are joined to adds nothing to look up."""
+    memo = packing.WordIds(tokenizer_path("word_bpe_49k.json"))
+    memo.ids("Ab ab. ab, (ab) ab7, ab-ab 7ab")
+    assert set(memo) == {b"ab", b".", b",", b"(", b")", b"7", b"-"}
