@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from typing import Callable
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 # Accepted spellings of the two actions.
@@ -52,6 +54,8 @@ _MOVED = (
 )
 # The usual form, which needs no rewriting.
 _USUAL = r"^\d{4}[-/.]\d{1,2}[-/.]\d{1,2}[T ]\d{1,2}:\d{1,2}(?::\d{1,2}(?:[.,]\d{1,9})?)?\s*(?:Z|[+-]\d{2}:?\d{2})?$"
+# The form that Spark casts to the same timestamp.
+_CAST = r"^[1-9]\d{3}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2}(?:\.\d{1,6})?\z"
 # Forms that lack something, rewritten in this order: "at" before the time, zone names (which are read past), hours without
 # minutes, dates without a day or month.
 _COMPLETED = (
@@ -79,7 +83,9 @@ def col_or(df: DataFrame, name: str, default, kind: str) -> Column:
 
 
 def strip(c: Column) -> Column:
-    return F.btrim(c, F.lit(WHITESPACE))
+    # most texts begin and end with printable ASCII, which is cheaper to see than to trim by a set
+    bare = F.substring(c, 1, 1).between("!", "~") & F.substring(c, -1, 1).between("!", "~")
+    return F.when(bare, c).otherwise(F.btrim(c, F.lit(WHITESPACE)))
 
 
 def normal_action(c: Column) -> Column:
@@ -122,36 +128,48 @@ def timestamp_of(text: Column, epoch_unit: str | None = None) -> Column:
     epoch times if a unit is given.
     """
     unit = EPOCH_UNITS[epoch_unit] if epoch_unit else None
-    spread = _rewritten(text)
-    parts = F.coalesce(*[_shape(spread, date, places) for date, places in _DATES])
 
-    def made(p: Column) -> Column:
+    def once(c: Column, use: Callable[[Column], Column]) -> Column:
+        return F.element_at(F.transform(F.array(c), use), 1)
+
+    def made(p: Column, spread: Column) -> Column:
         whole = lambda c: F.when(c != "", c).otherwise("0").cast("int")
         word = F.lower(F.substring(p[1], 1, 3))
         named = F.array_position(F.array(*[F.lit(m) for m in _MONTH_NAMES]), word).cast("int")
-        month, day = F.when(p[1].rlike("^[0-9]+$"), p[1].try_cast("int")).otherwise(named), p[2].try_cast("int")
-        # a first number over twelve can only be the day
-        swap = (month > 12) & (day <= 12) & spread.rlike(r"^([0-2]?\d|3[01])[-/.]")
-        month, day = F.when(swap, day).otherwise(month), F.when(swap, month).otherwise(day)
-        year, now = p[0].try_cast("int"), F.year(F.current_date())
-        near = year + now - now % 100
-        near = near + F.when(near >= now + 50, -100).when(near < now - 50, 100).otherwise(0)
-        year = F.when(F.length(p[0]) == 2, near).otherwise(year)
-        half, hour = F.lower(p[7]), whole(p[3])
-        good_hour = F.when(half == "", hour < 24).otherwise(hour.between(1, 12))
-        hour = F.when(half == "", hour).otherwise(hour % 12 + F.when(half == "pm", 12).otherwise(0))
-        date = F.try_make_timestamp(year, month, day, F.lit(0), F.lit(0), F.lit(0)).cast("timestamp_ntz")
+        read = F.array(p[0].try_cast("int"), F.when(p[1].rlike("^[0-9]+$"), p[1].try_cast("int")).otherwise(named), p[2].try_cast("int"))
+
+        def dated(d: Column) -> Column:
+            # a first number over twelve can only be the day
+            swap = (d[1] > 12) & (d[2] <= 12) & spread.rlike(r"^([0-2]?\d|3[01])[-/.]")
+            return F.when(swap, F.array(d[0], d[2], d[1])).otherwise(d)
+
+        def midnight(d: Column) -> Column:
+            now = F.year(F.current_date())
+            near = once(d[0] + now - now % 100, lambda y: y + F.when(y >= now + 50, -100).when(y < now - 50, 100).otherwise(0))
+            year = F.when(F.length(p[0]) == 2, near).otherwise(d[0])
+            return F.try_make_timestamp(year, d[1], d[2], F.lit(0), F.lit(0), F.lit(0)).cast("timestamp_ntz")
+
+        def timed(date: Column, c: Column) -> Column:
+            half = F.lower(p[7])
+            good_hour = F.when(half == "", c[0] < 24).otherwise(c[0].between(1, 12))
+            hour = F.when(half == "", c[0]).otherwise(c[0] % 12 + F.when(half == "pm", 12).otherwise(0))
+            zone = F.regexp_replace(F.upper(p[8]), ":", "")
+            offset = (F.substring(zone, 2, 2).cast("int") * 60 + whole(F.substring(zone, 4, 2))) * F.when(zone.startswith("-"), -1).otherwise(1)
+            offset = F.when(F.upper(p[8]).isin("", "Z", "UTC", "GMT"), 0).otherwise(offset)
+            seconds = (hour * 60 + c[1] - offset) * 60 + c[2]
+            valid = date.isNotNull() & good_hour & (c[1] < 60) & (c[2] < 60)
+            return F.when(valid, F.timestamp_micros(micros(date) + seconds.cast("bigint") * 1_000_000 + c[3]).cast("timestamp_ntz"))
+
         # the fraction is cut to microseconds
-        micros_ = F.rpad(F.substring(p[6], 1, 6), 6, "0")
-        zone = F.regexp_replace(F.regexp_replace(F.upper(p[8]), "^(Z|UTC|GMT|)$", "+00"), ":", "")
-        offset = (F.substring(zone, 2, 2).cast("int") * 60 + whole(F.substring(zone, 4, 2))) * F.when(zone.startswith("-"), -1).otherwise(1)
-        seconds = (hour * 60 + whole(p[4]) - offset) * 60 + whole(p[5])
-        valid = good_hour & (whole(p[4]) < 60) & (whole(p[5]) < 60)
-        shifted = F.timestamp_micros(micros(date) + seconds.cast("bigint") * 1_000_000 + whole(micros_)).cast("timestamp_ntz")
-        return F.when(valid & date.isNotNull(), shifted)
-
-    # the fields are taken from the text once
-    parsed = F.element_at(F.transform(F.array(parts), lambda p: F.when(p.isNotNull(), made(p))), 1)
+        clock = F.array(*map(whole, (p[3], p[4], p[5], F.rpad(F.substring(p[6], 1, 6), 6, "0"))))
+        return once(once(once(read, dated), midnight), lambda date: once(clock, lambda c: timed(date, c)))
+
+    def fields(spread: Column) -> Column:
+        parts = F.coalesce(*[_shape(spread, date, places) for date, places in _DATES])
+        return once(parts, lambda p: F.when(p.isNotNull(), made(p, spread)))
+
+    # the text is rewritten once and the fields are taken from it once
+    parsed = F.when(text.rlike(_CAST), text.try_cast("timestamp_ntz")).otherwise(once(_rewritten(text), fields))
     if unit is None:
         return parsed
     number = F.when(text.rlike(_NUMBER), text.try_cast("double"))

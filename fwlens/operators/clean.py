@@ -96,11 +96,13 @@ def clean_logs(mapped: MappedLogs, row_id: str | None = None, epoch_unit: str |
     for name in NUMERIC:
         whole = whole_part(text[name])
         numbers[f"{name}_whole"], numbers[f"{name}_real"] = whole, F.when(whole.isNull(), real_part(text[name]))
-    parsed = rows.select(
+    # a generator with a lambda in it is interpreted as a whole, so the time is made in a step of its own
+    timed = rows.withColumn("_timestamp", timestamp_of(text["timestamp"], epoch_unit))
+    parsed = timed.select(
         *[quoted(name) for name in kept],
         _computed(
             {
-                "timestamp": timestamp_of(text["timestamp"], epoch_unit),
+                "timestamp": text["timestamp"],
                 "src_ip": text["src_ip"],
                 "dst_ip": text["dst_ip"],
                 "protocol": F.upper(text["protocol"]),

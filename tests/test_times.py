@@ -5,10 +5,13 @@ from dataclasses import replace
 from datetime import datetime
 
 import pandas as pd
+from pyspark.sql import functions as F
 
 from fwlens.config import AnomalyModel, config_from_dict
 from fwlens.functions import columns
+from fwlens.operators.clean import clean_logs
 from fwlens.plans.analysis import run_job
+from fwlens.sources.schema_map import map_log_schema
 
 FORMS = [
     "Sun Jul 26 09:25:27 2026", "Jul 26 09:25:27 2026", "Sun Jul  5 09:25:27 2026", "Sun Jul 26 09:25:27 UTC 2026", "7/4/26 09:25:27",
@@ -47,3 +50,34 @@ def test_a_log_with_epoch_times(spark, tmp_path):
             assert datetime.fromisoformat(row["timestamp"]) == datetime(2026, 7, 1, 9)
         counted[unit] = config.epoch_unit
     assert counted == {"s": "s", "": "", "weeks": ""}
+
+
+def test_texts_that_are_cast_agree_with_those_that_are_taken_apart(spark, monkeypatch):
+    days = ["2024-02-29", "2023-02-29", "2026-13-01", "2026-00-10", "2026-04-31", "1000-01-01", "9999-12-31", "0999-01-01", "0000-01-01"]
+    clocks = [" 00:00:00", "T23:59:59.999999", " 24:00:00", " 12:60:00", " 12:00:60", " 12:00:00.5", " 12:00:00.1234567", " 12:00:00Z", " 12:00:00."]
+    texts = [(day + clock,) for day in days for clock in clocks] + [("2026-07-26 09:25:27\n",), ("٢٠٢٦-07-26 09:25:27",), (None,)]
+    rows = spark.createDataFrame(texts, "t string")
+    got = rows.select("t", columns.timestamp_of(rows["t"]).cast("string")).collect()
+    monkeypatch.setattr(columns, "_CAST", "^never$")
+    assert rows.select("t", columns.timestamp_of(rows["t"]).cast("string")).collect() == got
+    assert sum(row[1] is not None for row in got) > 20
+
+
+def test_a_text_is_rewritten_once(spark):
+    rows = spark.createDataFrame([("Jul 26 2026",)], "t string").withColumn("t", columns.strip(F.col("t")))
+    plan = rows.select(columns.timestamp_of(rows["t"]).alias("made"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count(columns._COMPLETED[0][0]) == 1
+
+
+def test_trimming_equals_a_trim_by_the_set(spark):
+    texts = [None, "", " ", "a", "ab", " a", "a ", "é", " é\t", "\x7f", "~", "!", " x　", "x\xa0", "\x1fa b\x85", "日本", "\x00", "a\n"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert [r[0] for r in rows.select(columns.strip(rows["t"])).collect()] == [t if t is None else t.strip(columns.WHITESPACE) for t in texts]
+
+
+def test_the_cleaning_is_compiled(spark):
+    """A generator with a lambda in it would be interpreted, with all that it computes."""
+    raw = spark.createDataFrame([("26 Jul 2026", "10.0.0.1")], "event_time string, source_ip string")
+    plan = clean_logs(map_log_schema(raw)).flagged._jdf.queryExecution().optimizedPlan().toString()
+    generators = [line for line in plan.splitlines() if "Generate inline" in line]
+    assert len(generators) == 2 and not any("lambda" in line or "transform(" in line for line in generators)
